@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, contamination, simhash
+from . import boilerplate, bpe, contamination, language, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -60,3 +60,27 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(hit, 0) AS BIGIN
   sha256(coalesce(names, '')) AS items_sha256, coalesce(hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN c USING (r) LEFT JOIN t USING (r)
 """
+
+
+@_query
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = boilerplate.drop_boilerplate(_table(spark, sf_dir, "documents"), ratio=0.005, least=10)
+    return rows.select("doc_id", "source", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
+
+
+SQL["op5_line_dedup"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, text, string_split(text, chr(10)) AS l FROM documents),
+t AS (SELECT source, count(*) AS pages FROM d WHERE source IS NOT NULL GROUP BY source),
+m AS (SELECT DISTINCT r, source, trim(x, ' ') AS line FROM (SELECT r, source, unnest(l) AS x FROM d WHERE source IS NOT NULL)),
+b AS (SELECT m.source, line FROM m JOIN t USING (source) WHERE line <> '' GROUP BY m.source, line, pages HAVING count(*) >= 10 AND count(*) > 0.005 * pages),
+g AS (SELECT source, list(line) AS bad FROM b GROUP BY source),
+c AS (SELECT doc_id, d.source, text, l, CASE WHEN bad IS NULL THEN l ELSE list_filter(l, lambda x: trim(x, ' ') = '' OR NOT list_contains(bad, trim(x, ' '))) END AS k FROM d LEFT JOIN g USING (source))
+SELECT doc_id, source, CAST(coalesce(len(l), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(l) - len(k), 0) AS BIGINT) AS n_dropped,
+  sha256(CASE WHEN text IS NULL THEN NULL ELSE array_to_string(k, chr(10)) END) AS text_sha256
+FROM c
+"""
+
+
+@_query
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(_table(spark, sf_dir, "documents"))
