@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import boilerplate, bpe, contamination, language, quality, simhash
+from . import boilerplate, bpe, contamination, flac, language, quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -90,3 +90,8 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return rows.select("doc_id", "source", "lang", "doc_log_odds", "host_rate", "path_rate", "quality_p", "keep")
+
+
+@_query
+def op7_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.digest(flac.encode(_table(spark, sf_dir, "documents")))
