@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import boilerplate, bpe, contamination, flac, language, quality, simhash
+from . import boilerplate, bpe, contamination, flac, language, quality, simhash, suffix_tree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -95,3 +95,8 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op7_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.digest(flac.encode(_table(spark, sf_dir, "documents")))
+
+
+@_query
+def op8_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score(_table(spark, sf_dir, "documents"))
