@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import boilerplate, bpe, contamination, flac, language, quality, simhash, suffix_tree
+from . import boilerplate, bpe, contamination, flac, language, quality, simhash, suffix_tree, training_order
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -100,3 +100,8 @@ def op7_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op8_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.score(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order.materialise(_table(spark, sf_dir, "documents"), length=1024, per_shard=4096)
