@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import boilerplate, bpe, contamination, flac, language, quality, simhash, suffix_tree, training_order
+from . import boilerplate, bpe, contamination, flac, language, licenses, quality, simhash, suffix_tree, training_order
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -105,3 +105,8 @@ def op8_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training_order.materialise(_table(spark, sf_dir, "documents"), length=1024, per_shard=4096)
+
+
+@_query
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
