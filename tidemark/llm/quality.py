@@ -79,16 +79,17 @@ class Classifier:
         return np.clip(z @ self.weights[:-1] + self.weights[-1], -30, 30)
 
 
-def fit(labelled: DataFrame, rows: int = 20_000, ridge: float = 1.0, rounds: int = 30) -> Classifier:
-    """A classifier from at most ``rows`` rows of ``labelled`` (doc_id, text, label 0/1).
+def fit(documents: DataFrame, labels: DataFrame, rows: int = 20_000, ridge: float = 1.0, rounds: int = 30) -> Classifier:
+    """A classifier from ``documents`` (doc_id, text) and ``labels`` (doc_id, label 0/1, one row an id).
 
-    Which rows: those of least xxhash64(doc_id, text), so the sample doesn't depend on the layout.
-    Rows with a null label or text are passed over.  One class only, or no rows: a constant.
+    At most ``rows`` labels are used: those of least xxhash64(doc_id), so the sample doesn't depend
+    on the layout.  They are broadcast to the documents, whose texts are not shuffled.  Null labels
+    and texts are passed over.  One class only, or no rows: a constant.
     """
-    known = labelled.filter("label is not null and text is not null")
+    sample = cut(labels.filter("label is not null and doc_id is not null").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(rows))
     fields = T.StructType([T.StructField("__x__", T.ArrayType(T.DoubleType()))])
-    sample = known.select("label", "text", F.xxhash64(F.col("doc_id").cast("string"), "text").alias("h")).orderBy("h").limit(rows)
-    got = with_columns(sample, "text", fields, lambda v: [_nested(features(v))]).select("label", "__x__").collect()
+    chosen = documents.filter("text is not null").join(F.broadcast(sample), "doc_id")
+    got = with_columns(chosen, "text", fields, lambda v: [_nested(features(v))]).groupBy("doc_id").agg(F.min("label").alias("label"), F.min("__x__").alias("__x__")).collect()
     if not got:
         return Classifier(np.zeros(len(FEATURES)), np.ones(len(FEATURES)), np.zeros(2 * len(FEATURES) + 1), 0.5)
     x, y = np.array([r["__x__"] for r in got]), np.array([float(r["label"]) for r in got])
@@ -158,8 +159,7 @@ def classify(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
     count.  Input columns with the names of new ones are replaced.
     """
     known = labels.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{label}`").cast("double").alias("y")).groupBy("doc_id").agg(F.round(F.avg("y")).alias("label"))
-    labelled = documents.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).join(known, "doc_id")
-    model = fit(labelled, sample)
+    model = fit(documents.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), known, sample)
     new = {"doc_log_odds", "host_rate", "path_rate", "quality_p", "keep"}
     columns = [c for c in documents.columns if c.lower() not in new]
     scored = with_evidence(documents.select(*[F.col(f"`{c}`") for c in columns]), model, text)
