@@ -103,13 +103,15 @@ CTES: dict[str, str] = {
 
 def sql(select: str) -> str:
     """``select`` with the expressions it uses, directly or through others, before it."""
-    used: set[str] = set()
+    order: list[str] = []
+    met: set[str] = set()
 
     def add(text: str) -> None:
         for name in CTES:
-            if name not in used and re.search(rf"\b{name}\b", text):
-                used.add(name)
+            if name not in met and re.search(rf"\b{name}\b", text):
+                met.add(name)
                 add(CTES[name])
+                order.append(name)
 
     add(select)
-    return "WITH " + ",\n".join(f"{n} AS ({CTES[n]})" for n in CTES if n in used) + "\n" + select
+    return "WITH " + ",\n".join(f"{n} AS ({CTES[n]})" for n in order) + "\n" + select
