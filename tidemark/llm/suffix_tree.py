@@ -30,6 +30,8 @@ END = 10  # never inside a word
 HEAD = 1 << 20
 _END_WORD = np.uint64(0x0E4D0E4D0E4D0E4D)
 _STRETCH = 512
+#: Bytes of text worked on at a time: keys of several depths are held for each.
+PIECE = 600_000
 
 
 def stream(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -93,14 +95,14 @@ def count_contexts(rows: DataFrame, depths: list[int], allowed: np.ndarray | Non
 
         for b in batches:
             data, offsets = texts(b.column(0))
-            for i, j in chunks(offsets):
+            for i, j in chunks(offsets, PIECE):
                 symbols, _, _ = stream(lower_ascii(data[offsets[i] : offsets[j]]), offsets[i : j + 1] - offsets[i])
                 for d in depths:
                     keys = _keys(symbols, d)
                     if ok is not None:
                         keys = keys[ok[_spot(keys >> np.uint64(8))]]
                     kept[d].append(np.unique(keys, return_counts=True))
-                    if sum(len(k) for k, _ in kept[d]) > 3_000_000:
+                    if sum(len(k) for k, _ in kept[d]) > 1_000_000:
                         shrink(d)
         for d in depths:
             if kept[d]:
@@ -145,40 +147,45 @@ class Tree:
 def grow(tables: dict[int, tuple[np.ndarray, np.ndarray]], p_min: float, divergence: float, strength: float) -> Tree:
     """A tree from {depth: (keys, counts)}."""
     total = int(tables[0][1].sum()) if 0 in tables else 0
-    counts: dict[bytes, np.ndarray] = {b"": np.zeros(256, np.int64)}
+    seen = np.union1d(tables[0][0].astype(np.int64) & 255, [END]) if 0 in tables else np.array([END])
+    width = len(seen)  # the column after the last stands for all symbols never seen
+    unseen = 256 - width
+    symbol = np.full(256, width, np.int64)
+    symbol[seen] = np.arange(width)
+    counts: dict[bytes, np.ndarray] = {b"": np.zeros(width + 1, np.int32)}
     for depth in sorted(tables):
         keys, n = tables[depth]
-        context, symbol = keys >> np.uint64(8), (keys & np.uint64(255)).astype(np.int64)
+        context, column = keys >> np.uint64(8), symbol[(keys & np.uint64(255)).astype(np.int64)]
         order = np.argsort(context, kind="stable")
-        context, symbol, n = context[order], symbol[order], n[order]
-        first = np.flatnonzero(np.diff(context, prepend=context[:1] + np.uint64(1))) if len(context) else []
+        context, column, n = context[order], column[order], n[order]
+        first = np.flatnonzero(np.diff(context, prepend=context[:1] + np.uint64(1))) if len(context) else np.zeros(0, np.int64)
+        enough = np.add.reduceat(n, first) >= p_min * total if len(first) else []
         for i, a in enumerate(first):
-            z = first[i + 1] if i + 1 < len(first) else len(context)
-            if depth == 0 or n[a:z].sum() >= p_min * total:
-                row = np.zeros(256, np.int64)
-                row[symbol[a:z]] = n[a:z]
+            if depth == 0 or enough[i]:
+                z = first[i + 1] if i + 1 < len(first) else len(context)
+                row = np.zeros(width + 1)
+                row[column[a:z]] = n[a:z]
                 counts[int(context[a]).to_bytes(depth, "big")] = row  # oldest symbol first
-    seen = np.flatnonzero(counts[b""])
-    symbol = np.full(256, len(seen), np.int64)
-    symbol[seen] = np.arange(len(seen))
-    symbol[END] = symbol[END] if counts[b""][END] else len(seen)
-    distribution = {b"": (counts[b""] + 1) / (total + 256)}
+    base = counts[b""] + 1.0
+    base[-1] = unseen
+    distribution = {b"": base / (total + 256)}
     for context in sorted(counts, key=lambda c: (len(c), c)):
         if not context:
             continue
         parent = context[1:]
         while parent not in distribution:
             parent = parent[1:]
-        n = counts[context]
-        p = (n + strength * distribution[parent]) / (n.sum() + strength)
-        if n.sum() / total * float((p * np.log(p / distribution[parent])).sum()) >= divergence:
+        n, before = counts.pop(context), distribution[parent]
+        p = (n + strength * before) / (n.sum() + strength)
+        some = before > 0
+        if n.sum() / total * float((p[some] * np.log(p[some] / before[some])).sum()) >= divergence:
             distribution[context] = p
     states = set(distribution) | {bytes([END])}
     states |= {c[:k] for c in states for k in range(1, len(c))}
     order = sorted(states, key=lambda c: (len(c), c))
     index = {c: i for i, c in enumerate(order)}
-    move = np.zeros((len(order), len(seen) + 1), np.int32)
-    score = np.zeros((len(order), len(seen) + 1), np.float32)
+    move = np.zeros((len(order), width + 1), np.int32)
+    score = np.zeros((len(order), width + 1), np.float32)
     for c in order:
         i = index[c]
         if c:
@@ -188,9 +195,8 @@ def grow(tables: dict[int, tuple[np.ndarray, np.ndarray]], p_min: float, diverge
             score[i] = score[index[link]]
         if c in distribution:
             p = distribution[c]
-            score[i, :-1] = np.log10(p[seen])
-            rest = p[symbol == len(seen)]
-            score[i, -1] = np.log10(rest.max()) if len(rest) else -np.inf
+            score[i, :-1] = np.log10(p[:-1])
+            score[i, -1] = np.log10(p[-1] / unseen) if unseen else 0.0
     # A move leads to the context and its symbol if that is a state, else to where the suffix's move leads.
     children: dict[bytes, list[tuple[int, int]]] = {}
     for c in order:
@@ -210,7 +216,7 @@ def grow(tables: dict[int, tuple[np.ndarray, np.ndarray]], p_min: float, diverge
     return Tree(symbol, move, score, index[b""], start, max(tables, default=0), order)
 
 
-def fit(training: DataFrame, depth: int = 7, p_min: float = 1e-5, divergence: float = 2e-7, strength: float = 5.0) -> Tree:
+def fit(training: DataFrame, depth: int = 6, p_min: float = 1e-5, divergence: float = 2e-7, strength: float = 5.0) -> Tree:
     """A tree from all of ``training`` (text).  Null texts count as empty; no rows: a uniform tree.
 
     The tree has at most ``depth`` / ``p_min`` contexts; ``depth`` is 7 at most (a context and
@@ -243,7 +249,7 @@ def count_words(training: DataFrame) -> DataFrame:
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
         data, offsets = texts(b.column(0))
         made = []
-        for i, j in chunks(offsets):
+        for i, j in chunks(offsets, PIECE):
             x = lower_ascii(data[offsets[i] : offsets[j]])
             starts, ends, _ = words(x, offsets[i : j + 1] - offsets[i], NOT_SPACE)
             made.append(word_hashes(x, starts, ends))
@@ -288,7 +294,7 @@ def score(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **options:
     def batch(b: pa.RecordBatch):  # noqa: ANN202
         data, offsets = texts(b.column(1))
         common, value = known.value
-        for i, j in chunks(offsets):
+        for i, j in chunks(offsets, PIECE):
             x = lower_ascii(data[offsets[i] : offsets[j]])
             symbols, at, (starts, ends, first) = stream(x, offsets[i : j + 1] - offsets[i])
             scores = np.add.reduceat(tree.value.scores(symbols), at[:-1])
