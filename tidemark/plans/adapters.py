@@ -85,8 +85,11 @@ def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_events(table(spark, sf_dir, "events"))
+
+
+def as_events(e: DataFrame) -> DataFrame:
     """Interaction events: event_id, user_id, movie_id, event_type, value (text), timestamp."""
-    e = table(spark, sf_dir, "events")
     odd = F.col("event_id") % 3
     kind = (
         F.when(F.col("event_type") == "click", "click").when(F.col("event_type") == "purchase", "share").when(F.col("event_type") == "view", "watch").when(F.col("event_type") == "signup", "comment")
