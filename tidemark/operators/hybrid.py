@@ -10,8 +10,10 @@ from tidemark.functions.scalars import source_weights
 
 SOURCES = ("cf", "cb", "pop")
 TIERS = ("content", "genre", "global")
-_REQUEST = W.partitionBy("request_id")
-_ORDER = _REQUEST.orderBy(F.desc("score"), "movie_id")
+
+
+def _request() -> W:
+    return W.partitionBy("request_id")
 
 
 @dataclass(frozen=True)
@@ -46,7 +48,7 @@ def fuse(candidates: DataFrame, weights: DataFrame, excluded: DataFrame, k: int
 
 def normalise(scored: DataFrame) -> DataFrame:
     """Scores scaled to 0..1 within a request; all equal: 1."""
-    low, high = F.min("score").over(_REQUEST), F.max("score").over(_REQUEST)
+    low, high = F.min("score").over(_request()), F.max("score").over(_request())
     return scored.withColumn("score", F.when(high > low, (F.col("score") - low) / (high - low)).otherwise(1.0))
 
 
@@ -57,7 +59,7 @@ def nudge(scored: DataFrame, similarity: DataFrame, weight: float = 0.15) -> Dat
 
 
 def ranked(scored: DataFrame) -> DataFrame:
-    return scored.withColumn("rank", F.row_number().over(_ORDER))
+    return scored.withColumn("rank", F.row_number().over(_request().orderBy(F.desc("score"), "movie_id")))
 
 
 def diversify(rows: DataFrame, genres: DataFrame, most: int = 4, limit: int | Column = 20) -> DataFrame:
@@ -69,7 +71,7 @@ def diversify(rows: DataFrame, genres: DataFrame, most: int = 4, limit: int | Co
     known = rows.join(genres.select("movie_id", "genre"), "movie_id", "left")
     nth = F.row_number().over(W.partitionBy("request_id", "genre").orderBy("rank"))
     late = F.col("genre").isNotNull() & (nth > most) if most > 0 else F.lit(False)
-    placed = known.withColumn("late", late).withColumn("place", F.row_number().over(_REQUEST.orderBy("late", "rank")))
+    placed = known.withColumn("late", late).withColumn("place", F.row_number().over(_request().orderBy("late", "rank")))
     bound = F.lit(limit) if isinstance(limit, int) else limit
     return placed.filter(F.col("place") <= bound).withColumn("rank", F.col("place")).drop("late", "place", "genre")
 
@@ -87,9 +89,9 @@ def backfill(rows: DataFrame, tiers: DataFrame, blocked: DataFrame, requests: Da
     both = own.unionByName(more).join(requests.select("request_id"), "request_id", "left_semi")
     once = both.withColumn("n", F.row_number().over(W.partitionBy("request_id", "movie_id").orderBy("tier", "pos"))).filter("n = 1").drop("n")
     bound = F.lit(limit) if isinstance(limit, int) else limit
-    placed = once.withColumn("rank", F.row_number().over(_REQUEST.orderBy("tier", "pos", "movie_id"))).filter(F.col("rank") <= bound)
+    placed = once.withColumn("rank", F.row_number().over(_request().orderBy("tier", "pos", "movie_id"))).filter(F.col("rank") <= bound)
     scored = placed.withColumn("score", F.coalesce("score", 1 / F.col("rank")))
-    return scored.withColumn("level", F.max("tier").over(_REQUEST)).select("request_id", "rank", "movie_id", "score", "sources", "tier", "level")
+    return scored.withColumn("level", F.max("tier").over(_request())).select("request_id", "rank", "movie_id", "score", "sources", "tier", "level")
 
 
 def reason() -> Column:
@@ -153,7 +155,7 @@ def route(requests: DataFrame, known_users: DataFrame) -> DataFrame:
 def guest_response(requests: DataFrame, top: DataFrame, excluded: DataFrame, limit: int = 20) -> DataFrame:
     """(request_id, rank, movie_id, score, reason): the popular list without excluded items, score 1 / place."""
     rows = requests.select("request_id").crossJoin(F.broadcast(top.select(F.col("rank").alias("pos"), "movie_id"))).join(excluded.select("request_id", "movie_id").distinct(), ["request_id", "movie_id"], "left_anti")
-    return rows.withColumn("rank", F.row_number().over(_REQUEST.orderBy("pos"))).filter(F.col("rank") <= limit).select("request_id", "rank", "movie_id", (1 / F.col("rank")).alias("score"), F.lit("top_rated").alias("reason"))
+    return rows.withColumn("rank", F.row_number().over(_request().orderBy("pos"))).filter(F.col("rank") <= limit).select("request_id", "rank", "movie_id", (1 / F.col("rank")).alias("score"), F.lit("top_rated").alias("reason"))
 
 
 def onboarding_response(ranked_: DataFrame, requests: DataFrame, tiers: DataFrame, blocked: DataFrame, limit: int = 20) -> DataFrame:
@@ -162,7 +164,7 @@ def onboarding_response(ranked_: DataFrame, requests: DataFrame, tiers: DataFram
     A top-up item's reason goes by the deepest tier of its list.
     """
     own = ranked_.join(blocked.select("request_id", "movie_id").distinct(), ["request_id", "movie_id"], "left_anti")
-    own = own.withColumn("rank", F.row_number().over(_REQUEST.orderBy("rank"))).withColumn("sources", F.array(F.lit("cb")))
+    own = own.withColumn("rank", F.row_number().over(_request().orderBy("rank"))).withColumn("sources", F.array(F.lit("cb")))
     out = backfill(own, tiers.filter("tier > 1"), blocked, requests, limit)
     top_up = F.when(F.col("level") == 2, "genre_match").otherwise("top_rated")
     return out.withColumn("reason", F.when(F.col("tier") == 0, "similar_to_onboarding").otherwise(top_up)).drop("sources", "tier")
@@ -174,7 +176,7 @@ def because_you_watched(robin: DataFrame, requests: DataFrame, top: DataFrame, b
     Requests without a hit get the popular list.
     """
     free = robin.join(blocked.select("request_id", "movie_id").distinct(), ["request_id", "movie_id"], "left_anti")
-    own = free.withColumn("rank", F.row_number().over(_REQUEST.orderBy("place"))).filter(F.col("rank") <= limit)
+    own = free.withColumn("rank", F.row_number().over(_request().orderBy("place"))).filter(F.col("rank") <= limit)
     own = own.select("request_id", "rank", "movie_id", (1 / F.col("place")).alias("score"), "seed_id", F.lit("because_you_watched").alias("reason"))
     lost = requests.select("request_id").join(own.select("request_id").distinct(), "request_id", "left_anti")
     return own.unionByName(guest_response(lost, top, blocked, limit).withColumn("seed_id", F.lit(None).cast("bigint")).select(own.columns))
@@ -182,7 +184,7 @@ def because_you_watched(robin: DataFrame, requests: DataFrame, top: DataFrame, b
 
 def finish(rows: DataFrame) -> DataFrame:
     """Scores over the best of the request, to six places."""
-    best = F.max("score").over(_REQUEST)
+    best = F.max("score").over(_request())
     return rows.withColumn("score", F.when(best > 0, F.round(F.col("score") / best, 6)).otherwise(F.round("score", 6)))
 
 

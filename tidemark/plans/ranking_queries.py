@@ -56,6 +56,12 @@ CTES |= {
   SELECT user_id, movie_id FROM parts WHERE split <> 'test' AND user_id IN (SELECT user_id FROM ev_targets)""",
     "pop_order": """
   SELECT row_number() OVER (ORDER BY rating_count DESC, movie_id) AS rank, movie_id FROM (SELECT movie_id, count(*) AS rating_count FROM parts WHERE split = 'train' GROUP BY movie_id)""",
+    "mean_order": """
+  SELECT row_number() OVER (ORDER BY score DESC, rating_count DESC, average_rating DESC, movie_id) AS rank, movie_id FROM (
+    SELECT s.*, round(rating_count / (rating_count + m) * average_rating + m / (rating_count + m) * c, 9) AS score FROM (SELECT movie_id, count(*) AS rating_count, avg(rating) AS average_rating FROM parts WHERE split = 'train' GROUP BY movie_id) s,
+      (SELECT min(k) AS m FROM (SELECT count(*) AS k FROM parts WHERE split = 'train' GROUP BY movie_id)), (SELECT sum(rating) / count(*) AS c FROM parts WHERE split = 'train'))""",
+    "ev_mean_lists": """
+  SELECT * FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY p.rank) AS rank, p.movie_id FROM (SELECT DISTINCT user_id FROM ev_targets), mean_order p WHERE (user_id, p.movie_id) NOT IN (SELECT user_id, movie_id FROM ev_seen)) WHERE rank <= 20""",
     "ev_lists": """
   SELECT * FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY p.rank) AS rank, p.movie_id FROM (SELECT DISTINCT user_id FROM ev_targets), pop_order p WHERE (user_id, p.movie_id) NOT IN (SELECT user_id, movie_id FROM ev_seen)) WHERE rank <= 20""",
 }
@@ -223,11 +229,20 @@ def popularity_metrics(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.metrics(evaluation.popular_for_all(_by_count(parts), targets, seen), targets)
 
 
-@query("l4_comparison", """SELECT model, users_scored, hit_rate_10, coverage, gain FROM (VALUES ('als', 1000::BIGINT, 0.12::DOUBLE, 0.25::DOUBLE, 2.0::DOUBLE), ('popularity', 1000, 0.04, 0.05, 0.0)) v(model, users_scored, hit_rate_10, coverage, gain) WHERE (SELECT count(*) FROM part) > 0""")
+@query("l4_comparison", sql("""SELECT model, users_scored, hit_rate_10, round(items / (SELECT count(*) FROM movies)::DOUBLE, 6) AS coverage, CASE WHEN base > 0 THEN round(hit_rate_10 / base - 1, 6) END AS gain FROM (
+  SELECT *, max(CASE WHEN model = 'by_count' THEN hit_rate_10 END) OVER () AS base FROM (
+    SELECT 'by_count' AS model, count(*) AS users_scored, round(avg(CASE WHEN rank <= 10 THEN 1 ELSE 0 END), 6) AS hit_rate_10, (SELECT count(DISTINCT movie_id) FROM ev_lists) AS items FROM ev_targets t LEFT JOIN ev_lists l ON t.user_id = l.user_id AND target = movie_id
+    UNION ALL SELECT 'by_mean', count(*), round(avg(CASE WHEN rank <= 10 THEN 1 ELSE 0 END), 6), (SELECT count(DISTINCT movie_id) FROM ev_mean_lists) FROM ev_targets t LEFT JOIN ev_mean_lists l ON t.user_id = l.user_id AND target = movie_id))"""))
 def comparison(spark: SparkSession, d: str) -> DataFrame:
-    n = A.table(spark, d, "part").agg(F.count("*").alias("n"))
-    rows = n.select(F.explode(F.array(F.struct(F.lit("als").alias("model"), F.lit(0.12).alias("hit_rate_10"), (F.col("n") / 4).alias("distinct_items")), F.struct(F.lit("popularity").alias("model"), F.lit(0.04).alias("hit_rate_10"), (F.col("n") / 20).alias("distinct_items")))).alias("x"), "n").select("x.*", "n").withColumn("users_scored", F.lit(1000).cast("long"))
-    return evaluation.comparison(rows, "popularity", A.table(spark, d, "part").count())
+    parts = _parts(spark, d)
+    targets, seen, _ = evaluation.evaluation_set(parts)
+    stats = rankings.movie_stats(parts.filter("split = 'train'"))
+    order = {"by_count": _by_count(parts), "by_mean": rankings.top_rated(stats, None, q=0.0, top=None)}
+    rows = None
+    for name, popular in order.items():
+        own = evaluation.metrics(evaluation.popular_for_all(popular, targets, seen), targets).withColumn("model", F.lit(name))
+        rows = own if rows is None else rows.unionByName(own)
+    return evaluation.comparison(rows, "by_count", A.movies(spark, d).count())
 
 
 @query("l5_weight_sweep")
@@ -296,6 +311,7 @@ def daily_ignored(spark: SparkSession, d: str) -> DataFrame:
 def live_profile(spark: SparkSession, d: str) -> DataFrame:
     """The event table read as a stream of files, run to its end; the last profile of each user."""
     name = f"live_{uuid.uuid4().hex}"
+    # A stream's source is a folder or a pattern; this pattern names the one file.
     base = spark.readStream.schema(A.table(spark, d, "events").schema).parquet(f"{d}/events.parque[t]")
     events = A.as_events(base)
     conf = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
@@ -306,3 +322,26 @@ def live_profile(spark: SparkSession, d: str) -> DataFrame:
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", conf)
     return spark.table(name)
+
+
+@query("n5_batch_recommend")
+def batch_recommend(spark: SparkSession, d: str) -> DataFrame:
+    """Guests, new and returning users in one table, with factors trained on the ratings."""
+    from .content_queries import movie_space
+    from .jobs import recommend
+
+    c = F.col("c_custkey")
+    none = F.array().cast("array<string>")
+    asks = A.table(spark, d, "customer").filter("c_custkey > 0 and c_custkey % 10 = 1").select(
+        c.alias("request_id"),
+        c.cast("string").alias("user_id"),
+        F.when(c % 3 == 0, "guest").when(c % 3 == 1, "onboarding_user").otherwise("returning_user").alias("scenario_hint"),
+        F.lit("20").alias("limit"),
+        F.array(c % 50 + 1, c % 70 + 60).alias("selected_movie_ids"),
+        F.when(c % 2 == 0, F.array(F.lit("ECONOMY"))).otherwise(none).alias("selected_genres"),
+        F.lit("promo").alias("preferred_genre"),
+    )
+    model = collaborative.train_implicit(collaborative.training_matrix(A.ratings(spark, d)), rank=8, iterations=3)
+    vectors, vocabulary = movie_space(spark, d)
+    top, genres = _rankings(spark, d)
+    return recommend(asks, A.events(spark, d), A.movies(spark, d), model.userFactors, model.itemFactors, vectors, vocabulary, top, genres, A.as_of())
