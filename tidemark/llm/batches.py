@@ -153,7 +153,7 @@ def with_columns(df: DataFrame, text: str, fields: T.StructType, fn: Callable[[p
     """
     new = {x.lower() for x in fields.names}
     keep = [c for c in df.columns if c.lower() not in new]
-    base = df.select(*[df[c] for c in keep], df[text].alias("__text__"))
+    base = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias(free_name(df, "__text__")))
     schema = T.StructType([df.schema[c] for c in keep] + list(fields))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,6 +164,13 @@ def with_columns(df: DataFrame, text: str, fields: T.StructType, fn: Callable[[p
     return base.mapInArrow(each, schema)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, longer if ``df`` has a column of that name in any case."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def narrow(df: DataFrame, **columns: str) -> DataFrame:
     """Only the columns an operator reads, under its own names: others can't clash."""
     return df.select(*[F.col(f"`{c}`").alias(name) for name, c in columns.items()])

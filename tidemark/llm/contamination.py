@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .batches import ALNUM, chunks, lower_ascii, map_arrow, narrow, runs, texts, with_columns, word_hashes, words
+from .batches import ALNUM, chunks, free_name, lower_ascii, map_arrow, narrow, runs, texts, with_columns, word_hashes, words
 
 #: Windows in one broadcast (some 60 MB at most with ten words each).
 BLOCK = 400_000
@@ -176,11 +176,14 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, width: int = 10, text: st
 
     Columns and their order stay as they are; null texts stay.
     """
+    own = {c: free_name(df, c) for c in df.columns if c.lower() in _HITS.names}  # columns that bear our names
+    back = {new: old for old, new in own.items()}
+    df = df.withColumnsRenamed(own)
     columns = df.columns
     rows = with_hits(df, benchmark, width, text, **options)
     clean = F.size("__hits__") == 0
     if drop:
-        return rows.filter(clean).select(*[F.col(f"`{c}`") for c in columns])
+        return rows.filter(clean).select(*[F.col(f"`{c}`") for c in columns]).withColumnsRenamed(back)
 
     def cut(values: pa.Array, hits: list) -> list:
         out = []
@@ -203,4 +206,4 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, width: int = 10, text: st
         made = cut(b.column(names.index(text)), b.column(names.index("__hits__")).to_pylist())
         return pa.RecordBatch.from_arrays([pa.array(made, pa.string()) if c == text else b.column(names.index(c)) for c in columns], names=columns)
 
-    return map_arrow(rows, df.select(*columns).schema, batch)
+    return map_arrow(rows, df.schema, batch).withColumnsRenamed(back)
