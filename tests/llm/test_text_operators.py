@@ -326,3 +326,30 @@ def test_licenses(spark, docs):
                     found.add(name)
         assert found == set(filter(None, got[i].licenses.split(",")))
     assert licenses.scan(empty(spark)).count() == 0 and licenses.scan(df).count() == df.count()
+
+
+# Near copies at similarity 0.8
+
+
+def test_near_groups(spark):
+    r = random.Random(21)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    rows, family = [], {}
+    for k in range(40):
+        words = [r.choice(vocabulary) for _ in range(r.randint(150, 400))]
+        for copy in range(r.randint(1, 5)):
+            own = list(words)
+            if copy:
+                own[r.randrange(len(own))] = "changed"  # similarity of 0.93 at least
+            rows.append((len(rows), " ".join(own)))
+            family[len(rows) - 1] = k
+    rows += [(900, None), (901, ""), (None, rows[0][1])]
+    df = clashing(spark.createDataFrame(rows, "doc_id long, text string"))
+    least = {}
+    for i, k in family.items():
+        least[k] = min(least.get(k, 10**9), i)
+    for options in ({}, {"bucket": 1, "block": 2}):
+        got = simhash.near_groups(df, **options).collect()
+        assert len(got) == len(rows)
+        assert all(g.component_id == (least[family[g.doc_id]] if g.doc_id in family else 900 if g.doc_id else 0) for g in got)
+    assert simhash.near_groups(df.limit(0)).count() == 0
