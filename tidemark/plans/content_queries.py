@@ -73,11 +73,11 @@ def movie_docs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def movie_space(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """(vectors, vocabulary) of the catalogue."""
+    """(vectors, vocabulary) of the catalogue, kept for the several uses made of them."""
     docs = movie_docs(spark, d)
     counts = content.terms(docs, "movie_id", "document")
-    vocabulary = content.fit_vocabulary(counts, docs.agg(F.count("*")))
-    return content.transform(counts, vocabulary, "movie_id"), vocabulary
+    vocabulary = content.fit_vocabulary(counts, docs.agg(F.count("*"))).cache()
+    return content.transform(counts, vocabulary, "movie_id").cache(), vocabulary
 
 
 @query("b2_movies_serving", sql("SELECT movie_id, title, array_to_string(genres, '|') AS genres, vote_average, vote_count FROM movies"))
@@ -206,7 +206,7 @@ def onboarding_ranked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame
     vectors, vocab = movie_space(spark, d)
     profile = content.onboarding_profile(asks, vectors, vocab)
     excluded = asks.select("request_id", F.explode("selected_movie_ids").alias("movie_id"))
-    return asks, content.rank_by_profile(profile, vectors, excluded)
+    return asks, content.rank_by_profile(profile, vectors, excluded).cache()
 
 
 @query("h7_onboarding", sql("""SELECT request_id, rank, movie_id, round(score, 5) AS score, false AS fallback FROM on_ranked

@@ -105,7 +105,7 @@ def _varied(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFram
 
 
 def _rankings(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    stats, movies = rankings.movie_stats(A.ratings(spark, d)), A.movies(spark, d)
+    stats, movies = rankings.movie_stats(A.ratings(spark, d)).cache(), A.movies(spark, d)
     return rankings.top_rated(stats, movies), rankings.by_genre(stats, movies)[0]
 
 
@@ -203,7 +203,8 @@ def fallback_levels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _parts(spark: SparkSession, d: str) -> DataFrame:
-    return splits.chronological(A.ratings(spark, d))
+    """The splits, kept for the several uses an evaluation makes of them."""
+    return splits.chronological(A.ratings(spark, d)).cache()
 
 
 @query("l1_evaluation_set", sql("SELECT (SELECT count(*) FROM ev_targets) AS targets, (SELECT count(*) FROM ev_seen) AS seen, (SELECT count(*) FROM (SELECT row_number() OVER (PARTITION BY user_id ORDER BY timestamp, movie_id) AS n FROM parts WHERE split = 'train' AND rating >= 4 AND user_id IN (SELECT user_id FROM ev_targets)) WHERE n <= 3) AS picks"))
