@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from .batches import mix, narrow, with_columns
 from .graph import connected_components
+from .lookup import BROADCAST_ROWS
 from .scratch import cut
 
 #: Each bit of a byte in a byte of its own, so that 255 of them can be added at a time.
@@ -257,6 +258,8 @@ def wide_links(prints: DataFrame, distance: int = WIDE_DISTANCE, word_distance:
     table = cut(prints.select("id", F.explode(F.array(*entries)).alias("e")).select("id", "e.key", "e.word"))
     probes = prints.select("id", F.explode(F.concat(*balls)).alias("e")).select("id", "e.key", "e.word")
     crowded = cut(table.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > bucket))
+    if crowded.count() <= BROADCAST_ROWS:  # else by shuffle
+        crowded = F.broadcast(crowded)
     own = table.join(crowded, "key", "left_anti").select("key", F.col("id").alias("b"), F.col("word").alias("v"))
     near = F.bit_count(F.col("word").bitwiseXOR(F.col("v"))) <= word_distance
     same = own.select("key", F.col("b").alias("a"), F.col("v").alias("word")).join(own, "key").filter((F.col("a") < F.col("b")) & near).select("a", "b")
@@ -266,7 +269,7 @@ def wide_links(prints: DataFrame, distance: int = WIDE_DISTANCE, word_distance:
     apart = sum((F.bit_count(F.get("x", F.lit(w)).bitwiseXOR(F.get("y", F.lit(w)))) for w in range(WORDS)), F.lit(0))
     cold = full.filter(apart <= distance).select("a", "b")
 
-    sides = table.select("key", "id", F.lit(0).alias("side")).unionByName(probes.select("key", "id", F.lit(1).alias("side"))).join(crowded, "key")
+    sides = cut(table.select("key", "id", F.lit(0).alias("side")).unionByName(probes.select("key", "id", F.lit(1).alias("side"))).join(crowded, "key"))
     hot = _in_blocks(sides, "id", block).join(prints, "id")
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
