@@ -92,3 +92,39 @@ def test_training_order(spark, tmp_path):
     again = training_order.materialise(df, folder, length=64, per_shard=10).orderBy("slot").collect()
     assert again == index
     assert training_order.materialise(df.limit(0), str(tmp_path / "none")).count() == 0
+
+
+@pytest.mark.parametrize(("vocabulary", "width"), [(50_000, 2), (65_534, 2), (65_535, 4)])
+def test_training_order_of_token_ids(spark, tmp_path, vocabulary, width):
+    r = random.Random(vocabulary)
+    lists = [[r.randrange(vocabulary) for _ in range(r.choice([0, 3, 40, 200]))] for _ in range(70)] + [[0, 254, 255, 256, vocabulary - 1], None]
+    df = spark.createDataFrame(list(enumerate(lists)), "doc_id long, ids array<int>").repartitionByRange(3, "doc_id")
+    folder = str(tmp_path / "ids")
+    index = training_order.materialise(df, folder, length=64, per_shard=10, ids="ids", vocabulary=vocabulary).orderBy("slot").collect()
+    end, fill = 256**width - 1, 256**width - 2
+    stream = [t for row in df.collect() for t in [*(row.ids or []), end]]
+    n = -(-len(stream) // 64)
+    full = np.array(stream + [fill] * (n * 64 - len(stream)), f"<u{width}")
+    slots = training_order.permute(np.arange(n), n, 20240101).tolist()
+    want = {slots[k]: full[k * 64 : (k + 1) * 64].tobytes() for k in range(n)}
+    assert list(training_order.read_slots(folder, 0, n, 64, 10, width)) == [want[k] for k in range(n)]
+    assert [i.tokens_sha256 for i in index] == [hashlib.sha256(want[k]).hexdigest() for k in range(n)]
+    assert sum(i.n_tokens for i in index) == len(stream) and all(i.byte_offset == i.slot % 10 * 64 * width for i in index)
+
+
+def test_training_order_refuses_ids_outside_the_vocabulary(spark, tmp_path):
+    for bad in ([3, 100], [-1], [1, None]):
+        df = spark.createDataFrame([(1, bad)], "doc_id long, ids array<int>")
+        with pytest.raises(Exception, match="ids"):
+            training_order.materialise(df, str(tmp_path / "bad"), ids="ids", vocabulary=100).collect()
+
+
+def test_training_order_query_writes_the_ids_of_bpe(spark, tmp_path):
+    import public_tokenizers
+    from tidemark.llm import bpe, queries
+
+    rows = [(i, "the river été stone " * (i % 5), "en", "s", 1) for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    index = queries.op4_training_order(spark, str(tmp_path)).collect()
+    codec = bpe.encode(spark.read.parquet(str(tmp_path / "documents.parquet")), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    assert sum(i.n_tokens for i in index) == sum(len(x.ids) + 1 for x in codec.collect())

@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import boilerplate, bpe, contamination, flac, language, licenses, quality, simhash, suffix_tree, training_order
+from .scratch import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -104,7 +105,9 @@ def op8_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return training_order.materialise(_table(spark, sf_dir, "documents"), length=1024, per_shard=4096)
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    rows = stored(bpe.encode(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), "ids", compression="zstd")  # read twice
+    return training_order.materialise(rows, length=1024, per_shard=4096, ids="ids", vocabulary=len(bpe.read_ranks(path)))
 
 
 @_query

@@ -36,8 +36,8 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read back with column pruning."""
+def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """``df`` as a Parquet table (``options`` of its writer) in the shared folder, read back with column pruning."""
     path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -3,12 +3,13 @@
 The token streams of all documents, each closed by an end mark, are laid end to end in
 the table's partition order and cut into sequences of a fixed length.  A keyed Feistel
 permutation with cycle-walking gives every sequence its global slot: a shuffle of the whole
-corpus that any task can compute for itself.  Pieces of sequences are range-partitioned by
-slot, and each task writes shards of a fixed stride: slot s is at byte
-``(s % per_shard) * length`` of shard ``s // per_shard``.  A reader resumes at any slot by
-a seek, and a rerun writes the same bytes under the same names.
+corpus that any task can compute for itself.  Pieces of sequences are dealt out by
+shard, and each task writes shards of a fixed stride: slot s is at token
+``(s % per_shard) * length`` of shard ``s // per_shard``.  A token takes one, two or four bytes
+(little-endian), the least that hold the vocabulary and two more ids.  A reader resumes at any
+slot by a seek, and a rerun writes the same bytes under the same names.
 
-Only per-partition byte counts go to the driver.
+Only per-partition token counts go to the driver.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -26,8 +28,30 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .batches import mix, texts
 from .scratch import new_folder
 
-#: Bytes that UTF-8 never uses: the end of a document, and filling after the last one.
-END, FILL = 255, 254
+
+def token_width(vocabulary: int | None) -> int:
+    """Bytes a token: 1 for the bytes of UTF-8 texts (no vocabulary), else 2 or, beyond 65,534 ids, 4."""
+    return 1 if vocabulary is None else 2 if vocabulary <= (1 << 16) - 2 else 4
+
+
+def marks(width: int) -> tuple[int, int]:
+    """The two highest ids, which no vocabulary (and no UTF-8 byte) uses: the end of a document, and filling after the last one."""
+    return (1 << 8 * width) - 1, (1 << 8 * width) - 2
+
+
+def _tokens(column: pa.Array, vocabulary: int | None) -> tuple[bytes, np.ndarray]:
+    """(tokens as stored, where each document starts in them and the end, in tokens); a null is an empty document."""
+    if vocabulary is None:
+        data, offsets = texts(column)
+        return data.tobytes(), offsets
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    values = column.flatten()
+    if values.null_count:
+        raise ValueError("a list of ids holds a null")
+    ids = values.to_numpy(zero_copy_only=False)
+    if len(ids) and not 0 <= ids.min() <= ids.max() < vocabulary:
+        raise ValueError(f"ids are from 0 to {vocabulary - 1}")
+    return ids.astype(f"<u{token_width(vocabulary)}").tobytes(), np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
 
 
 def permute(index: np.ndarray, n: int, key: int, rounds: int = 6) -> np.ndarray:
@@ -52,8 +76,10 @@ def permute(index: np.ndarray, n: int, key: int, rounds: int = 6) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _pieces(counted: DataFrame, starts: dict[int, int], n: int, length: int, key: int) -> DataFrame:
+def _pieces(counted: DataFrame, starts: dict[int, int], n: int, length: int, key: int, vocabulary: int | None) -> DataFrame:
     """(slot, at, first, doc_id, piece): what each document gives to each sequence."""
+    width = token_width(vocabulary)
+    end = marks(width)[0].to_bytes(width, "little")
     sent = counted.sparkSession.sparkContext.broadcast(starts)
     fields = T.StructType([T.StructField("slot", T.LongType()), T.StructField("at", T.IntegerType()), counted.schema["doc_id"], T.StructField("piece", T.BinaryType())])
 
@@ -64,18 +90,17 @@ def _pieces(counted: DataFrame, starts: dict[int, int], n: int, length: int, key
                 continue
             if place is None:
                 place = sent.value[b.column(2)[0].as_py()]
-            data, offsets = texts(b.column(1))
-            raw = data.tobytes()
+            raw, offsets = _tokens(b.column(1), vocabulary)
             rows, slots, ats, parts = [], [], [], []
             for row, (a, z) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
                 size = z - a + 1
                 first, last = place // length, (place + size - 1) // length
-                own = raw[a:z] + bytes([END])
+                own = raw[a * width : z * width] + end
                 cuts = [max(0, s * length - place) for s in range(first, last + 1)] + [size]
                 rows += [row] * (last - first + 1)
                 slots += range(first, last + 1)
                 ats += [place % length] + [0] * (last - first)
-                parts += [own[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+                parts += [own[x * width : y * width] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
                 place += size
                 if len(parts) > 20_000:
                     yield make(b, rows, slots, ats, parts)
@@ -90,27 +115,37 @@ def _pieces(counted: DataFrame, starts: dict[int, int], n: int, length: int, key
     return counted.mapInArrow(each, fields)
 
 
-def materialise(df: DataFrame, folder: str | None = None, length: int = 1024, per_shard: int = 4096, key: int = 20240101, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def materialise(df: DataFrame, folder: str | None = None, length: int = 1024, per_shard: int = 4096, key: int = 20240101, doc_id: str = "doc_id", text: str = "text", ids: str | None = None, vocabulary: int | None = None) -> DataFrame:
     """Writes the shards into ``folder`` (a new one in the shared folder) and returns their index.
 
-    The tokens are the UTF-8 bytes of the texts (ids 0 to 253), 255 ends a document, 254 fills
-    up the last sequence; a text with other token ids can be given as a binary column of one
-    byte an id.  Returned: (slot, shard, byte_offset, n_tokens, doc_ids, tokens_sha256), a row a
-    sequence, as written and read back.  Null texts are empty documents (an end mark alone);
+    The tokens are those of ``ids``, a column of lists of ints from 0 to ``vocabulary`` - 1, stored in
+    two bytes each (65535 ends a document, 65534 fills up the last sequence) or, if the
+    vocabulary has more than 65,534 ids, in four (2**32 - 1 and 2**32 - 2); an id outside the
+    vocabulary stops the job.  Without ``ids`` they are the UTF-8 bytes of ``text``, a byte each
+    (255 and 254).  Returned: (slot, shard, byte_offset, n_tokens, doc_ids, tokens_sha256), a row a
+    sequence, as written and read back.  Null texts and lists are empty documents (an end mark alone);
     null ids are left out of ``doc_ids``; repeated rows are documents of their own.  Empty table:
     no shard, no row.  ``df`` must give the same rows in the same partitions each time it is
     read, as a stored table does; if it does not, the job stops.
     """
     spark = df.sparkSession
     folder = folder or new_folder(spark, "shards")
-    rows = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("binary").alias("text")).withColumn("part", F.spark_partition_id())
-    sizes = {r["part"]: r["n"] for r in rows.groupBy("part").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("n")).collect()}
+    if (ids is None) != (vocabulary is None):
+        raise ValueError("ids and vocabulary are given together")
+    if vocabulary is not None and not 0 < vocabulary <= (1 << 32) - 2:
+        raise ValueError("a vocabulary has 1 to 2**32 - 2 ids")
+    width = token_width(vocabulary)
+    fill = marks(width)[1].to_bytes(width, "little")
+    tokens = F.col(f"`{text}`").cast("binary") if ids is None else F.col(f"`{ids}`")
+    size = F.octet_length("tokens") if ids is None else F.when(F.col("tokens").isNotNull(), F.size("tokens"))
+    rows = df.select(F.col(f"`{doc_id}`").alias("doc_id"), tokens.alias("tokens")).withColumn("part", F.spark_partition_id())
+    sizes = {r["part"]: r["n"] for r in rows.groupBy("part").agg(F.sum(F.coalesce(size, F.lit(0)).cast("long") + 1).alias("n")).collect()}
     starts, total = {}, 0
     for part in sorted(sizes):
         starts[part] = total
         total += sizes[part]
     n = -(-total // length)
-    pieces = _pieces(rows, starts, n, length, key)
+    pieces = _pieces(rows, starts, n, length, key, vocabulary)
     shards = -(-n // per_shard)
     fields = T.StructType([T.StructField("slot", T.LongType()), T.StructField("shard", T.LongType()), T.StructField("byte_offset", T.LongType()), T.StructField("n_tokens", T.IntegerType()), T.StructField("doc_ids", T.ArrayType(df.schema[doc_id].dataType)), T.StructField("tokens_sha256", T.StringType())])
 
@@ -125,18 +160,19 @@ def materialise(df: DataFrame, folder: str | None = None, length: int = 1024, pe
                         yield finish(shard, buffer, owners, filled)
                     shard, owners = slot // per_shard, {}
                     count = min(per_shard, n - shard * per_shard)
-                    buffer, filled = bytearray([FILL]) * (count * length), np.zeros(count, np.int64)
+                    buffer, filled = bytearray(fill) * (count * length), np.zeros(count, np.int64)
                 k = slot % per_shard
                 part = parts[i].as_buffer()
-                buffer[k * length + ats[i] : k * length + ats[i] + part.size] = part
-                filled[k] += part.size
+                at = (k * length + ats[i]) * width
+                buffer[at : at + part.size] = part
+                filled[k] += part.size // width
                 owners.setdefault(k, []).append((ats[i], ids[i]))
         if shard is not None:
             yield finish(shard, buffer, owners, filled)
 
     def finish(shard: int, buffer: bytearray, owners: dict, filled: np.ndarray) -> pa.RecordBatch:
         short = int((filled != length).sum())
-        if short > 1 or int(filled.sum()) not in (len(buffer), total - (n - len(filled)) * length):
+        if short > 1 or int(filled.sum()) not in (len(buffer) // width, total - (n - len(filled)) * length):
             raise RuntimeError(f"shard {shard}: {short} sequences are not whole; the input changed between two reads")
         where, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
         where.create_dir(base, recursive=True)
@@ -152,10 +188,10 @@ def materialise(df: DataFrame, folder: str | None = None, length: int = 1024, pe
             [
                 pa.array(np.arange(count) + shard * per_shard),
                 pa.array(np.full(count, shard)),
-                pa.array(np.arange(count) * length),
+                pa.array(np.arange(count) * length * width),
                 pa.array(filled.astype(np.int32)),
                 pa.array(lists, pa.list_(kind)),
-                pa.array([hashlib.sha256(stored[k * length : (k + 1) * length]).hexdigest() for k in range(count)], pa.string()),
+                pa.array([hashlib.sha256(stored[k * length * width : (k + 1) * length * width]).hexdigest() for k in range(count)], pa.string()),
             ],
             names=fields.names,
         )
@@ -163,20 +199,20 @@ def materialise(df: DataFrame, folder: str | None = None, length: int = 1024, pe
     kind = to_arrow_type(df.schema[doc_id].dataType)
     if not n:
         return spark.createDataFrame([], fields)
-    # As many ranges of slots as shards; a range holds whole shards, since it is drawn over their numbers.
-    dealt = pieces.withColumn("shard", F.floor(F.col("slot") / per_shard)).repartitionByRange(int(shards), "shard").sortWithinPartitions("shard", "slot", "at").drop("shard")
+    # A task a shard, dealt by its number: ranges would be drawn from a sample, for which the input is read once more.
+    dealt = pieces.withColumn("shard", F.floor(F.col("slot") / per_shard).cast("int")).repartitionById(int(shards), F.col("shard")).sortWithinPartitions("shard", "slot", "at").drop("shard")
     return dealt.mapInArrow(write, fields)
 
 
-def read_slots(folder: str, first: int, count: int, length: int = 1024, per_shard: int = 4096) -> Iterator[bytes]:
-    """The sequences of slots ``first`` to ``first + count``, read by seeks in their shards."""
+def read_slots(folder: str, first: int, count: int, length: int = 1024, per_shard: int = 4096, width: int = 1) -> Iterator[bytes]:
+    """The sequences of slots ``first`` to ``first + count``, read by seeks in their shards; ``width``: bytes a token."""
     where, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
     slot = first
     while slot < first + count:
         shard, k = divmod(slot, per_shard)
         many = min(per_shard - k, first + count - slot)
         with where.open_input_file(f"{base}/shard-{shard:08d}.bin") as f:
-            f.seek(k * length)
-            data = f.read(many * length)
-        yield from (data[i : i + length] for i in range(0, len(data), length))
+            f.seek(k * length * width)
+            data = f.read(many * length * width)
+        yield from (data[i : i + length * width] for i in range(0, len(data), length * width))
         slot += many
