@@ -135,8 +135,11 @@ def test_boilerplate(spark):
 # BPE
 
 
-def test_bpe_equals_tiktoken(spark, docs):
-    df, rows = docs
+def flat(values):
+    return texts(pa.array(values, pa.string()))
+
+
+def test_bpe_equals_tiktoken():
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     tokens = bpe.read_ranks(path)
     ours = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={})
@@ -144,9 +147,29 @@ def test_bpe_equals_tiktoken(spark, docs):
     assert sorted(codec.table.slots) == list(range(len(tokens)))
     assert all(codec.table.get(tokens[i]) == i for i in range(0, len(tokens), 97)) and codec.table.get(b"no such token at all") is None
     r = random.Random(1)
-    for _ in range(3000):
-        text = "".join(r.choice("aé \n\tsT1²½中😀!'l<|endoftext|>\x00\x1c\x85") for _ in range(r.randint(0, 25)))
-        assert codec.encode(text) == ours.encode_ordinary(text) and codec.decode(codec.encode(text)) == text.encode()
+    parts = [*"aé \n\tsT1²½中😀!'lmrved\u3000\xa0\x00\x1c\x85", "<|endoftext|>", "'re", "'ll", "'s", "  ", "'"]
+    cases = ["", "'", "'s", "a's", "'ll", "'r", "x'", "  ", " 's", "\n's", "''s", "'really", *("".join(r.choice(parts) for _ in range(r.randint(0, 25))) for _ in range(6000))]
+    for c in (codec, bpe.Codec(tokens, codec.table, public_tokenizers.PATTERN + "|(?!)")):  # cut in numpy, and by the pattern
+        ids, ends = c.encode(*flat(cases))
+        raw, at = c.decode(ids, ends)
+        for k, text in enumerate(cases):
+            assert ids[ends[k] : ends[k + 1]].tolist() == ours.encode_ordinary(text) and raw[at[k] : at[k + 1]] == text.encode()
+
+
+def test_bpe_memo_generations(monkeypatch):
+    tokens = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    codec = bpe.Codec(tokens, bpe.PerfectHash(tokens), public_tokenizers.PATTERN)
+    text = " ".join(f"w{i}q" for i in range(300))
+    want = codec.encode(*flat([text]))[0].tolist()
+    monkeypatch.setattr(bpe, "MEMO", 50)
+    small = bpe.Codec(tokens, codec.table, public_tokenizers.PATTERN)
+    assert all(small.encode(*flat([text]))[0].tolist() == want for _ in range(3)) and len(small.young) <= 50 and len(small.old) <= 50
+
+
+def test_bpe_round_trip(spark, docs):
+    df, rows = docs
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ours = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks={t: i for i, t in enumerate(bpe.read_ranks(path))}, special_tokens={})
     got = bpe.round_trip(clashing(df), path, public_tokenizers.PATTERN).collect()
     expected = collections.Counter()
     for row in rows:

@@ -1,8 +1,10 @@
 """Byte-level BPE with the ranks of a public vocabulary file; encoding and decoding.
 
 Two tiers: a minimal perfect hash finds a pre-token that is itself in the vocabulary;
-others are merged with a heap over a linked list of their bytes.  Each worker remembers
-the pre-tokens it met last (a bounded memo in front of both tiers).
+others are merged with a heap over a linked list of their bytes.  Before both, the
+pre-tokens of a chunk of texts are cut and told apart in numpy, so that each distinct
+one is looked up once a chunk, and a worker remembers those it met last: two
+generations of a bounded memo, of which the older is given up when the younger is full.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,13 +20,64 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, types as T
 
-from .batches import map_arrow, narrow
+from .batches import chunks, map_arrow, narrow, texts, word_hashes
 
-#: Pre-tokens a worker remembers before it starts anew.
-MEMO = 400_000
+#: Pre-tokens of a generation of a worker's memo.
+MEMO = 500_000
 PRIME = (1 << 61) - 1
 
-
+# Fixed value: the pattern of pre-tokens that is cut in numpy (any other is left to ``regex``).
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_LETTER, _NUMBER, _SPACE, _OTHER = range(4)
+_kinds: list[np.ndarray] = []
+
+
+def _kind() -> np.ndarray:
+    """The class of each code point."""
+    if not _kinds:
+        every = "".join(chr(c) if not 0xD800 <= c < 0xE000 else "\0" for c in range(0x110000))
+        table = np.full(0x110000, _OTHER, np.uint8)
+        for kind, pattern in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_SPACE, r"\s+")):
+            for m in regex.finditer(pattern, every):
+                table[m.start() : m.end()] = kind
+        _kinds.append(table)
+    return _kinds[0]
+
+
+def cut(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where the pre-tokens of PATTERN start in the UTF-8 bytes of texts (each at ``offsets``), and the end."""
+    if not len(data):
+        return np.zeros(1, np.int64)
+    points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+    heads = np.flatnonzero((data & 0xC0) != 0x80)  # the byte at which each character starts
+    n = len(points)
+    kind = _kind()[points]
+    edge = np.zeros(n + 1, bool)  # a text starts here
+    edge[np.searchsorted(heads, offsets[:-1])] = True
+    edge[n] = True
+    start = edge[:n].copy()
+    start[1:] |= kind[1:] != kind[:-1]
+    space = kind == _SPACE
+    # The last of some white space goes its own way if more of the text follows; a blank joins what follows.
+    last = np.flatnonzero(space & np.append(start[1:], True) & ~edge[1:])
+    start[last] = True
+    blank = last[points[last] == 32]
+    start[blank + 1] = False
+    # 's, 't, ...: an apostrophe alone that starts a pre-token, with the first letters after it.
+    for i in np.flatnonzero((points[:-1] == 39) & start[:-1] & (kind[1:] == _LETTER) & ~edge[1:n]).tolist():
+        two = points[i + 1 : i + 3].tolist()
+        k = 1 if chr(two[0]) in "stmd" else 2 if not edge[i + 2] and len(two) == 2 and chr(two[0]) + chr(two[1]) in ("re", "ve", "ll") else 0
+        if k:
+            start[i + 1] = False
+            if i + 1 + k < n and kind[i + 1 + k] == _LETTER and not edge[i + 1 + k]:
+                start[i + 1 + k] = True
+    return np.append(heads[start], len(data))
+
+
+def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places ``starts[i]`` to ``starts[i] + sizes[i]``, one range after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
 def read_ranks(path: str) -> list[bytes]:
     """The tokens of a ``.tiktoken`` file in the order of their ranks, which must be 0, 1, 2, ..."""
     with open(path, "rb") as lines:
@@ -77,75 +131,136 @@ class PerfectHash:
         return self.slots[slot] if self.keys[slot] == key else None
 
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+def pair_table(tokens: list[bytes]) -> dict[int, int]:
+    """{left id << 32 | right id: id of the token that both make}, for each way to halve a token into two."""
+    ranks = {token: i for i, token in enumerate(tokens)}
+    get, pairs = ranks.get, {}
+    for i, token in enumerate(tokens):
+        for k in range(1, len(token)):
+            left, right = get(token[:k]), get(token[k:])
+            if left is not None and right is not None:
+                pairs[left << 32 | right] = i
+    return pairs
+
+
+def merge(piece: bytes, byte_ids: list[int], pairs: dict[int, int]) -> list[int]:
     """The ids of one pre-token: again and again the adjacent pair of least rank, the leftmost first, is joined."""
-    n, get = len(piece), ranks.get
+    n, get = len(piece), pairs.get
+    ids = [byte_ids[b] for b in piece]  # of the part that starts here
     after = list(range(1, n + 1))  # where the part that starts here ends
     before = list(range(-1, n))
-    pair = [-1] * n  # the rank of the pair whose left part starts here; -1: none
     width = n.bit_length()
     mask = (1 << width) - 1
-    heap = []
-    for i in range(n - 1):
-        r = get(piece[i : i + 2])
-        if r is not None:
-            pair[i] = r
-            heap.append(r << width | i)
+    # The rank of the pair whose left part starts here; -1: none.
+    pair = [get(a << 32 | b, -1) for a, b in zip(ids[:-1], ids[1:], strict=True)]
+    pair.append(-1)
+    heap = [r << width | i for i, r in enumerate(pair) if r >= 0]
     heapify(heap)
     while heap:
         top = heappop(heap)
         i = top & mask
-        if pair[i] != top >> width:
+        new = top >> width
+        if pair[i] != new:
             continue  # one of its parts has gone into another
         j = after[i]
         k = after[j]
         after[i] = k
-        pair[i] = pair[j] = -1
+        ids[i] = new
+        pair[j] = -1
         if k < n:
             before[k] = i
-            r = get(piece[i : after[k]])
-            if r is not None:
-                pair[i] = r
+            r = pair[i] = get(new << 32 | ids[k], -1)
+            if r >= 0:
                 heappush(heap, r << width | i)
+        else:
+            pair[i] = -1
         p = before[i]
         if p >= 0:
-            r = get(piece[p:k])
-            if r is None:
-                pair[p] = -1
-            else:
-                pair[p] = r
+            r = pair[p] = get(ids[p] << 32 | new, -1)
+            if r >= 0:
                 heappush(heap, r << width | p)
     out, i = [], 0
     while i < n:
-        out.append(ranks[piece[i : after[i]]])
+        out.append(ids[i])
         i = after[i]
     return out
 
 
-class Codec(dict):
-    """Encodes and decodes; as a dict it is the memo from pre-tokens to tuples of ids."""
+class Codec:
+    """Encodes and decodes chunks of texts."""
 
     def __init__(self, tokens: list[bytes], table: PerfectHash, pattern: str):
-        super().__init__()
-        self.tokens, self.table = tokens, table
-        self.ranks = {token: i for i, token in enumerate(tokens)}
-        self.split = regex.compile(pattern).findall
-
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        raw = piece.encode()
-        whole = self.table.get(raw)
-        ids = (whole,) if whole is not None else tuple(merge(raw, self.ranks))
-        if len(self) >= MEMO:
-            self.clear()
-        self[piece] = ids
-        return ids
-
-    def encode(self, text: str) -> list[int]:
-        return [i for piece in self.split(text) for i in self[piece]]
-
-    def decode(self, ids: list[int]) -> bytes:
-        tokens = self.tokens
-        return b"".join([tokens[i] for i in ids])
+        self.table = table
+        self.pairs = pair_table(tokens)
+        ranks = {token: i for i, token in enumerate(tokens) if len(token) == 1}
+        self.byte_ids = [ranks[bytes([b])] for b in range(256)]
+        self.young: dict[bytes, tuple[int, ...]] = {}
+        self.old: dict[bytes, tuple[int, ...]] = {}
+        self.split = None if pattern == PATTERN else regex.compile(pattern).findall
+        self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
+        self.sizes = np.array([len(t) for t in tokens], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        names = [b"%d," % i for i in range(len(tokens))]
+        self.names = np.frombuffer(b"".join(names), np.uint8)
+        self.name_sizes = np.array([len(t) for t in names], np.int64)
+        self.name_starts = np.cumsum(self.name_sizes) - self.name_sizes
+
+    def pieces(self, buffer: bytes, starts: list[int], ends: list[int]) -> list[tuple[int, ...]]:
+        """The ids of each pre-token."""
+        out = []
+        for a, z in zip(starts, ends, strict=True):
+            raw = buffer[a:z]
+            ids = self.young.get(raw)
+            if ids is None:
+                ids = self.old.get(raw)
+                if ids is None:
+                    whole = self.table.get(raw)
+                    ids = (whole,) if whole is not None else tuple(merge(raw, self.byte_ids, self.pairs))
+                if len(self.young) >= MEMO:
+                    self.old, self.young = self.young, {}
+                self.young[raw] = ids
+            out.append(ids)
+        return out
+
+    def _cut(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        if self.split is None:
+            return cut(data, offsets)
+        sizes = []
+        for a, z in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            own = [len(p.encode()) for p in self.split(data[a:z].tobytes().decode())]
+            if sum(own) != z - a:
+                raise ValueError("the pattern leaves out parts of a text")
+            sizes += own
+        return np.concatenate(([0], np.cumsum(np.array(sizes, np.int64))))
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, where each text's start and the end)."""
+        at = self._cut(data, offsets)
+        starts, sizes = at[:-1], np.diff(at)
+        if not len(starts):
+            return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
+        _, first, kind = np.unique(word_hashes(data, starts, at[1:]), return_index=True, return_inverse=True)
+        twin = first[kind]  # the first pre-token of the same hash: its bytes must be the same
+        if (sizes[twin] != sizes).any() or (data[ragged(starts[twin], sizes)] != data).any():
+            first = kind = np.arange(len(starts))
+        found = self.pieces(data.tobytes(), starts[first].tolist(), at[1:][first].tolist())
+        many = np.fromiter(map(len, found), np.int64, len(found))
+        table = np.fromiter(chain.from_iterable(found), np.int32, int(many.sum()))
+        ids = table[ragged((np.cumsum(many) - many)[kind], many[kind])]
+        before = np.concatenate(([0], np.cumsum(many[kind])))
+        return ids, before[np.searchsorted(at, offsets)]
+
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """(bytes of all texts, where each starts and the end) of ids laid end to end; an unknown id is an error."""
+        if len(ids) and not 0 <= ids.min() <= ids.max() < len(self.sizes):
+            raise ValueError(f"ids are from 0 to {len(self.sizes) - 1}")
+        sizes = self.sizes[ids]
+        return self.bytes[ragged(self.starts[ids], sizes)].tobytes(), np.concatenate(([0], np.cumsum(sizes)))[ends]
+
+    def decimals(self, ids: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """(decimal ids, a comma after each; where each text's start and the end)."""
+        sizes = self.name_sizes[ids]
+        return self.names[ragged(self.name_starts[ids], sizes)].tobytes(), np.concatenate(([0], np.cumsum(sizes)))[ends]
 
 
 _codecs: dict[tuple, Codec] = {}
@@ -166,18 +281,19 @@ def _shared(spark: SparkSession, path: str, pattern: str):  # noqa: ANN202
     return codec
 
 
-def encode(df: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, ids): the token ids of each text, as a list of ints.  Null and empty texts: an empty list."""
+def encode(df: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, columns of ``keep``, ids): the token ids of each text, as a list of ints.  Null and empty texts: an empty list."""
     codec = _shared(df.sparkSession, path, pattern)
-    rows = narrow(df, doc_id=doc_id, text=text)
+    rows = narrow(df, doc_id=doc_id, **{c: c for c in keep}, text=text)
+    fields = T.StructType([rows.schema[c] for c in rows.columns[:-1]] + [T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
-    def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-        c = codec()
-        ids = [np.array(c.encode(t or ""), np.int32) for t in b.column(1).to_pylist()]
-        ends = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-        return pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(ends, np.concatenate([*ids, np.zeros(0, np.int32)]))], names=["doc_id", "ids"])
+    def batch(b: pa.RecordBatch):  # noqa: ANN202
+        data, offsets = texts(b.column(b.num_columns - 1))
+        for i, j in chunks(offsets):
+            ids, ends = codec().encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            yield pa.RecordBatch.from_arrays([b.column(k).slice(i, j - i) for k in range(b.num_columns - 1)] + [pa.ListArray.from_arrays(ends.astype(np.int32), ids)], names=fields.names)
 
-    return map_arrow(rows, T.StructType([rows.schema["doc_id"], T.StructField("ids", T.ArrayType(T.IntegerType()))]), batch)
+    return map_arrow(rows, fields, batch)
 
 
 def decode(df: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -186,8 +302,9 @@ def decode(df: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", ids:
     rows = narrow(df, doc_id=doc_id, ids=ids)
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-        c = codec()
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array([c.decode(x or []) for x in b.column(1).to_pylist()], pa.binary())], names=["doc_id", "decoded"])
+        lists = [np.array(x or [], np.int64) for x in b.column(1).to_pylist()]
+        raw, at = codec().decode(np.concatenate([*lists, np.zeros(0, np.int64)]), np.concatenate(([0], np.cumsum([len(x) for x in lists], dtype=np.int64))))
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array([raw[a:z] for a, z in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["doc_id", "decoded"])
 
     return map_arrow(rows, T.StructType([rows.schema["doc_id"], T.StructField("decoded", T.BinaryType())]), batch)
 
@@ -202,15 +319,15 @@ def round_trip(df: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", t
     rows = narrow(df, doc_id=doc_id, text=text)
     fields = T.StructType([rows.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
-    def batch(b: pa.RecordBatch) -> pa.RecordBatch:
+    def batch(b: pa.RecordBatch):  # noqa: ANN202
         c = codec()
-        names = [str(i) for i in range(len(c.tokens))]
-        counts, of_ids, of_bytes = [], [], []
-        for value in b.column(1):
-            ids = c.encode(value.as_py() or "")
-            counts.append(len(ids))
-            of_ids.append(hashlib.sha256(",".join([names[i] for i in ids]).encode()).hexdigest())
-            of_bytes.append(hashlib.sha256(c.decode(ids)).hexdigest())
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())], names=fields.names)
+        data, offsets = texts(b.column(1))
+        for i, j in chunks(offsets):
+            ids, ends = c.encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            (names, a), (raw, d) = c.decimals(ids, ends), c.decode(ids, ends)
+            a, d = a.tolist(), d.tolist()
+            of_ids = [hashlib.sha256(names[x : max(x, y - 1)]).hexdigest() for x, y in zip(a[:-1], a[1:], strict=True)]
+            of_bytes = [hashlib.sha256(raw[x:y]).hexdigest() for x, y in zip(d[:-1], d[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(np.diff(ends)), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())], names=fields.names)
 
     return map_arrow(rows, fields, batch)
