@@ -112,6 +112,22 @@ def test_training_order_of_token_ids(spark, tmp_path, vocabulary, width):
     assert sum(i.n_tokens for i in index) == len(stream) and all(i.byte_offset == i.slot % 10 * 64 * width for i in index)
 
 
+def test_training_order_does_not_hang_on_splits(spark, tmp_path):
+    r = random.Random(9)
+    rows = [(i, "".join(r.choice("abc é") for _ in range(r.randint(0, 400)))) for i in range(900)] + [(5, "again"), (None, None)]
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(5).write.option("parquet.block.size", 4096).parquet(path)
+    made = []
+    for k, most in enumerate(("128m", "16k", "5k")):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+        try:
+            df = spark.read.parquet(path).select("doc_id", "text", F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("r"))
+            made.append((df.rdd.getNumPartitions(), training_order.materialise(df, str(tmp_path / f"s{k}"), length=64, per_shard=10, order=("f", "r"), per_task=k + 1).orderBy("slot").collect()))
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len({n for n, _ in made}) > 1 and made[0][1] == made[1][1] == made[2][1]
+
+
 def test_training_order_refuses_ids_outside_the_vocabulary(spark, tmp_path):
     for bad in ([3, 100], [-1], [1, None]):
         df = spark.createDataFrame([(1, bad)], "doc_id long, ids array<int>")

@@ -20,7 +20,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, types as T
 
-from .batches import chunks, map_arrow, narrow, texts, word_hashes
+from .batches import chunks, map_arrow, narrow, ragged, texts, word_hashes
 
 #: Pre-tokens of a generation of a worker's memo.
 MEMO = 500_000
@@ -74,10 +74,6 @@ def cut(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.append(heads[start], len(data))
 
 
-def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The places ``starts[i]`` to ``starts[i] + sizes[i]``, one range after the other."""
-    ends = np.cumsum(sizes)
-    return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
 def read_ranks(path: str) -> list[bytes]:
     """The tokens of a ``.tiktoken`` file in the order of their ranks, which must be 0, 1, 2, ..."""
     with open(path, "rb") as lines:
@@ -143,42 +139,42 @@ def pair_table(tokens: list[bytes]) -> dict[int, int]:
     return pairs
 
 
-def merge(piece: bytes, byte_ids: list[int], pairs: dict[int, int]) -> list[int]:
-    """The ids of one pre-token: again and again the adjacent pair of least rank, the leftmost first, is joined."""
+def merge(piece: bytes, byte_ids: list[int], twos: list[int], pairs: dict[int, int]) -> list[int]:
+    """The ids of one pre-token: again and again the adjacent pair of least rank, the leftmost first, is joined.
+
+    ``twos``: the rank of each pair of bytes (first * 256 + second), -1 if it has none.
+    """
     n, get = len(piece), pairs.get
     ids = [byte_ids[b] for b in piece]  # of the part that starts here
     after = list(range(1, n + 1))  # where the part that starts here ends
     before = list(range(-1, n))
-    width = n.bit_length()
-    mask = (1 << width) - 1
     # The rank of the pair whose left part starts here; -1: none.
-    pair = [get(a << 32 | b, -1) for a, b in zip(ids[:-1], ids[1:], strict=True)]
+    pair = [twos[a << 8 | b] for a, b in zip(piece, piece[1:])]  # noqa: B905
     pair.append(-1)
-    heap = [r << width | i for i, r in enumerate(pair) if r >= 0]
+    heap = [r << 32 | i for i, r in enumerate(pair) if r >= 0]
     heapify(heap)
     while heap:
         top = heappop(heap)
-        i = top & mask
-        new = top >> width
+        i = top & 0xFFFFFFFF
+        new = top >> 32
         if pair[i] != new:
             continue  # one of its parts has gone into another
         j = after[i]
-        k = after[j]
-        after[i] = k
+        k = after[i] = after[j]
         ids[i] = new
         pair[j] = -1
         if k < n:
             before[k] = i
             r = pair[i] = get(new << 32 | ids[k], -1)
             if r >= 0:
-                heappush(heap, r << width | i)
+                heappush(heap, r << 32 | i)
         else:
             pair[i] = -1
         p = before[i]
         if p >= 0:
             r = pair[p] = get(ids[p] << 32 | new, -1)
             if r >= 0:
-                heappush(heap, r << width | p)
+                heappush(heap, r << 32 | p)
     out, i = [], 0
     while i < n:
         out.append(ids[i])
@@ -194,6 +190,7 @@ class Codec:
         self.pairs = pair_table(tokens)
         ranks = {token: i for i, token in enumerate(tokens) if len(token) == 1}
         self.byte_ids = [ranks[bytes([b])] for b in range(256)]
+        self.twos = [self.pairs.get(a << 32 | b, -1) for a in self.byte_ids for b in self.byte_ids]
         self.young: dict[bytes, tuple[int, ...]] = {}
         self.old: dict[bytes, tuple[int, ...]] = {}
         self.split = None if pattern == PATTERN else regex.compile(pattern).findall
@@ -215,7 +212,7 @@ class Codec:
                 ids = self.old.get(raw)
                 if ids is None:
                     whole = self.table.get(raw)
-                    ids = (whole,) if whole is not None else tuple(merge(raw, self.byte_ids, self.pairs))
+                    ids = (whole,) if whole is not None else tuple(merge(raw, self.byte_ids, self.twos, self.pairs))
                 if len(self.young) >= MEMO:
                     self.old, self.young = self.young, {}
                 self.young[raw] = ids
