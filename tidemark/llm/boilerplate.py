@@ -1,7 +1,8 @@
 """Line dedup by site-relative frequency.
 
-For each site: in what share of its pages does a line stand?  Lines above a ratio (and in
-a least number of pages) are boilerplate of that site and are dropped from its pages.
+For each site: in what share of its pages does a line stand?  Lines above a ratio are
+boilerplate of that site and are dropped from its pages.  A floor of a few pages keeps out what
+two pages of a tiny site share by chance; it decides for sites of under ``least`` / ``ratio`` pages only.
 Only built-in functions; lines are counted once a page before they are shuffled, as
 128-bit digests, and counts are combined on the map side, so neither a large site nor
 a line on all its pages lands in one task.
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from .batches import free_name
 from .lookup import left_lookup
 from .scratch import cut
 
@@ -23,7 +25,7 @@ def _digest(line: F.Column) -> F.Column:
     return F.unhex(F.md5(F.trim(line).cast("binary")))
 
 
-def boilerplate_lines(pages: DataFrame, ratio: float = 0.005, least: int = 10, host: str = "source", text: str = "text") -> DataFrame:
+def boilerplate_lines(pages: DataFrame, ratio: float = 0.1, least: int = 3, host: str = "source", text: str = "text") -> DataFrame:
     """(host, digest, n, pages): lines on at least ``least`` pages and on more than ``ratio`` of the pages of their site.
 
     Lines are compared without spaces at their ends; blank lines are not counted.  Pages
@@ -36,7 +38,7 @@ def boilerplate_lines(pages: DataFrame, ratio: float = 0.005, least: int = 10, h
     return counted.join(totals, "host").filter(F.col("n") > F.lit(ratio) * F.col("pages"))
 
 
-def drop_boilerplate(df: DataFrame, ratio: float = 0.005, least: int = 10, host: str = "source", text: str = "text") -> DataFrame:
+def drop_boilerplate(df: DataFrame, ratio: float = 0.1, least: int = 3, host: str = "source", text: str = "text") -> DataFrame:
     """``df`` with ``text`` cleaned, ``n_lines`` and ``n_dropped``.
 
     Blank lines stay.  Rows without a site, and null texts, stay as they are (``n_lines`` of a
@@ -45,14 +47,16 @@ def drop_boilerplate(df: DataFrame, ratio: float = 0.005, least: int = 10, host:
     A site has at most (mean lines a page) / ``ratio`` boilerplate lines, so its list, which
     is joined to its pages, is bounded.
     """
-    bad = boilerplate_lines(df, ratio, least, host, text)
-    lists = cut(bad.groupBy("host").agg(F.collect_set("digest").alias("__bad__")).withColumnRenamed("host", "__host__"))
+    found = boilerplate_lines(df, ratio, least, host, text)
+    bad, site = free_name(df, "__bad__"), free_name(df, "__host__")
+    lists = cut(found.groupBy("host").agg(F.collect_set("digest").alias(bad)).withColumnRenamed("host", site))
     keep = [c for c in df.columns if c.lower() not in ("n_lines", "n_dropped")]
-    rows = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{host}`").alias("__host__"))
-    joined = left_lookup(rows, lists, "__host__", lists.count(), limit=2_000)
+    rows = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{host}`").alias(site))
+    digests = lists.agg(F.sum(F.size(bad) + 4)).first()[0] or 0  # of 16 bytes
+    joined = left_lookup(rows, lists, site, digests, limit=500_000)
     lines = _lines(F.col(f"`{text}`"))
-    good = F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains("__bad__", _digest(x)))
-    cleaned = F.when(F.col("__bad__").isNull(), F.col(f"`{text}`")).otherwise(F.array_join(good, "\n"))
+    good = F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(bad, _digest(x)))
+    cleaned = F.when(F.col(bad).isNull(), F.col(f"`{text}`")).otherwise(F.array_join(good, "\n"))
     n = F.when(F.col(f"`{text}`").isNull(), 0).otherwise(F.size(lines))
-    left = F.when(F.col(f"`{text}`").isNull(), 0).when(F.col("__bad__").isNull(), F.size(lines)).otherwise(F.size(good))
+    left = F.when(F.col(f"`{text}`").isNull(), 0).when(F.col(bad).isNull(), F.size(lines)).otherwise(F.size(good))
     return joined.select(*[cleaned.alias(c) if c == text else F.col(f"`{c}`") for c in keep], n.cast("long").alias("n_lines"), (n - left).cast("long").alias("n_dropped"))
