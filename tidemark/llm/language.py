@@ -20,9 +20,11 @@ import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .batches import chunks, lower_ascii, map_arrow, narrow, texts
+from .scratch import cut
 
 _LETTER = regex.compile(r"\p{L}")
-#: Most languages a model may have (its size is this x buckets).
+#: Most languages a model may have: the counts that go to the driver are this x buckets numbers. More (the column is then
+#: hardly one of languages) stop the job; none is left out.
 MOST_LANGUAGES = 512
 
 
@@ -105,13 +107,17 @@ class Model:
 
 
 def fit(rows: DataFrame, buckets: int = 1 << 14, bits: int = 15, smoothing: float = 0.5) -> Model:
-    """A model from all of ``rows`` (lang, text); rows without language or text are passed over."""
-    table = counts(rows.filter("lang is not null and text is not null"), buckets)
+    """A model from all of ``rows`` (lang, text); rows without language or text are passed over.
+
+    ``bits`` at least; more for many languages, so that codewords stay far apart.
+    """
+    table = cut(counts(rows.filter("lang is not null and text is not null"), buckets))  # read twice
     names = sorted(r["lang"] for r in table.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
     if not names:
         return Model([], np.zeros((0, bits)), np.zeros((buckets, bits), np.float32), np.ones(bits))
     if len(names) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    bits = max(bits, 5 * (len(names) - 1).bit_length())
     cells = table.toPandas()
     n = np.zeros((len(names), buckets))
     n[cells["lang"].map({x: i for i, x in enumerate(names)}), cells["bucket"]] = cells["n"]

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .batches import NOT_SPACE, byte_class, chunks, texts, with_columns, word_hashes, words
+from .batches import NOT_SPACE, byte_class, chunks, free_name, texts, with_columns, word_hashes, words
 from .lookup import left_lookup
 from .scratch import cut
 
@@ -150,6 +150,18 @@ def posteriors(scored: DataFrame) -> tuple[DataFrame, float]:
     return both.withColumn("host_k", F.lit(host_k)).withColumn("path_k", F.lit(path_k)), rate
 
 
+def with_site(df: DataFrame, url: str = "url", host: str = "host", path: str = "path", depth: int = 1) -> DataFrame:
+    """``df`` and the lower-cased host of each URL and the first ``depth`` folders of its path ("/" if there is none).
+
+    A null URL, or one without a host, has neither.  Columns of these names are replaced.
+    """
+    u = F.col(f"`{url}`")
+    name = F.lower(F.nullif(F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")))
+    folders = F.slice(F.filter(F.split(F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1), "/"), lambda x: x != ""), 1, depth)
+    keep = [F.col(f"`{c}`") for c in df.columns if c.lower() not in (host.lower(), path.lower())]
+    return df.select(*keep, name.alias(host), F.when(name.isNotNull(), F.concat(F.lit("/"), F.array_join(folders, "/"))).alias(path))
+
+
 def classify(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", path: str = "lang", label: str = "quality", threshold: float = 0.5, sample: int = 20_000) -> DataFrame:
     """``documents`` and ``doc_log_odds``, ``host_rate``, ``path_rate``, ``quality_p`` and ``keep``.
 
@@ -166,9 +178,10 @@ def classify(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
     p = 1 / (1 + F.exp(-F.col("doc_log_odds")))
     key = lambda h, q: F.sha2(F.to_json(F.struct(h.cast("string").alias("h"), q.cast("string").alias("p"))), 256)
     groups, rate = posteriors(scored.select(F.col(f"`{host}`").alias("host"), F.col(f"`{path}`").alias("path"), p.alias("p")))
-    groups = cut(groups.select(key(F.col("host"), F.col("path")).alias("__key__"), *[F.col(c).alias(f"__{c}__") for c in ("path_n", "path_s", "host_n", "host_s", "host_k", "path_k")]))
-    joined = left_lookup(scored.withColumn("__key__", key(F.col(f"`{host}`"), F.col(f"`{path}`"))), groups, "__key__", groups.count())
-    g = {c: F.col(f"__{c}__") for c in ("path_n", "path_s", "host_n", "host_s", "host_k", "path_k")}
+    names = {c: free_name(documents, f"__{c}__") for c in ("key", "path_n", "path_s", "host_n", "host_s", "host_k", "path_k")}
+    groups = cut(groups.select(key(F.col("host"), F.col("path")).alias(names["key"]), *[F.col(c).alias(n) for c, n in names.items() if c != "key"]))
+    joined = left_lookup(scored.withColumn(names["key"], key(F.col(f"`{host}`"), F.col(f"`{path}`"))), groups, names["key"], groups.count())
+    g = {c: F.col(n) for c, n in names.items()}
     host_rate = (g["host_s"] - p + g["host_k"] * rate) / (g["host_n"] - 1 + g["host_k"])
     path_rate = (g["path_s"] - p + g["path_k"] * F.col("host_rate")) / (g["path_n"] - 1 + g["path_k"])
     clip = lambda x: F.least(F.greatest(x, F.lit(1e-3)), F.lit(1 - 1e-3))
