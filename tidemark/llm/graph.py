@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from .lookup import skew_join
 from .scratch import cut
 
 
 def _hub(edges: DataFrame) -> DataFrame:
     """edges (u, v) with the least v of each u."""
-    return edges.join(edges.groupBy("u").agg(F.min("v").alias("m")), "u")
+    return skew_join(edges, edges.groupBy("u").agg(F.min("v").alias("m")), "u")
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -31,7 +32,7 @@ def _small(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of an edge; root is the least node of its component.
 
-    ``edges`` has two columns of one orderable type; direction, repeats and loops don't
+    ``edges`` has two columns of longs; direction, repeats and loops don't
     matter, rows with a null end are left out.  No edges: an empty table.
     """
     a, b = edges.columns

@@ -65,7 +65,7 @@ FROM d LEFT JOIN c USING (r) LEFT JOIN t USING (r)
 
 @_query
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = boilerplate.drop_boilerplate(_table(spark, sf_dir, "documents"), ratio=0.005, least=10)
+    rows = boilerplate.drop_boilerplate(_table(spark, sf_dir, "documents"), ratio=0.1, least=3)
     return rows.select("doc_id", "source", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
 
 
@@ -73,7 +73,7 @@ SQL["op5_line_dedup"] = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, text, string_split(text, chr(10)) AS l FROM documents),
 t AS (SELECT source, count(*) AS pages FROM d WHERE source IS NOT NULL GROUP BY source),
 m AS (SELECT DISTINCT r, source, trim(x, ' ') AS line FROM (SELECT r, source, unnest(l) AS x FROM d WHERE source IS NOT NULL)),
-b AS (SELECT m.source, line FROM m JOIN t USING (source) WHERE line <> '' GROUP BY m.source, line, pages HAVING count(*) >= 10 AND count(*) > 0.005 * pages),
+b AS (SELECT m.source, line FROM m JOIN t USING (source) WHERE line <> '' GROUP BY m.source, line, pages HAVING count(*) >= 3 AND count(*) > 0.1 * pages),
 g AS (SELECT source, list(line) AS bad FROM b GROUP BY source),
 c AS (SELECT doc_id, d.source, text, l, CASE WHEN bad IS NULL THEN l ELSE list_filter(l, lambda x: trim(x, ' ') = '' OR NOT list_contains(bad, trim(x, ' '))) END AS k FROM d LEFT JOIN g USING (source))
 SELECT doc_id, source, CAST(coalesce(len(l), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(l) - len(k), 0) AS BIGINT) AS n_dropped,
@@ -106,8 +106,10 @@ def op8_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    rows = stored(bpe.encode(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), "ids", compression="zstd")  # read twice
-    return training_order.materialise(rows, length=1024, per_shard=4096, ids="ids", vocabulary=len(bpe.read_ranks(path)))
+    # In the order of the given files, whatever the splits; the ids are kept, since they are read twice.
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    rows = stored(bpe.encode(docs, path, public_tokenizers.PATTERN, keep=("file", "row")), "ids", compression="zstd", **{"parquet.compression.codec.zstd.level": "9"})
+    return training_order.materialise(rows, length=1024, per_shard=4096, ids="ids", vocabulary=len(bpe.read_ranks(path)), order=("file", "row"))
 
 
 @_query

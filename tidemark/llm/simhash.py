@@ -8,26 +8,33 @@ segment, and looks up the small Hamming ball around each of its segment values.
 values one bit apart one has the 0 there, so only zero bits are flipped.  What a lookup
 fetches is compared in full.
 
-Skew: equal fingerprints are merged first.  Table buckets over ``bucket`` fingerprints
-(families of near copies) are compared in blocks inside tasks, and only a spanning
-forest of each pair of blocks leaves the task: no link is lost, no list of all pairs is made.
+Skew: equal fingerprints are merged first.  In table buckets over ``bucket`` fingerprints
+(families of near copies) each is held against the bucket's leader, and only what is not near
+it is compared with the others (``blocks``): no link is lost, no list of all pairs is made.
+
+``near_groups`` and ``one_of_each`` work at a similarity of 0.8 of five-word shingles; see there.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .batches import mix, narrow, with_columns
+from .batches import NOT_SPACE, chunks, free_name, lower_ascii, mix, narrow, runs, texts, with_columns, word_hashes, words
+from .blocks import pairs_of_blocks
 from .graph import connected_components
-from .lookup import BROADCAST_ROWS
+from .lookup import BROADCAST_ROWS, inner_lookup, skew_join
 from .scratch import cut
 
 #: Each bit of a byte in a byte of its own, so that 255 of them can be added at a time.
 _SPREAD = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")).copy().view(np.uint64).ravel()
+#: Rows of hashes whose bits are spread out at a time (a very long text has more).
+_ROWS = 255 * 32
 
 
 def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
@@ -45,16 +52,21 @@ def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
     return np.fromiter([digest(line[a:b], 42) for a, b in zip(starts[:n].tolist(), ends[shingle - 1 :].tolist(), strict=True)], np.uint64, n)
 
 
+def ones(hashes: np.ndarray) -> np.ndarray:
+    """How often each bit of each column is set: (columns x 64) of rows x columns."""
+    total = np.zeros((hashes.shape[1], 64), np.int64)
+    for i in range(0, len(hashes), _ROWS):
+        part = hashes[i : i + _ROWS]
+        rows = np.zeros((-(-len(part) // 255) * 255, hashes.shape[1]), np.uint64)
+        rows[: len(part)] = part
+        spread = _SPREAD[rows.view(np.uint8)].reshape(-1, 255, hashes.shape[1] * 8).sum(axis=1)
+        total += spread.view(np.uint8).reshape(-1, hashes.shape[1], 64).sum(axis=0, dtype=np.int64)
+    return total
+
+
 def majority(hashes: np.ndarray) -> np.uint64:
     """The bits that are set in over half the hashes; none: 0."""
-    n = len(hashes)
-    if not n:
-        return np.uint64(0)
-    rows = np.zeros(-(-n // 255) * 255, np.uint64)
-    rows[:n] = hashes
-    spread = _SPREAD[rows.view(np.uint8)].reshape(-1, 255, 8).sum(axis=1)
-    ones = spread.view(np.uint8).reshape(-1, 64).sum(axis=0, dtype=np.int64)
-    return np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0]
+    return np.packbits(ones(hashes[:, None]) * 2 > len(hashes), bitorder="little").view(np.uint64)[0]
 
 
 def fingerprint(text: bytes, shingle: int = 4) -> int:
@@ -109,9 +121,9 @@ def _near(distance: int) -> F.Column:
     return F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
 
 
-def _forest(prints: np.ndarray, other: np.ndarray | None, distance: int) -> list[tuple[int, int]]:
-    """Links that join what is joined within ``prints`` (and between it and ``other``), at most one for each fingerprint."""
-    both = prints if other is None else np.concatenate([prints, other])
+def _forest(prints: np.ndarray, other: np.ndarray, distance: int) -> list[tuple[int, int]]:
+    """Links that join what is joined between ``prints`` and ``other``, at most one for each fingerprint."""
+    both = np.concatenate([prints, other])
     parent = np.arange(len(both))
 
     def root(i: int) -> int:
@@ -122,33 +134,15 @@ def _forest(prints: np.ndarray, other: np.ndarray | None, distance: int) -> list
 
     out = []
     for i in range(len(prints)):
-        low = i + 1 if other is None else len(prints)
-        for j in (np.flatnonzero(np.bitwise_count(both[low:] ^ both[i]) <= distance) + low).tolist() if low < len(both) else ():
+        for j in (np.flatnonzero(np.bitwise_count(other ^ both[i]) <= distance) + len(prints)).tolist():
             x, y = root(i), root(j)
             if x != y:
                 parent[max(x, y)] = min(x, y)
-                out.append((int(both[i]), int(both[j])))
+                if both[i] != both[j]:
+                    out.append((int(both[i]), int(both[j])))
     return out
 
 
-def _in_blocks(sides: DataFrame, node: str, block: int) -> DataFrame:
-    """(key, ``node``, side, spot, i, j): rows of crowded buckets dealt to pairs of blocks.
-
-    ``sides``: (key, node, side, n): members (side 0, ``n`` of them) and those that look them up
-    (side 1).  Pairs (i, j) with i <= j are of members; j < 0 stands for block -1 - j of the others.
-    """
-    others = sides.groupBy("key").agg(F.sum("side").alias("others"))
-    rows = sides.join(others, "key").withColumn("nm", F.ceil(F.col("n") / block).cast("int")).withColumn("nq", F.greatest(F.lit(1), F.ceil(F.col("others") / block).cast("int")))
-    spot = F.pmod(F.xxhash64(node), F.when(F.col("side") == 0, F.col("nm")).otherwise(F.col("nq"))).cast("int")
-    rows = rows.withColumn("spot", spot)
-    none = F.array().cast("array<struct<i:int,j:int>>")
-    with_members = F.transform(F.sequence(F.lit(0), F.col("nm") - 1), lambda j: F.struct(F.least(j, F.col("spot")).alias("i"), F.greatest(j, F.col("spot")).alias("j")))
-    with_others = F.when(F.col("others") > 0, F.transform(F.sequence(F.lit(0), F.col("nq") - 1), lambda j: F.struct(F.col("spot").alias("i"), (-1 - j).alias("j")))).otherwise(none)
-    of_others = F.transform(F.sequence(F.lit(0), F.col("nm") - 1), lambda i: F.struct(i.alias("i"), (-1 - F.col("spot")).alias("j")))
-    pairs = F.when(F.col("side") == 0, F.concat(with_members, with_others)).otherwise(of_others)
-    return rows.select("key", node, "side", "spot", F.explode(pairs).alias("pair")).select("key", node, "side", "spot", "pair.i", "pair.j")
-
-
 def links(prints: DataFrame, distance: int = 4, parts: int | None = None, bucket: int = 32, block: int = 2048) -> DataFrame:
     """(a, b): links whose components are those of all pairs of ``prints`` within ``distance`` bits.
 
@@ -163,7 +157,8 @@ def links(prints: DataFrame, distance: int = 4, parts: int | None = None, bucket
     tag = [F.lit(k << 56) for k in range(parts)]
     table = prints.select("fp", F.explode(F.array(*[v + t for v, t in zip(value, tag, strict=True)])).alias("key"))
     balls = [_tagged(_ball(v, width, radius), t) for v, t, (_, width, radius) in zip(value, tag, segments, strict=True) if radius]
-    crowded = cut(table.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > bucket))
+    crowded = cut(table.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("leader")).filter(F.col("n") > bucket).drop("n"))
+    n_crowded = crowded.count()
     probes = prints.select("fp", F.explode(F.concat(*balls)).alias("key")) if balls else None
 
     cold = table.join(crowded, "key", "left_anti")
@@ -171,25 +166,23 @@ def links(prints: DataFrame, distance: int = 4, parts: int | None = None, bucket
     found = cold.select("key", F.col("fp").alias("a")).join(own, "key").filter((F.col("a") < F.col("b")) & _near(distance)).select("a", "b")
     if probes is not None:
         found = found.unionByName(probes.select("key", F.col("fp").alias("a")).join(own, "key").filter((F.col("a") != F.col("b")) & _near(distance)).select("a", "b"))
+    if not n_crowded:
+        return found
 
-    # Crowded buckets: members (side 0) against each other and against those that look them up (side 1).
-    sides = table.select("key", "fp", F.lit(0).alias("side"))
+    # Crowded buckets: members and those that look them up, first against the leader.
+    sides = table.withColumn("member", F.lit(True))
     if probes is not None:
-        sides = sides.unionByName(probes.select("key", "fp", F.lit(1).alias("side")))
-    hot = _in_blocks(sides.join(crowded, "key"), "fp", block)
+        sides = sides.unionByName(probes.withColumn("member", F.lit(False)).select(*sides.columns))
+    sides = cut(inner_lookup(sides, crowded, "key", n_crowded).withColumn("near", F.bit_count(F.col("fp").bitwiseXOR(F.col("leader"))) <= distance))
+    attached = sides.filter(F.col("near") & (F.col("fp") != F.col("leader"))).select(F.col("fp").alias("a"), F.col("leader").alias("b"))
+    dealt = pairs_of_blocks(sides.filter("member").select("key", "fp"), sides.filter("not near").select("key", "fp"), "key", "fp", block)
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        prints_, side, spot_ = rows["fp"].to_numpy().view(np.uint64), rows["side"].to_numpy(), rows["spot"].to_numpy()
-        i, j = int(rows["i"].iloc[0]), int(rows["j"].iloc[0])
-        if j < 0:
-            made = _forest(prints_[side == 0], prints_[side == 1], distance)
-        elif i == j:
-            made = _forest(prints_, None, distance)
-        else:
-            made = _forest(prints_[spot_ == i], prints_[spot_ == j], distance)
+        own, side = rows["fp"].to_numpy().view(np.uint64), rows["side"].to_numpy()
+        made = _forest(own[side == 0], own[side == 1], distance)
         return pd.DataFrame(np.array(made, np.uint64).reshape(-1, 2).view(np.int64), columns=["a", "b"])
 
-    return found.unionByName(hot.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long"))
+    return found.unionByName(attached).unionByName(dealt.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long"))
 
 
 def components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, distance: int = 4, **options: int) -> DataFrame:
@@ -205,92 +198,189 @@ def components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
     group = connected_components(links(least.select("fp"), distance, **options))
     named = least.join(group.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     known = cut(named.select("fp", F.col("root"), "least"))
-    ids = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_print = known.join(ids, "root").select("fp", "component_id")
-    return rows.join(of_print, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    of_print = _with_least(known, "component_id").select("fp", "component_id")
+    return skew_join(rows, of_print, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
 
+def _with_least(named: DataFrame, name: str) -> DataFrame:
+    """``named`` (root, least, ...) and the least ``least`` of each root; a root may hold most rows."""
+    return skew_join(named, named.groupBy("root").agg(F.min("least").alias(name)), "root")
 
-# Similarity 0.8: longer fingerprints.
+
+# Similarity 0.8.
 #
 # Two texts that share 0.8 of their five-word shingles differ in some 15 % of SimHash bits:
-# too many for one 64-bit word to find them by small balls in few segments, and too few bits to tell
-# them from texts that share less.  So WORDS independent words are taken, each cut into three segments
-# that are looked up within one bit.  A segment of 21 bits agrees that closely with a chance of
-# 0.155 at similarity 0.8 (0.22 at 0.85, 0.34 at 0.9), one of 18 segments with 0.95 (0.99, 0.999).
-# What is fetched must be near in that word, and is verified over all WORDS x 64 bits.
-
-WORDS = 6
-#: Of 384 bits: the share expected at similarity 0.8, and one standard deviation.
-WIDE_DISTANCE = 66
+# too many for small balls in few segments of one 64-bit word, and too few bits to tell them from texts
+# that share less.  So WORDS independent words are taken, each cut into three segments.  Which
+# bits differ is no accident: those whose votes are nearly even.  So the ball around a segment
+# value holds the values made by changing any of its FLIPS most even bits (2 ** FLIPS of them, with up to
+# FLIPS changes).  Measured on random texts at a similarity of just 0.8, a segment finds a
+# pair with a chance of 0.3 that way (0.16 for all values one bit off), one of 12 with 0.98.
+# Texts of at most SHORT shingles have too few votes; they are found by shared shingles too: of
+# two with a similarity of 0.8 or more both have one in their first n - ceil(0.8 n) + 1 by hash.
+#
+# What is fetched must be near in that word and over all WORDS x 64 bits.  Pairs that pass
+# make candidate groups; within these, the exact Jaccard similarity of the sets of shingles decides.
+
+WORDS = 4
+FLIPS = 4
+SHORT = 32
+#: Of 256 bits: the mean at similarity 0.8 (37) and three and a half standard deviations.
+WIDE_DISTANCE = 57
 #: Of the 64 bits of the word by which a pair was found.
-WORD_DISTANCE = 15
+WORD_DISTANCE = 17
+#: Rows of a candidate group that one task compares at most.
+GROUP = 1024
+_SHORT_TAG = WORDS * 3
+
+
+def shingle_sets(values: pa.Array, shingle: int) -> Iterator[np.ndarray]:
+    """The distinct hashes of each text's shingles, ascending; fewer words: the one of them all; none: none."""
+    data, offsets = texts(values)
+    for i, j in chunks(offsets):
+        x = lower_ascii(data[offsets[i] : offsets[j]])
+        starts, ends, first = words(x, offsets[i : j + 1] - offsets[i], NOT_SPACE)
+        h = word_hashes(x, starts, ends)
+        whole = runs(h, shingle)
+        for a, z in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+            yield np.unique(whole[a : z - shingle + 1]) if z - a >= shingle else runs(h[a:z], z - a) if z > a else h[:0]
+
+
+_keys = mix(np.arange(1, WORDS + 1, dtype=np.uint64))
+
+
+def _wide(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(number of shingles and WORDS fingerprints; FLIPS masks of each segment's most even bits) of each set."""
+    n = np.array([len(x) for x in sets], np.int64)
+    votes = np.stack([ones(mix(x[:, None] ^ _keys)) for x in sets]) if len(sets) else np.zeros((0, WORDS, 64), np.int64)
+    margin = 2 * votes - n[:, None, None]
+    prints = np.packbits(margin > 0, axis=2, bitorder="little").view(np.int64)[:, :, 0]
+    masks = np.empty((len(sets), WORDS, 3, FLIPS), np.int64)
+    for k, (low, width, _) in enumerate(_segments(2, 3)):
+        even = np.argsort(np.abs(margin[:, :, low : low + width]), axis=2, kind="stable")[:, :, :FLIPS]
+        masks[:, :, k] = 1 << even
+    return np.concatenate([n[:, None], prints], axis=1), masks.reshape(len(sets), -1)
+
+
+def _lists(rows: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1], np.ascontiguousarray(rows).ravel())
 
 
 def with_wide_fingerprint(df: DataFrame, text: str = "text", shingle: int = 5) -> DataFrame:
-    """``df`` and ``words``: WORDS fingerprints over shingle hashes that are mixed anew for each."""
-    keys = mix(np.arange(1, WORDS, dtype=np.uint64))
+    """``df`` and ``words`` (number of shingles, WORDS fingerprints), ``masks`` and ``keys`` (of short texts)."""
 
     def column(values: pa.Array) -> list[pa.Array]:
-        flat = []
-        for v in values.cast(pa.large_binary()):
-            h = shingle_hashes(v.as_buffer().to_pybytes() if v.is_valid else b"", shingle)
-            flat += [majority(h)] + [majority(mix(h ^ k)) for k in keys]
-        ends = np.arange(len(values) + 1, dtype=np.int32) * WORDS
-        return [pa.ListArray.from_arrays(ends, np.array(flat, np.uint64).view(np.int64))]
+        wide, masks, keys = [], [], []
+        sets: list[np.ndarray] = []
+
+        def flush() -> None:
+            a, b = _wide(sets)
+            wide.append(a)
+            masks.append(b)
+            sets.clear()
+
+        for own in shingle_sets(values, shingle):
+            n = len(own)
+            first = own[: n - -(-4 * n // 5) + 1] if n else np.zeros(1, np.uint64)
+            keys.append((first >> np.uint64(8)).astype(np.int64) | _SHORT_TAG << 56 if n <= SHORT else np.zeros(0, np.int64))
+            sets.append(own)
+            if len(sets) == 512:
+                flush()
+        flush()
+        ends = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
+        return [_lists(np.concatenate(wide)), _lists(np.concatenate(masks)), pa.ListArray.from_arrays(ends, np.concatenate([*keys, np.zeros(0, np.int64)]))]
+
+    longs = T.ArrayType(T.LongType())
+    return with_columns(df, text, T.StructType([T.StructField(c, longs) for c in ("words", "masks", "keys")]), column)
+
+
+def _wide_near(x: str, y: str, distance: int) -> F.Column:
+    apart = sum((F.bit_count(F.get(x, F.lit(w)).bitwiseXOR(F.get(y, F.lit(w)))) for w in range(1, WORDS + 1)), F.lit(0))
+    return (apart <= distance) | (F.greatest(F.get(x, F.lit(0)), F.get(y, F.lit(0))) <= SHORT)
 
-    return with_columns(df, text, T.StructType([T.StructField("words", T.ArrayType(T.LongType()))]), column)
+
+def _struct_of(word: F.Column):  # noqa: ANN202
+    return lambda key: F.struct(key.alias("key"), word.alias("word"))
+
+
+def _changed(value: F.Column, masks: list[F.Column]):  # noqa: ANN202
+    """A function from i to ``value`` with the masks of the set bits of i changed."""
+
+    def at(i: F.Column) -> F.Column:
+        out = value
+        for f, m in enumerate(masks):
+            out = out.bitwiseXOR(F.when(i.bitwiseAND(F.lit(1 << f)) != 0, m).otherwise(F.lit(0).cast("long")))
+        return out
+
+    return at
 
 
-def wide_links(prints: DataFrame, distance: int = WIDE_DISTANCE, word_distance: int = WORD_DISTANCE, bucket: int = 32, block: int = 1024) -> DataFrame:
-    """(a, b): links between rows of ``prints`` (id long, words) within ``distance`` bits in all.
+def wide_links(prints: DataFrame, distance: int = WIDE_DISTANCE, word_distance: int = WORD_DISTANCE, bucket: int = 32, block: int = GROUP) -> DataFrame:
+    """(a, b): candidate links between rows of ``prints`` (id long, words, masks, keys) within ``distance`` bits in all.
 
-    As in ``links``, crowded buckets are compared block by block inside tasks, and leave a spanning
-    forest of each pair of blocks.
+    Crowded buckets are treated as in ``links``.
     """
-    cuts = _segments(2, 3)
     entries, balls = [], []
+    nothing = F.lit(0).cast("long")
     for w in range(WORDS):
-        word = F.get("words", F.lit(w))
-        for k, (low, width, _) in enumerate(cuts):
-            value, tag = F.shiftrightunsigned(word, low).bitwiseAND(F.lit((1 << width) - 1)), F.lit((w * 3 + k) << 56)
-            entries.append(F.struct((value + tag).alias("key"), word.alias("word")))
-            balls.append(F.transform(_tagged(_ball(value, width, 1), tag), _with(word)))
-    table = cut(prints.select("id", F.explode(F.array(*entries)).alias("e")).select("id", "e.key", "e.word"))
+        word = F.get("words", F.lit(w + 1))
+        for k, (low, width, _) in enumerate(_segments(2, 3)):
+            t = w * 3 + k
+            value = F.shiftrightunsigned(word, low).bitwiseAND(F.lit((1 << width) - 1)) + F.lit(t << 56)
+            entries.append(F.struct(value.alias("key"), word.alias("word")))
+            masks = [F.get("masks", F.lit(t * FLIPS + f)) for f in range(FLIPS)]
+
+            balls.append(F.transform(F.transform(F.sequence(F.lit(1), F.lit((1 << FLIPS) - 1)), _changed(value, masks)), _struct_of(word)))
+    every = F.concat(F.array(*entries), F.transform("keys", _struct_of(nothing)))
+    table = cut(prints.select("id", F.explode(every).alias("e")).select("id", "e.key", "e.word"))
     probes = prints.select("id", F.explode(F.concat(*balls)).alias("e")).select("id", "e.key", "e.word")
-    crowded = cut(table.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > bucket))
-    if crowded.count() <= BROADCAST_ROWS:  # else by shuffle
-        crowded = F.broadcast(crowded)
-    own = table.join(crowded, "key", "left_anti").select("key", F.col("id").alias("b"), F.col("word").alias("v"))
+    crowded = cut(table.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("leader")).filter(F.col("n") > bucket).drop("n"))
+    n_crowded = crowded.count()
+    marked = F.broadcast(crowded) if n_crowded <= BROADCAST_ROWS else crowded
+    own = table.join(marked, "key", "left_anti").select("key", F.col("id").alias("b"), F.col("word").alias("v"))
     near = F.bit_count(F.col("word").bitwiseXOR(F.col("v"))) <= word_distance
     same = own.select("key", F.col("b").alias("a"), F.col("v").alias("word")).join(own, "key").filter((F.col("a") < F.col("b")) & near).select("a", "b")
     beside = probes.withColumnRenamed("id", "a").join(own, "key").filter((F.col("a") != F.col("b")) & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = same.unionByName(beside).distinct()
     full = pairs.join(prints.select(F.col("id").alias("a"), F.col("words").alias("x")), "a").join(prints.select(F.col("id").alias("b"), F.col("words").alias("y")), "b")
-    apart = sum((F.bit_count(F.get("x", F.lit(w)).bitwiseXOR(F.get("y", F.lit(w)))) for w in range(WORDS)), F.lit(0))
-    cold = full.filter(apart <= distance).select("a", "b")
+    cold = full.filter(_wide_near("x", "y", distance)).select("a", "b")
+    if not n_crowded:
+        return cold
 
-    sides = cut(table.select("key", "id", F.lit(0).alias("side")).unionByName(probes.select("key", "id", F.lit(1).alias("side"))).join(crowded, "key"))
-    hot = _in_blocks(sides, "id", block).join(prints, "id")
+    heads = crowded.join(prints.select(F.col("id").alias("leader"), F.col("words").alias("y")), "leader")
+    sides = table.select("key", "id", F.lit(True).alias("member")).unionByName(probes.select("key", "id", F.lit(False).alias("member")))
+    sides = inner_lookup(sides, heads, "key", n_crowded, limit=BROADCAST_ROWS // 4).join(prints.select("id", F.col("words").alias("x")), "id")
+    sides = cut(sides.select("key", "id", "member", "leader", F.col("x").alias("words"), _wide_near("x", "y", distance).alias("near")))
+    attached = sides.filter(F.col("near") & (F.col("id") != F.col("leader"))).select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
+    dealt = pairs_of_blocks(sides.filter("member").select("key", "id", "words"), sides.filter("not near").select("key", "id", "words"), "key", "id", block)
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["id", "side"])
-        ids, side, spot = rows["id"].to_numpy(), rows["side"].to_numpy(), rows["spot"].to_numpy()
-        words = np.stack(rows["words"]).astype(np.int64).view(np.uint64)
-        i, j = int(rows["i"].iloc[0]), int(rows["j"].iloc[0])
-        left = (side == 0) & (spot == i)
-        right = None if i == j else (side == 1) if j < 0 else (side == 0) & (spot == j)
-        made = _wide_forest(ids, words, np.flatnonzero(left), None if right is None else np.flatnonzero(right), distance)
+        rows = rows.sort_values(["side", "id"])
+        made = _group_forest(rows["id"].to_numpy(), np.stack(rows["words"]).astype(np.int64), None, int((rows["side"] == 0).sum()), distance, 0.0)
         return pd.DataFrame(made, columns=["a", "b"]).astype("int64")
 
-    return cold.unionByName(hot.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long"))
+    return cold.unionByName(attached).unionByName(dealt.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long"))
 
 
-def _with(word: F.Column):  # noqa: ANN202
-    return lambda key: F.struct(key.alias("key"), word.alias("word"))
+def similar(x: np.ndarray, y: np.ndarray, least: float) -> bool:
+    """Whether the Jaccard similarity of two ascending arrays of distinct values is ``least`` or more (of two empty ones it is 1)."""
+    small, large = (x, y) if len(x) <= len(y) else (y, x)
+    if len(small) < least * len(large):
+        return False
+    if not len(small):
+        return True
+    both = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+    return both >= least * (len(x) + len(y) - both) - 1e-9
+
 
+def _group_forest(ids: np.ndarray, prints: np.ndarray, sets: list[np.ndarray] | None, left: int, distance: int, least: float) -> list[tuple[int, int]]:
+    """Links between the first ``left`` rows and the others (0: among all rows), at most one for each row.
 
-def _wide_forest(ids: np.ndarray, words: np.ndarray, left: np.ndarray, right: np.ndarray | None, distance: int) -> list[tuple[int, int]]:
-    parent = np.arange(len(ids))
+    Rows are linked if their ``prints`` are near and, where ``sets`` are given, these are similar; the
+    nearest are looked at first, those that are connected already aren't.
+    """
+    n, sizes, words_ = len(ids), prints[:, 0], prints[:, 1:].view(np.uint64)
+    parent = np.arange(n)
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -299,30 +389,141 @@ def _wide_forest(ids: np.ndarray, words: np.ndarray, left: np.ndarray, right: np
         return i
 
     out = []
-    for place, i in enumerate(left.tolist()):
-        others = left[place + 1 :] if right is None else right
-        apart = np.bitwise_count(words[others] ^ words[i]).sum(axis=1)
-        for j in others[apart <= distance].tolist():
+    for i in range(left or n):
+        low = left or i + 1
+        apart = np.bitwise_count(words_[low:] ^ words_[i]).sum(axis=1, dtype=np.int64)
+        good = np.flatnonzero((apart <= distance) | (np.maximum(sizes[low:], sizes[i]) <= SHORT))
+        for j in (good[np.argsort(apart[good], kind="stable")] + low).tolist():
             x, y = root(i), root(j)
-            if x != y:
+            if x != y and (sets is None or similar(sets[i], sets[j], least)):
                 parent[max(x, y)] = min(x, y)
                 if ids[i] != ids[j]:
                     out.append((int(ids[i]), int(ids[j])))
     return out
 
 
-def near_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, distance: int = WIDE_DISTANCE, **options: int) -> DataFrame:
-    """(doc_id, component_id): groups of near copies at a similarity of about 0.8 of five-word shingles or more.
+_BODY = "id long, root long, size long, words array<long>, shingles binary"
+
+
+def _bodies(rows: DataFrame, shingle: int) -> DataFrame:
+    """(id, root, size, words, shingles) from (id, root, size, text): once a task for each id."""
+    fields = T._parse_datatype_string(_BODY)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for b in batches:
+            new = []
+            for i, x in enumerate(b.column(0).to_pylist()):
+                if x not in seen:
+                    seen.add(x)
+                    new.append(i)
+            for i in range(0, len(new), 256):
+                part = b.take(pa.array(new[i : i + 256]))
+                sets = list(shingle_sets(part.column(3), shingle))
+                short = [np.unique((x >> np.uint64(32)).astype(np.uint32)) for x in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), _lists(_wide(sets)[0]), pa.array([x.tobytes() for x in short], pa.binary())], names=fields.names)
+
+    return rows.select("id", "root", "size", "text").mapInArrow(each, fields)
+
+
+def _decoded(column: pa.Array | pd.Series) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint32) for x in (column.to_pylist() if isinstance(column, pa.Array) else column)]
+
+
+def verified_links(docs: DataFrame, groups: DataFrame, shingle: int, least: float, distance: int, group: int) -> DataFrame:
+    """(a, b): links of similarity ``least`` or more that connect what such links connect within each candidate group.
+
+    ``docs``: (id, doc_id, text); ``groups``: (id, doc_id, root, size), the doc_id being that of the one row read for an id.
+    """
+    n = groups.count()
+    # Two numbers an id: a broadcast of tens of MB at most; beyond, by shuffle.
+    chosen = inner_lookup(docs, groups.withColumnRenamed("doc_id", "one"), "id", n, limit=1_000_000).filter(F.col("doc_id").eqNullSafe(F.col("one")))
+    edge = T._parse_datatype_string("a long, b long")
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        current, out = None, []
+
+        def finish() -> None:
+            ids = np.array(list(held), np.int64)
+            prints = np.array([p for p, _ in held.values()], np.int64).reshape(len(ids), WORDS + 1)
+            out.extend(_group_forest(ids, prints, [s for _, s in held.values()], 0, distance, least))
+            held.clear()
+
+        for b in batches:
+            sets = _decoded(b.column(4))
+            for i, (x, g, words_) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True)):
+                if g != current:
+                    finish()
+                    current = g
+                held[x] = (np.array(words_, np.int64), sets[i])
+            made = np.array(out, np.int64).reshape(-1, 2)
+            out.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(made[:, 0].copy()), pa.array(made[:, 1].copy())], names=["a", "b"])
+        finish()
+        made = np.array(out, np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(made[:, 0].copy()), pa.array(made[:, 1].copy())], names=["a", "b"])
+
+    small = _bodies(chosen.filter(F.col("size") <= group), shingle).repartition("root").sortWithinPartitions("root", "id").mapInArrow(within, edge)
+    if not groups.filter(F.col("size") > group).limit(1).count():
+        return small
+
+    # Large groups: of some candidates the one that most are near to is the leader; what isn't near it is held against all.
+    body = cut(_bodies(chosen.filter(F.col("size") > group), shingle).select("id", "root", "words", "shingles"))
+    seeds = range(4)
+    leaders = body.groupBy("root").agg(*[F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), F.col("id"), F.col("shingles"))).alias(f"l{k}") for k in seeds])
+    leaders = cut(leaders.select("root", F.array(*[F.struct(f"l{k}.id", f"l{k}.shingles") for k in seeds]).alias("leaders")))
+    n_large = leaders.count()
+    beside = inner_lookup(body, leaders, "root", n_large, limit=1000)
+    held_type = T._parse_datatype_string("id long, root long, words array<long>, shingles binary, near array<int>, leader array<long>")
+
+    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, tuple[list[int], list[np.ndarray]]] = {}
+        for b in batches:
+            near, names = [], []
+            for i, (g, own) in enumerate(zip(b.column(1).to_pylist(), _decoded(b.column(3)), strict=True)):
+                if g not in known:
+                    if len(known) >= 64:
+                        known.clear()
+                    listed = b.column(4)[i].as_py()
+                    known[g] = [r["id"] for r in listed], _decoded(pd.Series([r["shingles"] for r in listed]))
+                near.append([int(similar(own, x, least)) for x in known[g][1]])
+                names.append(known[g][0])
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(near, pa.list_(pa.int32())), pa.array(names, pa.list_(pa.int64()))], names=held_type.names)
+
+    held = cut(beside.select("id", "root", "words", "shingles", "leaders").mapInArrow(hold, held_type))
+    best = held.groupBy("root").agg(*[F.sum(F.get("near", F.lit(k))).alias(f"n{k}") for k in seeds])
+    best = cut(best.select("root", F.greatest(*[F.struct(F.col(f"n{k}").alias("n"), F.lit(k).alias("k")) for k in seeds])["k"].alias("k")))
+    held = inner_lookup(held, best, "root", n_large).select("id", "root", "words", "shingles", F.get("near", "k").alias("near"), F.get("leader", "k").alias("leader"))
+    large = held.filter((F.col("near") == 1) & (F.col("id") != F.col("leader"))).select(F.col("id").alias("a"), F.col("leader").alias("b"))
+    columns = ["root", "id", "words", "shingles"]
+    dealt = pairs_of_blocks(held.select(*columns), held.filter("near = 0").select(*columns), "root", "id", group)
+
+    def across(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["side", "id"])
+        made = _group_forest(rows["id"].to_numpy(), np.stack(rows["words"]).astype(np.int64), _decoded(rows["shingles"]), int((rows["side"] == 0).sum()), distance, least)
+        return pd.DataFrame(made, columns=["a", "b"]).astype("int64")
+
+    return small.unionByName(large).unionByName(dealt.groupBy("root", "i", "j").applyInPandas(across, edge))
+
+
+def near_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8, distance: int = WIDE_DISTANCE, group: int = GROUP, **options: int) -> DataFrame:
+    """(doc_id, component_id): groups of texts linked by a Jaccard similarity of ``least`` (0.8 or more) of their sets of five-word shingles.
 
-    Null and wordless texts form one group; repeated rows stay repeated; null ids get the group's least known id.
+    Words are lower-cased (A-Z) and cut at ASCII white space; a text of fewer words has the one
+    shingle of them all.  Null and wordless texts form one group; repeated rows stay repeated; null ids
+    get the group's least known id.
     """
-    rows = with_wide_fingerprint(narrow(df, doc_id=doc_id, text=text), "text", shingle).select("doc_id", "words", F.xxhash64("words").alias("id"))
-    rows = cut(rows)
-    prints = cut(rows.groupBy("id").agg(F.min("doc_id").alias("least"), F.min("words").alias("words")))
-    group = connected_components(wide_links(prints.select("id", "words"), distance, **options))
-    named = cut(prints.select("id", "least").join(group.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id")))
-    of_print = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("id", "component_id")
-    return rows.select("doc_id", "id").join(of_print, "id").select("doc_id", "component_id")
+    base = narrow(df, doc_id=doc_id, text=text).withColumn("id", F.xxhash64(F.coalesce("text", F.lit(""))))
+    rows = cut(with_wide_fingerprint(base, "text", shingle).select("doc_id", "id", "words", "masks", "keys"))
+    prints = cut(rows.groupBy("id").agg(F.min("doc_id").alias("least"), *[F.min(c).alias(c) for c in ("words", "masks", "keys")]))
+    linked = connected_components(wide_links(prints.drop("least"), distance, **options)).select(F.col("node").alias("id"), "root")
+    groups = skew_join(linked, linked.groupBy("root").agg(F.count("*").alias("size")), "root").join(prints.select("id", F.col("least").alias("doc_id")), "id")
+    edges = verified_links(base, cut(groups.select("id", "doc_id", "root", "size")), shingle, least, distance, group)
+    same = connected_components(edges)
+    named = cut(prints.select("id", "least").join(same.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id")))
+    of_print = _with_least(named, "component_id").select("id", "component_id")
+    return skew_join(rows.select("doc_id", "id"), of_print, "id").select("doc_id", "component_id")
 
 
 def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **options: int) -> DataFrame:
@@ -331,5 +532,8 @@ def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **opt
     Rows without an id stay, and so do rows of equal id.  Columns and their order stay as they are.
     """
     groups = near_groups(df, doc_id, text, **options)
-    gone = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone__")).distinct()
-    return df.join(gone, df[doc_id] == gone["__gone__"], "left_anti")
+    name = free_name(df, "__gone__")
+    gone = cut(groups.filter("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct())
+    if gone.count() <= 1_000_000:  # of one id each; beyond, by shuffle
+        gone = F.broadcast(gone)
+    return df.join(gone, df[doc_id] == gone[name], "left_anti")
