@@ -61,9 +61,10 @@ def fit_vocabulary(counts: DataFrame, n_docs: DataFrame, least: int = 2, most: f
 
 def transform(counts: DataFrame, vocabulary: DataFrame, key: str) -> DataFrame:
     """(key, term, weight): (1 + ln tf) idf, unit length; terms outside the vocabulary are left out."""
-    raw = counts.join(vocabulary, "term").withColumn("x", (1 + F.log("tf")) * F.col("idf"))
-    length = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("length"))
-    return raw.join(length, key).select(key, "term", (F.col("x") / F.col("length")).alias("weight"))
+    raw = counts.join(F.broadcast(vocabulary), "term").withColumn("x", (1 + F.log("tf")) * F.col("idf"))  # the vocabulary's size is bounded
+    # A document's terms come together once, with their length.
+    whole = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("length"), F.collect_list(F.struct("term", "x")).alias("v"))
+    return whole.select(key, "length", F.explode("v").alias("v")).select(key, "v.term", (F.col("v.x") / F.col("length")).alias("weight"))
 
 
 def _unit(rows: DataFrame, key: str) -> DataFrame:

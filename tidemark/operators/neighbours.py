@@ -60,16 +60,74 @@ def top_products(left: DataFrame, right: DataFrame, key: str, values: str, top:
     return found.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= top).select("id", "other", "score")
 
 
-def sparse_pool(vectors: DataFrame, eligible: DataFrame, pool: int = 200) -> DataFrame:
-    """(movie_id, other, cosine): the ``pool`` nearest eligible items of each item by an inverted index over unit vectors.
+def _sparse_product(hx: list[np.ndarray], wx: list[np.ndarray], hy: list[np.ndarray], wy: list[np.ndarray]) -> np.ndarray:
+    """Dot products of sparse rows (term hashes and weights).
 
-    Terms shared by two items are met at the term, and their products added up; fit for vectors
-    whose frequent terms were cut (df <= 0.98 n keeps common ones: use ``top_products`` on dense vectors then).
+    Terms that many rows of both sides have make columns of a dense product; the others are met pair by pair.
     """
-    right = vectors.join(eligible.select("movie_id").distinct(), "movie_id", "left_semi").select("term", F.col("movie_id").alias("other"), F.col("weight").alias("w"))
-    dots = vectors.join(right, "term").filter("movie_id <> other").groupBy("movie_id", "other").agg(F.round(F.sum(F.col("weight") * F.col("w")), 9).alias("cosine"))
-    best = W.partitionBy("movie_id").orderBy(F.desc("cosine"), "other")
-    return dots.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= pool).drop("place")
+    nx, ny = len(hx), len(hy)
+    row = lambda parts: np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    every, column = np.unique(np.concatenate([*hx, *hy]), return_inverse=True)
+    cut = sum(len(p) for p in hx)
+    rx, ry, cx, cy = row(hx), row(hy), column[:cut], column[cut:]
+    vx, vy = np.concatenate(wx), np.concatenate(wy)
+    fx, fy = np.bincount(cx, minlength=len(every)), np.bincount(cy, minlength=len(every))
+    dense = np.flatnonzero(fx * fy > 256)
+    spot = np.full(len(every), -1)
+    out = np.zeros((nx, ny))
+    for i in range(0, len(dense), 2048):  # some columns at a time
+        part = dense[i : i + 2048]
+        spot[:] = -1
+        spot[part] = np.arange(len(part))
+        x, y = np.zeros((nx, len(part))), np.zeros((ny, len(part)))
+        at = spot[cx] >= 0
+        x[rx[at], spot[cx[at]]] = vx[at]
+        at = spot[cy] >= 0
+        y[ry[at], spot[cy[at]]] = vy[at]
+        out += x @ y.T
+    few = (fx > 0) & (fy > 0)
+    few[dense] = False
+    at = few[cy]
+    order = np.argsort(cy[at], kind="stable")
+    ry, vy = ry[at][order], vy[at][order]
+    start = np.concatenate(([0], np.cumsum(np.where(few, fy, 0))))
+    at = few[cx]
+    rx, vx, first, many = rx[at], vx[at], start[cx[at]], fy[cx[at]]
+    ends = np.cumsum(many)
+    each = np.repeat(first - (ends - many), many) + np.arange(int(ends[-1]) if len(ends) else 0)
+    np.add.at(out, (np.repeat(rx, many), ry[each]), np.repeat(vx, many) * vy[each])
+    return out
+
+
+def sparse_pool(vectors: DataFrame, eligible: DataFrame, pool: int = 200, rows_per_block: int = 2048) -> DataFrame:
+    """(movie_id, other, cosine): the ``pool`` nearest eligible items of each item, of those with a common term, by unit vectors.
+
+    ``vectors``: (movie_id, term, weight > 0).  Each pair of blocks of items is one matrix product in a task,
+    which keeps the best of each row; frequent terms cost a column there and no pairs of rows.
+    """
+    cells = F.collect_list(F.struct(F.xxhash64("term").alias("h"), F.col("weight").alias("w")))
+    items = vectors.groupBy("movie_id").agg(cells.alias("v")).select(F.col("movie_id").cast("long").alias("id"), F.col("v.h").alias("h"), F.col("v.w").alias("w"))
+    right = items.join(eligible.select(F.col("movie_id").alias("id")).distinct(), "id", "left_semi")
+    n = max(1, -(-vectors.select("movie_id").distinct().count() // rows_per_block))
+    block = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    each = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    a = items.select("id", "h", "w", block.alias("bl"), each.alias("br"), F.lit(0).alias("side"))
+    b = right.select("id", "h", "w", each.alias("bl"), block.alias("br"), F.lit(1).alias("side"))
+
+    def multiply(rows: pd.DataFrame) -> pd.DataFrame:
+        x, y = rows[rows["side"] == 0], rows[rows["side"] == 1].sort_values("id")
+        if not len(x) or not len(y):
+            return pd.DataFrame({"id": [], "other": [], "cosine": []})
+        s = np.round(_sparse_product(list(x["h"]), list(x["w"]), list(y["h"]), list(y["w"])), 9)
+        ids, others = x["id"].to_numpy(), y["id"].to_numpy()
+        s[ids[:, None] == others[None]] = 0
+        order = np.argsort(-s, axis=1, kind="stable")[:, :pool]
+        out = pd.DataFrame({"id": np.repeat(ids, order.shape[1]), "other": others[order].ravel(), "cosine": np.take_along_axis(s, order, axis=1).ravel()})
+        return out[out["cosine"] > 0]
+
+    found = a.unionByName(b).groupBy("bl", "br").applyInPandas(multiply, "id long, other long, cosine double")
+    best = W.partitionBy("id").orderBy(F.desc("cosine"), "other")
+    return found.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= pool).select(F.col("id").alias("movie_id"), "other", "cosine")
 
 
 def rerank(pool: DataFrame, quality: DataFrame, top: int = 50, share: float = 0.25) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidemark.functions.scalars import weighted_rating
@@ -38,9 +39,28 @@ def global_mean(stats: DataFrame) -> DataFrame:
     return stats.agg((F.sum("rating_sum") / F.sum("rating_count")).alias("c"))
 
 
+def numbered(rows: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
+    """``rows`` with places from 1 on by ``order`` (a total order), for tables of any size.
+
+    Rows are dealt out by ranges of the order and numbered within each; the ranges' sizes, one number
+    a partition, are added up on the driver.  The ranges are kept, as others might be drawn the next time.
+    """
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part__", F.spark_partition_id()).withColumn("__place__", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).persist(StorageLevel.DISK_ONLY)
+    starts, total = [], 0
+    for r in ranged.groupBy("__part__").count().orderBy("__part__").collect():
+        starts.append((r["__part__"], total))
+        total += r["count"]
+    offsets = rows.sparkSession.createDataFrame(starts, "__part__ int, __start__ long")
+    placed = ranged.join(F.broadcast(offsets), "__part__")
+    return placed.select(*[c for c in rows.columns if c != name], (F.col("__start__") + F.col("__place__") + 1).alias(name))
+
+
+def _order() -> list[Column]:
+    return [F.desc("score"), F.desc("rating_count"), F.desc("average_rating"), F.asc("movie_id")]
+
+
 def _ranked(scored: DataFrame, by: list[str], top: int | None) -> DataFrame:
-    order = W.partitionBy(*by).orderBy(F.desc("score"), F.desc("rating_count"), F.desc("average_rating"), "movie_id")
-    out = scored.withColumn("rank", F.row_number().over(order))
+    out = scored.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(*_order())))
     return out if top is None else out.filter(F.col("rank") <= top)
 
 
@@ -57,9 +77,16 @@ def top_rated(stats: DataFrame, catalogue: DataFrame | None = None, q: float = 0
     rated = stats if catalogue is None else stats.join(catalogue.select("movie_id").distinct(), "movie_id", "left_semi")
     scalars = global_mean(rated).crossJoin(higher_quantile(rated, "rating_count", q))
     scored = rated.crossJoin(F.broadcast(scalars)).filter("rating_count >= m").withColumn("score", _score())
-    if top is not None:  # a distributed top-k before the rank is drawn
-        scored = scored.orderBy(F.desc("score"), F.desc("rating_count"), F.desc("average_rating"), "movie_id").limit(top)
-    return _ranked(scored, [], None).select("rank", "movie_id", "score", "average_rating", "rating_count")
+    columns = ["rank", "movie_id", "score", "average_rating", "rating_count"]
+    if top is None:
+        return numbered(scored, _order()).select(*columns)
+    first = scored.orderBy(*_order()).limit(top)  # a distributed top-k before the rank is drawn
+    return _ranked(first, [], None).select(*columns)
+
+
+def by_count(stats: DataFrame) -> DataFrame:
+    """(rank, movie_id): all rated movies by their number of ratings."""
+    return numbered(stats, [F.desc("rating_count"), F.asc("movie_id")]).select("rank", "movie_id")
 
 
 def by_genre(stats: DataFrame, movies: DataFrame, q: float = 0.9, top: int = 50, least: int = 20) -> tuple[DataFrame, DataFrame]:

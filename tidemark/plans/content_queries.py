@@ -18,7 +18,7 @@ CTES |= {
     "doc_terms": """
   SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM doc_words) GROUP BY 1, 2""",
     "vocabulary": """
-  SELECT term, ln((1 + n) / (1 + df)::DOUBLE) + 1 AS idf FROM (SELECT term, count(*) AS df, sum(tf) AS total FROM doc_terms GROUP BY term), (SELECT count(*) AS n FROM documents) WHERE df >= 2 AND df <= 0.98 * n ORDER BY total DESC, term LIMIT 3000""",
+  SELECT term, ln((1 + n) / (1 + df)::DOUBLE) + 1 AS idf FROM (SELECT term, count(*) AS df, sum(tf) AS total FROM doc_terms GROUP BY term), (SELECT count(*) AS n FROM documents) WHERE df >= 2 AND df <= 0.98 * n ORDER BY total DESC, term LIMIT 30000""",
     "raw_vectors": """
   SELECT doc_id, term, (1 + ln(tf)) * idf AS x FROM doc_terms JOIN vocabulary USING (term)""",
     "doc_vectors": """
@@ -137,7 +137,7 @@ def documents(spark: SparkSession, d: str) -> DataFrame:
 def _text_space(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     docs = A.table(spark, d, "documents").select("doc_id", "text")
     counts = content.terms(docs, "doc_id", "text")
-    return docs, counts, content.fit_vocabulary(counts, docs.agg(F.count("*")), size=3000)
+    return docs, counts, content.fit_vocabulary(counts, docs.agg(F.count("*")))
 
 
 @query("h2_vocabulary", sql("SELECT term, round(idf, 6) AS idf FROM vocabulary"))
