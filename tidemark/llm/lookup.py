@@ -39,8 +39,9 @@ def skew_join(df: DataFrame, table: DataFrame, key: str, how: str = "inner") ->
     """``df`` join ``table`` by the long ``key`` (unique in ``table``), in which adaptive execution can split a hot key of ``df``.
 
     It can't where a side comes straight from an aggregate by that key, so the table's key is
-    made a new value, for which the table is dealt out again.
+    made a new value, for which the table is dealt out again.  A merge join: many small tables joined
+    in a row needn't each pass through the driver.
     """
     twin = free_name(df, free_name(table, "__key__"))
     again = table.select(F.col(key).bitwiseXOR(F.lit(0)).alias(twin), *[F.col(c) for c in table.columns if c != key])
-    return df.join(again, df[key] == again[twin], how).drop(twin)
+    return df.join(again.hint("merge"), df[key] == again[twin], how).drop(twin)

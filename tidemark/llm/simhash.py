@@ -299,20 +299,20 @@ def _wide_near(x: str, y: str, distance: int) -> F.Column:
     return (apart <= distance) | (F.greatest(F.get(x, F.lit(0)), F.get(y, F.lit(0))) <= SHORT)
 
 
-def _struct_of(word: F.Column):  # noqa: ANN202
-    return lambda key: F.struct(key.alias("key"), word.alias("word"))
-
-
-def _changed(value: F.Column, masks: list[F.Column]):  # noqa: ANN202
-    """A function from i to ``value`` with the masks of the set bits of i changed."""
-
-    def at(i: F.Column) -> F.Column:
-        out = value
-        for f, m in enumerate(masks):
-            out = out.bitwiseXOR(F.when(i.bitwiseAND(F.lit(1 << f)) != 0, m).otherwise(F.lit(0).cast("long")))
-        return out
-
-    return at
+def _entries(prints: DataFrame, changes: int) -> DataFrame:
+    """(id, key, word): each segment's value (``changes`` 1), or the values made by each other choice of its FLIPS masks."""
+    cuts = _segments(2, 3)
+    q = F.col("q")
+    t = F.floor(q / changes).cast("int") if changes > 1 else q
+    of = lambda values: F.element_at(F.array(*[F.lit(v) for v in values] * WORDS), t + 1)
+    word = F.get("words", F.floor(t / 3).cast("int") + 1)
+    value = F.call_function("shiftrightunsigned", word, of([low for low, _, _ in cuts])).bitwiseAND(of([(1 << width) - 1 for _, width, _ in cuts]))
+    if changes > 1:
+        i = q % changes + 1
+        for f in range(FLIPS):
+            value = value.bitwiseXOR(F.when(i.bitwiseAND(F.lit(1 << f)) != 0, F.get("masks", t * FLIPS + f)).otherwise(F.lit(0).cast("long")))
+    rows = prints.select("id", "words", "masks", F.explode(F.sequence(F.lit(0), F.lit(WORDS * 3 * changes - 1))).alias("q"))
+    return rows.select("id", (value + F.shiftleft(t.cast("long"), 56)).alias("key"), word.alias("word"))
 
 
 def wide_links(prints: DataFrame, distance: int = WIDE_DISTANCE, word_distance: int = WORD_DISTANCE, bucket: int = 32, block: int = GROUP) -> DataFrame:
@@ -320,20 +320,9 @@ def wide_links(prints: DataFrame, distance: int = WIDE_DISTANCE, word_distance:
 
     Crowded buckets are treated as in ``links``.
     """
-    entries, balls = [], []
-    nothing = F.lit(0).cast("long")
-    for w in range(WORDS):
-        word = F.get("words", F.lit(w + 1))
-        for k, (low, width, _) in enumerate(_segments(2, 3)):
-            t = w * 3 + k
-            value = F.shiftrightunsigned(word, low).bitwiseAND(F.lit((1 << width) - 1)) + F.lit(t << 56)
-            entries.append(F.struct(value.alias("key"), word.alias("word")))
-            masks = [F.get("masks", F.lit(t * FLIPS + f)) for f in range(FLIPS)]
-
-            balls.append(F.transform(F.transform(F.sequence(F.lit(1), F.lit((1 << FLIPS) - 1)), _changed(value, masks)), _struct_of(word)))
-    every = F.concat(F.array(*entries), F.transform("keys", _struct_of(nothing)))
-    table = cut(prints.select("id", F.explode(every).alias("e")).select("id", "e.key", "e.word"))
-    probes = prints.select("id", F.explode(F.concat(*balls)).alias("e")).select("id", "e.key", "e.word")
+    short = prints.select("id", F.explode("keys").alias("key"), F.lit(0).cast("long").alias("word"))
+    table = cut(_entries(prints, 1).unionByName(short))
+    probes = _entries(prints, (1 << FLIPS) - 1)
     crowded = cut(table.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("leader")).filter(F.col("n") > bucket).drop("n"))
     n_crowded = crowded.count()
     marked = F.broadcast(crowded) if n_crowded <= BROADCAST_ROWS else crowded
@@ -430,8 +419,18 @@ def _decoded(column: pa.Array | pd.Series) -> list[np.ndarray]:
     return [np.frombuffer(x, np.uint32) for x in (column.to_pylist() if isinstance(column, pa.Array) else column)]
 
 
-def verified_links(docs: DataFrame, groups: DataFrame, shingle: int, least: float, distance: int, group: int) -> DataFrame:
-    """(a, b): links of similarity ``least`` or more that connect what such links connect within each candidate group.
+def _labels(ids: list[int], links: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """(id, least id of its component) of each id."""
+    root = {i: i for i in ids}
+    for a, b in links:
+        low, high = sorted((root[a], root[b]))
+        if low != high:  # few: a group's links make a forest
+            root = {i: low if r == high else r for i, r in root.items()}
+    return list(root.items())
+
+
+def verified_groups(docs: DataFrame, groups: DataFrame, shingle: int, least: float, distance: int, group: int) -> DataFrame:
+    """(node, root): components of the links of similarity ``least`` or more within each candidate group.
 
     ``docs``: (id, doc_id, text); ``groups``: (id, doc_id, root, size), the doc_id being that of the one row read for an id.
     """
@@ -439,6 +438,7 @@ def verified_links(docs: DataFrame, groups: DataFrame, shingle: int, least: floa
     # Two numbers an id: a broadcast of tens of MB at most; beyond, by shuffle.
     chosen = inner_lookup(docs, groups.withColumnRenamed("doc_id", "one"), "id", n, limit=1_000_000).filter(F.col("doc_id").eqNullSafe(F.col("one")))
     edge = T._parse_datatype_string("a long, b long")
+    label = T._parse_datatype_string("node long, root long")
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -447,9 +447,14 @@ def verified_links(docs: DataFrame, groups: DataFrame, shingle: int, least: floa
         def finish() -> None:
             ids = np.array(list(held), np.int64)
             prints = np.array([p for p, _ in held.values()], np.int64).reshape(len(ids), WORDS + 1)
-            out.extend(_group_forest(ids, prints, [s for _, s in held.values()], 0, distance, least))
+            out.extend(_labels(list(held), _group_forest(ids, prints, [s for _, s in held.values()], 0, distance, least)))
             held.clear()
 
+        def flush() -> pa.RecordBatch:
+            made = np.array(out, np.int64).reshape(-1, 2)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(made[:, 0].copy()), pa.array(made[:, 1].copy())], names=label.names)
+
         for b in batches:
             sets = _decoded(b.column(4))
             for i, (x, g, words_) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True)):
@@ -457,14 +462,11 @@ def verified_links(docs: DataFrame, groups: DataFrame, shingle: int, least: floa
                     finish()
                     current = g
                 held[x] = (np.array(words_, np.int64), sets[i])
-            made = np.array(out, np.int64).reshape(-1, 2)
-            out.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(made[:, 0].copy()), pa.array(made[:, 1].copy())], names=["a", "b"])
+            yield flush()
         finish()
-        made = np.array(out, np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([pa.array(made[:, 0].copy()), pa.array(made[:, 1].copy())], names=["a", "b"])
+        yield flush()
 
-    small = _bodies(chosen.filter(F.col("size") <= group), shingle).repartition("root").sortWithinPartitions("root", "id").mapInArrow(within, edge)
+    small = _bodies(chosen.filter(F.col("size") <= group), shingle).repartition("root").sortWithinPartitions("root", "id").mapInArrow(within, label)
     if not groups.filter(F.col("size") > group).limit(1).count():
         return small
 
@@ -504,7 +506,7 @@ def verified_links(docs: DataFrame, groups: DataFrame, shingle: int, least: floa
         made = _group_forest(rows["id"].to_numpy(), np.stack(rows["words"]).astype(np.int64), _decoded(rows["shingles"]), int((rows["side"] == 0).sum()), distance, least)
         return pd.DataFrame(made, columns=["a", "b"]).astype("int64")
 
-    return small.unionByName(large).unionByName(dealt.groupBy("root", "i", "j").applyInPandas(across, edge))
+    return small.unionByName(connected_components(large.unionByName(dealt.groupBy("root", "i", "j").applyInPandas(across, edge))))
 
 
 def near_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8, distance: int = WIDE_DISTANCE, group: int = GROUP, **options: int) -> DataFrame:
@@ -519,8 +521,7 @@ def near_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shing
     prints = cut(rows.groupBy("id").agg(F.min("doc_id").alias("least"), *[F.min(c).alias(c) for c in ("words", "masks", "keys")]))
     linked = connected_components(wide_links(prints.drop("least"), distance, **options)).select(F.col("node").alias("id"), "root")
     groups = skew_join(linked, linked.groupBy("root").agg(F.count("*").alias("size")), "root").join(prints.select("id", F.col("least").alias("doc_id")), "id")
-    edges = verified_links(base, cut(groups.select("id", "doc_id", "root", "size")), shingle, least, distance, group)
-    same = connected_components(edges)
+    same = verified_groups(base, cut(groups.select("id", "doc_id", "root", "size")), shingle, least, distance, group)
     named = cut(prints.select("id", "least").join(same.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id")))
     of_print = _with_least(named, "component_id").select("id", "component_id")
     return skew_join(rows.select("doc_id", "id"), of_print, "id").select("doc_id", "component_id")
