@@ -63,22 +63,14 @@ def known_users(requests: DataFrame, user_factors: DataFrame) -> DataFrame:
 def recommend(users: DataFrame, user_factors: DataFrame, item_factors: DataFrame, excluded: DataFrame, top: int = 100) -> DataFrame:
     """(user_id, rank, movie_id, score, reason): each known user's best items by dot product, exactly.
 
-    ``users``: (user_id); ``excluded``: (user_id, movie_id), taken out before the cut.  Users are grouped
-    by how many items are excluded for them (to the next power of two), so that one user with
-    very many does not make every list long.
+    ``users``: (user_id); ``excluded``: (user_id, movie_id), taken out before the cut: each user's list
+    is drawn as much longer as items are excluded for them.
     """
     wanted = user_factors.select(F.col("id").cast("bigint").alias("user_id"), "features").join(users.select("user_id").distinct(), "user_id", "left_semi")
     bad = excluded.select("user_id", "movie_id").distinct()
-    n = bad.groupBy("user_id").agg(F.count("*").alias("n"))
-    sized = wanted.join(n, "user_id", "left").withColumn("size", F.pow(F.lit(2), F.ceil(F.log2(F.coalesce("n", F.lit(0)) + 1.0))).cast("int")).drop("n")
+    need = bad.groupBy(F.col("user_id").alias("id")).agg((F.count("*") + top).alias("n"))
     items = item_factors.select(F.col("id").cast("bigint").alias("id"), "features")
-    out = None
-    for size in sorted(r["size"] for r in sized.select("size").distinct().collect()):  # some 30 sizes at most
-        group = sized.filter(F.col("size") == size).select(F.col("user_id").alias("id"), "features")
-        part = top_products(group, items, "id", "features", top + size)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return users.sparkSession.createDataFrame([], "user_id long, rank int, movie_id long, score double, reason string")
+    out = top_products(wanted.withColumnRenamed("user_id", "id"), items, "id", "features", top, need=need)
     rows = out.select(F.col("id").alias("user_id"), F.col("other").alias("movie_id"), "score").join(bad, ["user_id", "movie_id"], "left_anti")
     best = W.partitionBy("user_id").orderBy(F.desc("score"), "movie_id")
     return rows.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top).select("user_id", "rank", "movie_id", "score", F.lit("similar_users").alias("reason"))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidemark.functions.scalars import clean_free_text, prefixed_tokens, slug
 
+from .neighbours import sparse_top
+
 # Latin letters with marks, by rule: those that decompose into an ASCII letter and marks.
 _MARKED = [c for c in map(chr, range(0xC0, 0x250)) if len(d := unicodedata.normalize("NFKD", c)) > 1 and d[0].isascii() and all(unicodedata.combining(x) for x in d[1:])]
 _PLAIN = "".join(unicodedata.normalize("NFKD", c)[0] for c in _MARKED)
@@ -93,8 +95,10 @@ def onboarding_profile(requests: DataFrame, vectors: DataFrame, vocabulary: Data
 
 def rank_by_profile(profile: DataFrame, vectors: DataFrame, excluded: DataFrame, top: int = 20) -> DataFrame:
     """(request_id, rank, movie_id, score): items by dot product > 0 (rounded to nine places), without ``excluded`` (request_id, movie_id)."""
-    dots = profile.withColumnRenamed("weight", "p").join(vectors, "term").groupBy("request_id", "movie_id").agg(F.round(F.sum(F.col("p") * F.col("weight")), 9).alias("score"))
-    rows = dots.filter("score > 0").join(excluded.select("request_id", "movie_id").distinct(), ["request_id", "movie_id"], "left_anti")
+    bad = excluded.select("request_id", "movie_id").distinct()
+    need = bad.groupBy(F.col("request_id").alias("id")).agg((F.count("*") + top).alias("n"))
+    found = sparse_top(profile.select(F.col("request_id").alias("id"), "term", "weight"), vectors.select(F.col("movie_id").alias("id"), "term", "weight"), need, top)
+    rows = found.select(F.col("id").alias("request_id"), F.col("other").alias("movie_id"), "score").join(bad, ["request_id", "movie_id"], "left_anti")
     order = W.partitionBy("request_id").orderBy(F.desc("score"), "movie_id")
     return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).select("request_id", "rank", "movie_id", "score")
 

@@ -9,14 +9,18 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from . import hybrid
 
 
-def evaluation_set(parts: DataFrame, split: str = "test", positive: float = 4.0, picks: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(targets, seen, onboarding picks): held-out positives, all earlier items of their users, first positives of train."""
+def evaluation_set(parts: DataFrame, split: str = "test", positive: float = 4.0, picks: int = 3, users: str = "held out") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(targets, seen, onboarding picks): held-out positives, all earlier items of their users, first positives of train (n: place).
+
+    ``users`` "all": seen items and picks of all users, not only of those with a target.
+    """
     targets = parts.filter((F.col("split") == split) & (F.col("rating") >= positive)).select("user_id", F.col("movie_id").alias("target"))
-    users = targets.select("user_id").distinct()
     earlier = parts.filter(F.col("split").isin("train") if split == "validation" else F.col("split").isin("train", "validation"))
-    seen = earlier.join(users, "user_id", "left_semi").select("user_id", "movie_id", "rating", "timestamp", "split")
+    if users != "all":
+        earlier = earlier.join(targets.select("user_id").distinct(), "user_id", "left_semi")
+    seen = earlier.select("user_id", "movie_id", "rating", "timestamp", "split")
     first = W.partitionBy("user_id").orderBy("timestamp", "movie_id")
-    onboarding = seen.filter((F.col("split") == "train") & (F.col("rating") >= positive)).withColumn("n", F.row_number().over(first)).filter(F.col("n") <= picks).select("user_id", "movie_id")
+    onboarding = seen.filter((F.col("split") == "train") & (F.col("rating") >= positive)).withColumn("n", F.row_number().over(first)).filter(F.col("n") <= picks).select("user_id", "movie_id", "n")
     return targets, seen.select("user_id", "movie_id"), onboarding
 
 

@@ -31,17 +31,21 @@ def _blocks(df: DataFrame, key: str, values: str, n: int) -> DataFrame:
     return df.withColumn("block", F.pmod(F.xxhash64(key), F.lit(n))).select("block", F.col(key).cast("long").alias("id"), F.col(values).cast("array<float>").alias("v"))
 
 
-def top_products(left: DataFrame, right: DataFrame, key: str, values: str, top: int, rows_per_block: int = 4096, same: bool = False) -> DataFrame:
+def top_products(left: DataFrame, right: DataFrame, key: str, values: str, top: int, rows_per_block: int = 4096, same: bool = False, need: DataFrame | None = None) -> DataFrame:
     """(id, other, score): for each left vector the ``top`` right ones by dot product (ties: lower id), exactly.
 
+    ``need`` (id, n): as many as it says, for those that are in it.
+
     The stated set of left vectors is met block by block with the right ones, each pair of blocks
     one matrix product in a task that keeps its own ``top`` a row; a window keeps the best of those.
     ``same``: a vector is not its own partner.
     """
     nl = max(1, -(-left.count() // rows_per_block))
     nr = max(1, -(-right.count() // rows_per_block))
-    a = _blocks(left, key, values, nl).select("id", "v", F.col("block").alias("bl"), F.explode(F.sequence(F.lit(0), F.lit(nr - 1))).alias("br")).withColumn("side", F.lit(0))
-    b = _blocks(right, key, values, nr).select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(nl - 1))).alias("bl"), F.col("block").alias("br")).withColumn("side", F.lit(1))
+    x = _blocks(left, key, values, nl)
+    x = x.withColumn("n", F.lit(top)) if need is None else x.join(need.select("id", F.col("n").cast("int").alias("n")), "id", "left").fillna({"n": top})
+    a = x.select("id", "v", "n", F.col("block").alias("bl"), F.explode(F.sequence(F.lit(0), F.lit(nr - 1))).alias("br"), F.lit(0).alias("side"))
+    b = _blocks(right, key, values, nr).select("id", "v", F.lit(0).alias("n"), F.explode(F.sequence(F.lit(0), F.lit(nl - 1))).alias("bl"), F.col("block").alias("br"), F.lit(1).alias("side"))
 
     def multiply(rows: pd.DataFrame) -> pd.DataFrame:
         x, y = rows[rows["side"] == 0], rows[rows["side"] == 1].sort_values("id")
@@ -51,13 +55,24 @@ def top_products(left: DataFrame, right: DataFrame, key: str, values: str, top:
         ids, others = x["id"].to_numpy(), y["id"].to_numpy()
         if same:
             s[ids[:, None] == others[None]] = -np.inf
-        order = np.argsort(-s, axis=1, kind="stable")[:, :top]
-        out = pd.DataFrame({"id": np.repeat(ids, order.shape[1]), "other": others[order].ravel(), "score": np.take_along_axis(s, order, axis=1).ravel()})
-        return out[np.isfinite(out["score"])]
+        return _best(s, ids, others, x["n"].to_numpy())
+
+    return _kept(a.unionByName(b).groupBy("bl", "br").applyInPandas(multiply, "id long, other long, score double"), top, need)
+
 
-    found = a.unionByName(b).groupBy("bl", "br").applyInPandas(multiply, "id long, other long, score double")
-    best = W.partitionBy("id").orderBy(F.desc("score"), "other")
-    return found.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= top).select("id", "other", "score")
+def _best(s: np.ndarray, ids: np.ndarray, others: np.ndarray, n: np.ndarray) -> pd.DataFrame:
+    """(id, other, score): the best ``n[i]`` finite scores of each row; ``others`` ascending, of equals the first."""
+    order = np.argsort(-s, axis=1, kind="stable")[:, : int(n.max())]
+    score = np.take_along_axis(s, order, axis=1)
+    row, place = np.nonzero(np.isfinite(score) & (np.arange(order.shape[1]) < n[:, None]))
+    return pd.DataFrame({"id": ids[row], "other": others[order[row, place]], "score": score[row, place]})
+
+
+def _kept(found: DataFrame, top: int, need: DataFrame | None) -> DataFrame:
+    placed = found.withColumn("place", F.row_number().over(W.partitionBy("id").orderBy(F.desc("score"), "other")))
+    if need is not None:
+        placed = placed.join(need.select("id", "n"), "id", "left").fillna({"n": top})
+    return placed.filter(F.col("place") <= (F.lit(top) if need is None else F.col("n"))).select("id", "other", "score")
 
 
 def _sparse_product(hx: list[np.ndarray], wx: list[np.ndarray], hy: list[np.ndarray], wy: list[np.ndarray]) -> np.ndarray:
@@ -99,35 +114,43 @@ def _sparse_product(hx: list[np.ndarray], wx: list[np.ndarray], hy: list[np.ndar
     return out
 
 
-def sparse_pool(vectors: DataFrame, eligible: DataFrame, pool: int = 200, rows_per_block: int = 2048) -> DataFrame:
-    """(movie_id, other, cosine): the ``pool`` nearest eligible items of each item, of those with a common term, by unit vectors.
+def sparse_top(left: DataFrame, right: DataFrame, need: DataFrame | None = None, top: int = 200, same: bool = False, rows_per_block: int = 2048) -> DataFrame:
+    """(id, other, score): for each left vector the right ones of largest dot product above 0 (rounded to nine places; ties: lower id).
 
-    ``vectors``: (movie_id, term, weight > 0).  Each pair of blocks of items is one matrix product in a task,
-    which keeps the best of each row; frequent terms cost a column there and no pairs of rows.
+    ``left``, ``right``: (id, term, weight >= 0).  ``top`` of each, or as many as ``need`` (id, n) says of
+    those that are in it.  ``same``: a vector is not its own partner.  Each pair of blocks of vectors is one
+    product in a task, which keeps the best of each row; frequent terms cost a column there and no pairs of rows.
     """
     cells = F.collect_list(F.struct(F.xxhash64("term").alias("h"), F.col("weight").alias("w")))
-    items = vectors.groupBy("movie_id").agg(cells.alias("v")).select(F.col("movie_id").cast("long").alias("id"), F.col("v.h").alias("h"), F.col("v.w").alias("w"))
-    right = items.join(eligible.select(F.col("movie_id").alias("id")).distinct(), "id", "left_semi")
-    n = max(1, -(-vectors.select("movie_id").distinct().count() // rows_per_block))
-    block = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    each = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    a = items.select("id", "h", "w", block.alias("bl"), each.alias("br"), F.lit(0).alias("side"))
-    b = right.select("id", "h", "w", each.alias("bl"), block.alias("br"), F.lit(1).alias("side"))
+    rows = lambda df: df.groupBy(F.col("id").cast("long").alias("id")).agg(cells.alias("v")).select("id", F.col("v.h").alias("h"), F.col("v.w").alias("w"))
+    x, y = rows(left), rows(right)
+    x = x.withColumn("n", F.lit(top)) if need is None else x.join(need.select("id", F.col("n").cast("int").alias("n")), "id", "left").fillna({"n": top})
+    blocks = lambda df: max(1, -(-df.select("id").distinct().count() // rows_per_block))
+    nl, nr = blocks(left), blocks(right)
+    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    a = x.select("id", "h", "w", "n", block(nl).alias("bl"), each(nr).alias("br"), F.lit(0).alias("side"))
+    b = y.select("id", "h", "w", F.lit(0).alias("n"), each(nl).alias("bl"), block(nr).alias("br"), F.lit(1).alias("side"))
 
     def multiply(rows: pd.DataFrame) -> pd.DataFrame:
         x, y = rows[rows["side"] == 0], rows[rows["side"] == 1].sort_values("id")
         if not len(x) or not len(y):
-            return pd.DataFrame({"id": [], "other": [], "cosine": []})
+            return pd.DataFrame({"id": [], "other": [], "score": []})
         s = np.round(_sparse_product(list(x["h"]), list(x["w"]), list(y["h"]), list(y["w"])), 9)
         ids, others = x["id"].to_numpy(), y["id"].to_numpy()
-        s[ids[:, None] == others[None]] = 0
-        order = np.argsort(-s, axis=1, kind="stable")[:, :pool]
-        out = pd.DataFrame({"id": np.repeat(ids, order.shape[1]), "other": others[order].ravel(), "cosine": np.take_along_axis(s, order, axis=1).ravel()})
-        return out[out["cosine"] > 0]
-
-    found = a.unionByName(b).groupBy("bl", "br").applyInPandas(multiply, "id long, other long, cosine double")
-    best = W.partitionBy("id").orderBy(F.desc("cosine"), "other")
-    return found.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= pool).select(F.col("id").alias("movie_id"), "other", "cosine")
+        s[s <= 0] = -np.inf
+        if same:
+            s[ids[:, None] == others[None]] = -np.inf
+        return _best(s, ids, others, x["n"].to_numpy())
+
+    return _kept(a.unionByName(b).groupBy("bl", "br").applyInPandas(multiply, "id long, other long, score double"), top, need)
+
+
+def sparse_pool(vectors: DataFrame, eligible: DataFrame, pool: int = 200) -> DataFrame:
+    """(movie_id, other, cosine): the ``pool`` nearest eligible items of each item, of those with a common term, by unit vectors."""
+    every = vectors.select(F.col("movie_id").alias("id"), "term", "weight")
+    right = every.join(eligible.select(F.col("movie_id").alias("id")).distinct(), "id", "left_semi")
+    return sparse_top(every, right, top=pool, same=True).select(F.col("id").alias("movie_id"), "other", F.col("score").alias("cosine"))
 
 
 def rerank(pool: DataFrame, quality: DataFrame, top: int = 50, share: float = 0.25) -> DataFrame:

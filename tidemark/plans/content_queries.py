@@ -13,6 +13,13 @@ from .oracle import CTES, sql
 from .registry import query
 
 CTES |= {
+    "picks": """
+  SELECT user_id AS request_id, n AS seed_pos, movie_id AS seed_id FROM (
+    SELECT user_id, movie_id, row_number() OVER (PARTITION BY user_id ORDER BY timestamp, movie_id) - 1 AS n FROM parts WHERE split = 'train' AND rating >= 4) WHERE n <= 2""",
+    "robin": """
+  SELECT request_id, place, movie_id, seed_id FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY rank, seed_pos) AS place FROM (
+    SELECT s.request_id, similar_movie_id AS movie_id, rank, seed_pos, s.seed_id, row_number() OVER (PARTITION BY s.request_id, similar_movie_id ORDER BY rank, seed_pos) AS n
+    FROM picks s JOIN nearby ON s.seed_id = movie_id WHERE (s.request_id, similar_movie_id) NOT IN (SELECT request_id, seed_id FROM picks)) WHERE n = 1)""",
     "doc_words": """
   SELECT doc_id, regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}_]{2,}') AS w FROM documents""",
     "doc_terms": """
@@ -48,7 +55,7 @@ CTES |= {
   WHERE n <= 50 AND cosine > 0""",
     "onboarding": """
   SELECT c_custkey AS request_id, CASE WHEN c_custkey % 4 <> 3 THEN [c_custkey % 50 + 1, c_custkey % 70 + 60, 5000000] ELSE [] END AS picks,
-    CASE c_custkey % 4 WHEN 0 THEN ['ECONOMY'] WHEN 1 THEN ['PROMO', 'Brand#7'] ELSE [] END AS wanted FROM customer WHERE c_custkey > 0 AND c_custkey % 5 = 0""",
+    CASE c_custkey % 4 WHEN 0 THEN ['ECONOMY'] WHEN 1 THEN ['PROMO', 'Brand#7'] ELSE [] END AS wanted FROM customer WHERE c_custkey > 0""",
     "on_movie": """
   SELECT request_id, term, weight / sqrt(sum(weight * weight) OVER (PARTITION BY request_id)) AS weight FROM (
     SELECT request_id, term, sum(weight) AS weight FROM (SELECT request_id, unnest(list_distinct(picks)) AS movie_id FROM onboarding) JOIN m_vectors USING (movie_id) GROUP BY 1, 2)""",
@@ -178,21 +185,21 @@ def quality(spark: SparkSession, d: str) -> DataFrame:
 
 
 def seeds(spark: SparkSession, d: str) -> DataFrame:
-    c = A.table(spark, d, "customer").filter("c_custkey > 0 and c_custkey % 3 = 0")
-    return c.select(F.col("c_custkey").alias("request_id"), F.posexplode(F.array(F.col("c_custkey") % 40 + 1, F.col("c_custkey") % 60 + 50, F.lit(7).cast("long"))).alias("seed_pos", "seed_id"))
+    """Each user's first three liked movies."""
+    from tidemark.operators import evaluation
 
+    _, _, liked = evaluation.evaluation_set(splits.chronological(A.ratings(spark, d)), users="all")
+    return liked.select(F.col("user_id").alias("request_id"), (F.col("n") - 1).alias("seed_pos"), F.col("movie_id").alias("seed_id"))
 
-@query("h6_round_robin", sql("""SELECT request_id, place, movie_id, seed_id FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY rank, seed_pos) AS place FROM (
-  SELECT request_id, similar_movie_id AS movie_id, rank, seed_pos, seed_id, row_number() OVER (PARTITION BY request_id, similar_movie_id ORDER BY rank, seed_pos) AS n
-  FROM (SELECT c_custkey AS request_id, unnest([0, 1, 2]) AS seed_pos, unnest([c_custkey % 40 + 1, c_custkey % 60 + 50, 7]) AS seed_id FROM customer WHERE c_custkey > 0 AND c_custkey % 3 = 0) s JOIN nearby ON seed_id = movie_id
-  WHERE similar_movie_id NOT IN (s.request_id % 40 + 1, s.request_id % 60 + 50, 7)) WHERE n = 1) WHERE place <= 20"""))
+
+@query("h6_round_robin", sql("SELECT * FROM robin WHERE place <= 20"))
 def round_robin(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.round_robin(seeds(spark, d), _similar(spark, d)).withColumn("place", F.col("place").cast("long"))
 
 
 def onboarding_requests(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("c_custkey")
-    c = A.table(spark, d, "customer").filter("c_custkey > 0 and c_custkey % 5 = 0")
+    c = A.table(spark, d, "customer").filter("c_custkey > 0")
     none = F.array().cast("array<string>")
     return c.select(
         k.alias("request_id"),
@@ -218,19 +225,6 @@ def onboarding(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumns({"rank": F.col("rank").cast("long"), "score": F.round("score", 5)})
 
 
-@query("h8_recent_similarity", sql("""SELECT r.request_id, v.movie_id, round(round(sum(r.weight * v.weight), 9), 5) AS similarity FROM (
-  SELECT request_id, term, weight / sqrt(sum(weight * weight) OVER (PARTITION BY request_id)) AS weight FROM (
-    SELECT user_id AS request_id, term, sum(score * weight) AS weight FROM profile p JOIN m_vectors v USING (movie_id) WHERE score > 0 GROUP BY 1, 2)) r
-JOIN m_vectors v USING (term) WHERE v.movie_id <= 30 GROUP BY 1, 2"""))
-def recent_similarity(spark: SparkSession, d: str) -> DataFrame:
-    from tidemark.operators import feedback
-
-    recent = feedback.profile(A.events(spark, d), A.as_of()).select(F.col("user_id").alias("request_id"), "movie_id", F.col("score").alias("weight"))
-    vectors, _ = movie_space(spark, d)
-    wanted = recent.select("request_id").distinct().crossJoin(F.broadcast(A.movies(spark, d).filter("movie_id <= 30").select("movie_id")))
-    return content.recent_similarity(recent, wanted, vectors).withColumn("similarity", F.round("similarity", 5))
-
-
 @query("e1_column_profile", """
 WITH v AS (SELECT unnest(['p_name', 'p_type', 'p_size', 'p_brand']) AS "column", unnest([p_name, p_type, CASE WHEN p_partkey % 11 = 0 THEN 'many' WHEN p_partkey % 13 = 0 THEN NULL ELSE CAST(p_size AS VARCHAR) END, p_brand]) AS value FROM part),
 c AS (SELECT "column", value, count(*) AS k FROM v GROUP BY 1, 2),

@@ -2,39 +2,63 @@
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.operators import collaborative, evaluation, feedback, hybrid, neighbours, rankings, splits
+from tidemark.functions.scalars import source_weights
+from tidemark.operators import collaborative, content, evaluation, feedback, hybrid, neighbours, rankings, splits
 from tidemark.streaming import events as streams
 
 from . import adapters as A
-from .content_queries import _similar, onboarding_ranked, seeds
+from .content_queries import _similar, movie_space, onboarding_ranked, seeds
 from .oracle import CTES, sql
 from .registry import query
 
-_HASH = "(request_id * 7919 + p * 104729) % 1999 + 1"
 
-CTES |= {
-    "hy_requests": """
-  SELECT c_custkey AS request_id, c_custkey % 25 AS n FROM customer WHERE c_custkey > 0 AND c_custkey % 4 = 0""",
-    "hy_candidates": f"""
-  SELECT request_id, source, p AS rank, movie_id FROM (SELECT request_id, source, p, movie_id, row_number() OVER (PARTITION BY request_id, source, movie_id ORDER BY p) AS k FROM (
-    SELECT request_id, 'cf' AS source, p, {_HASH} AS movie_id FROM hy_requests, (SELECT unnest(range(1, 61)) AS p)
-    UNION ALL SELECT request_id, 'cb', p, (request_id * 31 + p * 104729) % 400 + 1 FROM hy_requests, (SELECT unnest(range(1, 41)) AS p)
-    UNION ALL SELECT request_id, 'pop', p, (p * 13) % 300 + 1 FROM hy_requests, (SELECT unnest(range(1, 31)) AS p))) WHERE k = 1""",
-    "hy_excluded": """
-  SELECT DISTINCT request_id, unnest([request_id % 400 + 1, 14, (request_id * 3) % 300 + 1]) AS movie_id FROM hy_requests""",
+def _world_sql(w: str, seen: str) -> dict[str, str]:
+    """Requests, candidates and fused scores, named by ``w``, of all customers who have seen the rows of ``parts`` where ``seen``."""
+    return {
+        f"{w}_seen": f"""
+  SELECT user_id AS request_id, movie_id FROM parts WHERE {seen}""",
+        f"{w}_requests": f"""
+  SELECT c_custkey AS request_id, coalesce(n, 0) AS n FROM customer LEFT JOIN (SELECT request_id, count(*) AS n FROM {w}_seen GROUP BY 1) ON request_id = c_custkey WHERE c_custkey > 0""",
+        f"{w}_cf": f"""
+  SELECT * FROM (SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, movie_id) AS rank, movie_id FROM (
+    SELECT request_id, i.vec_id AS movie_id, round(list_dot_product(u.embedding::DOUBLE[], i.embedding::DOUBLE[]), 9) AS score
+    FROM {w}_requests JOIN embeddings u ON u.vec_id = request_id % (SELECT count(*) FROM embeddings), embeddings i WHERE i.vec_id > 0) ANTI JOIN {w}_seen USING (request_id, movie_id)) WHERE rank <= 100""",
+        f"{w}_cb": f"""
+  SELECT * FROM (SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, movie_id) AS rank, movie_id FROM cb_scores
+    ANTI JOIN {w}_seen USING (request_id, movie_id) WHERE score > 0) WHERE rank <= 100""",
+        f"{w}_candidates": f"""
+  SELECT request_id, 'cf' AS source, rank, movie_id FROM {w}_cf UNION ALL SELECT request_id, 'cb', rank, movie_id FROM {w}_cb
+  UNION ALL SELECT request_id, 'pop', rank, movie_id FROM {w}_requests, (SELECT rank, movie_id FROM pop_order WHERE rank <= 50)""",
+        f"{w}_placed": f"""
+  SELECT *, row_number() OVER (PARTITION BY request_id, source ORDER BY rank, movie_id) AS place FROM {w}_candidates ANTI JOIN {w}_seen USING (request_id, movie_id)""",
+    }
+
+
+CTES |= _world_sql("hy", "split <> 'test'") | _world_sql("va", "split = 'train'") | {
+    "m_dots": """
+  SELECT a.movie_id, b.movie_id AS other, sum(a.weight * b.weight) AS dot FROM m_vectors a JOIN m_vectors b USING (term) GROUP BY 1, 2""",
+    "pick_length": """
+  SELECT x.request_id, sqrt(sum(dot)) AS len FROM picks x JOIN picks y USING (request_id) JOIN m_dots ON x.seed_id = movie_id AND y.seed_id = other GROUP BY 1""",
+    "cb_scores": """
+  SELECT request_id, other AS movie_id, round(sum(dot) / any_value(len), 9) AS score FROM picks JOIN m_dots ON seed_id = movie_id JOIN pick_length USING (request_id) GROUP BY 1, 2""",
     "hy_weights": """
   SELECT request_id, 'cf' AS source, least(n / 20.0, 1) AS w FROM hy_requests UNION ALL SELECT request_id, 'cb', 1 - 0.75 * least(n / 20.0, 1) FROM hy_requests""",
     "hy_fused": """
-  SELECT request_id, movie_id, round(sum(w / (60 + place)), 12) AS score, bool_or(source = 'cf') AS has_cf, bool_or(source = 'cb') AS has_cb FROM (
-    SELECT *, row_number() OVER (PARTITION BY request_id, source ORDER BY rank, movie_id) AS place FROM hy_candidates ANTI JOIN hy_excluded USING (request_id, movie_id))
-  JOIN hy_weights USING (request_id, source) WHERE w > 0 GROUP BY 1, 2""",
+  SELECT request_id, movie_id, round(sum(w / (60 + place)), 12) AS score, bool_or(source = 'cf') AS has_cf, bool_or(source = 'cb') AS has_cb
+  FROM hy_placed JOIN hy_weights USING (request_id, source) WHERE w > 0 GROUP BY 1, 2""",
+    "recent_vectors": """
+  SELECT request_id, term, weight / sqrt(sum(weight * weight) OVER (PARTITION BY request_id)) AS weight FROM (
+    SELECT user_id AS request_id, term, sum(score * weight) AS weight FROM profile p JOIN m_vectors v USING (movie_id) WHERE score > 0 GROUP BY 1, 2)""",
+    "recent_similarity": """
+  SELECT request_id, f.movie_id, round(sum(r.weight * v.weight), 9) AS similarity FROM hy_fused f JOIN m_vectors v USING (movie_id) JOIN recent_vectors r USING (request_id, term) GROUP BY 1, 2""",
     "hy_scored": """
-  SELECT request_id, movie_id, has_cf, has_cb, round(CASE WHEN max(score) OVER r > min(score) OVER r THEN (score - min(score) OVER r) / (max(score) OVER r - min(score) OVER r) ELSE 1 END + 0.15 * CASE WHEN movie_id % 5 = 0 THEN (movie_id % 11) / 10.0 ELSE 0 END, 9) AS score
-  FROM hy_fused WINDOW r AS (PARTITION BY request_id)""",
+  SELECT request_id, movie_id, has_cf, has_cb, round(CASE WHEN max(score) OVER r > min(score) OVER r THEN (score - min(score) OVER r) / (max(score) OVER r - min(score) OVER r) ELSE 1 END + 0.15 * coalesce(similarity, 0), 9) AS score
+  FROM hy_fused LEFT JOIN recent_similarity USING (request_id, movie_id) WINDOW r AS (PARTITION BY request_id)""",
     "hy_varied": """
   SELECT request_id, place AS rank, movie_id, score, has_cf, has_cb FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY late, rank) AS place FROM (
     SELECT *, row_number() OVER (PARTITION BY request_id, genre ORDER BY rank) > 4 AS late FROM (
@@ -44,12 +68,12 @@ CTES |= {
     "hy_tiers": """
   SELECT request_id, 2 AS tier, rank AS pos, movie_id FROM hy_requests JOIN genre_rated ON genre = CASE request_id % 3 WHEN 0 THEN 'ECONOMY' WHEN 1 THEN 'PROMO' END WHERE rank <= 8
   UNION ALL SELECT request_id, 3, rank, movie_id FROM hy_requests, top_rated""",
-    "hy_filled": """
+    **{name: f"""
   SELECT request_id, rank, movie_id, coalesce(score, 1 / rank::DOUBLE) AS score, has_cf, has_cb, tier, max(tier) OVER (PARTITION BY request_id) AS level FROM (
     SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY tier, pos, movie_id) AS rank FROM (
       SELECT *, row_number() OVER (PARTITION BY request_id, movie_id ORDER BY tier, pos) AS k FROM (
-        SELECT request_id, 0 AS tier, rank AS pos, movie_id, score, has_cf, has_cb FROM hy_few
-        UNION ALL SELECT request_id, tier, pos, movie_id, NULL, NULL, NULL FROM hy_tiers ANTI JOIN hy_excluded USING (request_id, movie_id))) WHERE k = 1) WHERE rank <= 20""",
+        SELECT request_id, 0 AS tier, rank AS pos, movie_id, score, has_cf, has_cb FROM {own}
+        UNION ALL SELECT request_id, tier, pos, movie_id, NULL, NULL, NULL FROM hy_tiers ANTI JOIN hy_seen USING (request_id, movie_id))) WHERE k = 1) WHERE rank <= 20""" for name, own in (("hy_filled", "hy_few"), ("hy_whole", "hy_varied"))},
     "ev_targets": """
   SELECT user_id, movie_id AS target FROM parts WHERE split = 'test' AND rating >= 4""",
     "ev_seen": """
@@ -67,41 +91,82 @@ CTES |= {
 }
 
 
-def _requests(spark: SparkSession, d: str) -> DataFrame:
-    c = A.table(spark, d, "customer").filter("c_custkey > 0 and c_custkey % 4 = 0")
-    return c.select(F.col("c_custkey").alias("request_id"), (F.col("c_custkey") % 25).alias("n"), F.when(F.col("c_custkey") % 3 == 0, "Economy ").when(F.col("c_custkey") % 3 == 1, "PROMO").alias("preferred_genre"))
+_kept: dict[tuple, DataFrame] = {}
+
+
+def _once(spark: SparkSession, d: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table that several queries of a session use: written to the shared folder by the first of them."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _kept:
+        path = A.scratch_folder(spark, name)
+        df = make()
+        df.write.parquet(path)
+        _kept[key] = spark.read.schema(df.schema).parquet(path)
+    return _kept[key]
+
 
+@dataclass
+class World:
+    """All customers as requests, and candidates of three sources for them."""
 
-def _candidates(requests: DataFrame) -> DataFrame:
-    r = F.col("request_id")
-    def side(source: str, n: int, movie: F.Column) -> DataFrame:
-        return requests.select("request_id", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("p")).select("request_id", F.lit(source).alias("source"), F.col("p").alias("rank"), movie.alias("movie_id"))
+    requests: DataFrame  # request_id, n, preferred_genre
+    seen: DataFrame  # request_id, movie_id
+    cf: DataFrame  # request_id, rank, movie_id
+    cb: DataFrame
+    candidates: DataFrame  # request_id, source, rank, movie_id
+
+
+def _world(spark: SparkSession, d: str, split: str = "test") -> World:
+    """Collaborative candidates from given factors (the vectors of ``embeddings``), content ones from each user's first liked movies, popular ones."""
+    parts = _parts(spark, d)
+    _, earlier, picks = evaluation.evaluation_set(parts, split, users="all")
+    seen = _once(spark, d, f"seen_{split}", lambda: earlier.withColumnRenamed("user_id", "request_id"))
+    c = F.col("c_custkey")
+    genre = F.when(c % 3 == 0, "Economy ").when(c % 3 == 1, "PROMO")
+    n = seen.groupBy("request_id").agg(F.count("*").alias("n"))
+    customers = A.table(spark, d, "customer").filter("c_custkey > 0").select(c.alias("request_id"), genre.alias("preferred_genre"))
+    requests = customers.join(n, "request_id", "left").fillna({"n": 0})
 
-    p = F.col("p")
-    rows = side("cf", 60, (r * 7919 + p * 104729) % 1999 + 1).unionByName(side("cb", 40, (r * 31 + p * 104729) % 400 + 1)).unionByName(side("pop", 30, ((p * 13) % 300 + 1).cast("long")))
-    return rows.groupBy("request_id", "source", "movie_id").agg(F.min("rank").alias("rank"))
+    def by_factors() -> DataFrame:
+        e = A.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("features"))
+        users = requests.select("request_id", (F.col("request_id") % e.count()).alias("id")).join(e, "id").select(F.col("request_id").alias("id"), "features")
+        rows = collaborative.recommend(requests.select(F.col("request_id").alias("user_id")), users, e.filter("id > 0"), seen.withColumnRenamed("request_id", "user_id"), 100)
+        return rows.select(F.col("user_id").alias("request_id"), "rank", "movie_id")
 
+    def by_content() -> DataFrame:
+        vectors, vocabulary = movie_space(spark, d)
+        asks = picks.groupBy(F.col("user_id").alias("request_id")).agg(F.collect_list("movie_id").alias("selected_movie_ids")).withColumn("selected_genres", F.array().cast("array<string>"))
+        rows = content.rank_by_profile(content.onboarding_profile(asks, vectors, vocabulary), vectors, seen, 100)
+        return rows.join(requests.select("request_id"), "request_id", "left_semi").select("request_id", "rank", "movie_id")
 
-def _excluded(requests: DataFrame) -> DataFrame:
-    r = F.col("request_id")
-    return requests.select("request_id", F.explode(F.array(r % 400 + 1, F.lit(14).cast("long"), (r * 3) % 300 + 1)).alias("movie_id")).distinct()
+    popular = _once(spark, d, "popular", lambda: rankings.by_count(rankings.movie_stats(parts.filter("split = 'train'"))).filter("rank <= 50"))
+    pop = requests.select("request_id").join(F.broadcast(popular), F.lit(True)).select("request_id", F.col("rank").cast("int").alias("rank"), "movie_id")  # 50 for each
+    cf, cb = _once(spark, d, f"cf_{split}", by_factors), _once(spark, d, f"cb_{split}", by_content)
+    tagged = [rows.select("request_id", F.lit(s).alias("source"), "rank", "movie_id") for s, rows in (("cf", cf), ("cb", cb), ("pop", pop))]
+    return World(requests, seen, cf, cb, tagged[0].unionByName(tagged[1]).unionByName(tagged[2]))
 
 
-def _fused(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    requests = _requests(spark, d)
-    from tidemark.functions.scalars import source_weights
+def _fused(spark: SparkSession, d: str) -> tuple[World, DataFrame]:
+    w = _world(spark, d)
+    weights = w.requests.select("request_id", source_weights(F.col("n")).alias("w")).select("request_id", "w.*")
+    return w, _once(spark, d, "fused", lambda: hybrid.fuse(w.candidates, weights, w.seen))
 
-    weights = requests.select("request_id", source_weights(F.col("n")).alias("w")).select("request_id", "w.*")
-    excluded = _excluded(requests)
-    return requests, excluded, hybrid.fuse(_candidates(requests), weights, excluded)
 
+def _recent(spark: SparkSession, d: str, fused: DataFrame) -> DataFrame:
+    recent = feedback.profile(A.events(spark, d), A.as_of()).select(F.col("user_id").alias("request_id"), "movie_id", F.col("score").alias("weight"))
+    return content.recent_similarity(recent, fused, movie_space(spark, d)[0])
 
-def _varied(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    requests, excluded, fused = _fused(spark, d)
-    movies = A.movies(spark, d)
-    similarity = fused.select("request_id", "movie_id").filter("movie_id % 5 = 0").withColumn("similarity", F.col("movie_id") % 11 / 10.0)
-    order = hybrid.ranked(hybrid.nudge(hybrid.normalise(fused), similarity))
-    return requests, excluded, hybrid.diversify(order, movies.select("movie_id", F.get("genres", F.lit(0)).alias("genre")))
+
+@query("h8_recent_similarity", sql("SELECT request_id, movie_id, round(similarity, 5) AS similarity FROM recent_similarity"))
+def recent_similarity(spark: SparkSession, d: str) -> DataFrame:
+    return _recent(spark, d, _fused(spark, d)[1]).withColumn("similarity", F.round("similarity", 5))
+
+
+def _varied(spark: SparkSession, d: str) -> tuple[World, DataFrame]:
+    w, fused = _fused(spark, d)
+    order = lambda: hybrid.ranked(hybrid.nudge(hybrid.normalise(fused), _recent(spark, d, fused)))
+    primary = A.movies(spark, d).select("movie_id", F.get("genres", F.lit(0)).alias("genre"))
+    return w, _once(spark, d, "varied", lambda: hybrid.diversify(order(), primary))
 
 
 def _rankings(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -115,20 +180,22 @@ def _longs(df: DataFrame, *columns: str) -> DataFrame:
 
 @query("k1_fusion", sql("SELECT request_id, movie_id, round(score, 9) AS score, has_cf, has_cb FROM hy_fused"))
 def fusion(spark: SparkSession, d: str) -> DataFrame:
-    fused = _fused(spark, d)[2]
+    fused = _fused(spark, d)[1]
     return fused.select("request_id", "movie_id", F.round("score", 9).alias("score"), F.array_contains("sources", "cf").alias("has_cf"), F.array_contains("sources", "cb").alias("has_cb"))
 
 
 @query("k3_diversified", sql("SELECT request_id, rank, movie_id, round(score, 6) AS score FROM hy_varied"))
 def diversified(spark: SparkSession, d: str) -> DataFrame:
-    return _longs(_varied(spark, d)[2].select("request_id", "rank", "movie_id", F.round("score", 6).alias("score")), "rank")
+    return _longs(_varied(spark, d)[1].select("request_id", "rank", "movie_id", F.round("score", 6).alias("score")), "rank")
 
 
-def _filled(spark: SparkSession, d: str) -> DataFrame:
-    requests, excluded, varied = _varied(spark, d)
+def _filled(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    """Lists of all customers, filled up from the tiers; unless ``whole``, fused lists are cut to lengths from 0 to 20 first, so that each tier is met."""
+    w, varied = _varied(spark, d)
     top, genres = _rankings(spark, d)
-    tiers = hybrid.tier_rows(requests, None, genres.filter("rank <= 8"), top)
-    return hybrid.backfill(varied.filter(F.col("rank") <= F.col("request_id") % 23), tiers, excluded, requests)
+    tiers = hybrid.tier_rows(w.requests, None, genres.filter("rank <= 8"), top)
+    own = varied if whole else varied.filter(F.col("rank") <= F.col("request_id") % 23)
+    return hybrid.backfill(own, tiers, w.seen, w.requests)
 
 
 @query("k5_hybrid", sql("""SELECT request_id, rank, movie_id, round(score, 6) AS score, level, CASE WHEN tier = 0 THEN CASE WHEN has_cf THEN 'similar_users' ELSE 'similar_to_onboarding' END WHEN tier = 2 THEN 'genre_match' ELSE 'top_rated' END AS reason FROM hy_filled"""))
@@ -161,39 +228,40 @@ def routing(spark: SparkSession, d: str) -> DataFrame:
     return hybrid.route(hybrid.validate_requests(asks), known).select("request_id", "error", F.col("items").cast("int").alias("items"), "scenario")
 
 
-@query("k7_guest_response", sql("SELECT * FROM (SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY rank) AS rank, movie_id FROM hy_requests, top_rated WHERE (request_id, movie_id) NOT IN (SELECT request_id, movie_id FROM hy_excluded)) WHERE rank <= 20"))
+def _disliked(spark: SparkSession, d: str) -> DataFrame:
+    return collaborative.negatives(A.ratings(spark, d)).withColumnRenamed("user_id", "request_id")
+
+
+@query("k7_guest_response", sql("SELECT * FROM (SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY rank) AS rank, movie_id FROM (SELECT c_custkey AS request_id FROM customer WHERE c_custkey > 0), top_rated WHERE (request_id, movie_id) NOT IN (SELECT user_id, movie_id FROM ratings WHERE rating <= 2.5)) WHERE rank <= 20"))
 def guest_response(spark: SparkSession, d: str) -> DataFrame:
-    requests = _requests(spark, d)
-    return _longs(hybrid.guest_response(requests, _rankings(spark, d)[0], _excluded(requests)).select("request_id", "rank", "movie_id"), "rank")
+    requests = A.table(spark, d, "customer").filter("c_custkey > 0").select(F.col("c_custkey").alias("request_id"))
+    return _longs(hybrid.guest_response(requests, _rankings(spark, d)[0], _disliked(spark, d)).select("request_id", "rank", "movie_id"), "rank")
 
 
 @query("k8_onboarding_response", sql("""SELECT request_id, rank, movie_id, level, CASE WHEN tier = 0 THEN 'similar_to_onboarding' WHEN level = 2 THEN 'genre_match' ELSE 'top_rated' END AS reason FROM (
   SELECT *, max(tier) OVER (PARTITION BY request_id) AS level FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY tier, pos, movie_id) AS rank FROM (
     SELECT *, row_number() OVER (PARTITION BY request_id, movie_id ORDER BY tier, pos) AS k FROM (
-      SELECT request_id, 0 AS tier, rank AS pos, movie_id FROM on_ranked WHERE rank <= request_id % 21 AND movie_id <> 14
-      UNION ALL SELECT request_id, 2, rank, movie_id FROM onboarding JOIN genre_rated ON genre = 'PROMO' AND request_id % 2 = 0 WHERE rank <= 6 AND movie_id <> 14
-      UNION ALL SELECT request_id, 3, rank, movie_id FROM onboarding, top_rated WHERE movie_id <> 14)) WHERE k = 1) WHERE rank <= 20)"""))
+      SELECT request_id, 0 AS tier, rank AS pos, movie_id FROM (SELECT request_id, movie_id, row_number() OVER (PARTITION BY request_id ORDER BY rank) AS rank FROM (SELECT * FROM on_ranked WHERE rank <= request_id % 21) WHERE (request_id, movie_id) NOT IN (SELECT user_id, movie_id FROM ratings WHERE rating <= 2.5))
+      UNION ALL SELECT request_id, 2, rank, movie_id FROM onboarding JOIN genre_rated ON genre = 'PROMO' AND request_id % 2 = 0 WHERE rank <= 6 AND (request_id, movie_id) NOT IN (SELECT user_id, movie_id FROM ratings WHERE rating <= 2.5)
+      UNION ALL SELECT request_id, 3, rank, movie_id FROM onboarding, top_rated WHERE (request_id, movie_id) NOT IN (SELECT user_id, movie_id FROM ratings WHERE rating <= 2.5))) WHERE k = 1) WHERE rank <= 20)"""))
 def onboarding_response(spark: SparkSession, d: str) -> DataFrame:
     asks, ranked = onboarding_ranked(spark, d)
     top, genres = _rankings(spark, d)
     asks = asks.withColumn("preferred_genre", F.when(F.col("request_id") % 2 == 0, "promo"))
-    blocked = asks.select("request_id", F.lit(14).cast("long").alias("movie_id"))
+    blocked = _disliked(spark, d)
     tiers = hybrid.tier_rows(asks, None, genres.filter("rank <= 6"), top)
     out = hybrid.onboarding_response(ranked.filter(F.col("rank") <= F.col("request_id") % 21), asks, tiers, blocked)
     return _longs(out.select("request_id", "rank", "movie_id", "level", "reason"), "rank", "level")
 
 
-@query("k10_because_you_watched", sql("""WITH robin AS (SELECT request_id, place, movie_id, seed_id FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY rank, seed_pos) AS place FROM (
-  SELECT request_id, similar_movie_id AS movie_id, rank, seed_pos, seed_id, row_number() OVER (PARTITION BY request_id, similar_movie_id ORDER BY rank, seed_pos) AS n
-  FROM (SELECT c_custkey AS request_id, unnest([0, 1, 2]) AS seed_pos, unnest([c_custkey % 40 + 1, c_custkey % 60 + 50, 7]) AS seed_id FROM customer WHERE c_custkey > 0 AND c_custkey % 3 = 0) s JOIN nearby ON seed_id = movie_id
-  WHERE similar_movie_id NOT IN (s.request_id % 40 + 1, s.request_id % 60 + 50, 7)) WHERE n = 1) WHERE place <= 25 AND movie_id % 7 <> 0)
-SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY place) AS rank, movie_id, round(1 / place::DOUBLE, 6) AS score, seed_id FROM robin QUALIFY rank <= 20""").replace("\nWITH robin AS", ", robin AS", 1))
+@query("k10_because_you_watched", sql("""SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY place) AS rank, movie_id, round(1 / place::DOUBLE, 6) AS score, seed_id FROM (
+  SELECT * FROM robin WHERE place <= 25 AND (request_id, movie_id) NOT IN (SELECT user_id, movie_id FROM ratings WHERE rating <= 2.5)) QUALIFY rank <= 20
+UNION ALL SELECT request_id, rank, movie_id, round(1 / rank::DOUBLE, 6), NULL FROM (SELECT request_id, movie_id, row_number() OVER (PARTITION BY request_id ORDER BY t.rank) AS rank FROM (SELECT c_custkey AS request_id FROM customer WHERE c_custkey > 0), top_rated t
+  WHERE (request_id, movie_id) NOT IN (SELECT user_id, movie_id FROM ratings WHERE rating <= 2.5) AND request_id NOT IN (SELECT request_id FROM robin WHERE place <= 25 AND (request_id, movie_id) NOT IN (SELECT user_id, movie_id FROM ratings WHERE rating <= 2.5))) WHERE rank <= 20"""))
 def because_you_watched(spark: SparkSession, d: str) -> DataFrame:
-    s = seeds(spark, d)
-    robin = neighbours.round_robin(s, _similar(spark, d), 25)
-    requests = s.select("request_id").distinct()
-    blocked = requests.crossJoin(F.broadcast(A.movies(spark, d).filter("movie_id % 7 = 0").select("movie_id")))
-    out = hybrid.because_you_watched(robin, requests, _rankings(spark, d)[0], blocked)
+    robin = neighbours.round_robin(seeds(spark, d), _similar(spark, d), 25)
+    requests = A.table(spark, d, "customer").filter("c_custkey > 0").select(F.col("c_custkey").alias("request_id"))
+    out = hybrid.because_you_watched(robin, requests, _rankings(spark, d)[0], _disliked(spark, d))
     return _longs(out.select("request_id", "rank", "movie_id", F.round("score", 6).alias("score"), "seed_id"), "rank")
 
 
@@ -214,11 +282,7 @@ def evaluation_set(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _by_count(parts: DataFrame) -> DataFrame:
-    stats = rankings.movie_stats(parts.filter("split = 'train'"))
-    from pyspark.sql import Window as W
-
-    # A catalogue of items: its size is that of the item table, not of the interactions.
-    return stats.withColumn("rank", F.row_number().over(W.orderBy(F.desc("rating_count"), "movie_id"))).select("rank", "movie_id")
+    return rankings.by_count(rankings.movie_stats(parts.filter("split = 'train'")))
 
 
 @query("l3_popularity_metrics", sql("""SELECT count(*) AS users_scored, round(avg(CASE WHEN rank <= 10 THEN 1 ELSE 0 END), 6) AS hit_rate_10, round(sum(CASE WHEN rank <= 10 THEN 1 ELSE 0 END) / (count(*) * 10.0), 6) AS precision_10, round(avg(CASE WHEN rank <= 10 THEN 1 / log2(rank + 1) ELSE 0 END), 6) AS ndcg_10,
@@ -230,29 +294,72 @@ def popularity_metrics(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.metrics(evaluation.popular_for_all(_by_count(parts), targets, seen), targets)
 
 
-@query("l4_comparison", sql("""SELECT model, users_scored, hit_rate_10, round(items / (SELECT count(*) FROM movies)::DOUBLE, 6) AS coverage, CASE WHEN base > 0 THEN round(hit_rate_10 / base - 1, 6) END AS gain FROM (
-  SELECT *, max(CASE WHEN model = 'by_count' THEN hit_rate_10 END) OVER () AS base FROM (
-    SELECT 'by_count' AS model, count(*) AS users_scored, round(avg(CASE WHEN rank <= 10 THEN 1 ELSE 0 END), 6) AS hit_rate_10, (SELECT count(DISTINCT movie_id) FROM ev_lists) AS items FROM ev_targets t LEFT JOIN ev_lists l ON t.user_id = l.user_id AND target = movie_id
-    UNION ALL SELECT 'by_mean', count(*), round(avg(CASE WHEN rank <= 10 THEN 1 ELSE 0 END), 6), (SELECT count(DISTINCT movie_id) FROM ev_mean_lists) FROM ev_targets t LEFT JOIN ev_mean_lists l ON t.user_id = l.user_id AND target = movie_id))"""))
-def comparison(spark: SparkSession, d: str) -> DataFrame:
+_METRICS = ", ".join(f"round(avg(CASE WHEN rank <= {k} THEN 1 ELSE 0 END), 6) AS hit_rate_{k}, round(sum(CASE WHEN rank <= {k} THEN 1 ELSE 0 END) / (count(*) * {k}.0), 6) AS precision_{k}, round(avg(CASE WHEN rank <= {k} THEN 1 / log2(rank + 1) ELSE 0 END), 6) AS ndcg_{k}" for k in (10, 20))
+_MODELS = {"popularity_train": "SELECT user_id AS request_id, rank, movie_id FROM ev_lists", "collaborative": "SELECT * FROM hy_cf WHERE rank <= 20", "content": "SELECT * FROM hy_cb WHERE rank <= 20", "hybrid": "SELECT request_id, rank, movie_id FROM hy_whole"}
+CTES |= {
+    "model_lists": "\n  " + " UNION ALL ".join(f"SELECT '{m}' AS model, request_id AS user_id, rank, movie_id FROM ({q})" for m, q in _MODELS.items()),
+    "model_metrics": f"""
+  SELECT model, users_scored, hit_rate_10, ndcg_10, distinct_items FROM (SELECT u.model, count(*) AS users_scored, {_METRICS} FROM (SELECT DISTINCT model, user_id FROM model_lists) u JOIN ev_targets t USING (user_id)
+    LEFT JOIN model_lists l ON u.model = l.model AND t.user_id = l.user_id AND target = movie_id GROUP BY u.model)
+  JOIN (SELECT model, count(DISTINCT movie_id) AS distinct_items FROM model_lists WHERE user_id IN (SELECT user_id FROM ev_targets) GROUP BY model) USING (model)""",
+}
+
+
+def _held_out(rows: DataFrame, targets: DataFrame) -> DataFrame:
+    """Lists (request_id, rank, movie_id) of users who have a target."""
+    return rows.select(F.col("request_id").alias("user_id"), "rank", "movie_id").join(targets.select("user_id").distinct(), "user_id", "left_semi")
+
+
+@query("l2_content", sql("SELECT request_id AS user_id, rank, movie_id FROM hy_cb WHERE rank <= 20 AND request_id IN (SELECT user_id FROM ev_targets)"))
+def content_lists(spark: SparkSession, d: str) -> DataFrame:
+    parts = _parts(spark, d)
+    return _longs(_held_out(_world(spark, d).cb.filter("rank <= 20"), evaluation.evaluation_set(parts)[0]), "rank")
+
+
+@query("l2_hybrid", sql("SELECT request_id AS user_id, rank, movie_id, level FROM hy_whole WHERE request_id IN (SELECT user_id FROM ev_targets)"))
+def hybrid_lists(spark: SparkSession, d: str) -> DataFrame:
+    targets = evaluation.evaluation_set(_parts(spark, d))[0].select(F.col("user_id").alias("request_id")).distinct()
+    rows = _filled(spark, d, whole=True).join(targets, "request_id", "left_semi")
+    return _longs(rows.select(F.col("request_id").alias("user_id"), "rank", "movie_id", "level"), "rank", "level")
+
+
+def _model_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """(model, metrics) of four models over the users with a target."""
     parts = _parts(spark, d)
     targets, seen, _ = evaluation.evaluation_set(parts)
-    stats = rankings.movie_stats(parts.filter("split = 'train'"))
-    order = {"by_count": _by_count(parts), "by_mean": rankings.top_rated(stats, None, q=0.0, top=None)}
+    w = _world(spark, d)
+    lists = {"popularity_train": evaluation.popular_for_all(_by_count(parts), targets, seen), "collaborative": _held_out(w.cf.filter("rank <= 20"), targets), "content": _held_out(w.cb.filter("rank <= 20"), targets), "hybrid": _held_out(_filled(spark, d, whole=True), targets)}
     rows = None
-    for name, popular in order.items():
-        own = evaluation.metrics(evaluation.popular_for_all(popular, targets, seen), targets).withColumn("model", F.lit(name))
-        rows = own if rows is None else rows.unionByName(own)
-    return evaluation.comparison(rows, "by_count", A.movies(spark, d).count())
+    for name, own in lists.items():
+        tagged = own.select(F.lit(name).alias("model"), "user_id", F.col("rank").cast("long").alias("rank"), "movie_id")
+        rows = tagged if rows is None else rows.unionByName(tagged)
+    return evaluation.metrics(rows, targets, keys=("model",))
 
 
-@query("l5_weight_sweep")
+@query("l4_comparison", sql("""SELECT model, users_scored, hit_rate_10, round(distinct_items / (SELECT count(*) FROM movies)::DOUBLE, 6) AS coverage, CASE WHEN base > 0 THEN round(hit_rate_10 / base - 1, 6) END AS gain
+FROM model_metrics, (SELECT hit_rate_10 AS base FROM model_metrics WHERE model = 'popularity_train')"""))
+def comparison(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.comparison(_model_metrics(spark, d), "popularity_train", A.movies(spark, d).count())
+
+
+@query("l5_weight_sweep", sql(f"""SELECT cap, floor, pop, users_scored, hit_rate_10, precision_10, ndcg_10, hit_rate_20, precision_20, ndcg_20, distinct_items FROM (
+  WITH grid AS (SELECT unnest([0.0, 0.1, 0.25, 0.5, 0.75]) AS floor, pop FROM (SELECT unnest([0.0, 0.2]) AS pop)),
+  share AS (SELECT request_id, floor, pop, unnest(['cf', 'cb', 'pop']) AS source, unnest([least(n / 20.0, 1), 1 - (1 - floor) * least(n / 20.0, 1), pop]) AS w FROM va_requests, grid),
+  fused AS (SELECT request_id, floor, pop, movie_id, round(sum(w / (60 + place)), 12) AS score FROM va_placed JOIN share USING (request_id, source) WHERE w > 0 GROUP BY 1, 2, 3, 4),
+  scaled AS (SELECT *, CASE WHEN max(score) OVER r > min(score) OVER r THEN (score - min(score) OVER r) / (max(score) OVER r - min(score) OVER r) ELSE 1 END AS s FROM fused WINDOW r AS (PARTITION BY request_id, floor, pop)),
+  ordered AS (SELECT *, row_number() OVER (PARTITION BY request_id, floor, pop ORDER BY s DESC, movie_id) AS rank FROM scaled),
+  nth AS (SELECT o.*, row_number() OVER (PARTITION BY request_id, floor, pop, genres[1] ORDER BY rank) AS g FROM ordered o JOIN movies USING (movie_id)),
+  lists AS (SELECT request_id AS user_id, cap, floor, pop, movie_id, row_number() OVER (PARTITION BY request_id, cap, floor, pop ORDER BY cap > 0 AND g > cap, rank) AS rank FROM nth, (SELECT unnest([0, 4, 8]) AS cap) QUALIFY rank <= 20),
+  targets AS (SELECT user_id, movie_id AS target FROM parts WHERE split = 'validation' AND rating >= 4),
+  users AS (SELECT DISTINCT user_id, cap, floor, pop FROM lists),
+  scored AS (SELECT u.cap, u.floor, u.pop, count(*) AS users_scored, {_METRICS} FROM users u JOIN targets t USING (user_id) LEFT JOIN lists l ON l.user_id = u.user_id AND l.cap = u.cap AND l.floor = u.floor AND l.pop = u.pop AND l.movie_id = target GROUP BY 1, 2, 3),
+  items AS (SELECT cap, floor, pop, count(DISTINCT movie_id) AS distinct_items FROM lists WHERE user_id IN (SELECT user_id FROM targets) GROUP BY 1, 2, 3)
+  SELECT * FROM scored JOIN items USING (cap, floor, pop))"""))
 def weight_sweep(spark: SparkSession, d: str) -> DataFrame:
-    requests = _requests(spark, d)
-    movies = A.movies(spark, d)
-    targets = requests.select(F.col("request_id").alias("user_id"), ((F.col("request_id") * 31 + 3 * 104729) % 400 + 1).alias("target"))
-    out = evaluation.weight_sweep(_candidates(requests), requests, _excluded(requests), movies.select("movie_id", F.get("genres", F.lit(0)).alias("genre")), targets)
-    return out
+    parts = _parts(spark, d)
+    w = _world(spark, d, "validation")
+    targets = evaluation.evaluation_set(parts, "validation")[0]
+    return evaluation.weight_sweep(w.candidates, w.requests, w.seen, A.movies(spark, d).select("movie_id", F.get("genres", F.lit(0)).alias("genre")), targets)
 
 
 @query("i1_training_matrix", sql("SELECT user_id, movie_id, round(least(greatest((rating - 3.5) / 1.5, 0), 1), 6) AS w, round(1 + 40 * least(greatest((rating - 3.5) / 1.5, 0), 1), 6) AS confidence FROM (SELECT *, count(*) OVER (PARTITION BY movie_id) AS n FROM ratings WHERE rating >= 4) WHERE n >= 5"))
@@ -284,7 +391,7 @@ def negatives(spark: SparkSession, d: str) -> DataFrame:
 @query("i2_als_recommendations")
 def als_recommendations(spark: SparkSession, d: str) -> DataFrame:
     parts = _parts(spark, d)
-    model = collaborative.train_implicit(collaborative.training_matrix(parts.filter("split = 'train'")), rank=16, iterations=5)
+    model = collaborative.train_implicit(collaborative.training_matrix(parts.filter("split = 'train'")))
     targets, seen, _ = evaluation.evaluation_set(parts)
     return collaborative.recommend(targets.select("user_id"), model.userFactors, model.itemFactors, seen, 20)
 
@@ -292,15 +399,18 @@ def als_recommendations(spark: SparkSession, d: str) -> DataFrame:
 @query("i3_explicit_predictions")
 def explicit_predictions(spark: SparkSession, d: str) -> DataFrame:
     parts = _parts(spark, d)
-    model = collaborative.train_explicit(parts.filter("split = 'train'"), rank=10, iterations=5)
+    model = collaborative.train_explicit(parts.filter("split = 'train'"))
     return model.transform(parts.filter("split = 'test'").select(F.col("user_id").cast("int"), F.col("movie_id").cast("int"), "rating"))
 
 
-@query("j9_promotion_gate", sql("""SELECT n >= 100 AS enough_users, true AS beats_popularity, true AS not_worse_than_previous, n / 400.0 < 0.8 OR n / 400.0 > 1.25 AS protocol_mismatch, n >= 100 AS promote FROM (SELECT count(*) AS n FROM ev_targets)"""))
+@query("j9_promotion_gate", sql("""SELECT a.users_scored >= 1000 AS enough_users, a.hit_rate_10 > b.hit_rate_10 AS beats_popularity, a.hit_rate_10 >= c.hit_rate_10 * 0.95 AS not_worse_than_previous,
+  a.users_scored / c.users_scored::DOUBLE < 0.8 OR a.users_scored / c.users_scored::DOUBLE > 1.25 AS protocol_mismatch, a.users_scored >= 1000 AND a.hit_rate_10 > b.hit_rate_10 AND a.hit_rate_10 >= c.hit_rate_10 * 0.95 AS promote
+FROM model_metrics a, model_metrics b, model_metrics c WHERE a.model = 'hybrid' AND b.model = 'popularity_train' AND c.model = 'content'"""))
 def promotion_gate(spark: SparkSession, d: str) -> DataFrame:
-    n = evaluation.evaluation_set(_parts(spark, d))[0].agg(F.count("*").alias("users_scored"))
-    row = lambda users, hit: n.select(users.alias("users_scored"), F.lit(hit).alias("hit_rate_10"))
-    return feedback.promotion_gate(row(F.col("users_scored"), 0.1), row(F.col("users_scored"), 0.03), row(F.lit(400), 0.1049), least_users=100)
+    """The hybrid model against popularity, the content model standing for the one before."""
+    found = _model_metrics(spark, d).persist()
+    side = lambda name: found.filter(F.col("model") == name)
+    return feedback.promotion_gate(side("hybrid"), side("popularity_train"), side("content"))
 
 
 @query("m4_daily_ignored", sql("SELECT date_trunc('day', timestamp) AS day, reason, event_type, count(*) AS n FROM weighed WHERE reason IS NOT NULL GROUP BY 1, 2, 3"))
@@ -310,30 +420,29 @@ def daily_ignored(spark: SparkSession, d: str) -> DataFrame:
 
 @query("m2_live_profile", sql("SELECT user_id, movie_id, score, events_counted, types FROM profile"))
 def live_profile(spark: SparkSession, d: str) -> DataFrame:
-    """The event table read as a stream of files, run to its end; the last profile of each user."""
-    name = f"live_{uuid.uuid4().hex}"
+    """The event table read as a stream of files, run to its end; the last profile of each user.
+
+    Each batch's profiles are written to the shared folder, so nothing but the query's progress is on the driver.
+    """
     # A stream's source is a folder or a pattern; this pattern names the one file.
     base = spark.readStream.schema(A.table(spark, d, "events").schema).parquet(f"{d}/events.parque[t]")
     events = A.as_events(base)
     conf = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        q = streams.live_profiles(events, A.AS_OF).writeStream.format("memory").queryName(name).outputMode("update").trigger(availableNow=True).start()
-        q.awaitTermination()
+        return streams.run_profiles(streams.live_profiles(events, A.AS_OF), A.scratch_folder(spark, "live"))
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", conf)
-    return spark.table(name)
 
 
 @query("n5_batch_recommend")
 def batch_recommend(spark: SparkSession, d: str) -> DataFrame:
     """Guests, new and returning users in one table, with factors trained on the ratings."""
-    from .content_queries import movie_space
     from .jobs import recommend
 
     c = F.col("c_custkey")
     none = F.array().cast("array<string>")
-    asks = A.table(spark, d, "customer").filter("c_custkey > 0 and c_custkey % 10 = 1").select(
+    asks = A.table(spark, d, "customer").filter("c_custkey > 0").select(
         c.alias("request_id"),
         c.cast("string").alias("user_id"),
         F.when(c % 3 == 0, "guest").when(c % 3 == 1, "onboarding_user").otherwise("returning_user").alias("scenario_hint"),
@@ -342,7 +451,7 @@ def batch_recommend(spark: SparkSession, d: str) -> DataFrame:
         F.when(c % 2 == 0, F.array(F.lit("ECONOMY"))).otherwise(none).alias("selected_genres"),
         F.lit("promo").alias("preferred_genre"),
     )
-    model = collaborative.train_implicit(collaborative.training_matrix(A.ratings(spark, d)), rank=8, iterations=3)
+    model = collaborative.train_implicit(collaborative.training_matrix(A.ratings(spark, d)))
     vectors, vocabulary = movie_space(spark, d)
     top, genres = _rankings(spark, d)
     return recommend(asks, A.events(spark, d), A.movies(spark, d), model.userFactors, model.itemFactors, vectors, vocabulary, top, genres, A.as_of())

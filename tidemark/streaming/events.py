@@ -74,6 +74,19 @@ def live_profiles(events: DataFrame, as_of: str, settings: EventSettings | None
     return good.groupBy("user_id").transformWithStateInPandas(statefulProcessor=processor, outputStructType=_PROFILE, outputMode="Update", timeMode="None")
 
 
+def run_profiles(profiles: DataFrame, folder: str) -> DataFrame:
+    """Runs a stream of profiles over all its input, each batch written below ``folder``; the last profile of each user."""
+    spark = profiles.sparkSession
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/profiles/batch={number}")
+
+    profiles.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/progress").outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    written = spark.read.schema(T.StructType([*T._parse_datatype_string(_PROFILE).fields, T.StructField("batch", T.LongType())])).parquet(f"{folder}/profiles")
+    last = written.groupBy("user_id").agg(F.max("batch").alias("batch"))
+    return written.join(last, ["user_id", "batch"]).drop("batch")
+
+
 def merge_into(path_of: Callable[[int], str], policy: str = "prefer_rating") -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function that merges training rows into the interactions at ``path_of(batch - 1)``.
 
