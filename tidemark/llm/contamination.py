@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .batches import ALNUM, chunks, free_name, lower_ascii, map_arrow, narrow, runs, texts, with_columns, word_hashes, words
+from .scratch import cut
 
 #: Windows in one broadcast (some 60 MB at most with ten words each).
 BLOCK = 400_000
@@ -109,7 +110,7 @@ def with_hits(df: DataFrame, benchmark: DataFrame, width: int = 10, text: str =
     The item ids are taken as strings; an item without an id counts as the item "".
     """
     spark = df.sparkSession
-    windows = item_windows(benchmark, width, item_id, item_text).withColumn("item", F.coalesce("item", F.lit(""))).distinct()
+    windows = cut(item_windows(benchmark, width, item_id, item_text).withColumn("item", F.coalesce("item", F.lit(""))).distinct())  # counted, then read by block
     blocks = max(1, -(-windows.count() // block))
     out, before = df, []
     for k in range(blocks):
@@ -117,7 +118,7 @@ def with_hits(df: DataFrame, benchmark: DataFrame, width: int = 10, text: str =
         sent = spark.sparkContext.broadcast(part.collect())
         out = with_columns(out, text, _HITS, _pass(_lazy(sent)))
         if k < blocks - 1:
-            before.append((f"__hits{k}__", f"__items{k}__"))
+            before.append((free_name(df, f"__hits{k}__"), free_name(df, f"__items{k}__")))
             out = out.withColumnsRenamed({"__hits__": before[-1][0], "__items__": before[-1][1]})
     if before:
         # Spans of several passes: joined, then merged by the positions they cover.

@@ -1,7 +1,7 @@
 """Lineage cuts and scratch tables in the folder that driver and executors share.
 
-``spark.checkpoint.dir`` names that folder.  Only where a session has none (unit
-tests, a laptop) is a temporary one made.
+``spark.checkpoint.dir`` names that folder.  Only where a session has none and its master is local
+(unit tests, a laptop) is a temporary one made.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
     if base is None:
         base = context.getCheckpointDir()
     if base is None:
+        if not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(base)

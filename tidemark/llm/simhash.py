@@ -230,7 +230,7 @@ WIDE_DISTANCE = 57
 #: Of the 64 bits of the word by which a pair was found.
 WORD_DISTANCE = 17
 #: Rows of a candidate group that one task compares at most.
-GROUP = 1024
+GROUP = 4096
 _SHORT_TAG = WORDS * 3
 
 
@@ -315,7 +315,7 @@ def _entries(prints: DataFrame, changes: int) -> DataFrame:
     return rows.select("id", (value + F.shiftleft(t.cast("long"), 56)).alias("key"), word.alias("word"))
 
 
-def wide_links(prints: DataFrame, distance: int = WIDE_DISTANCE, word_distance: int = WORD_DISTANCE, bucket: int = 32, block: int = GROUP) -> DataFrame:
+def wide_links(prints: DataFrame, distance: int = WIDE_DISTANCE, word_distance: int = WORD_DISTANCE, bucket: int = 32, block: int = 1024) -> DataFrame:
     """(a, b): candidate links between rows of ``prints`` (id long, words, masks, keys) within ``distance`` bits in all.
 
     Crowded buckets are treated as in ``links``.
@@ -421,12 +421,18 @@ def _decoded(column: pa.Array | pd.Series) -> list[np.ndarray]:
 
 def _labels(ids: list[int], links: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """(id, least id of its component) of each id."""
-    root = {i: i for i in ids}
+    above = {i: i for i in ids}
+
+    def root(i: int) -> int:
+        while above[i] != i:
+            above[i] = above[above[i]]
+            i = above[i]
+        return i
+
     for a, b in links:
-        low, high = sorted((root[a], root[b]))
-        if low != high:  # few: a group's links make a forest
-            root = {i: low if r == high else r for i, r in root.items()}
-    return list(root.items())
+        low, high = sorted((root(a), root(b)))
+        above[high] = low
+    return [(i, root(i)) for i in ids]
 
 
 def verified_groups(docs: DataFrame, groups: DataFrame, shingle: int, least: float, distance: int, group: int) -> DataFrame:

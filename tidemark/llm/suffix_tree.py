@@ -74,16 +74,16 @@ def _spot(codes: np.ndarray) -> np.ndarray:
 
 
 def count_contexts(rows: DataFrame, depths: list[int], allowed: np.ndarray | None = None) -> DataFrame:
-    """(depth, key, n) over all ``rows`` (text); ``allowed``: only contexts among these (or, rarely, beside them)."""
+    """(depth, key, n) over all ``rows`` (text); ``allowed``: only contexts among these."""
     fields = T.StructType([T.StructField("depth", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("n", T.LongType())])
     sent = None
     if allowed is not None:
         filter_ = np.zeros(1 << 22, bool)
         filter_[_spot(allowed)] = True
-        sent = rows.sparkSession.sparkContext.broadcast(np.packbits(filter_))
+        sent = rows.sparkSession.sparkContext.broadcast((np.packbits(filter_), np.sort(allowed)))
 
     def each(batches):  # noqa: ANN001, ANN202
-        ok = np.unpackbits(sent.value).astype(bool) if sent is not None else None
+        ok, exact = (np.unpackbits(sent.value[0]).astype(bool), sent.value[1]) if sent is not None else (None, None)
         kept: dict[int, list] = {d: [] for d in depths}
 
         def shrink(d: int) -> None:
@@ -101,7 +101,12 @@ def count_contexts(rows: DataFrame, depths: list[int], allowed: np.ndarray | Non
                     keys = _keys(symbols, d)
                     if ok is not None:
                         keys = keys[ok[_spot(keys >> np.uint64(8))]]
-                    kept[d].append(np.unique(keys, return_counts=True))
+                    keys, n = np.unique(keys, return_counts=True)
+                    if ok is not None:  # the bit table lets some others pass
+                        context = keys >> np.uint64(8)
+                        good = exact[np.minimum(np.searchsorted(exact, context), len(exact) - 1)] == context
+                        keys, n = keys[good], n[good]
+                    kept[d].append((keys, n))
                     if sum(len(k) for k, _ in kept[d]) > 1_000_000:
                         shrink(d)
         for d in depths:
@@ -235,10 +240,8 @@ def fit(training: DataFrame, depth: int = 6, p_min: float = 1e-5, divergence: fl
         allowed = keys[n >= p_min * total]
         if not total or not len(allowed):
             break
-        got = count_contexts(training, [d], allowed).toPandas()
-        keys, n = got["key"].to_numpy().astype(np.int64).view(np.uint64), got["n"].to_numpy().astype(np.int64)
-        good = np.isin(keys >> np.uint64(8), allowed)
-        tables[d] = keys[good], n[good]
+        got = count_contexts(training, [d], allowed).toPandas()  # at most 256 rows for each of 1 / p_min contexts
+        tables[d] = got["key"].to_numpy().astype(np.int64).view(np.uint64), got["n"].to_numpy().astype(np.int64)
     return grow(tables, p_min, divergence, strength)
 
 
