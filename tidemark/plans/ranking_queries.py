@@ -343,7 +343,7 @@ def comparison(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("l5_weight_sweep", sql(f"""SELECT cap, floor, pop, users_scored, hit_rate_10, precision_10, ndcg_10, hit_rate_20, precision_20, ndcg_20, distinct_items FROM (
-  WITH grid AS (SELECT unnest([0.0, 0.1, 0.25, 0.5, 0.75]) AS floor, pop FROM (SELECT unnest([0.0, 0.2]) AS pop)),
+  WITH grid AS (SELECT unnest([0.0, 0.1, 0.25, 0.5, 0.75]::DOUBLE[]) AS floor, pop FROM (SELECT unnest([0.0, 0.2]::DOUBLE[]) AS pop)),
   share AS (SELECT request_id, floor, pop, unnest(['cf', 'cb', 'pop']) AS source, unnest([least(n / 20.0, 1), 1 - (1 - floor) * least(n / 20.0, 1), pop]) AS w FROM va_requests, grid),
   fused AS (SELECT request_id, floor, pop, movie_id, round(sum(w / (60 + place)), 12) AS score FROM va_placed JOIN share USING (request_id, source) WHERE w > 0 GROUP BY 1, 2, 3, 4),
   scaled AS (SELECT *, CASE WHEN max(score) OVER r > min(score) OVER r THEN (score - min(score) OVER r) / (max(score) OVER r - min(score) OVER r) ELSE 1 END AS s FROM fused WINDOW r AS (PARTITION BY request_id, floor, pop)),
