@@ -219,16 +219,18 @@ def _with_least(named: DataFrame, name: str) -> DataFrame:
 # Texts of at most SHORT shingles have too few votes; they are found by shared shingles too: of
 # two with a similarity of 0.8 or more both have one in their first n - ceil(0.8 n) + 1 by hash.
 #
-# What is fetched must be near in that word and over all WORDS x 64 bits.  Pairs that pass
+# What is fetched must be near in 64 bits that the key doesn't hold (the rest of that word, and the next
+# word's bits in the segment's place), then over all WORDS x 64 bits.  Pairs that pass
 # make candidate groups; within these, the exact Jaccard similarity of the sets of shingles decides.
+# Families are contracted first by their equal segment values, so that no family is paired with itself.
 
 WORDS = 4
 FLIPS = 4
 SHORT = 32
 #: Of 256 bits: the mean at similarity 0.8 (37) and three and a half standard deviations.
 WIDE_DISTANCE = 57
-#: Of the 64 bits of the word by which a pair was found.
-WORD_DISTANCE = 17
+#: Of the 64 bits beside a key: the mean at similarity 0.8 (9.3) and nearly three and a half standard deviations.
+WORD_DISTANCE = 19
 #: Rows of a candidate group that one task compares at most.
 GROUP = 4096
 _SHORT_TAG = WORDS * 3
@@ -250,15 +252,15 @@ _keys = mix(np.arange(1, WORDS + 1, dtype=np.uint64))
 
 
 def _wide(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(number of shingles and WORDS fingerprints; FLIPS masks of each segment's most even bits) of each set."""
+    """(number of shingles and WORDS fingerprints; the places of each segment's FLIPS most even bits) of each set."""
     n = np.array([len(x) for x in sets], np.int64)
     votes = np.stack([ones(mix(x[:, None] ^ _keys)) for x in sets]) if len(sets) else np.zeros((0, WORDS, 64), np.int64)
     margin = 2 * votes - n[:, None, None]
     prints = np.packbits(margin > 0, axis=2, bitorder="little").view(np.int64)[:, :, 0]
-    masks = np.empty((len(sets), WORDS, 3, FLIPS), np.int64)
+    masks = np.empty((len(sets), WORDS, 3, FLIPS), np.int8)
     for k, (low, width, _) in enumerate(_segments(2, 3)):
         even = np.argsort(np.abs(margin[:, :, low : low + width]), axis=2, kind="stable")[:, :, :FLIPS]
-        masks[:, :, k] = 1 << even
+        masks[:, :, k] = even
     return np.concatenate([n[:, None], prints], axis=1), masks.reshape(len(sets), -1)
 
 
@@ -290,8 +292,7 @@ def with_wide_fingerprint(df: DataFrame, text: str = "text", shingle: int = 5) -
         ends = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
         return [_lists(np.concatenate(wide)), _lists(np.concatenate(masks)), pa.ListArray.from_arrays(ends, np.concatenate([*keys, np.zeros(0, np.int64)]))]
 
-    longs = T.ArrayType(T.LongType())
-    return with_columns(df, text, T.StructType([T.StructField(c, longs) for c in ("words", "masks", "keys")]), column)
+    return with_columns(df, text, T._parse_datatype_string("words array<long>, masks array<byte>, keys array<long>"), column)
 
 
 def _wide_near(x: str, y: str, distance: int) -> F.Column:
@@ -300,55 +301,103 @@ def _wide_near(x: str, y: str, distance: int) -> F.Column:
 
 
 def _entries(prints: DataFrame, changes: int) -> DataFrame:
-    """(id, key, word): each segment's value (``changes`` 1), or the values made by each other choice of its FLIPS masks."""
+    """(id, root, key, word): each segment's value (``changes`` 1), or the values made by each other choice of its FLIPS bits.
+
+    ``word``: the 64 bits that go with the key, without the segment's own.
+    """
     cuts = _segments(2, 3)
     q = F.col("q")
     t = F.floor(q / changes).cast("int") if changes > 1 else q
     of = lambda values: F.element_at(F.array(*[F.lit(v) for v in values] * WORDS), t + 1)
-    word = F.get("words", F.floor(t / 3).cast("int") + 1)
+    place = F.floor(t / 3).cast("int")
+    word, beside = F.get("words", place + 1), F.get("words", (place + 1) % WORDS + 1)
     value = F.call_function("shiftrightunsigned", word, of([low for low, _, _ in cuts])).bitwiseAND(of([(1 << width) - 1 for _, width, _ in cuts]))
     if changes > 1:
         i = q % changes + 1
         for f in range(FLIPS):
-            value = value.bitwiseXOR(F.when(i.bitwiseAND(F.lit(1 << f)) != 0, F.get("masks", t * FLIPS + f)).otherwise(F.lit(0).cast("long")))
-    rows = prints.select("id", "words", "masks", F.explode(F.sequence(F.lit(0), F.lit(WORDS * 3 * changes - 1))).alias("q"))
-    return rows.select("id", (value + F.shiftleft(t.cast("long"), 56)).alias("key"), word.alias("word"))
+            bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.get("masks", t * FLIPS + f).cast("int"))
+            value = value.bitwiseXOR(F.when(i.bitwiseAND(F.lit(1 << f)) != 0, bit).otherwise(F.lit(0).cast("long")))
+    masks = [((1 << width) - 1) << low for low, width, _ in cuts]
+    own = of([m - (1 << 64) if m >> 63 else m for m in masks])
+    rest = word.bitwiseXOR(word.bitwiseXOR(beside).bitwiseAND(own))
+    rows = prints.select("id", "root", "words", "masks", F.explode(F.sequence(F.lit(0), F.lit(WORDS * 3 * changes - 1))).alias("q"))
+    return rows.select("id", "root", (value + F.shiftleft(t.cast("long"), 56)).alias("key"), rest.alias("word"))
+
+
+def _table(prints: DataFrame) -> DataFrame:
+    """The entries that are looked up: segment values, and shingles of short texts."""
+    short = prints.select("id", "root", F.explode("keys").alias("key"), F.lit(0).cast("long").alias("word"))
+    return _entries(prints, 1).unionByName(short)
+
+
+def _confirmed(pairs: DataFrame, prints: DataFrame, distance: int) -> DataFrame:
+    """The pairs (a, b) that are near over all bits."""
+    side = lambda of, name: prints.select(F.col("id").alias(of), F.col("words").alias(name))
+    return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").filter(_wide_near("x", "y", distance)).select("a", "b")
+
+
+def _families(prints: DataFrame, distance: int, near: F.Column) -> DataFrame:
+    """``prints`` and ``root``: groups by the links of each row to the least id of its segment values' buckets."""
+    table = _table(prints.withColumn("root", F.lit(None).cast("long"))).drop("root")
+    heads = table.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("id", "word")).alias("head")).filter("n > 1")
+    beside = skew_join(table, heads.select("key", F.col("head.id").alias("leader"), F.col("head.word").alias("v")), "key")
+    pairs = beside.filter((F.col("id") != F.col("leader")) & near).select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
+    linked = connected_components(_confirmed(pairs, prints, distance)).withColumnRenamed("node", "id")
+    return cut(prints.join(linked, "id", "left").withColumn("root", F.coalesce("root", "id")))
 
 
 def wide_links(prints: DataFrame, distance: int = WIDE_DISTANCE, word_distance: int = WORD_DISTANCE, bucket: int = 32, block: int = 1024) -> DataFrame:
     """(a, b): candidate links between rows of ``prints`` (id long, words, masks, keys) within ``distance`` bits in all.
 
-    Crowded buckets are treated as in ``links``.
+    Their components are those of all pairs found.  First each row is linked to the least id of its own buckets;
+    what that connects is looked up no more among itself.  In buckets over ``bucket`` the rows not connected or near to the
+    bucket's leader are held against all others, in blocks of about ``block``.
     """
-    short = prints.select("id", F.explode("keys").alias("key"), F.lit(0).cast("long").alias("word"))
-    table = cut(_entries(prints, 1).unionByName(short))
-    probes = _entries(prints, (1 << FLIPS) - 1)
-    crowded = cut(table.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("leader")).filter(F.col("n") > bucket).drop("n"))
+    near = F.bit_count(F.col("word").bitwiseXOR(F.col("v"))) <= word_distance
+    prints = _families(prints, distance, near)
+    known = prints.filter("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))
+    table, probes = _table(prints), _entries(prints, (1 << FLIPS) - 1)
+    crowded = cut(table.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("id", "root")).alias("head")).filter(F.col("n") > bucket).select("key", F.col("head.id").alias("leader"), F.col("head.root").alias("family")))
     n_crowded = crowded.count()
     marked = F.broadcast(crowded) if n_crowded <= BROADCAST_ROWS else crowded
-    own = table.join(marked, "key", "left_anti").select("key", F.col("id").alias("b"), F.col("word").alias("v"))
-    near = F.bit_count(F.col("word").bitwiseXOR(F.col("v"))) <= word_distance
-    same = own.select("key", F.col("b").alias("a"), F.col("v").alias("word")).join(own, "key").filter((F.col("a") < F.col("b")) & near).select("a", "b")
-    beside = probes.withColumnRenamed("id", "a").join(own, "key").filter((F.col("a") != F.col("b")) & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = same.unionByName(beside).distinct()
-    full = pairs.join(prints.select(F.col("id").alias("a"), F.col("words").alias("x")), "a").join(prints.select(F.col("id").alias("b"), F.col("words").alias("y")), "b")
-    cold = full.filter(_wide_near("x", "y", distance)).select("a", "b")
+    own = table.join(marked, "key", "left_anti").select("key", F.col("id").alias("b"), F.col("word").alias("v"), F.col("root").alias("other"))
+    apart = (F.col("root") != F.col("other")) & near
+    same = own.select("key", F.col("b").alias("a"), F.col("v").alias("word"), F.col("other").alias("root")).join(own, "key").filter((F.col("a") < F.col("b")) & apart).select("a", "b")
+    beside = probes.withColumnRenamed("id", "a").join(own, "key").filter(apart).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    cold = known.unionByName(_confirmed(same.unionByName(beside).distinct(), prints, distance))
     if not n_crowded:
         return cold
 
-    heads = crowded.join(prints.select(F.col("id").alias("leader"), F.col("words").alias("y")), "leader")
-    sides = table.select("key", "id", F.lit(True).alias("member")).unionByName(probes.select("key", "id", F.lit(False).alias("member")))
-    sides = inner_lookup(sides, heads, "key", n_crowded, limit=BROADCAST_ROWS // 4).join(prints.select("id", F.col("words").alias("x")), "id")
-    sides = cut(sides.select("key", "id", "member", "leader", F.col("x").alias("words"), _wide_near("x", "y", distance).alias("near")))
-    attached = sides.filter(F.col("near") & (F.col("id") != F.col("leader"))).select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
-    dealt = pairs_of_blocks(sides.filter("member").select("key", "id", "words"), sides.filter("not near").select("key", "id", "words"), "key", "id", block)
+    heads = cut(crowded.join(prints.select(F.col("id").alias("leader"), F.col("words").alias("y")), "leader"))
+    limit = BROADCAST_ROWS // 4
+
+    def held(entries: DataFrame, heads: DataFrame) -> DataFrame:
+        rows = inner_lookup(entries.select("key", "id", "root"), heads, "key", n_crowded, limit=limit)
+        if "loose" in heads.columns:
+            rows = rows.filter("loose or root <> family")
+        rows = rows.join(prints.select("id", F.col("words").alias("x")), "id")
+        return cut(rows.select("key", "id", "leader", F.col("x").alias("words"), (F.col("root") == F.col("family")).alias("done"), ((F.col("root") == F.col("family")) | _wide_near("x", "y", distance)).alias("near")))
+
+    # Members that aren't connected to the leader make a bucket loose: only there must those that are be held against them.
+    members = held(table, heads)
+    loose = members.filter("not near").select("key").distinct().withColumn("loose", F.lit(True))
+    others = held(probes, heads.join(loose, "key", "left").withColumn("loose", F.coalesce("loose", F.lit(False))))
+    every = members.unionByName(others)
+    attached = every.filter("near and not done").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
+    columns = ["key", "id", "words"]
+    free = lambda rows: rows.filter("not near").select(*columns)
+    edge = T._parse_datatype_string("a long, b long")
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["side", "id"])
         made = _group_forest(rows["id"].to_numpy(), np.stack(rows["words"]).astype(np.int64), None, int((rows["side"] == 0).sum()), distance, 0.0)
         return pd.DataFrame(made, columns=["a", "b"]).astype("int64")
 
-    return cold.unionByName(attached).unionByName(dealt.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long"))
+    found = cold.unionByName(attached)
+    for left, right in ((every, free(members)), (members, free(others))):
+        dealt = pairs_of_blocks(left.select(*columns), right, "key", "id", block)
+        found = found.unionByName(dealt.groupBy("key", "i", "j").applyInPandas(compare, edge))
+    return found
 
 
 def similar(x: np.ndarray, y: np.ndarray, least: float) -> bool:
