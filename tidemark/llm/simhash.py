@@ -337,20 +337,20 @@ def _confirmed(pairs: DataFrame, prints: DataFrame, distance: int) -> DataFrame:
 
 
 def _families(prints: DataFrame, distance: int, near: F.Column) -> DataFrame:
-    """``prints`` and ``root``: groups by the links of each row to the least id of its segment values' buckets."""
+    """``prints`` and ``root``: the least of the rows that lead a bucket of its segment values and are near, else its own id."""
     table = _table(prints.withColumn("root", F.lit(None).cast("long"))).drop("root")
     heads = table.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("id", "word")).alias("head")).filter("n > 1")
     beside = skew_join(table, heads.select("key", F.col("head.id").alias("leader"), F.col("head.word").alias("v")), "key")
     pairs = beside.filter((F.col("id") != F.col("leader")) & near).select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
-    linked = connected_components(_confirmed(pairs, prints, distance)).withColumnRenamed("node", "id")
+    linked = _confirmed(pairs, prints, distance).groupBy(F.col("a").alias("id")).agg(F.min("b").alias("root"))
     return cut(prints.join(linked, "id", "left").withColumn("root", F.coalesce("root", "id")))
 
 
 def wide_links(prints: DataFrame, distance: int = WIDE_DISTANCE, word_distance: int = WORD_DISTANCE, bucket: int = 32, block: int = 1024) -> DataFrame:
     """(a, b): candidate links between rows of ``prints`` (id long, words, masks, keys) within ``distance`` bits in all.
 
-    Their components are those of all pairs found.  First each row is linked to the least id of its own buckets;
-    what that connects is looked up no more among itself.  In buckets over ``bucket`` the rows not connected or near to the
+    Their components are those of all pairs found.  First each row is linked to the least near leader of its own buckets;
+    rows of one such leader are looked up no more among themselves.  In buckets over ``bucket`` the rows not connected or near to the
     bucket's leader are held against all others, in blocks of about ``block``.
     """
     near = F.bit_count(F.col("word").bitwiseXOR(F.col("v"))) <= word_distance
