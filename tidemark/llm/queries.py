@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import boilerplate, bpe, contamination, fim, flac, language, lexical, licenses, quality, simhash, suffix_tree, training_order
+from . import boilerplate, bpe, contamination, fim, flac, hnsw, language, lexical, licenses, quality, simhash, suffix_tree, training_order
 from .scratch import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -158,3 +158,8 @@ WITH d AS (
 )
 SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 50
 """
+
+
+@_query
+def op12_graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.search(_table(spark, sf_dir, "embeddings"), every=50, top=5)
