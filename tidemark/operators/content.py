@@ -70,8 +70,8 @@ def transform(counts: DataFrame, vocabulary: DataFrame, key: str) -> DataFrame:
 
 
 def _unit(rows: DataFrame, key: str) -> DataFrame:
-    length = rows.groupBy(key).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("length")).filter("length > 0")
-    return rows.join(length, key).withColumn("weight", F.col("weight") / F.col("length")).drop("length")
+    length = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(W.partitionBy(key)))
+    return rows.withColumn("__length__", length).filter("__length__ > 0").withColumn("weight", F.col("weight") / F.col("__length__")).drop("__length__")
 
 
 def onboarding_profile(requests: DataFrame, vectors: DataFrame, vocabulary: DataFrame, movie_share: float = 0.7) -> DataFrame:
@@ -79,17 +79,21 @@ def onboarding_profile(requests: DataFrame, vectors: DataFrame, vocabulary: Data
 
     The mean of the selected movies' unit vectors and the vector of the genre tokens, weighed
     0.7 and 0.3 where both are there; unknown movies are passed over; unit length.
+
+    One row a request and term with both sides' weights, whose lengths are taken in one window.
     """
+    none = F.lit(None).cast("double")
     picks = requests.select("request_id", F.explode(F.array_distinct("selected_movie_ids")).alias("movie_id"))
-    found = picks.join(vectors.select("movie_id").distinct(), "movie_id", "left_semi")
-    n = found.groupBy("request_id").agg(F.count("*").alias("n"))
-    movie = found.join(vectors, "movie_id").groupBy("request_id", "term").agg(F.sum("weight").alias("weight")).join(n, "request_id").withColumn("weight", F.col("weight") / F.col("n")).drop("n")
-    movie = _unit(movie, "request_id")
+    # The mean's direction is that of the sum.
+    movie = picks.join(vectors, "movie_id").select("request_id", "term", F.col("weight").alias("m"), none.alias("g"))
     tokens = requests.select("request_id", F.array_join(prefixed_tokens("genre", F.array_distinct("selected_genres")), " ").alias("text")).filter("text <> ''")
-    genre = transform(terms(tokens, "request_id", "text"), vocabulary, "request_id")
-    both = movie.select("request_id").distinct().join(genre.select("request_id").distinct(), "request_id").withColumn("both", F.lit(True))
-    share = lambda rows, s: rows.join(both, "request_id", "left").withColumn("weight", F.col("weight") * F.when(F.col("both"), s).otherwise(1.0)).drop("both")
-    mixed = share(movie, movie_share).unionByName(share(genre, 1 - movie_share)).groupBy("request_id", "term").agg(F.sum("weight").alias("weight"))
+    counts = terms(tokens, "request_id", "text").join(F.broadcast(vocabulary), "term")  # the vocabulary's size is bounded
+    genre = counts.select("request_id", "term", none.alias("m"), ((1 + F.log("tf")) * F.col("idf")).alias("g"))
+    sides = movie.unionByName(genre).groupBy("request_id", "term").agg(F.coalesce(F.sum("m"), F.lit(0.0)).alias("m"), F.coalesce(F.sum("g"), F.lit(0.0)).alias("g"))
+    length = lambda c: F.sqrt(F.sum(F.col(c) * F.col(c)).over(W.partitionBy("request_id")))
+    both = (F.col("lm") > 0) & (F.col("lg") > 0)
+    part = lambda c, l, s: F.when(F.col(l) > 0, F.col(c) / F.col(l) * F.when(both, s).otherwise(1.0)).otherwise(0.0)  # noqa: E731, E741
+    mixed = sides.withColumns({"lm": length("m"), "lg": length("g")}).select("request_id", "term", (part("m", "lm", movie_share) + part("g", "lg", 1 - movie_share)).alias("weight"))
     return _unit(mixed, "request_id")
 
 

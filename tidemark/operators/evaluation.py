@@ -77,22 +77,36 @@ def fallback_levels(rows: DataFrame) -> DataFrame:
     return rows.select("request_id", "level").distinct().groupBy("level").agg(F.count("*").alias("users"))
 
 
-def weight_sweep(candidates: DataFrame, requests: DataFrame, excluded: DataFrame, genres: DataFrame, targets: DataFrame, caps: Sequence[int] = (0, 4, 8), floors: Sequence[float] = (0.0, 0.1, 0.25, 0.5, 0.75), populars: Sequence[float] = (0.0, 0.2), top: int = 20) -> DataFrame:
-    """Metrics of each (cap, floor, pop): one job over all trials, candidates made once.
+def weight_sweep(candidates: DataFrame, requests: DataFrame, excluded: DataFrame, genres: DataFrame, targets: DataFrame, caps: Sequence[int] = (0, 4, 8), floors: Sequence[float] = (0.0, 0.1, 0.25, 0.5, 0.75), populars: Sequence[float] = (0.0, 0.2), top: int = 20, k: int = 60) -> DataFrame:
+    """Metrics of each (cap, floor, pop): candidates are made, cleared of ``excluded`` and placed once.
 
-    The request id of a trial is (user, trial), so the ranking operators serve all trials at once.
+    A row of a request and item holds its place in each source, and from these an array of the scores of all weights; only the
+    scores are laid out by trial.  The cap changes the order alone, so the places under all caps come from running counts
+    over one order: late items follow the others, both in their order.
     """
-    spark = candidates.sparkSession
-    grid = spark.createDataFrame([(c, float(f), float(p)) for c in caps for f in floors for p in populars], "cap int, floor double, pop double")
-    trials = F.broadcast(grid)
+    placed = hybrid.without(candidates, excluded).withColumn("place", F.row_number().over(W.partitionBy("request_id", "source").orderBy("rank", "movie_id")))
+    item = placed.groupBy("request_id", "movie_id").agg(*[F.min(F.when(F.col("source") == s, F.col("place"))).alias(f"p_{s}") for s in hybrid.SOURCES])
     share = F.least(F.col("n") / 20, F.lit(1.0))
-    key = lambda: F.struct("request_id", "cap", "floor", "pop")
-    weights = requests.crossJoin(trials).select(key().alias("request_id"), share.alias("cf"), (1 - (1 - F.col("floor")) * share).alias("cb"), "pop")
-    many = lambda df: df.crossJoin(trials).withColumn("request_id", key())
-    fused = hybrid.ranked(hybrid.normalise(hybrid.fuse(many(candidates).drop("cap", "floor", "pop"), weights, many(excluded).drop("cap", "floor", "pop"))))
-    out = None
-    for cap in caps:
-        own = hybrid.diversify(fused.filter(F.col("request_id.cap") == cap), genres, cap, top)
-        out = own if out is None else out.unionByName(own)
-    lists = out.select(F.col("request_id.request_id").alias("user_id"), F.col("request_id.cap").alias("cap"), F.col("request_id.floor").alias("floor"), F.col("request_id.pop").alias("pop"), "rank", "movie_id")
-    return metrics(lists, targets, (10, 20), ("cap", "floor", "pop"))
+    part = lambda w, s: F.when((w > 0) & F.col(f"p_{s}").isNotNull(), w / (k + F.col(f"p_{s}")))
+    known = lambda *xs: F.when(F.coalesce(*xs).isNotNull(), F.round(sum((F.coalesce(x, F.lit(0.0)) for x in xs), F.lit(0.0)), 12))
+    trial = lambda f, p: F.struct(F.lit(float(f)).alias("floor"), F.lit(float(p)).alias("pop"), known(part(share, "cf"), part(1 - (1 - f) * share, "cb"), part(F.lit(float(p)), "pop")).alias("score"))
+    scores = F.array(*[trial(f, p) for f in floors for p in populars])
+    each = item.join(requests.select("request_id", "n"), "request_id").join(genres.select("movie_id", "genre"), "movie_id", "left")
+    rows = each.select("request_id", "movie_id", "genre", F.explode(scores).alias("t")).select("request_id", "movie_id", "genre", "t.*").filter("score is not null")
+
+    lists = W.partitionBy("request_id", "floor", "pop")
+    low, high = F.min("score").over(lists), F.max("score").over(lists)
+    scaled = rows.withColumn("s", F.when(high > low, (F.col("score") - low) / (high - low)).otherwise(1.0)).drop("score")
+    ranked = scaled.withColumn("rank", F.row_number().over(lists.orderBy(F.desc("s"), "movie_id")))
+    nth = F.when(F.col("genre").isNotNull(), F.row_number().over(W.partitionBy("request_id", "floor", "pop", "genre").orderBy("rank"))).otherwise(0)
+    counted = ranked.withColumn("nth", nth)
+    upto = lists.orderBy("rank").rowsBetween(W.unboundedPreceding, W.currentRow)
+    late = lambda c: F.col("nth") > c if c > 0 else F.lit(False)
+    early = lambda c: F.when(late(c), 0).otherwise(1)
+    for c in caps:
+        counted = counted.withColumns({f"e{c}": F.sum(early(c)).over(upto), f"n{c}": F.sum(early(c)).over(lists)})
+    place = lambda c: F.when(late(c), F.col(f"n{c}") + F.col("rank") - F.col(f"e{c}")).otherwise(F.col(f"e{c}"))
+    places = F.filter(F.array(*[F.struct(F.lit(c).alias("cap"), place(c).alias("place")) for c in caps]), lambda x: x["place"] <= top)
+    out = counted.select("request_id", "floor", "pop", "movie_id", F.explode(places).alias("x"))
+    made = out.select(F.col("request_id").alias("user_id"), F.col("x.cap").alias("cap"), "floor", "pop", F.col("x.place").alias("rank"), "movie_id")
+    return metrics(made, targets, (10, 20), ("cap", "floor", "pop"))

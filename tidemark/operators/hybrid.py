@@ -31,6 +31,16 @@ class HybridSettings:
 DEFAULT = HybridSettings()
 
 
+def without(rows: DataFrame, excluded: DataFrame) -> DataFrame:
+    """``rows`` less the pairs (request_id, movie_id) of ``excluded``.
+
+    A request's excluded items meet its rows as one list (no longer than the catalogue), by the request alone: tables that
+    are bucketed by request stay where they are.
+    """
+    lists = excluded.groupBy("request_id").agg(F.collect_set("movie_id").alias("__gone__"))
+    return rows.join(lists, "request_id", "left").filter(F.col("__gone__").isNull() | ~F.array_contains("__gone__", F.col("movie_id"))).drop("__gone__")
+
+
 def fuse(candidates: DataFrame, weights: DataFrame, excluded: DataFrame, k: int = 60) -> DataFrame:
     """(request_id, movie_id, score, sources) by weighted reciprocal ranks.
 
@@ -38,10 +48,9 @@ def fuse(candidates: DataFrame, weights: DataFrame, excluded: DataFrame, k: int
     ``excluded``: (request_id, movie_id).  Ranks count after excluded items are gone; sources of
     weight zero are passed over.
     """
-    w = weights.select("request_id", F.explode(F.array(*[F.struct(F.lit(s).alias("source"), F.col(s).alias("w")) for s in SOURCES])).alias("x")).select("request_id", "x.*").filter("w > 0")
-    left = candidates.join(excluded.select("request_id", "movie_id").distinct(), ["request_id", "movie_id"], "left_anti")
-    again = left.withColumn("place", F.row_number().over(W.partitionBy("request_id", "source").orderBy("rank", "movie_id")))
-    points = again.join(w, ["request_id", "source"]).withColumn("points", F.col("w") / (k + F.col("place")))
+    again = without(candidates, excluded).withColumn("place", F.row_number().over(W.partitionBy("request_id", "source").orderBy("rank", "movie_id")))
+    own = F.coalesce(*[F.when(F.col("source") == s, F.col(s)) for s in SOURCES])
+    points = again.join(weights.select("request_id", *SOURCES), "request_id").withColumn("w", own).filter("w > 0").withColumn("points", F.col("w") / (k + F.col("place")))
     fused = points.groupBy("request_id", "movie_id").agg(F.round(F.sum("points"), 12).alias("score"), F.collect_set("source").alias("s"))
     return fused.select("request_id", "movie_id", "score", F.filter(F.array(*[F.lit(x) for x in SOURCES]), lambda x: F.array_contains("s", x)).alias("sources"))
 
@@ -54,7 +63,11 @@ def normalise(scored: DataFrame) -> DataFrame:
 
 def nudge(scored: DataFrame, similarity: DataFrame, weight: float = 0.15) -> DataFrame:
     """Scores raised by ``weight`` x similarity (request_id, movie_id, similarity)."""
-    rows = scored.join(similarity, ["request_id", "movie_id"], "left")
+    return nudged(scored.join(similarity, ["request_id", "movie_id"], "left"), weight)
+
+
+def nudged(rows: DataFrame, weight: float = 0.15) -> DataFrame:
+    """As ``nudge``, of rows that bear their ``similarity``."""
     return rows.withColumn("score", F.round(F.col("score") + weight * F.coalesce("similarity", F.lit(0.0)), 9)).drop("similarity")
 
 
@@ -84,7 +97,7 @@ def backfill(rows: DataFrame, tiers: DataFrame, blocked: DataFrame, requests: Da
     the deepest tier that added something (0: none).
     """
     own = rows.select("request_id", F.lit(0).alias("tier"), F.col("rank").alias("pos"), "movie_id", "score", "sources")
-    free = tiers.join(blocked.select("request_id", "movie_id").distinct(), ["request_id", "movie_id"], "left_anti")
+    free = without(tiers, blocked)
     more = free.select("request_id", "tier", "pos", "movie_id", F.lit(None).cast("double").alias("score"), F.array().cast("array<string>").alias("sources"))
     both = own.unionByName(more).join(requests.select("request_id"), "request_id", "left_semi")
     once = both.withColumn("n", F.row_number().over(W.partitionBy("request_id", "movie_id").orderBy("tier", "pos"))).filter("n = 1").drop("n")
@@ -154,7 +167,7 @@ def route(requests: DataFrame, known_users: DataFrame) -> DataFrame:
 
 def guest_response(requests: DataFrame, top: DataFrame, excluded: DataFrame, limit: int = 20) -> DataFrame:
     """(request_id, rank, movie_id, score, reason): the popular list without excluded items, score 1 / place."""
-    rows = requests.select("request_id").crossJoin(F.broadcast(top.select(F.col("rank").alias("pos"), "movie_id"))).join(excluded.select("request_id", "movie_id").distinct(), ["request_id", "movie_id"], "left_anti")
+    rows = without(requests.select("request_id").crossJoin(F.broadcast(top.select(F.col("rank").alias("pos"), "movie_id"))), excluded)
     return rows.withColumn("rank", F.row_number().over(_request().orderBy("pos"))).filter(F.col("rank") <= limit).select("request_id", "rank", "movie_id", (1 / F.col("rank")).alias("score"), F.lit("top_rated").alias("reason"))
 
 
@@ -163,7 +176,7 @@ def onboarding_response(ranked_: DataFrame, requests: DataFrame, tiers: DataFram
 
     A top-up item's reason goes by the deepest tier of its list.
     """
-    own = ranked_.join(blocked.select("request_id", "movie_id").distinct(), ["request_id", "movie_id"], "left_anti")
+    own = without(ranked_, blocked)
     own = own.withColumn("rank", F.row_number().over(_request().orderBy("rank"))).withColumn("sources", F.array(F.lit("cb")))
     out = backfill(own, tiers.filter("tier > 1"), blocked, requests, limit)
     top_up = F.when(F.col("level") == 2, "genre_match").otherwise("top_rated")
@@ -175,7 +188,7 @@ def because_you_watched(robin: DataFrame, requests: DataFrame, top: DataFrame, b
 
     Requests without a hit get the popular list.
     """
-    free = robin.join(blocked.select("request_id", "movie_id").distinct(), ["request_id", "movie_id"], "left_anti")
+    free = without(robin, blocked)
     own = free.withColumn("rank", F.row_number().over(_request().orderBy("place"))).filter(F.col("rank") <= limit)
     own = own.select("request_id", "rank", "movie_id", (1 / F.col("place")).alias("score"), "seed_id", F.lit("because_you_watched").alias("reason"))
     lost = requests.select("request_id").join(own.select("request_id").distinct(), "request_id", "left_anti")

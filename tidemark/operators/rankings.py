@@ -84,8 +84,12 @@ def top_rated(stats: DataFrame, catalogue: DataFrame | None = None, q: float = 0
     return _ranked(first, [], None).select(*columns)
 
 
-def by_count(stats: DataFrame) -> DataFrame:
-    """(rank, movie_id): all rated movies by their number of ratings."""
+def by_count(stats: DataFrame, top: int | None = None) -> DataFrame:
+    """(rank, movie_id): rated movies by their number of ratings, all or the first ``top`` (a number that one task can rank)."""
+    if top is not None:
+        order = [F.desc("rating_count"), F.asc("movie_id")]
+        first = stats.orderBy(*order).limit(top)  # a distributed top-k before the rank is drawn
+        return first.select(F.row_number().over(W.orderBy(*order)).alias("rank"), "movie_id")
     return numbered(stats, [F.desc("rating_count"), F.asc("movie_id")]).select("rank", "movie_id")
 
 

@@ -80,11 +80,11 @@ def movie_docs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def movie_space(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """(vectors, vocabulary) of the catalogue, kept for the several uses made of them."""
+    """(vectors, vocabulary) of the catalogue, written for the several uses made of them."""
     docs = movie_docs(spark, d)
     counts = content.terms(docs, "movie_id", "document")
-    vocabulary = content.fit_vocabulary(counts, docs.agg(F.count("*"))).cache()
-    return content.transform(counts, vocabulary, "movie_id").cache(), vocabulary
+    vocabulary = A.stored(spark, content.fit_vocabulary(counts, docs.agg(F.count("*"))), "vocabulary")
+    return A.stored(spark, content.transform(counts, vocabulary, "movie_id"), "vectors"), vocabulary
 
 
 @query("b2_movies_serving", sql("SELECT movie_id, title, array_to_string(genres, '|') AS genres, vote_average, vote_count FROM movies"))
@@ -211,9 +211,9 @@ def onboarding_requests(spark: SparkSession, d: str) -> DataFrame:
 def onboarding_ranked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     asks = onboarding_requests(spark, d)
     vectors, vocab = movie_space(spark, d)
-    profile = content.onboarding_profile(asks, vectors, vocab)
+    profile = A.stored(spark, content.onboarding_profile(asks, vectors, vocab), "profiles")
     excluded = asks.select("request_id", F.explode("selected_movie_ids").alias("movie_id"))
-    return asks, content.rank_by_profile(profile, vectors, excluded).cache()
+    return asks, A.stored(spark, content.rank_by_profile(profile, vectors, excluded), "ranked")
 
 
 @query("h7_onboarding", sql("""SELECT request_id, rank, movie_id, round(score, 5) AS score, false AS fallback FROM on_ranked

@@ -84,7 +84,7 @@ CTES: dict[str, str] = {
   SELECT user_id, movie_id, rating, timestamp, CASE WHEN n < 3 THEN 'train' WHEN place <= 1 THEN 'test' WHEN place <= 2 THEN 'validation' ELSE 'train' END AS split FROM (
     SELECT *, count(*) OVER (PARTITION BY user_id) AS n, row_number() OVER (PARTITION BY user_id ORDER BY timestamp DESC, movie_id DESC, rating DESC) AS place FROM ratings)""",
     "ev": """
-  SELECT event_id, user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) % 5 AS movie_id,
+  SELECT event_id, user_id, CASE WHEN event_id % 2 = 0 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) % 5 ELSE CAST(json_extract_string(props, '$.k') AS BIGINT) END AS movie_id,
     CASE event_type WHEN 'click' THEN 'click' WHEN 'purchase' THEN 'share' WHEN 'view' THEN 'watch' WHEN 'signup' THEN 'comment' ELSE CASE event_id % 3 WHEN 0 THEN 'dislike' WHEN 1 THEN 'rating' ELSE 'teleport' END END AS event_type,
     CASE WHEN event_type = 'view' THEN round(value / 100, 6) WHEN event_type = 'signup' THEN CASE WHEN event_id % 4 <> 0 THEN round(value / 50 - 1, 6) END WHEN event_type = 'error' AND event_id % 3 = 1 THEN ceil(least(value, 50.0) / 5) * 0.5 ELSE value END AS value,
     ts AS timestamp FROM events""",

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.functions.scalars import source_weights
 from tidemark.operators import collaborative, content, evaluation, feedback, hybrid, neighbours, rankings, splits
+from tidemark.sources import writers
 from tidemark.streaming import events as streams
 
 from . import adapters as A
@@ -27,7 +27,7 @@ def _world_sql(w: str, seen: str) -> dict[str, str]:
         f"{w}_cf": f"""
   SELECT * FROM (SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, movie_id) AS rank, movie_id FROM (
     SELECT request_id, i.vec_id AS movie_id, round(list_dot_product(u.embedding::DOUBLE[], i.embedding::DOUBLE[]), 9) AS score
-    FROM {w}_requests JOIN embeddings u ON u.vec_id = request_id % (SELECT count(*) FROM embeddings), embeddings i WHERE i.vec_id > 0) ANTI JOIN {w}_seen USING (request_id, movie_id)) WHERE rank <= 100""",
+    FROM {w}_requests JOIN embeddings u ON u.vec_id = request_id, embeddings i WHERE i.vec_id > 0) ANTI JOIN {w}_seen USING (request_id, movie_id)) WHERE rank <= 100""",
         f"{w}_cb": f"""
   SELECT * FROM (SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, movie_id) AS rank, movie_id FROM cb_scores
     ANTI JOIN {w}_seen USING (request_id, movie_id) WHERE score > 0) WHERE rank <= 100""",
@@ -63,17 +63,15 @@ CTES |= _world_sql("hy", "split <> 'test'") | _world_sql("va", "split = 'train'"
   SELECT request_id, place AS rank, movie_id, score, has_cf, has_cb FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY late, rank) AS place FROM (
     SELECT *, row_number() OVER (PARTITION BY request_id, genre ORDER BY rank) > 4 AS late FROM (
       SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, movie_id) AS rank FROM hy_scored JOIN (SELECT movie_id, genres[1] AS genre FROM movies) USING (movie_id)))) WHERE place <= 20""",
-    "hy_few": """
-  SELECT * FROM hy_varied WHERE rank <= request_id % 23""",
     "hy_tiers": """
-  SELECT request_id, 2 AS tier, rank AS pos, movie_id FROM hy_requests JOIN genre_rated ON genre = CASE request_id % 3 WHEN 0 THEN 'ECONOMY' WHEN 1 THEN 'PROMO' END WHERE rank <= 8
+  SELECT request_id, 2 AS tier, rank AS pos, movie_id FROM hy_requests JOIN genre_rated ON genre = CASE request_id % 3 WHEN 0 THEN 'ECONOMY' WHEN 1 THEN 'PROMO' END
   UNION ALL SELECT request_id, 3, rank, movie_id FROM hy_requests, top_rated""",
-    **{name: f"""
+    "hy_filled": """
   SELECT request_id, rank, movie_id, coalesce(score, 1 / rank::DOUBLE) AS score, has_cf, has_cb, tier, max(tier) OVER (PARTITION BY request_id) AS level FROM (
     SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY tier, pos, movie_id) AS rank FROM (
       SELECT *, row_number() OVER (PARTITION BY request_id, movie_id ORDER BY tier, pos) AS k FROM (
-        SELECT request_id, 0 AS tier, rank AS pos, movie_id, score, has_cf, has_cb FROM {own}
-        UNION ALL SELECT request_id, tier, pos, movie_id, NULL, NULL, NULL FROM hy_tiers ANTI JOIN hy_seen USING (request_id, movie_id))) WHERE k = 1) WHERE rank <= 20""" for name, own in (("hy_filled", "hy_few"), ("hy_whole", "hy_varied"))},
+        SELECT request_id, 0 AS tier, rank AS pos, movie_id, score, has_cf, has_cb FROM hy_varied
+        UNION ALL SELECT request_id, tier, pos, movie_id, NULL, NULL, NULL FROM hy_tiers ANTI JOIN hy_seen USING (request_id, movie_id))) WHERE k = 1) WHERE rank <= 20""",
     "ev_targets": """
   SELECT user_id, movie_id AS target FROM parts WHERE split = 'test' AND rating >= 4""",
     "ev_seen": """
@@ -91,65 +89,56 @@ CTES |= _world_sql("hy", "split <> 'test'") | _world_sql("va", "split = 'train'"
 }
 
 
-_kept: dict[tuple, DataFrame] = {}
-
-
-def _once(spark: SparkSession, d: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """A table that several queries of a session use: written to the shared folder by the first of them."""
-    key = (spark.sparkContext.applicationId, d, name)
-    if key not in _kept:
-        path = A.scratch_folder(spark, name)
-        df = make()
-        df.write.parquet(path)
-        _kept[key] = spark.read.schema(df.schema).parquet(path)
-    return _kept[key]
-
-
 @dataclass
 class World:
-    """All customers as requests, and candidates of three sources for them."""
+    """All customers as requests, and candidates of three sources for them: tables bucketed by request, so that they meet in place."""
 
+    parts: DataFrame  # user_id, movie_id, rating, timestamp, split
     requests: DataFrame  # request_id, n, preferred_genre
     seen: DataFrame  # request_id, movie_id
-    cf: DataFrame  # request_id, rank, movie_id
-    cb: DataFrame
     candidates: DataFrame  # request_id, source, rank, movie_id
 
+    def of(self, source: str, top: int = 20) -> DataFrame:
+        return self.candidates.filter((F.col("source") == source) & (F.col("rank") <= top)).drop("source")
+
+
+def _bucketed(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    return writers.write_bucketed(df, A.scratch_folder(spark, name), "request_id")
+
 
 def _world(spark: SparkSession, d: str, split: str = "test") -> World:
-    """Collaborative candidates from given factors (the vectors of ``embeddings``), content ones from each user's first liked movies, popular ones."""
-    parts = _parts(spark, d)
+    """The job step that the ranking and evaluation queries begin with: it writes what they share.
+
+    Collaborative candidates from given factors (customers without a vector of their number in ``embeddings`` have none),
+    content ones from each user's first liked movies, popular ones.
+    """
+    parts = _bucketed(spark, splits.chronological(A.ratings(spark, d)).withColumnRenamed("user_id", "request_id"), "parts").withColumnRenamed("request_id", "user_id")
     _, earlier, picks = evaluation.evaluation_set(parts, split, users="all")
-    seen = _once(spark, d, f"seen_{split}", lambda: earlier.withColumnRenamed("user_id", "request_id"))
+    seen = earlier.withColumnRenamed("user_id", "request_id")
     c = F.col("c_custkey")
     genre = F.when(c % 3 == 0, "Economy ").when(c % 3 == 1, "PROMO")
-    n = seen.groupBy("request_id").agg(F.count("*").alias("n"))
     customers = A.table(spark, d, "customer").filter("c_custkey > 0").select(c.alias("request_id"), genre.alias("preferred_genre"))
-    requests = customers.join(n, "request_id", "left").fillna({"n": 0})
+    requests = _bucketed(spark, customers.join(seen.groupBy("request_id").agg(F.count("*").alias("n")), "request_id", "left").fillna({"n": 0}), "requests")
 
-    def by_factors() -> DataFrame:
-        e = A.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("features"))
-        users = requests.select("request_id", (F.col("request_id") % e.count()).alias("id")).join(e, "id").select(F.col("request_id").alias("id"), "features")
-        rows = collaborative.recommend(requests.select(F.col("request_id").alias("user_id")), users, e.filter("id > 0"), seen.withColumnRenamed("request_id", "user_id"), 100)
-        return rows.select(F.col("user_id").alias("request_id"), "rank", "movie_id")
+    e = A.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("features"))
+    asked = requests.select(F.col("request_id").alias("user_id"))
+    cf = A.stored(spark, collaborative.recommend(asked, e, e.filter("id > 0"), seen.withColumnRenamed("request_id", "user_id"), 100).select(F.col("user_id").alias("request_id"), "rank", "movie_id"), "cf")
 
-    def by_content() -> DataFrame:
-        vectors, vocabulary = movie_space(spark, d)
-        asks = picks.groupBy(F.col("user_id").alias("request_id")).agg(F.collect_list("movie_id").alias("selected_movie_ids")).withColumn("selected_genres", F.array().cast("array<string>"))
-        rows = content.rank_by_profile(content.onboarding_profile(asks, vectors, vocabulary), vectors, seen, 100)
-        return rows.join(requests.select("request_id"), "request_id", "left_semi").select("request_id", "rank", "movie_id")
+    vectors, vocabulary = movie_space(spark, d)
+    asks = picks.groupBy(F.col("user_id").alias("request_id")).agg(F.collect_list("movie_id").alias("selected_movie_ids")).withColumn("selected_genres", F.array().cast("array<string>"))
+    profiles = A.stored(spark, content.onboarding_profile(asks, vectors, vocabulary), "profiles")
+    cb = A.stored(spark, content.rank_by_profile(profiles, vectors, seen, 100).select("request_id", "rank", "movie_id"), "cb").join(requests.select("request_id"), "request_id", "left_semi")
 
-    popular = _once(spark, d, "popular", lambda: rankings.by_count(rankings.movie_stats(parts.filter("split = 'train'"))).filter("rank <= 50"))
+    popular = rankings.by_count(rankings.movie_stats(parts.filter("split = 'train'")), 50)
     pop = requests.select("request_id").join(F.broadcast(popular), F.lit(True)).select("request_id", F.col("rank").cast("int").alias("rank"), "movie_id")  # 50 for each
-    cf, cb = _once(spark, d, f"cf_{split}", by_factors), _once(spark, d, f"cb_{split}", by_content)
     tagged = [rows.select("request_id", F.lit(s).alias("source"), "rank", "movie_id") for s, rows in (("cf", cf), ("cb", cb), ("pop", pop))]
-    return World(requests, seen, cf, cb, tagged[0].unionByName(tagged[1]).unionByName(tagged[2]))
+    return World(parts, requests, seen, _bucketed(spark, tagged[0].unionByName(tagged[1]).unionByName(tagged[2]), "candidates"))
 
 
 def _fused(spark: SparkSession, d: str) -> tuple[World, DataFrame]:
     w = _world(spark, d)
     weights = w.requests.select("request_id", source_weights(F.col("n")).alias("w")).select("request_id", "w.*")
-    return w, _once(spark, d, "fused", lambda: hybrid.fuse(w.candidates, weights, w.seen))
+    return w, _bucketed(spark, hybrid.fuse(w.candidates, weights, w.seen), "fused")
 
 
 def _recent(spark: SparkSession, d: str, fused: DataFrame) -> DataFrame:
@@ -164,13 +153,14 @@ def recent_similarity(spark: SparkSession, d: str) -> DataFrame:
 
 def _varied(spark: SparkSession, d: str) -> tuple[World, DataFrame]:
     w, fused = _fused(spark, d)
-    order = lambda: hybrid.ranked(hybrid.nudge(hybrid.normalise(fused), _recent(spark, d, fused)))
+    near = _bucketed(spark, fused.join(_recent(spark, d, fused), ["request_id", "movie_id"], "left"), "near")
+    order = hybrid.ranked(hybrid.nudged(hybrid.normalise(near)))
     primary = A.movies(spark, d).select("movie_id", F.get("genres", F.lit(0)).alias("genre"))
-    return w, _once(spark, d, "varied", lambda: hybrid.diversify(order(), primary))
+    return w, hybrid.diversify(order, primary)
 
 
 def _rankings(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    stats, movies = rankings.movie_stats(A.ratings(spark, d)).cache(), A.movies(spark, d)
+    stats, movies = A.stored(spark, rankings.movie_stats(A.ratings(spark, d)), "stats"), A.movies(spark, d)
     return rankings.top_rated(stats, movies), rankings.by_genre(stats, movies)[0]
 
 
@@ -189,24 +179,22 @@ def diversified(spark: SparkSession, d: str) -> DataFrame:
     return _longs(_varied(spark, d)[1].select("request_id", "rank", "movie_id", F.round("score", 6).alias("score")), "rank")
 
 
-def _filled(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    """Lists of all customers, filled up from the tiers; unless ``whole``, fused lists are cut to lengths from 0 to 20 first, so that each tier is met."""
+def _filled(spark: SparkSession, d: str) -> tuple[World, DataFrame]:
+    """Lists of all customers, filled up from the tiers."""
     w, varied = _varied(spark, d)
-    top, genres = _rankings(spark, d)
-    tiers = hybrid.tier_rows(w.requests, None, genres.filter("rank <= 8"), top)
-    own = varied if whole else varied.filter(F.col("rank") <= F.col("request_id") % 23)
-    return hybrid.backfill(own, tiers, w.seen, w.requests)
+    top, genres = (A.stored(spark, df, "rankings") for df in _rankings(spark, d))
+    return w, hybrid.backfill(varied, hybrid.tier_rows(w.requests, None, genres, top), w.seen, w.requests)
 
 
 @query("k5_hybrid", sql("""SELECT request_id, rank, movie_id, round(score, 6) AS score, level, CASE WHEN tier = 0 THEN CASE WHEN has_cf THEN 'similar_users' ELSE 'similar_to_onboarding' END WHEN tier = 2 THEN 'genre_match' ELSE 'top_rated' END AS reason FROM hy_filled"""))
 def hybrid_ranking(spark: SparkSession, d: str) -> DataFrame:
-    rows = _filled(spark, d).withColumn("reason", hybrid.reason())
+    rows = _filled(spark, d)[1].withColumn("reason", hybrid.reason())
     return _longs(rows.select("request_id", "rank", "movie_id", F.round("score", 6).alias("score"), "level", "reason"), "rank", "level")
 
 
 @query("k11_finished", sql("SELECT request_id, rank, CASE WHEN max(score) OVER (PARTITION BY request_id) > 0 THEN round(score / max(score) OVER (PARTITION BY request_id), 6) ELSE round(score, 6) END AS score, (SELECT count(*) FROM hy_filled WHERE movie_id NOT IN (SELECT movie_id FROM movies)) AS outside FROM hy_filled"))
 def finished(spark: SparkSession, d: str) -> DataFrame:
-    rows = _filled(spark, d)
+    rows = A.stored(spark, _filled(spark, d)[1], "filled")
     out = hybrid.finish(rows).select("request_id", "rank", "score").crossJoin(hybrid.outside_catalogue(rows, A.movies(spark, d)))
     return _longs(out, "rank")
 
@@ -241,16 +229,16 @@ def guest_response(spark: SparkSession, d: str) -> DataFrame:
 @query("k8_onboarding_response", sql("""SELECT request_id, rank, movie_id, level, CASE WHEN tier = 0 THEN 'similar_to_onboarding' WHEN level = 2 THEN 'genre_match' ELSE 'top_rated' END AS reason FROM (
   SELECT *, max(tier) OVER (PARTITION BY request_id) AS level FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY tier, pos, movie_id) AS rank FROM (
     SELECT *, row_number() OVER (PARTITION BY request_id, movie_id ORDER BY tier, pos) AS k FROM (
-      SELECT request_id, 0 AS tier, rank AS pos, movie_id FROM (SELECT request_id, movie_id, row_number() OVER (PARTITION BY request_id ORDER BY rank) AS rank FROM (SELECT * FROM on_ranked WHERE rank <= request_id % 21) WHERE (request_id, movie_id) NOT IN (SELECT user_id, movie_id FROM ratings WHERE rating <= 2.5))
-      UNION ALL SELECT request_id, 2, rank, movie_id FROM onboarding JOIN genre_rated ON genre = 'PROMO' AND request_id % 2 = 0 WHERE rank <= 6 AND (request_id, movie_id) NOT IN (SELECT user_id, movie_id FROM ratings WHERE rating <= 2.5)
+      SELECT request_id, 0 AS tier, rank AS pos, movie_id FROM (SELECT request_id, movie_id, row_number() OVER (PARTITION BY request_id ORDER BY rank) AS rank FROM on_ranked WHERE (request_id, movie_id) NOT IN (SELECT user_id, movie_id FROM ratings WHERE rating <= 2.5))
+      UNION ALL SELECT request_id, 2, rank, movie_id FROM onboarding JOIN genre_rated ON genre = 'PROMO' AND request_id % 2 = 0 WHERE (request_id, movie_id) NOT IN (SELECT user_id, movie_id FROM ratings WHERE rating <= 2.5)
       UNION ALL SELECT request_id, 3, rank, movie_id FROM onboarding, top_rated WHERE (request_id, movie_id) NOT IN (SELECT user_id, movie_id FROM ratings WHERE rating <= 2.5))) WHERE k = 1) WHERE rank <= 20)"""))
 def onboarding_response(spark: SparkSession, d: str) -> DataFrame:
     asks, ranked = onboarding_ranked(spark, d)
     top, genres = _rankings(spark, d)
     asks = asks.withColumn("preferred_genre", F.when(F.col("request_id") % 2 == 0, "promo"))
     blocked = _disliked(spark, d)
-    tiers = hybrid.tier_rows(asks, None, genres.filter("rank <= 6"), top)
-    out = hybrid.onboarding_response(ranked.filter(F.col("rank") <= F.col("request_id") % 21), asks, tiers, blocked)
+    tiers = hybrid.tier_rows(asks, None, genres, top)
+    out = hybrid.onboarding_response(ranked, asks, tiers, blocked)
     return _longs(out.select("request_id", "rank", "movie_id", "level", "reason"), "rank", "level")
 
 
@@ -267,12 +255,12 @@ def because_you_watched(spark: SparkSession, d: str) -> DataFrame:
 
 @query("l6_fallback_levels", sql("SELECT level, count(*) AS users FROM (SELECT DISTINCT request_id, level FROM hy_filled) GROUP BY level"))
 def fallback_levels(spark: SparkSession, d: str) -> DataFrame:
-    return _longs(evaluation.fallback_levels(_filled(spark, d)), "level")
+    return _longs(evaluation.fallback_levels(_filled(spark, d)[1]), "level")
 
 
 def _parts(spark: SparkSession, d: str) -> DataFrame:
-    """The splits, kept for the several uses an evaluation makes of them."""
-    return splits.chronological(A.ratings(spark, d)).cache()
+    """The splits, written once for the several uses an evaluation makes of them."""
+    return A.stored(spark, splits.chronological(A.ratings(spark, d)), "splits")
 
 
 @query("l1_evaluation_set", sql("SELECT (SELECT count(*) FROM ev_targets) AS targets, (SELECT count(*) FROM ev_seen) AS seen, (SELECT count(*) FROM (SELECT row_number() OVER (PARTITION BY user_id ORDER BY timestamp, movie_id) AS n FROM parts WHERE split = 'train' AND rating >= 4 AND user_id IN (SELECT user_id FROM ev_targets)) WHERE n <= 3) AS picks"))
@@ -295,7 +283,7 @@ def popularity_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 
 _METRICS = ", ".join(f"round(avg(CASE WHEN rank <= {k} THEN 1 ELSE 0 END), 6) AS hit_rate_{k}, round(sum(CASE WHEN rank <= {k} THEN 1 ELSE 0 END) / (count(*) * {k}.0), 6) AS precision_{k}, round(avg(CASE WHEN rank <= {k} THEN 1 / log2(rank + 1) ELSE 0 END), 6) AS ndcg_{k}" for k in (10, 20))
-_MODELS = {"popularity_train": "SELECT user_id AS request_id, rank, movie_id FROM ev_lists", "collaborative": "SELECT * FROM hy_cf WHERE rank <= 20", "content": "SELECT * FROM hy_cb WHERE rank <= 20", "hybrid": "SELECT request_id, rank, movie_id FROM hy_whole"}
+_MODELS = {"popularity_train": "SELECT user_id AS request_id, rank, movie_id FROM ev_lists", "collaborative": "SELECT * FROM hy_cf WHERE rank <= 20", "content": "SELECT * FROM hy_cb WHERE rank <= 20", "hybrid": "SELECT request_id, rank, movie_id FROM hy_filled"}
 CTES |= {
     "model_lists": "\n  " + " UNION ALL ".join(f"SELECT '{m}' AS model, request_id AS user_id, rank, movie_id FROM ({q})" for m, q in _MODELS.items()),
     "model_metrics": f"""
@@ -312,28 +300,27 @@ def _held_out(rows: DataFrame, targets: DataFrame) -> DataFrame:
 
 @query("l2_content", sql("SELECT request_id AS user_id, rank, movie_id FROM hy_cb WHERE rank <= 20 AND request_id IN (SELECT user_id FROM ev_targets)"))
 def content_lists(spark: SparkSession, d: str) -> DataFrame:
-    parts = _parts(spark, d)
-    return _longs(_held_out(_world(spark, d).cb.filter("rank <= 20"), evaluation.evaluation_set(parts)[0]), "rank")
+    w = _world(spark, d)
+    return _longs(_held_out(w.of("cb"), evaluation.evaluation_set(w.parts)[0]), "rank")
 
 
-@query("l2_hybrid", sql("SELECT request_id AS user_id, rank, movie_id, level FROM hy_whole WHERE request_id IN (SELECT user_id FROM ev_targets)"))
+@query("l2_hybrid", sql("SELECT request_id AS user_id, rank, movie_id, level FROM hy_filled WHERE request_id IN (SELECT user_id FROM ev_targets)"))
 def hybrid_lists(spark: SparkSession, d: str) -> DataFrame:
-    targets = evaluation.evaluation_set(_parts(spark, d))[0].select(F.col("user_id").alias("request_id")).distinct()
-    rows = _filled(spark, d, whole=True).join(targets, "request_id", "left_semi")
+    w, rows = _filled(spark, d)
+    rows = rows.join(evaluation.evaluation_set(w.parts)[0].select(F.col("user_id").alias("request_id")).distinct(), "request_id", "left_semi")
     return _longs(rows.select(F.col("request_id").alias("user_id"), "rank", "movie_id", "level"), "rank", "level")
 
 
 def _model_metrics(spark: SparkSession, d: str) -> DataFrame:
     """(model, metrics) of four models over the users with a target."""
-    parts = _parts(spark, d)
-    targets, seen, _ = evaluation.evaluation_set(parts)
-    w = _world(spark, d)
-    lists = {"popularity_train": evaluation.popular_for_all(_by_count(parts), targets, seen), "collaborative": _held_out(w.cf.filter("rank <= 20"), targets), "content": _held_out(w.cb.filter("rank <= 20"), targets), "hybrid": _held_out(_filled(spark, d, whole=True), targets)}
+    w, filled = _filled(spark, d)
+    targets, seen, _ = evaluation.evaluation_set(w.parts)
+    lists = {"popularity_train": evaluation.popular_for_all(_by_count(w.parts), targets, seen), "collaborative": _held_out(w.of("cf"), targets), "content": _held_out(w.of("cb"), targets), "hybrid": _held_out(filled, targets)}
     rows = None
     for name, own in lists.items():
         tagged = own.select(F.lit(name).alias("model"), "user_id", F.col("rank").cast("long").alias("rank"), "movie_id")
         rows = tagged if rows is None else rows.unionByName(tagged)
-    return evaluation.metrics(rows, targets, keys=("model",))
+    return evaluation.metrics(A.stored(spark, rows, "lists"), targets, keys=("model",))
 
 
 @query("l4_comparison", sql("""SELECT model, users_scored, hit_rate_10, round(distinct_items / (SELECT count(*) FROM movies)::DOUBLE, 6) AS coverage, CASE WHEN base > 0 THEN round(hit_rate_10 / base - 1, 6) END AS gain
@@ -349,16 +336,15 @@ def comparison(spark: SparkSession, d: str) -> DataFrame:
   scaled AS (SELECT *, CASE WHEN max(score) OVER r > min(score) OVER r THEN (score - min(score) OVER r) / (max(score) OVER r - min(score) OVER r) ELSE 1 END AS s FROM fused WINDOW r AS (PARTITION BY request_id, floor, pop)),
   ordered AS (SELECT *, row_number() OVER (PARTITION BY request_id, floor, pop ORDER BY s DESC, movie_id) AS rank FROM scaled),
   nth AS (SELECT o.*, row_number() OVER (PARTITION BY request_id, floor, pop, genres[1] ORDER BY rank) AS g FROM ordered o JOIN movies USING (movie_id)),
-  lists AS (SELECT request_id AS user_id, cap, floor, pop, movie_id, row_number() OVER (PARTITION BY request_id, cap, floor, pop ORDER BY cap > 0 AND g > cap, rank) AS rank FROM nth, (SELECT unnest([0, 4, 8]) AS cap) QUALIFY rank <= 20),
+  lists AS (SELECT user_id, cap, floor, pop, movie_id, place AS rank FROM (SELECT request_id AS user_id, cap, floor, pop, movie_id, row_number() OVER (PARTITION BY request_id, cap, floor, pop ORDER BY cap > 0 AND g > cap, rank) AS place FROM nth, (SELECT unnest([0, 4, 8]) AS cap)) WHERE place <= 20),
   targets AS (SELECT user_id, movie_id AS target FROM parts WHERE split = 'validation' AND rating >= 4),
   users AS (SELECT DISTINCT user_id, cap, floor, pop FROM lists),
   scored AS (SELECT u.cap, u.floor, u.pop, count(*) AS users_scored, {_METRICS} FROM users u JOIN targets t USING (user_id) LEFT JOIN lists l ON l.user_id = u.user_id AND l.cap = u.cap AND l.floor = u.floor AND l.pop = u.pop AND l.movie_id = target GROUP BY 1, 2, 3),
   items AS (SELECT cap, floor, pop, count(DISTINCT movie_id) AS distinct_items FROM lists WHERE user_id IN (SELECT user_id FROM targets) GROUP BY 1, 2, 3)
   SELECT * FROM scored JOIN items USING (cap, floor, pop))"""))
 def weight_sweep(spark: SparkSession, d: str) -> DataFrame:
-    parts = _parts(spark, d)
     w = _world(spark, d, "validation")
-    targets = evaluation.evaluation_set(parts, "validation")[0]
+    targets = evaluation.evaluation_set(w.parts, "validation")[0]
     return evaluation.weight_sweep(w.candidates, w.requests, w.seen, A.movies(spark, d).select("movie_id", F.get("genres", F.lit(0)).alias("genre")), targets)
 
 
@@ -408,7 +394,7 @@ def explicit_predictions(spark: SparkSession, d: str) -> DataFrame:
 FROM model_metrics a, model_metrics b, model_metrics c WHERE a.model = 'hybrid' AND b.model = 'popularity_train' AND c.model = 'content'"""))
 def promotion_gate(spark: SparkSession, d: str) -> DataFrame:
     """The hybrid model against popularity, the content model standing for the one before."""
-    found = _model_metrics(spark, d).persist()
+    found = A.stored(spark, _model_metrics(spark, d), "metrics")
     side = lambda name: found.filter(F.col("model") == name)
     return feedback.promotion_gate(side("hybrid"), side("popularity_train"), side("content"))
 
