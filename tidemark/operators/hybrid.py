@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from tidemark.functions.scalars import source_weights
 
@@ -96,10 +96,14 @@ def backfill(rows: DataFrame, tiers: DataFrame, blocked: DataFrame, requests: Da
     ``blocked`` items are passed over; an added item's score is 1 / (place + 1), places from 0; ``level`` is
     the deepest tier that added something (0: none).
     """
-    own = rows.select("request_id", F.lit(0).alias("tier"), F.col("rank").alias("pos"), "movie_id", "score", "sources")
-    free = without(tiers, blocked)
-    more = free.select("request_id", "tier", "pos", "movie_id", F.lit(None).cast("double").alias("score"), F.array().cast("array<string>").alias("sources"))
-    both = own.unionByName(more).join(requests.select("request_id"), "request_id", "left_semi")
+    # A request's own rows and its tiers' meet as two short lists, by the request alone.
+    lists = lambda df, *c: df.groupBy("request_id").agg(F.collect_list(F.struct(*c)).alias("l"))
+    own = lists(rows, F.lit(0).alias("tier"), F.col("rank").alias("pos"), "movie_id", F.col("score").cast("double").alias("score"), "sources")
+    more = lists(without(tiers, blocked), "tier", F.col("pos").alias("pos"), "movie_id", F.lit(None).cast("double").alias("score"), F.array().cast("array<string>").alias("sources"))
+    kind = T.ArrayType(T._parse_datatype_string("tier int, pos long, movie_id long, score double, sources array<string>"))
+    some = lambda c: F.coalesce(F.col(c).cast(kind), F.array().cast(kind))
+    met = requests.select("request_id").distinct().join(own.withColumnRenamed("l", "own"), "request_id", "left").join(more.withColumnRenamed("l", "more"), "request_id", "left")
+    both = met.select("request_id", F.explode(F.concat(some("own"), some("more"))).alias("x")).select("request_id", "x.*")
     once = both.withColumn("n", F.row_number().over(W.partitionBy("request_id", "movie_id").orderBy("tier", "pos"))).filter("n = 1").drop("n")
     bound = F.lit(limit) if isinstance(limit, int) else limit
     placed = once.withColumn("rank", F.row_number().over(_request().orderBy("tier", "pos", "movie_id"))).filter(F.col("rank") <= bound)
@@ -129,13 +133,16 @@ def tier_rows(requests: DataFrame, content: DataFrame | None, genre_rankings: Da
 
     ``requests``: (request_id, preferred_genre); ``content``: (request_id, rank, movie_id).
     """
-    asked = requests.select("request_id", F.lower(F.trim("preferred_genre")).alias("g"))
-    by_genre = genre_rankings.select(F.lower(F.trim("genre")).alias("g"), F.col("rank").alias("pos"), "movie_id")
-    out = asked.join(F.broadcast(by_genre), "g").select("request_id", F.lit(2).alias("tier"), "pos", "movie_id")
-    out = out.unionByName(asked.select("request_id").crossJoin(F.broadcast(top.select(F.lit(3).alias("tier"), F.col("rank").alias("pos"), "movie_id"))))
+    row = lambda tier, pos: F.collect_list(F.struct(F.lit(tier).alias("tier"), F.col(pos).cast("long").alias("pos"), "movie_id")).alias(f"t{tier}")
+    key = lambda c: F.lower(F.trim(c))
+    # Short rankings: a list a genre, and one of all.
+    by_genre = genre_rankings.groupBy(key("genre").alias("g")).agg(row(2, "rank"))
+    out = requests.select("request_id", key("preferred_genre").alias("g")).join(F.broadcast(by_genre), "g", "left").crossJoin(F.broadcast(top.agg(row(3, "rank"))))
     if content is not None:
-        out = out.unionByName(content.select("request_id", F.lit(1).alias("tier"), F.col("rank").alias("pos"), "movie_id"))
-    return out
+        out = out.join(content.groupBy("request_id").agg(row(1, "rank")), "request_id", "left")
+    none = F.array().cast("array<struct<tier:int,pos:bigint,movie_id:bigint>>")
+    lists = [F.coalesce(c, none) for c in out.columns if c.startswith("t")]
+    return out.select("request_id", F.explode(F.concat(*lists)).alias("x")).select("request_id", "x.*")
 
 
 def validate_requests(requests: DataFrame, s: HybridSettings = DEFAULT) -> DataFrame:
