@@ -113,6 +113,28 @@ def test_links_are_complete(spark, parts, bucket, block):
     assert len(pairs) < 40 * len(prints)
 
 
+def test_a_link_through_a_crowded_bucket_is_kept(spark):
+    bits = lambda *b: sum(1 << k for k in b)
+    leader, probe, member = bits(0), bits(21, 22, 42), bits(0, 21, 22, 23, 24, 42, 43)
+    assert (leader ^ probe).bit_count() == (probe ^ member).bit_count() == 4 and (leader ^ member).bit_count() == 6
+    r = random.Random(8)
+    crowd = {leader | bits(*r.sample([*range(30, 42), *range(50, 63)], 3)) for _ in range(80)}
+    prints = sorted(crowd | {leader, probe, member})
+    df = spark.createDataFrame([(p,) for p in prints], "fp long")
+    parent = {p: p for p in prints}
+
+    def root(v):
+        while parent[v] != v:
+            v = parent[v]
+        return v
+
+    for f in simhash.links(df).collect():
+        parent[root(f.a)] = root(f.b)
+    expected = brute_components(prints)
+    assert expected[member] == expected[probe] == expected[leader] and root(member) == root(probe) == root(leader)
+    assert len({root(p) for p in prints}) == len(set(expected.values()))
+
+
 def test_one_of_each_keeps_rows_without_id(spark, docs):
     df, rows = docs
     kept = simhash.one_of_each(df)

@@ -15,7 +15,9 @@ def _lookup(df: DataFrame, table: DataFrame, key: str, rows: int, limit: int, sa
     if rows <= limit:
         return df.join(F.broadcast(table), key, how)
     salt = free_name(df, free_name(table, "__salt__"))
-    left = df.withColumn(salt, F.floor(F.rand(17) * salts).cast("int"))
+    # By the row itself: a task that runs again after a lost executor deals its rows as before, in whatever order they come.
+    parts = [F.col(f"`{c}`") for c in df.columns if "map<" not in df.schema[c].dataType.simpleString()]
+    left = df.withColumn(salt, F.pmod(F.xxhash64(*parts), F.lit(salts)).cast("int"))
     right = table.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [key, salt], how).drop(salt)
 

@@ -175,14 +175,20 @@ def links(prints: DataFrame, distance: int = 4, parts: int | None = None, bucket
         sides = sides.unionByName(probes.withColumn("member", F.lit(False)).select(*sides.columns))
     sides = cut(inner_lookup(sides, crowded, "key", n_crowded).withColumn("near", F.bit_count(F.col("fp").bitwiseXOR(F.col("leader"))) <= distance))
     attached = sides.filter(F.col("near") & (F.col("fp") != F.col("leader"))).select(F.col("fp").alias("a"), F.col("leader").alias("b"))
-    dealt = pairs_of_blocks(sides.filter("member").select("key", "fp"), sides.filter("not near").select("key", "fp"), "key", "fp", block)
+    # A member that isn't near the leader may be near to any row that meets the bucket; a row that looks it up, to any member.
+    members, free = sides.filter("member").select("key", "fp"), sides.filter("not near")
+    every = sides.select("key", "fp")
+    dealt = [pairs_of_blocks(left, right.select("key", "fp"), "key", "fp", block) for left, right in ((every, free.filter("member")), (members, free.filter("not member")))]
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         own, side = rows["fp"].to_numpy().view(np.uint64), rows["side"].to_numpy()
         made = _forest(own[side == 0], own[side == 1], distance)
         return pd.DataFrame(np.array(made, np.uint64).reshape(-1, 2).view(np.int64), columns=["a", "b"])
 
-    return found.unionByName(attached).unionByName(dealt.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long"))
+    found = found.unionByName(attached)
+    for part in dealt:
+        found = found.unionByName(part.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long"))
+    return found
 
 
 def components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, distance: int = 4, **options: int) -> DataFrame:
