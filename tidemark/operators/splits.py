@@ -61,6 +61,22 @@ def merge_eras(old: DataFrame, new: DataFrame, policy: str = "prefer_rating") ->
     raise ValueError(f"unknown merge policy {policy!r}")
 
 
+def upsert(old: DataFrame, new: DataFrame, policy: str = "prefer_rating") -> DataFrame:
+    """``old`` and ``new`` with the event row of the latest ``batch`` for each pair, and the rows of other types, by the policy of ``merge_eras``.
+
+    In one window over the pair; the same rows again, or older ones, change nothing.
+    """
+    if policy not in ("prefer_rating", "prefer_event"):
+        raise ValueError(f"unknown merge policy {policy!r}")
+    event = F.col("interaction_type") == "event"
+    pair = W.partitionBy("user_id", "movie_id")
+    nth = F.row_number().over(W.partitionBy("user_id", "movie_id", event).orderBy(F.desc("batch"), F.desc("timestamp"), F.desc("interaction_value")))
+    rows = old.unionByName(new).withColumns({"__event__": event, "__nth__": nth, "__events__": F.max(event).over(pair), "__others__": F.max(~event).over(pair)})
+    keep_event, keep_other = (F.lit(True), ~F.col("__events__")) if policy == "prefer_event" else (~F.col("__others__"), F.lit(True))
+    kept = F.when(F.col("__event__"), (F.col("__nth__") == 1) & keep_event).otherwise(keep_other)
+    return rows.filter(kept).select(*old.columns)
+
+
 def merge_counts(old: DataFrame, new: DataFrame) -> DataFrame:
     """(new_rows, pairs_known, pairs_added)."""
     pair = ["user_id", "movie_id"]

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidemark.functions.events import EventSettings
 from tidemark.functions.scalars import source_weights
 from tidemark.operators import collaborative, content, evaluation, feedback, hybrid, neighbours, rankings, splits
 from tidemark.sources import writers
@@ -13,6 +15,7 @@ from tidemark.streaming import events as streams
 
 from . import adapters as A
 from .content_queries import _similar, movie_space, onboarding_ranked, seeds
+from .event_queries import _TRAIN
 from .oracle import CTES, sql
 from .registry import query
 
@@ -413,12 +416,58 @@ def live_profile(spark: SparkSession, d: str) -> DataFrame:
     # A stream's source is a folder or a pattern; this pattern names the one file.
     base = spark.readStream.schema(A.table(spark, d, "events").schema).parquet(f"{d}/events.parque[t]")
     events = A.as_events(base)
-    conf = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return _with_rocksdb(spark, lambda: streams.run_profiles(streams.live_profiles(events, A.AS_OF), A.scratch_folder(spark, "live")))
+
+
+def _with_rocksdb(spark: SparkSession, run: Callable[[], DataFrame]) -> DataFrame:
+    """``run()`` with the state store that processors need, as the session is set for it; the setting goes back after."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    conf = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        return streams.run_profiles(streams.live_profiles(events, A.AS_OF), A.scratch_folder(spark, "live"))
+        return run()
     finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", conf)
+        spark.conf.set(name, conf)
+
+
+def _in_parts(spark: SparkSession, d: str, folder: str, n: int = 3) -> Iterator[None]:
+    """The events as JSON-lines files, one of ``n`` equal spans of time after the other."""
+    e = A.events(spark, d).filter("timestamp is not null")
+    ends = e.agg(F.min("timestamp").alias("a"), F.max("timestamp").alias("z"))
+    span = F.least(F.floor((F.unix_micros("timestamp") - F.unix_micros("a")) * n / (F.unix_micros("z") - F.unix_micros("a") + 1)), F.lit(n - 1))
+    parts = A.stored(spark, e.crossJoin(F.broadcast(ends)).select(*e.columns, span.cast("int").alias("span")), "spans")
+    for k in range(n):
+        parts.filter(F.col("span") == k).drop("span").write.mode("append").json(folder)
+        yield
+
+
+@query("m3_merged", sql("SELECT user_id, movie_id, rating AS interaction_value, 'rating' AS interaction_type FROM ratings UNION ALL SELECT user_id, movie_id, interaction_value, interaction_type FROM (" + _TRAIN + ") ANTI JOIN ratings USING (user_id, movie_id)"))
+def merged_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The events in three spans of time, each merged into the interactions as it comes, by a stream that goes on where it stopped."""
+    table, files, progress = (A.scratch_folder(spark, x) for x in ("interactions", "files", "progress"))
+    old = A.ratings(spark, d).select("user_id", "movie_id", F.col("rating").alias("interaction_value"), F.lit("rating").alias("interaction_type"), "timestamp")
+    streams.lay_out(old, table)
+
+    def run() -> DataFrame:
+        for _ in _in_parts(spark, d, files):
+            streams.run_merge(streams.event_stream(spark, files), table, progress)
+        return spark.read.parquet(table).select("user_id", "movie_id", "interaction_value", "interaction_type")
+
+    return _with_rocksdb(spark, run)
+
+
+@query("m2_live_counts", sql("""SELECT user_id, count(*) FILTER (event_type IN ('watch', 'complete', 'like', 'rating', 'share', 'comment') AND (event_type <> 'watch' OR value >= 0.5) AND (event_type <> 'comment' OR value IS NOT NULL) AND timestamp >= (SELECT max(timestamp) FROM ev) - INTERVAL 1 HOUR - INTERVAL 7 DAY) AS valid_count FROM ev GROUP BY user_id"""))
+def live_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Usable events of the last week before the watermark, of a stream in three spans of time."""
+    files, folder = A.scratch_folder(spark, "files"), A.scratch_folder(spark, "counts")
+
+    def run() -> DataFrame:
+        out = None
+        for _ in _in_parts(spark, d, files):
+            out = streams.run_latest(streams.live_valid_counts(streams.json_stream(spark, files), settings=EventSettings(valid_days=7)), folder)
+        return out
+
+    return _with_rocksdb(spark, run)
 
 
 @query("n5_batch_recommend")

@@ -9,18 +9,38 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.functions.events import EventSettings
+from tidemark.functions.scalars import score_to_rating
 from tidemark.operators import feedback, splits
 
 EVENT = "event_id long, user_id long, movie_id long, event_type string, value string, timestamp timestamp"
 _PROFILE = "user_id long, movie_id long, score double, events_counted long, types string"
 
 
+def json_stream(spark: SparkSession, folder: str, schema: str = EVENT, files: int = 100) -> DataFrame:
+    """New JSON-lines files of ``folder`` as they come."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).option("recursiveFileLookup", True).json(folder)
+
+
 def event_stream(spark: SparkSession, folder: str, late: str = "30 days", schema: str = EVENT, files: int = 100) -> DataFrame:
     """New JSON-lines files of ``folder`` as they come; an event id counts once within the watermark."""
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).option("recursiveFileLookup", True).json(folder)
+    rows = json_stream(spark, folder, schema, files)
     return rows.withWatermark("timestamp", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
+_KEY = T.StructType([T.StructField("movie_id", T.LongType()), T.StructField("event_type", T.StringType())])
+_EVENTS = T.StructType([T.StructField("t", T.ArrayType(T.DoubleType())), T.StructField("i", T.ArrayType(T.LongType())), T.StructField("w", T.ArrayType(T.DoubleType())), T.StructField("total", T.DoubleType()), T.StructField("n", T.LongType())])
+
+
+def _seconds(times: pd.Series) -> list[float]:
+    return [x.timestamp() if pd.notna(x) else float("-inf") for x in times]
+
+
+def _newest(old: tuple, events: list[tuple[float, int, float]], cap: int) -> tuple:
+    """The state of a capped type: its ``cap`` newest events (time, id, weight); a late event takes its place by its time."""
+    kept = sorted([*zip(old[0], old[1], old[2], strict=True), *events], key=lambda e: (-e[0], e[1]))[:cap]
+    return [e[0] for e in kept], [int(e[1]) for e in kept], [e[2] for e in kept], 0.0, len(kept)
+
+
 class _Profile(StatefulProcessor):
     """State of a user: for capped types the newest events (time, id, weight), for others sums at an epoch."""
 
@@ -28,24 +48,20 @@ class _Profile(StatefulProcessor):
         self.as_of, self.s = as_of.timestamp(), settings
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        key = T.StructType([T.StructField("movie_id", T.LongType()), T.StructField("event_type", T.StringType())])
-        newest = T.StructType([T.StructField("t", T.ArrayType(T.DoubleType())), T.StructField("i", T.ArrayType(T.LongType())), T.StructField("w", T.ArrayType(T.DoubleType())), T.StructField("total", T.DoubleType()), T.StructField("n", T.LongType())])
-        self.state = handle.getMapState("events", key, newest)
+        self.state = handle.getMapState("events", _KEY, _EVENTS)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         new = pd.concat(list(rows))
         for (movie, kind), part in new.groupby(["movie_id", "event_type"]):
             at = (int(movie), kind)
             old = self.state.getValue(at) if self.state.containsKey(at) else ([], [], [], 0.0, 0)
-            t = [x.timestamp() if pd.notna(x) else float("-inf") for x in part["timestamp"]]
-            events = list(zip(t, part["event_id"].astype(int).tolist(), part["weight"].astype(float).tolist(), strict=True))
+            events = list(zip(_seconds(part["timestamp"]), part["event_id"].astype(int).tolist(), part["weight"].astype(float).tolist(), strict=True))
             cap = self.s.caps.get(kind)
             if cap is None:  # every event counts: its weight as of ``as_of``
                 total = float(old[3]) + sum(w * self._fade(x) for x, _, w in events)
                 self.state.updateValue(at, ([], [], [], total, int(old[4]) + len(events)))
-            else:  # a late event takes its place by its time
-                kept = sorted([*zip(old[0], old[1], old[2], strict=True), *events], key=lambda e: (-e[0], e[1]))[:cap]
-                self.state.updateValue(at, ([e[0] for e in kept], [int(e[1]) for e in kept], [e[2] for e in kept], 0.0, len(kept)))
+            else:
+                self.state.updateValue(at, _newest(old, events, cap))
         movies: dict[int, list] = {}
         for (movie, kind), value in self.state.iterator():
             entry = movies.setdefault(int(movie), [0.0, 0, set()])
@@ -87,21 +103,163 @@ def run_profiles(profiles: DataFrame, folder: str) -> DataFrame:
     return written.join(last, ["user_id", "batch"]).drop("batch")
 
 
-def merge_into(path_of: Callable[[int], str], policy: str = "prefer_rating") -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that merges training rows into the interactions at ``path_of(batch - 1)``.
+class _TrainingRows(StatefulProcessor):
+    """State of a user: for each movie and type what counts (as in ``_Profile``, without decay), for each movie the time of its last event."""
+
+    def __init__(self, settings: EventSettings):
+        self.s = settings
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getMapState("events", _KEY, _EVENTS)
+        self.kinds = handle.getMapState("kinds", T.StructType([T.StructField("movie_id", T.LongType())]), T.StructType([T.StructField("kinds", T.ArrayType(T.StringType())), T.StructField("last", T.DoubleType())]))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        out = []
+        for movie, mine in pd.concat(list(rows)).groupby("movie_id"):
+            at = (int(movie),)
+            known, last = self.kinds.getValue(at) if self.kinds.containsKey(at) else ([], float("-inf"))
+            last = max([last, *_seconds(mine["timestamp"])])
+            for kind, part in mine[mine["weight"].notna()].groupby("event_type"):
+                spot = (int(movie), kind)
+                old = self.state.getValue(spot) if self.state.containsKey(spot) else ([], [], [], 0.0, 0)
+                weights = part["weight"].astype(float).tolist()
+                cap = self.s.caps.get(kind)
+                new = ([], [], [], float(old[3]) + sum(weights), int(old[4]) + len(weights)) if cap is None else _newest(old, list(zip(_seconds(part["timestamp"]), part["event_id"].astype(int).tolist(), weights, strict=True)), cap)
+                self.state.updateValue(spot, new)
+                known = sorted({*known, kind})
+            self.kinds.updateValue(at, (list(known), last))
+            if known and last > float("-inf"):
+                held = [self.state.getValue((int(movie), kind)) for kind in known]
+                out.append((int(key[0]), int(movie), sum(float(v[3]) + sum(v[2]) for v in held), round(last * 1e6)))
+        yield pd.DataFrame(out, columns=["user_id", "movie_id", "score", "micros"])
+
+    def close(self) -> None:
+        pass
+
+
+def live_training_rows(events: DataFrame, settings: EventSettings | None = None) -> DataFrame:
+    """A stream of training rows (user_id, movie_id, interaction_value, interaction_type, timestamp): a pair's row anew each time events of it come in.
+
+    The last row of each pair is that of ``feedback.training_rows`` over all events so far: what caps hold is kept
+    from batch to batch.
+    """
+    s = settings or EventSettings()
+    rows = feedback.weigh(events, s).filter("user_id is not null and movie_id is not null").withColumn("event_type", F.lower(F.trim("event_type")))
+    rows = rows.select("event_id", "user_id", "movie_id", "event_type", F.when(F.col("reason").isNull(), F.col("weight")).alias("weight"), "timestamp")
+    made = rows.groupBy("user_id").transformWithStateInPandas(statefulProcessor=_TrainingRows(s), outputStructType="user_id long, movie_id long, score double, micros long", outputMode="Append", timeMode="None")
+    return made.select("user_id", "movie_id", F.round(score_to_rating(F.round("score", 6)), 6).alias("interaction_value"), F.lit("event").alias("interaction_type"), F.timestamp_micros("micros").alias("timestamp"))
+
+
+def _in_buckets(rows: DataFrame, buckets: int) -> DataFrame:
+    return rows.withColumn("bucket", F.pmod(F.xxhash64("user_id"), F.lit(buckets)).cast("int"))
+
+
+def lay_out(interactions: DataFrame, path: str, buckets: int = 64) -> None:
+    """The interactions (user_id, movie_id, interaction_value, interaction_type, timestamp) as a table of user buckets, for ``merge_into``."""
+    rows = _in_buckets(interactions, buckets).withColumn("batch", F.lit(-1).cast("long"))
+    rows.repartition("bucket").write.partitionBy("bucket").parquet(path)
+
 
-    Each batch writes a path of its own, so a batch that is run again writes the same table again.
+def merge_into(path: str, buckets: int = 64, policy: str = "prefer_rating") -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that merges ``live_training_rows`` into the table that ``lay_out`` wrote at ``path``.
+
+    Only the buckets of users with new rows are read, and written anew beside the old ones, which they replace at
+    the end of the job; the other buckets' files stay.  A row says of which batch it is and the latest counts, so
+    a batch that runs again, even after later ones, changes nothing.
     """
 
-    def each(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        old = spark.read.parquet(path_of(number - 1))
-        new = feedback.training_rows(batch, F.current_timestamp()).select(*old.columns)
-        splits.merge_eras(old, new, policy).write.mode("overwrite").parquet(path_of(number))
+    def each(rows: DataFrame, number: int) -> None:
+        spark = rows.sparkSession
+        new = _in_buckets(rows, buckets).withColumn("batch", F.lit(number).cast("long")).persist()
+        try:
+            touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # no more than there are buckets
+            if touched:
+                old = spark.read.parquet(path).filter(F.col("bucket").isin(touched))
+                merged = splits.upsert(old.select(*new.columns), new, policy)
+                merged.repartition(len(touched), "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+        finally:
+            new.unpersist()
 
     return each
 
 
+def run_merge(events: DataFrame, path: str, progress: str, buckets: int = 64, policy: str = "prefer_rating") -> None:
+    """Merges what a stream of events has to give by now; ``progress`` holds the state between runs."""
+    live_training_rows(events).writeStream.foreachBatch(merge_into(path, buckets, policy)).option("checkpointLocation", progress).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+
+
+class _Window(StatefulProcessor):
+    """State of a user: how many usable events there are of each time, and in all; a timer for when each leaves."""
+
+    def __init__(self, days: int):
+        self.span = days * 86_400_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.times = handle.getMapState("times", T.StructType([T.StructField("ms", T.LongType())]), T.StructType([T.StructField("n", T.LongType())]))
+        self.total = handle.getValueState("total", T.StructType([T.StructField("n", T.LongType())]))
+
+    def _count(self) -> int:
+        return int(self.total.get()[0]) if self.total.exists() else 0
+
+    def _row(self, key: tuple) -> pd.DataFrame:
+        return pd.DataFrame([(int(key[0]), self._count())], columns=["user_id", "valid_count"])
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now, total = timerValues.getCurrentWatermarkInMs(), self._count()
+        for part in rows:
+            good = part[part["valid"]]
+            total += int(good["ms"].isna().sum())  # events without a time never leave
+            for ms, n in good["ms"].dropna().astype("int64").value_counts().items():
+                leaves = int(ms) + self.span + 1
+                if leaves > now:
+                    old = int(self.times.getValue((int(ms),))[0]) if self.times.containsKey((int(ms),)) else 0
+                    self.times.updateValue((int(ms),), (old + int(n),))
+                    if not old:
+                        self.handle.registerTimer(leaves)
+                    total += int(n)
+        self.total.update((total,))
+        yield self._row(key)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        at = (expiredTimerInfo.getExpiryTimeInMs() - self.span - 1,)
+        if self.times.containsKey(at):
+            self.total.update((self._count() - int(self.times.getValue(at)[0]),))
+            self.times.removeKey(at)
+        yield self._row(key)
+
+    def close(self) -> None:
+        pass
+
+
+def live_valid_counts(events: DataFrame, late: str = "1 hour", settings: EventSettings | None = None) -> DataFrame:
+    """A stream of (user_id, valid_count): a user's usable events of the last ``valid_days`` before the watermark, anew when one comes or leaves.
+
+    Equal to ``feedback.valid_counts`` as of the watermark.  Event-time timers take old events out of the state.
+    """
+    s = settings or EventSettings()
+    rows = events.filter("user_id is not null").withWatermark("timestamp", late)
+    usable = feedback.is_valid_interaction(F.lit("0001-01-02").cast("timestamp"), s)  # at any age
+    ms = F.unix_millis("timestamp")
+    rows = rows.select("user_id", usable.alias("valid"), ms.alias("ms"), "timestamp")
+    return rows.groupBy("user_id").transformWithStateInPandas(statefulProcessor=_Window(s.valid_days), outputStructType="user_id long, valid_count long", outputMode="Update", timeMode="EventTime")
+
+
+def run_latest(rows: DataFrame, folder: str) -> DataFrame:
+    """Runs a stream of (user_id, ...) rows over what it has to give by now; the last row of each user of all runs in ``folder``."""
+    spark = rows.sparkSession
+    schema = T.StructType([*rows.schema.fields, T.StructField("at", T.LongType()), T.StructField("batch", T.LongType())])
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("at", F.monotonically_increasing_id()).write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+
+    rows.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/progress").outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    written = spark.read.schema(schema).parquet(f"{folder}/rows")
+    fields = [f.name for f in rows.schema.fields]
+    last = written.groupBy("user_id").agg(F.max_by(F.struct(*fields), F.struct("batch", "at")).alias("r"))
+    return last.select("r.*")
+
+
 def daily_ignored(events: DataFrame, late: str = "2 days") -> DataFrame:
     """(day, reason, event_type, n) of events that don't count; works on streams and tables."""
     bad = feedback.weigh(events).filter("reason is not null")
