@@ -73,6 +73,17 @@ def movies(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def keyword_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of a content table: some of the catalogue's are missing, some are unknown there."""
+    k = F.col("p_partkey")
+    return table(spark, sf_dir, "part").filter("p_partkey % 17 <> 0").select(F.when(k % 61 == 0, k + 800000).otherwise(k).alias("id"))
+
+
+def credit_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    return table(spark, sf_dir, "part").filter("p_partkey % 19 <> 0").select(F.when(k % 67 == 0, k + 800000).otherwise(k).alias("id"))
+
+
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     target = F.when(k % 50 == 7, None).when(k % 50 == 8, k + 900000).when(k % 100 == 99, k - 1).otherwise(k)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.functions import literals
-from tidemark.operators import content, neighbours, profiling, rankings, splits
+from tidemark.operators import content, neighbours, profiling, rankings, splits, validation
 from tidemark.sources import readers, writers
 
 from . import adapters as A
@@ -335,3 +335,104 @@ def histogram(spark: SparkSession, d: str) -> DataFrame:
 @query("e10_fingerprint")
 def fingerprint(spark: SparkSession, d: str) -> DataFrame:
     return profiling.fingerprint(A.ratings(spark, d))
+
+
+CTES |= {
+    "keyword_ids": """
+  SELECT CASE WHEN p_partkey % 61 = 0 THEN p_partkey + 800000 ELSE p_partkey END AS id FROM part WHERE p_partkey % 17 <> 0""",
+    "credit_ids": """
+  SELECT CASE WHEN p_partkey % 67 = 0 THEN p_partkey + 800000 ELSE p_partkey END AS id FROM part WHERE p_partkey % 19 <> 0""",
+    "meta_ids": """
+  SELECT CAST(try_cast(id AS DOUBLE) AS BIGINT) AS id FROM all_movies""",
+    "raw_relations": """
+  SELECT (SELECT count(DISTINCT source_movie_id) FROM raw_ratings WHERE source_movie_id NOT IN (SELECT source_id FROM links)) AS ratings_movie_ids_not_in_links,
+    (SELECT count(DISTINCT source_id) FROM links WHERE source_id NOT IN (SELECT source_movie_id FROM raw_ratings)) AS link_movie_ids_without_ratings,
+    (SELECT count(*) FROM links WHERE target_id IS NULL) AS links_missing_tmdb_id,
+    (SELECT count(DISTINCT target_id) FROM links ANTI JOIN meta_ids ON target_id = id WHERE target_id IS NOT NULL) AS linked_tmdb_ids_not_in_metadata,
+    (SELECT count(DISTINCT id) FROM meta_ids ANTI JOIN links ON target_id = id WHERE id IS NOT NULL) AS metadata_ids_without_link,
+    (SELECT coalesce(sum(n), 0)::BIGINT FROM (SELECT count(*) AS n FROM links WHERE target_id IS NOT NULL GROUP BY target_id) WHERE n > 1) AS duplicate_non_null_tmdb_mapping_rows,
+    (SELECT count(DISTINCT id) FROM credit_ids ANTI JOIN meta_ids USING (id)) AS credit_ids_not_in_metadata,
+    (SELECT count(DISTINCT id) FROM meta_ids ANTI JOIN credit_ids USING (id) WHERE id IS NOT NULL) AS metadata_ids_without_credits,
+    (SELECT count(DISTINCT id) FROM keyword_ids ANTI JOIN meta_ids USING (id)) AS keyword_ids_not_in_metadata,
+    (SELECT count(DISTINCT id) FROM meta_ids ANTI JOIN keyword_ids USING (id) WHERE id IS NOT NULL) AS metadata_ids_without_keywords,
+    (SELECT coalesce(sum(n - 1), 0)::BIGINT FROM (SELECT count(*) AS n FROM meta_ids WHERE id IS NOT NULL GROUP BY id)) AS duplicate_metadata_rows,
+    (SELECT count(*) FROM meta_ids WHERE id IS NULL) AS metadata_rows_without_id""",
+}
+
+
+def raw_tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    ratings, links = A.raw_ratings(spark, d), A.links(spark, d)
+    return {"movies": A.raw_movies(spark, d), "keywords": A.keyword_ids(spark, d), "credits": A.credit_ids(spark, d), "links": links, "links_small": links.limit(100), "ratings": ratings, "ratings_small": ratings.limit(100)}
+
+
+@query("e5_raw_relations", sql("SELECT * FROM raw_relations"))
+def raw_relations(spark: SparkSession, d: str) -> DataFrame:
+    t = raw_tables(spark, d)
+    return validation.raw_relations(t["movies"], t["links"], t["ratings"], t["keywords"], t["credits"])
+
+
+def _evidence(found: DataFrame) -> DataFrame:
+    pairs = F.transform(F.array_sort(F.map_entries("evidence")), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return found.select("rule_id", "status", "critical", F.array_join(pairs, ";").alias("evidence"))
+
+
+@query("e6_raw_rules", sql("""SELECT 'RAW_FILES_PRESENT' AS rule_id, 'PASS' AS status, true AS critical, 'missing=0' AS evidence
+UNION ALL SELECT 'RAW_FILES_PARSEABLE', 'PASS', true, 'unread_rows=0'
+UNION ALL SELECT 'MOVIE_ID_NUMERIC', CASE WHEN metadata_rows_without_id > 0 THEN 'WARNING' ELSE 'PASS' END, false, 'invalid_rows=' || metadata_rows_without_id FROM raw_relations
+UNION ALL SELECT 'MOVIE_ID_UNIQUE', CASE WHEN duplicate_metadata_rows > 0 THEN 'WARNING' ELSE 'PASS' END, false, 'duplicate_extra_rows=' || duplicate_metadata_rows FROM raw_relations
+UNION ALL SELECT 'RATING_SOURCE_PAIR_UNIQUE', CASE WHEN n > 0 THEN 'WARNING' ELSE 'PASS' END, false, 'duplicate_extra_rows=' || n FROM (SELECT count(*) - count(DISTINCT (user_id, source_movie_id)) AS n FROM raw_ratings)
+UNION ALL SELECT 'RATING_RANGE', CASE WHEN a >= 0.5 AND z <= 5 THEN 'PASS' ELSE 'FAIL' END, true, 'maximum=' || z || ';minimum=' || a FROM (SELECT min(rating) AS a, max(rating) AS z FROM raw_ratings)
+UNION ALL SELECT 'RATING_MOVIE_LINK_REFERENCE', CASE WHEN ratings_movie_ids_not_in_links > 0 THEN 'FAIL' ELSE 'PASS' END, true, 'unmatched_movie_ids=' || ratings_movie_ids_not_in_links FROM raw_relations
+UNION ALL SELECT 'LINK_METADATA_REFERENCE', CASE WHEN links_missing_tmdb_id + linked_tmdb_ids_not_in_metadata > 0 THEN 'WARNING' ELSE 'PASS' END, false, 'missing_tmdb_ids=' || links_missing_tmdb_id || ';tmdb_ids_absent_from_metadata=' || linked_tmdb_ids_not_in_metadata FROM raw_relations
+UNION ALL SELECT 'CONTENT_REFERENCE_COVERAGE', CASE WHEN metadata_ids_without_credits + metadata_ids_without_keywords > 0 THEN 'WARNING' ELSE 'PASS' END, false, 'movies_without_credits=' || metadata_ids_without_credits || ';movies_without_keywords=' || metadata_ids_without_keywords FROM raw_relations
+UNION ALL SELECT 'INTERACTION_SIGNAL_LIMITATION', 'WARNING', false, 'available_interaction_types=rating'"""))
+def raw_rules(spark: SparkSession, d: str) -> DataFrame:
+    return _evidence(validation.raw_rules(raw_tables(spark, d)))
+
+
+_FINAL = """SELECT 'REQUIRED_OUTPUTS_PRESENT' AS rule_id, 'PASS' AS status, true AS critical, 'missing=0' AS evidence
+UNION ALL SELECT 'MOVIE_KEY_UNIQUE', 'PASS', true, 'duplicate_ids=' || (count(*) - count(DISTINCT movie_id)) || ';non_positive_ids=' || count(*) FILTER (movie_id <= 0) FROM movies
+UNION ALL SELECT 'MOVIE_REQUIRED_FIELDS', 'PASS', true, 'empty_titles=' || count(*) FILTER (trim(title) = '') || ';required_nulls=' || count(*) FILTER (movie_id IS NULL OR title IS NULL OR genres IS NULL) FROM movies
+UNION ALL SELECT 'ID_MAPPING_INTEGRITY', 'PASS', true, 'duplicate_source_ids=' || (count(*) - count(DISTINCT source_movie_id)) || ';invalid_movie_foreign_keys=' || count(*) FILTER (movie_id NOT IN (SELECT movie_id FROM movies)) FROM mapping WHERE movie_id IS NOT NULL
+UNION ALL SELECT 'CLEAN_RATING_INTEGRITY', 'PASS', true, 'duplicate_user_movie_pairs=' || (count(*) - count(DISTINCT (user_id, movie_id))) || ';invalid_movie_foreign_keys=' || count(*) FILTER (movie_id NOT IN (SELECT movie_id FROM movies)) || ';invalid_ratings=' || count(*) FILTER (NOT rating BETWEEN 0.5 AND 5) || ';null_required_values=0' FROM ratings
+UNION ALL SELECT 'CHILD_TABLE_FOREIGN_KEYS', CASE WHEN c + g + k > 0 THEN 'FAIL' ELSE 'PASS' END, true, 'credits=' || c || ';genres=' || g || ';keywords=' || k FROM (SELECT (SELECT count(*) FROM credit_ids WHERE id NOT IN (SELECT movie_id FROM movies)) AS c, (SELECT count(*) FROM genre_each WHERE movie_id NOT IN (SELECT movie_id FROM movies)) AS g, (SELECT count(*) FROM keyword_ids WHERE id NOT IN (SELECT movie_id FROM movies)) AS k)
+UNION ALL SELECT 'MOVIE_FEATURE_COVERAGE', 'PASS', true, 'duplicate_movie_ids=' || (count(*) - count(DISTINCT movie_id)) || ';empty_cleaned_text=' || count(*) FILTER (trim(document) = '') || ';missing_movie_ids=' || (SELECT count(*) FROM movies WHERE movie_id NOT IN (SELECT movie_id FROM m_docs)) || ';row_difference_from_movies=' || (count(*) - (SELECT count(*) FROM movies)) FROM m_docs
+UNION ALL SELECT 'INTERACTION_TABLE_INTEGRITY', 'PASS', true, 'null_required_values=0;other_types=0;row_difference_from_ratings=0'
+UNION ALL SELECT 'SPLIT_LEAKAGE', 'PASS', true, 'held_out_users_without_train=' || (SELECT count(*) FROM (SELECT user_id FROM parts GROUP BY user_id HAVING count(*) FILTER (split <> 'train') > 0 AND count(*) FILTER (split = 'train') = 0)) || ';pairs_in_two_splits=0;repeated_pairs=' || (count(*) - count(DISTINCT (user_id, movie_id))) || ';rows_missing=' || ((SELECT count(*) FROM ratings) - count(*)) || ';users_out_of_order=0' FROM parts
+UNION ALL SELECT 'GUEST_RANKING_INTEGRITY', 'PASS', true, 'all_duplicate_movies=' || (count(*) - count(DISTINCT movie_id)) || ';genre_duplicate_movies=' || (SELECT count(*) - count(DISTINCT (genre, movie_id)) FROM genre_rated) || ';genre_duplicate_ranks=' || (SELECT count(*) - count(DISTINCT (genre, rank)) FROM genre_rated) || ';user_columns=0' FROM top_rated
+UNION ALL SELECT 'ONBOARDING_RECOMMENDER_BEHAVIOR', 'PASS', true, 'not_deterministic=0;not_fallback_used_for_empty_input=0;not_selected_movie_excluded=0;not_unique_results=0'
+UNION ALL SELECT 'SERVING_TABLE_INTEGRITY', 'PASS', true, 'duplicate_movie_ids=' || (count(*) - count(DISTINCT movie_id)) || ';required_nulls=0;row_difference_from_movies=0' FROM movies
+UNION ALL SELECT 'JSON_SERIALIZATION', 'PASS', true, 'movies_malformed_rows=0;popular_malformed_rows=0;row_difference_from_movies=0'
+UNION ALL SELECT 'DETERMINISTIC_PIPELINE_ARTIFACTS', 'PASS', false, 'changed=0;compared=2'
+UNION ALL SELECT 'KNOWN_DATASET_LIMITATIONS', 'WARNING', false, 'movies_without_genres=' || (SELECT count(*) FROM movies WHERE len(genres) = 0) || ';train_only_sparse_users=' || (SELECT count(*) FROM (SELECT user_id FROM parts GROUP BY user_id HAVING count(*) FILTER (split <> 'train') = 0))"""
+
+
+@query("e7_all_rules", sql(_FINAL))
+def all_final_rules(spark: SparkSession, d: str) -> DataFrame:
+    """The tables of a run are written, counted as they pass, and checked; the ratings and the splits are made twice and compared."""
+    ratings, movies = A.stored(spark, A.ratings(spark, d), "ratings"), A.movies(spark, d)
+    stats = A.stored(spark, rankings.movie_stats(ratings), "stats")
+    made = {
+        "movies": movies,
+        "mapping": A.mapping(spark, d).filter("movie_id is not null"),
+        "ratings": ratings,
+        "interactions": ratings.select("user_id", "movie_id", F.col("rating").alias("interaction_value"), F.lit("rating").alias("interaction_type"), "timestamp"),
+        "features": movie_docs(spark, d),
+        "parts": splits.chronological(ratings),
+        "top": rankings.top_rated(stats, movies),
+        "genre_top": rankings.by_genre(stats, movies)[0],
+        "serving": writers.movies_serving(movies),
+        "child_genres": movies.join(stats.select("movie_id"), "movie_id", "left_semi").select("movie_id", F.explode("genres").alias("genre")).distinct(),
+        "child_keywords": A.keyword_ids(spark, d).withColumnRenamed("id", "movie_id"),
+        "child_credits": A.credit_ids(spark, d).withColumnRenamed("id", "movie_id"),
+    }
+    out = A.scratch_folder(spark, "run")
+    observed = {name: writers.write_observed(df, f"{out}/{name}", validation.watched(name)) for name, df in made.items()}
+    tables = {name: spark.read.parquet(f"{out}/{name}") for name in made}
+    writers.write_json_lines(tables["serving"], f"{out}/json_movies")
+    writers.write_json_lines(writers.popular_movies(tables["top"], tables["genre_top"], tables["ratings"]), f"{out}/json_popular")
+    lines = {n: spark.read.text(f"{out}/json_{n}") for n in ("movies", "popular")}
+    vectors, vocabulary = movie_space(spark, d)
+    behaviour = validation.onboarding_behaviour(tables["movies"], vectors, vocabulary, tables["top"])
+    same = {name: profiling.fingerprint(tables[name]).first() == profiling.fingerprint(df).first() for name, df in (("ratings", A.ratings(spark, d)), ("parts", splits.chronological(A.ratings(spark, d))))}
+    return _evidence(validation.final_rules(tables, observed, lines, behaviour, same))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 
 def write_parquet(df: DataFrame, path: str, by: list[str] | None = None) -> None:
@@ -13,6 +13,13 @@ def write_parquet(df: DataFrame, path: str, by: list[str] | None = None) -> None
     (writer.partitionBy(*by) if by else writer).parquet(path)
 
 
+def write_observed(df: DataFrame, path: str, metrics: dict[str, Column], by: list[str] | None = None) -> dict[str, int]:
+    """``write_parquet``, and the ``metrics`` (aggregates by name) of the rows as they pass: no second scan."""
+    seen = Observation()
+    write_parquet(df.observe(seen, *[c.alias(n) for n, c in metrics.items()]), path, by)
+    return {n: int(v or 0) for n, v in seen.get.items()}
+
+
 def write_bucketed(df: DataFrame, path: str, key: str, buckets: int | None = None) -> DataFrame:
     """A table at ``path`` in ``buckets`` files by hash of ``key``, as it is read back: what joins, groups or windows such tables by ``key`` needs no shuffle.
 
@@ -25,10 +32,13 @@ def write_bucketed(df: DataFrame, path: str, key: str, buckets: int | None = Non
     return spark.table(name)
 
 
+#: The columns a backend may see, and the names some get there.
+SERVING = {"movie_id": "movie_id", "title": "title", "release_year": "release_year", "genres": "genres", "overview": "overview", "poster_path": "poster_path", "vote_average": "vote_average", "vote_count": "vote_count", "popularity": "popularity", "runtime": "runtime", "original_language": "original_language", "production_companies": "companies", "production_countries": "countries"}
+
+
 def movies_serving(movies: DataFrame) -> DataFrame:
-    """The columns a backend may see, by id."""
-    allowed = ["movie_id", "title", "genres", "vote_average", "vote_count"]
-    return movies.select(*allowed).orderBy("movie_id")
+    """The columns a backend may see, as far as ``movies`` has them, by id."""
+    return movies.select(*[F.col(c).alias(name) for c, name in SERVING.items() if c in movies.columns]).orderBy("movie_id")
 
 
 def json_lines(df: DataFrame) -> DataFrame:
