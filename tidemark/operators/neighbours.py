@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tidemark.functions.scalars import weighted_rating
+from tidemark.sources import scratch
 
 
 def quality_scores(movies: DataFrame, q: float = 0.9) -> DataFrame:
@@ -26,38 +29,79 @@ def quality_scores(movies: DataFrame, q: float = 0.9) -> DataFrame:
     return rows.crossJoin(F.broadcast(ends)).select("movie_id", F.when(F.col("z") == F.col("a"), 1.0).otherwise((F.col("wr") - F.col("a")) / (F.col("z") - F.col("a"))).alias("quality"))
 
 
-def _blocks(df: DataFrame, key: str, values: str, n: int) -> DataFrame:
-    """(block, ids, rows): ``n`` blocks of vectors, by hash of the key."""
-    return df.withColumn("block", F.pmod(F.xxhash64(key), F.lit(n))).select("block", F.col(key).cast("long").alias("id"), F.col(values).cast("array<float>").alias("v"))
-
-
 def top_products(left: DataFrame, right: DataFrame, key: str, values: str, top: int, rows_per_block: int = 4096, same: bool = False, need: DataFrame | None = None) -> DataFrame:
-    """(id, other, score): for each left vector the ``top`` right ones by dot product (ties: lower id), exactly.
+    """(id, other, score): for each left vector the ``top`` right ones by dot product (rounded to nine places; ties: lower id), exactly.
 
-    ``need`` (id, n): as many as it says, for those that are in it.
+    ``need`` (id, n): as many as it says, for those that are in it.  ``same``: a vector is not its own partner.
 
-    The stated set of left vectors is met block by block with the right ones, each pair of blocks
-    one matrix product in a task that keeps its own ``top`` a row; a window keeps the best of those.
-    ``same``: a vector is not its own partner.
+    The right vectors stand in blocks by falling length.  No product is larger than the product of both lengths, so once
+    a left vector has met the longest block it skips the blocks whose longest vector can't reach its last place.
     """
-    nl = max(1, -(-left.count() // rows_per_block))
-    nr = max(1, -(-right.count() // rows_per_block))
-    x = _blocks(left, key, values, nl)
-    x = x.withColumn("n", F.lit(top)) if need is None else x.join(need.select("id", F.col("n").cast("int").alias("n")), "id", "left").fillna({"n": top})
-    a = x.select("id", "v", "n", F.col("block").alias("bl"), F.explode(F.sequence(F.lit(0), F.lit(nr - 1))).alias("br"), F.lit(0).alias("side"))
-    b = _blocks(right, key, values, nr).select("id", "v", F.lit(0).alias("n"), F.explode(F.sequence(F.lit(0), F.lit(nl - 1))).alias("bl"), F.col("block").alias("br"), F.lit(1).alias("side"))
-
-    def multiply(rows: pd.DataFrame) -> pd.DataFrame:
-        x, y = rows[rows["side"] == 0], rows[rows["side"] == 1].sort_values("id")
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    rows = lambda df: df.select(F.col(key).cast("long").alias("id"), F.col(values).cast("array<float>").alias("v")).withColumn("length", length)
+    x, y = rows(left), rows(right)
+    n = y.count()
+    if not n:
+        return left.sparkSession.createDataFrame([], "id long, other long, score double")
+    ranges = max(1, -(-n // rows_per_block))
+    edges = sorted(set(y.approxQuantile("length", [k / ranges for k in range(1, ranges)], 0.0005)), reverse=True) if ranges > 1 else []
+    # The longest first; many of one length are dealt by hash.
+    place = F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: F.col("length") < e)) if edges else F.lit(0)
+    ranged = y.withColumn("range", place)
+    many = ranged.groupBy("range").agg(F.ceil(F.count("*") / rows_per_block).cast("int").alias("parts"))
+    blocked = ranged.join(F.broadcast(many), "range").withColumn("block", F.concat_ws(".", F.col("range").cast("string"), F.pmod(F.xxhash64("id"), F.col("parts")).cast("string")))
+    limits = blocked.groupBy("block").agg(F.max("length").alias("most"), F.min("range").alias("range"))
+    limits = F.broadcast(limits)  # a row a block
+    bounds = x.select("id", "length").crossJoin(limits).select("id", "block", (F.col("length") * F.col("most") * (1 + 1e-6) + 1e-8).alias("bound"))
+
+    def product(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
+        return np.stack(a["v"]).astype(np.float64) @ np.stack(b["v"]).astype(np.float64).T
+
+    return _pruned(x.select("id", "v"), blocked.select("block", "id", "v"), bounds, product, top, need, same, rows_per_block, floor=-np.inf)
+
+
+def _pruned(left: DataFrame, right: DataFrame, bounds: DataFrame, product: Callable[[pd.DataFrame, pd.DataFrame], np.ndarray], top: int, need: DataFrame | None, same: bool, rows_per_block: int, floor: float) -> DataFrame:
+    """(id, other, score): the best right rows of each left row, of scores above ``floor``.
+
+    ``left``: (id, ...), ``right``: (block, id, ...), ``bounds``: (id, block, bound): what no score of the row in the block exceeds.
+    A left row meets the block of its highest bound first; then those whose bound reaches the last score it has.
+    """
+    counts = _columns(left, need, top)
+    known = scratch.stored(bounds.filter(F.col("bound") > floor), "bounds")
+    first = known.groupBy("id").agg(F.max_by("block", F.struct("bound", "block")).alias("block"))
+    started = scratch.stored(_kept(_met(first, counts, right, product, same, rows_per_block, floor), top, need), "first")
+    last = started.groupBy("id").agg(F.min("score").alias("last"), F.count("*").alias("have"))
+    reached = counts.select("id", "n").join(last, "id", "left").select("id", F.when(F.col("have") >= F.col("n"), F.col("last")).alias("last"))
+    more = known.join(first.withColumnRenamed("block", "done"), "id").filter("block <> done").join(reached, "id").filter(F.col("last").isNull() | (F.col("bound") >= F.col("last"))).select("id", "block")
+    return _kept(started.unionByName(_met(more, counts, right, product, same, rows_per_block, floor)), top, need)
+
+
+def _columns(left: DataFrame, need: DataFrame | None, top: int) -> DataFrame:
+    """``left`` and how many each row wants."""
+    return left.withColumn("n", F.lit(top)) if need is None else left.join(need.select("id", F.col("n").cast("int").alias("n")), "id", "left").fillna({"n": top})
+
+
+def _met(pairs: DataFrame, left: DataFrame, right: DataFrame, product: Callable[[pd.DataFrame, pd.DataFrame], np.ndarray], same: bool, rows_per_block: int, floor: float) -> DataFrame:
+    """The best of each left row in each block it meets (``pairs``: id, block): one product of some left rows and a block a task."""
+    pairs = scratch.stored(pairs, "pairs")
+    sizes = pairs.groupBy("block").agg(F.ceil(F.count("*") / rows_per_block).cast("int").alias("parts"))
+    sizes = F.broadcast(sizes)  # a row a block
+    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    a = pairs.join(left, "id").join(sizes, "block").withColumn("part", part).drop("parts")
+    b = right.join(sizes, "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+
+    def multiply(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(y):
             return pd.DataFrame({"id": [], "other": [], "score": []})
-        s = np.round(np.stack(x["v"]).astype(np.float64) @ np.stack(y["v"]).astype(np.float64).T, 9)
+        y = y.sort_values("id")
+        s = np.round(product(x, y), 9)
         ids, others = x["id"].to_numpy(), y["id"].to_numpy()
+        s[s <= floor] = -np.inf
         if same:
             s[ids[:, None] == others[None]] = -np.inf
         return _best(s, ids, others, x["n"].to_numpy())
 
-    return _kept(a.unionByName(b).groupBy("bl", "br").applyInPandas(multiply, "id long, other long, score double"), top, need)
+    return a.groupBy("block", "part").cogroup(b.groupBy("block", "part")).applyInPandas(multiply, "id long, other long, score double")
 
 
 def _best(s: np.ndarray, ids: np.ndarray, others: np.ndarray, n: np.ndarray) -> pd.DataFrame:
@@ -114,36 +158,36 @@ def _sparse_product(hx: list[np.ndarray], wx: list[np.ndarray], hy: list[np.ndar
     return out
 
 
-def sparse_top(left: DataFrame, right: DataFrame, need: DataFrame | None = None, top: int = 200, same: bool = False, rows_per_block: int = 2048) -> DataFrame:
+def sparse_top(left: DataFrame, right: DataFrame, need: DataFrame | None = None, top: int = 200, same: bool = False, rows_per_block: int = 1024) -> DataFrame:
     """(id, other, score): for each left vector the right ones of largest dot product above 0 (rounded to nine places; ties: lower id).
 
     ``left``, ``right``: (id, term, weight >= 0).  ``top`` of each, or as many as ``need`` (id, n) says of
-    those that are in it.  ``same``: a vector is not its own partner.  Each pair of blocks of vectors is one
-    product in a task, which keeps the best of each row; frequent terms cost a column there and no pairs of rows.
-    """
-    cells = F.collect_list(F.struct(F.xxhash64("term").alias("h"), F.col("weight").alias("w")))
-    rows = lambda df: df.groupBy(F.col("id").cast("long").alias("id")).agg(cells.alias("v")).select("id", F.col("v.h").alias("h"), F.col("v.w").alias("w"))
-    x, y = rows(left), rows(right)
-    x = x.withColumn("n", F.lit(top)) if need is None else x.join(need.select("id", F.col("n").cast("int").alias("n")), "id", "left").fillna({"n": top})
-    blocks = lambda df: max(1, -(-df.select("id").distinct().count() // rows_per_block))
-    nl, nr = blocks(left), blocks(right)
-    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    a = x.select("id", "h", "w", "n", block(nl).alias("bl"), each(nr).alias("br"), F.lit(0).alias("side"))
-    b = y.select("id", "h", "w", F.lit(0).alias("n"), each(nl).alias("bl"), block(nr).alias("br"), F.lit(1).alias("side"))
-
-    def multiply(rows: pd.DataFrame) -> pd.DataFrame:
-        x, y = rows[rows["side"] == 0], rows[rows["side"] == 1].sort_values("id")
-        if not len(x) or not len(y):
-            return pd.DataFrame({"id": [], "other": [], "score": []})
-        s = np.round(_sparse_product(list(x["h"]), list(x["w"]), list(y["h"]), list(y["w"])), 9)
-        ids, others = x["id"].to_numpy(), y["id"].to_numpy()
-        s[s <= 0] = -np.inf
-        if same:
-            s[ids[:, None] == others[None]] = -np.inf
-        return _best(s, ids, others, x["n"].to_numpy())
+    those that are in it.  ``same``: a vector is not its own partner.
 
-    return _kept(a.unionByName(b).groupBy("bl", "br").applyInPandas(multiply, "id long, other long, score double"), top, need)
+    Right vectors with the same heaviest terms stand in the same blocks.  Of each block the largest weight of each term
+    is known, so a left vector's score there is bounded by the sum of its weights times those; blocks whose bound is below
+    the last score it has are skipped.  What is left is one product of vectors and a block in a task;
+    frequent terms cost a column there and no pairs of rows.
+    """
+    hashed = lambda df: df.select(F.col("id").cast("long").alias("id"), F.xxhash64("term").alias("h"), F.col("weight").cast("double").alias("w"))
+    x, y = scratch.stored(hashed(left), "left"), scratch.stored(hashed(right), "right")
+    whole = lambda df: df.groupBy("id").agg(F.collect_list(F.struct("h", "w")).alias("v"))
+    heavy = F.transform(F.slice(F.reverse(F.array_sort(F.transform("v", lambda c: F.struct(c["w"].alias("w"), c["h"].alias("h"))))), 1, 2), lambda c: c["h"])
+    bodies = whole(y).select("id", F.col("v.h").alias("h"), F.col("v.w").alias("w"), heavy.alias("heavy"))
+    bodies = scratch.stored(bodies.withColumn("key", F.xxhash64("heavy")).withColumn("lead", F.get("heavy", F.lit(0))), "bodies")
+    # Groups of equal heavy terms beside each other, cut into even blocks: ranges of the order of the keys.
+    n = bodies.count()
+    blocks = max(1, -(-n // rows_per_block))
+    spot = scratch.stored(bodies.select("id", "lead", "key").repartitionByRange(blocks, "lead", "key", F.xxhash64("id")).select("id", F.spark_partition_id().alias("block")), "blocks")
+    blocked = bodies.join(spot, "id").select("block", "id", "h", "w")
+    peaks = blocked.select("block", F.explode(F.arrays_zip("h", "w")).alias("c")).groupBy("block", "c.h").agg(F.max("c.w").alias("peak"))
+    bounds = x.join(peaks, "h").groupBy("id", "block").agg((F.sum(F.col("w") * F.col("peak")) + 1e-8).alias("bound"))
+
+    def product(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
+        return _sparse_product(list(a["h"]), list(a["w"]), list(b["h"]), list(b["w"]))
+
+    mine = scratch.stored(whole(x).select("id", F.col("v.h").alias("h"), F.col("v.w").alias("w")), "vectors")
+    return _pruned(mine, blocked, bounds, product, top, need, same, rows_per_block, floor=0.0)
 
 
 def sparse_pool(vectors: DataFrame, eligible: DataFrame, pool: int = 200) -> DataFrame:

@@ -6,12 +6,11 @@ stand as SQL in ``oracle.py``.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.operators import cleaning
+from tidemark.sources import scratch
+from tidemark.sources.scratch import scratch_folder  # noqa: F401
 
 AS_OF = "2024-02-01 00:00:00"
 
@@ -20,21 +19,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the one that driver and executors share (``spark.checkpoint.dir``); a temporary one only if the master is local."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if base is None:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
-    return f"{base.rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex}"
-
-
 def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder, for what is read more than once."""
-    path = scratch_folder(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return scratch.stored(df, name)
 
 
 def as_of() -> F.Column:
