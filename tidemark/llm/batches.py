@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 #: Bytes of text that are worked on at a time inside a task; one longer text is taken alone.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -148,6 +148,7 @@ def map_arrow(df: DataFrame, fields: T.StructType, fn: Callable[[pa.RecordBatch]
         for batch in batches:
             made = fn(batch)
             yield from [made] if isinstance(made, pa.RecordBatch) else made
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     return df.mapInArrow(each, fields)
 
@@ -166,6 +167,7 @@ def with_columns(df: DataFrame, text: str, fields: T.StructType, fn: Callable[[p
         for batch in batches:
             made = fn(batch.column(len(keep)))
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(keep))] + made, names=schema.names)
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     return base.mapInArrow(each, schema)
 
