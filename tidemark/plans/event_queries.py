@@ -133,3 +133,41 @@ def export_since(spark: SparkSession, d: str) -> DataFrame:
 
     e = A.events(spark, d).withColumn("timestamp", F.when(F.col("event_id") % 20 != 0, F.col("timestamp")))
     return readers.since(e, F.lit("2024-01-15 00:00:00").cast("timestamp"))[1].select("kept", "older", "without_time")
+
+
+@query("a5_json_files", """
+SELECT event_id, user_id, event_type FROM (SELECT event_id % 4 AS file, event_id, CAST(user_id AS VARCHAR) AS user_id, event_type FROM events) WHERE file < 3
+UNION ALL SELECT -1, (SELECT CAST(count(*) FILTER (event_id % 4 = 3) + 1 AS VARCHAR) FROM events), 'skipped'""")
+def json_files(spark: SparkSession, d: str) -> DataFrame:
+    """Files of lines, of arrays in one line and over many, of lines that can't be used, and an array that isn't closed."""
+    from tidemark.sources import readers
+
+    e = A.table(spark, d, "events").select("event_id", "user_id", "event_type")
+    folder, k = A.scratch_folder(spark, "json"), F.col("event_id") % 4
+    record = F.to_json(F.struct("event_id", "user_id", "event_type"))
+    odd = F.when(F.col("event_id") % 8 == 3, F.lit('"a text"')).otherwise(F.substring(record, F.lit(2), F.length(record)))
+    # 64 arrays of each kind, a file each.
+    arrays = lambda rows, sep: rows.groupBy((F.col("event_id") % 64).alias("g")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(record), sep), F.lit("]")).alias("value")).select("value")
+    files = {
+        "lines": e.filter(k == 0).select(record.alias("value")),
+        "odd": e.filter(k == 3).select(odd.alias("value")),
+        "arrays": arrays(e.filter(k == 1), ","),
+        "long": arrays(e.filter(k == 2), "\n ,\n"),
+        "open": spark.range(1).select(F.lit('[{"event_id": "9"},').alias("value")),
+    }
+    for name, rows in files.items():
+        rows.write.option("maxRecordsPerFile", 1 if name in ("arrays", "long") else 0).text(f"{folder}/{name}.json")
+    events, bad = readers.read_events(spark, folder, pattern="*.txt")
+    return events.select(F.col("event_id").cast("long").alias("event_id"), "user_id", "event_type").unionByName(bad.select(F.lit(-1).cast("long").alias("event_id"), F.col("skipped").cast("string").alias("user_id"), F.lit("skipped").alias("event_type")))
+
+
+@query("a2_source_rows", "SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey) - 1 AS source_row FROM lineitem")
+def source_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The order lines as CSV files in order, read back with their row numbers."""
+    from tidemark.sources import readers
+
+    folder = A.scratch_folder(spark, "csv")
+    t = A.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    t.repartitionByRange(5, "l_orderkey", "l_linenumber", "l_partkey").sortWithinPartitions("l_orderkey", "l_linenumber", "l_partkey").write.option("header", True).csv(folder)
+    rows = readers.with_source_row(readers.read_csv(spark, folder, t.schema, multiline=False))
+    return rows.select("l_orderkey", "l_linenumber", "source_row")
