@@ -73,3 +73,28 @@ def countries(parsed: DataFrame, key: str) -> DataFrame:
     code, name = F.upper(normalize_text(F.col("r.iso_3166_1"))), normalize_text(F.col("r.name"))
     shown = F.coalesce(name, code)
     return _first_of_each(parsed, key, F.struct(code, F.lower(shown)), [code.alias("country_code"), shown.alias("country")]).filter("country is not null")
+
+
+def _each_once(items: Column, fold) -> Column:  # noqa: ANN001
+    """The elements of an array whose folded form isn't met before."""
+    folded = F.transform(items, fold)
+    return F.filter(items, lambda x, i: F.array_position(folded, fold(x)) == i + 1)
+
+
+def name_list(records: Column) -> Column:
+    """As ``names``, in the row: an array in the order of the cell."""
+    found = F.filter(F.transform(records, lambda r: normalize_text(r["name"])), lambda x: x.isNotNull())
+    return _each_once(found, F.lower)
+
+
+def company_list(records: Column) -> Column:
+    """As ``companies``: the names, each id and name once."""
+    found = F.filter(F.transform(records, lambda r: F.struct(to_id(r["id"]).alias("id"), normalize_text(r["name"]).alias("name"))), lambda x: x["name"].isNotNull())
+    return F.transform(_each_once(found, lambda x: F.struct(x["id"].alias("id"), F.lower(x["name"]).alias("name"))), lambda x: x["name"])
+
+
+def country_list(records: Column) -> Column:
+    """As ``countries``: the shown names, each code and name once."""
+    shown = lambda r: F.struct(F.upper(normalize_text(r["iso_3166_1"])).alias("code"), F.coalesce(normalize_text(r["name"]), F.upper(normalize_text(r["iso_3166_1"]))).alias("name"))
+    found = F.filter(F.transform(records, shown), lambda x: x["name"].isNotNull())
+    return F.transform(_each_once(found, lambda x: F.struct(x["code"].alias("code"), F.lower(x["name"]).alias("name"))), lambda x: x["name"])

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from tidemark.functions import literals
 from tidemark.functions.scalars import in_range, normalize_text, to_id, to_number, to_year
 
 
@@ -16,21 +17,36 @@ def first_reason(*reasons: tuple[str, Column]) -> Column:
     return F.coalesce(*[F.when(condition, F.lit(name)) for name, condition in reasons])
 
 
+#: The raw columns whose filled cells are counted when rows of one id are compared, and the columns of the catalogue.
+COMPLETE = ("title", "overview", "release_date", "genres", "poster_path", "original_language", "runtime", "vote_average", "vote_count")
+CATALOGUE = ("movie_id", "imdb_id", "title", "original_title", "overview", "genres", "original_language", "release_date", "release_year", "runtime", "production_companies", "production_countries", "poster_path", "vote_average", "vote_count", "popularity")
+_TEXTS = ("imdb_id", "original_title", "overview", "poster_path")
+_LISTS = {"genres": literals.name_list, "production_companies": literals.company_list, "production_countries": literals.country_list}
+
+
 def flag_movies(raw: DataFrame) -> DataFrame:
     """Raw text columns (source_row, id, title, original_language, vote_average, vote_count, runtime, popularity,
-    release_date) as clean ones, with ``rejection_reason`` and ``duplicate_of_movie_id``.
+    release_date; imdb_id, original_title, overview, poster_path and the lists genres, production_companies, production_countries if
+    there) as clean ones, with ``rejection_reason`` and ``duplicate_of_movie_id``.
 
     The reasons are looked for in this order: an exact copy of an earlier row, no usable id, no
-    title, and a better row of the same id (more known fields, more votes, earlier).
+    title, and a better row of the same id (more filled cells of ``COMPLETE``, more votes, earlier).
     """
     content = [c for c in raw.columns if c != "source_row"]
     copies = W.partitionBy(*content).orderBy("source_row")
     votes = to_number(F.col("vote_count"))
-    rows = raw.withColumn("copy", F.row_number().over(copies)).select(
+    lists = [c for c in _LISTS if c in raw.columns]
+    rows = raw.withColumn("copy", F.row_number().over(copies))
+    filled = sum((normalize_text(F.col(c)).isNotNull().cast("int") for c in COMPLETE if c in raw.columns), F.lit(0))
+    for c in lists:
+        rows = literals.parse_records(rows, c).withColumn(f"__{c}__", _LISTS[c](F.col("records"))).drop("records", "status")
+    date = F.try_to_timestamp(F.col("release_date"))
+    rows = rows.select(
         "source_row",
         F.col("id").alias("raw_id"),
         F.col("title").alias("raw_title"),
         "copy",
+        filled.alias("known"),
         to_id(F.col("id")).alias("movie_id"),
         normalize_text(F.col("title")).alias("title"),
         normalize_text(F.col("original_language"), lower=True).alias("original_language"),
@@ -39,17 +55,29 @@ def flag_movies(raw: DataFrame) -> DataFrame:
         in_range(to_number(F.col("runtime")), above=0).alias("runtime"),
         in_range(to_number(F.col("popularity")), 0).alias("popularity"),
         to_year(F.col("release_date")).alias("release_year"),
+        *([F.when(to_year(F.col("release_date")).isNotNull(), date).alias("release_date")] if "imdb_id" in raw.columns else []),
+        *[normalize_text(F.col(c)).alias(c) for c in _TEXTS if c in raw.columns],
+        *[F.col(f"__{c}__").alias(c) for c in lists],
     )
     early = first_reason(("exact_duplicate_row", F.col("copy") > 1), ("invalid_movie_id", F.col("movie_id").isNull()), ("empty_title", F.col("title").isNull()))
     rows = rows.withColumn("early", early)
-    known = sum((F.col(c).isNotNull().cast("int") for c in ("title", "original_language", "vote_average", "vote_count", "runtime", "popularity", "release_year")), F.lit(0))
-    best = W.partitionBy(F.col("early").isNull(), "movie_id").orderBy(F.desc("known"), F.desc(F.coalesce("vote_count", F.lit(-1))), "source_row")
-    rows = rows.withColumn("known", known).withColumn("place", F.row_number().over(best))
+    # Rows that are out already are groups of their own, however many they are.
+    out = F.when(F.col("early").isNotNull(), F.col("source_row"))
+    best = W.partitionBy(F.when(F.col("early").isNull(), F.col("movie_id")), out).orderBy(F.desc("known"), F.desc(F.coalesce("vote_count", F.lit(-1))), "source_row")
+    rows = rows.withColumn("place", F.row_number().over(best))
     reason = F.coalesce("early", F.when(F.col("place") > 1, "duplicate_movie_id"))
     rows = rows.withColumn("rejection_reason", reason)
     return rows.withColumn("duplicate_of_movie_id", F.when(F.col("rejection_reason") == "duplicate_movie_id", F.col("movie_id"))).drop("copy", "early", "known", "place")
 
 
+def catalogue(flagged: DataFrame) -> DataFrame:
+    """The kept rows with the sixteen columns of ``CATALOGUE``; what the raw table lacks is null, or an empty list."""
+    kinds = {"release_date": "timestamp", "release_year": "smallint", "runtime": "float", "vote_average": "float", "vote_count": "long", "popularity": "float", "movie_id": "long"}
+    kind = lambda c: "array<string>" if c in _LISTS else kinds.get(c, "string")
+    lack = lambda c: F.array().cast(kind(c)) if c in _LISTS else F.lit(None).cast(kind(c))
+    return flagged.filter("rejection_reason is null").select(*[(F.col(c).cast(kind(c)) if c in flagged.columns else lack(c)).alias(c) for c in CATALOGUE])
+
+
 def kept(flagged: DataFrame) -> DataFrame:
     return flagged.filter("rejection_reason is null").drop("rejection_reason", "duplicate_of_movie_id", "raw_id", "raw_title")
 
@@ -92,7 +120,7 @@ def map_ids(links: DataFrame, catalogue: DataFrame) -> DataFrame:
 
 def mapping_summary(mapping: DataFrame) -> DataFrame:
     """(status, source_ids, aliases): source ids of each status, and those that share their target with another."""
-    shared = W.partitionBy("movie_id")
+    shared = W.partitionBy("movie_id", F.when(F.col("movie_id").isNull(), F.col("raw_source_id")))  # rows without a target are no group
     rows = mapping.withColumn("shares", F.when(F.col("movie_id").isNotNull() & (F.count("*").over(shared) > 1), 1).otherwise(0))
     return rows.groupBy("status").agg(F.count("*").alias("source_ids"), F.sum("shares").alias("aliases"))
 
@@ -151,21 +179,31 @@ def users_clean(ratings: DataFrame) -> DataFrame:
     return ratings.groupBy("user_id").agg(F.count("*").alias("rating_count"), F.min("timestamp").alias("first_rating"), F.max("timestamp").alias("last_rating"))
 
 
-def cleaning_summary(flagged: DataFrame, reason: str, columns: list[str]) -> DataFrame:
-    """(metric, value): rows in, out and removed, rows of each reason, and nulls of ``columns`` among the rows kept."""
+def cleaning_summary(flagged: DataFrame, reason: str, columns: list[str], raw: DataFrame | None = None, warnings: dict[str, Column] | None = None) -> DataFrame:
+    """(metric, value): rows in, out and removed, rows of each reason, and nulls of ``columns`` among the rows kept.
+
+    ``raw``: the table before, whose empty cells are counted by column; ``warnings``: conditions counted among the rows kept.
+    """
     good = F.col(reason).isNull()
     wide = flagged.agg(
         F.count("*").alias("rows_in"),
         F.count_if(good).alias("rows_out"),
         F.count_if(~good).alias("rows_removed"),
         *[F.count_if(good & F.col(c).isNull()).alias(f"null_{c}") for c in columns],
+        *[F.count_if(good & condition).alias(f"warning_{name}") for name, condition in (warnings or {}).items()],
     )
-    names = wide.columns
-    long = wide.select(F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in names])).alias("m")).select("m.*")
+    long = _metrics(wide)
+    if raw is not None:
+        cells = [c for c in raw.columns if c != "source_row"]
+        long = long.unionByName(_metrics(raw.agg(*[F.count_if(normalize_text(F.col(c).cast("string")).isNull()).alias(f"null_before_{c}") for c in cells])))
     reasons = flagged.filter(~good).groupBy(F.concat(F.lit("reason_"), F.col(reason)).alias("metric")).agg(F.count("*").alias("value"))
     return long.unionByName(reasons)
 
 
+def _metrics(wide: DataFrame) -> DataFrame:
+    return wide.select(F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in wide.columns])).alias("m")).select("m.*")
+
+
 def restrict_to(df: DataFrame, catalogue: DataFrame, key: str = "movie_id") -> tuple[DataFrame, DataFrame]:
     """(rows whose key is in the catalogue, a row with the number of the others)."""
     ids = catalogue.select(key).distinct()

@@ -48,6 +48,25 @@ def raw_movies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.unionByName(copy).unionByName(poor)
 
 
+def raw_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``raw_movies`` with all columns of the raw catalogue: lists as Python literals and as JSON, empty, malformed and repeated."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), "p_name", "p_type", "p_brand", "p_size")
+    k = F.col("k")
+    genres = F.when(k % 23 == 0, "[{'id': ").when(k % 10 == 0, "[]").otherwise(F.format_string("[{'id': 1, 'name': '%s', 'x': None}, {'id': 2, 'name': ' %s '}, {'id': 3, 'name': '%s'}]", "p_type", "p_brand", F.lower("p_type")))
+    wide = p.select(
+        k,
+        F.when(k % 5 == 0, " none ").otherwise(F.concat(F.lit("tt"), F.lpad(k.cast("string"), 7, "0"))).alias("imdb_id"),
+        F.upper("p_name").alias("original_title"),
+        F.when(k % 6 != 0, F.concat(F.lit("A  "), F.col("p_name"))).alias("overview"),
+        F.when(k % 9 != 0, F.concat(F.lit("/p"), k.cast("string"))).alias("poster_path"),
+        genres.alias("genres"),
+        F.format_string('[{"id": %d, "name": "%s"}, {"id": %d, "name": "%s"}, {"id": 900, "name": "%s"}]', "p_size", "p_brand", "p_size", F.upper("p_brand"), "p_brand").alias("production_companies"),
+        F.when(k % 4 == 0, '[{"iso_3166_1": "us", "name": ""}]').otherwise('[{"iso_3166_1": "fr", "name": "France"}, {"iso_3166_1": "FR", "name": "FRANCE"}]').alias("production_countries"),
+    )
+    rows = raw_movies(spark, sf_dir)
+    return rows.withColumn("k", F.floor(F.col("source_row") / 4)).join(wide, "k").drop("k")
+
+
 def movies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The catalogue: movie_id, title, genres, vote_count, vote_average."""
     p = table(spark, sf_dir, "part")

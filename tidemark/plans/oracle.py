@@ -19,7 +19,7 @@ CTES: dict[str, str] = {
   SELECT * FROM raw_movies UNION ALL SELECT * REPLACE (source_row + 1 AS source_row) FROM raw_movies WHERE (source_row // 4) % 97 = 0
   UNION ALL SELECT * REPLACE (source_row + 2 AS source_row, NULL AS vote_count) FROM raw_movies WHERE (source_row // 4) % 79 = 0""",
     "typed_movies": """
-  SELECT source_row, id AS raw_id, title AS raw_title,
+  SELECT source_row, id AS raw_id, title AS raw_title, vote_count AS raw_votes, release_date,
     row_number() OVER (PARTITION BY id, title, original_language, vote_average, vote_count, runtime, popularity, release_date ORDER BY source_row) AS copy,
     CASE WHEN try_cast(id AS DOUBLE) > 0 AND try_cast(id AS DOUBLE) % 1 = 0 THEN CAST(try_cast(id AS DOUBLE) AS BIGINT) END AS movie_id,
     CASE WHEN lower(trim(regexp_replace(title, '\\s+', ' ', 'g'))) NOT IN ('', 'nan', 'none', 'null', 'n/a', 'na') THEN trim(regexp_replace(title, '\\s+', ' ', 'g')) END AS title,
@@ -34,7 +34,7 @@ CTES: dict[str, str] = {
   SELECT *, CASE WHEN rejection_reason = 'duplicate_movie_id' THEN movie_id END AS duplicate_of_movie_id FROM (
     SELECT *, coalesce(early, CASE WHEN row_number() OVER (PARTITION BY early IS NULL, movie_id ORDER BY known DESC, coalesce(vote_count, -1) DESC, source_row) > 1 THEN 'duplicate_movie_id' END) AS rejection_reason FROM (
       SELECT *, CASE WHEN copy > 1 THEN 'exact_duplicate_row' WHEN movie_id IS NULL THEN 'invalid_movie_id' WHEN title IS NULL THEN 'empty_title' END AS early,
-        (title IS NOT NULL)::INT + (original_language IS NOT NULL)::INT + (vote_average IS NOT NULL)::INT + (vote_count IS NOT NULL)::INT + (runtime IS NOT NULL)::INT + (popularity IS NOT NULL)::INT + (release_year IS NOT NULL)::INT AS known
+        (title IS NOT NULL)::INT + (original_language IS NOT NULL)::INT + (raw_votes IS NOT NULL)::INT + (release_date IS NOT NULL)::INT + 2 AS known
       FROM typed_movies))""",
     "movies": """
   SELECT p_partkey AS movie_id, p_name AS title, [p_type, p_brand] AS genres, CAST(p_size AS BIGINT) AS vote_count, (p_partkey * 7 % 101) / 10.0 AS vote_average FROM part WHERE p_partkey > 0""",

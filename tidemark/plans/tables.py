@@ -8,7 +8,7 @@ from tidemark.functions import scalars as S
 from tidemark.operators import cleaning, rankings, splits
 
 from . import adapters as A
-from .oracle import sql
+from .oracle import CTES, sql
 from .registry import query
 
 
@@ -208,3 +208,32 @@ def popularity(spark: SparkSession, d: str) -> DataFrame:
     train = splits.chronological(A.ratings(spark, d)).filter("split = 'train'")
     out = rankings.top_rated(rankings.movie_stats(train), None, top=None)
     return out.select(F.col("rank").cast("long").alias("rank"), "movie_id", F.round("score", 6).alias("score"), "rating_count")
+
+
+_WIDE = """SELECT f.movie_id, CASE WHEN p_partkey % 5 <> 0 THEN 'tt' || lpad(CAST(p_partkey AS VARCHAR), 7, '0') END AS imdb_id, title, trim(regexp_replace(upper(p_name), '\\s+', ' ', 'g')) AS original_title,
+  CASE WHEN p_partkey % 6 <> 0 THEN trim(regexp_replace('A ' || p_name, '\\s+', ' ', 'g')) END AS overview, CASE WHEN p_partkey % 23 = 0 OR p_partkey % 10 = 0 THEN '' ELSE p_type || '|' || p_brand END AS genres, original_language,
+  CASE WHEN release_year IS NOT NULL THEN CAST(release_date AS TIMESTAMP) END AS release_date, CAST(release_year AS SMALLINT) AS release_year, CAST(runtime AS FLOAT) AS runtime,
+  p_brand || '|' || p_brand AS production_companies, CASE WHEN p_partkey % 4 = 0 THEN 'US' ELSE 'France' END AS production_countries, CASE WHEN p_partkey % 9 <> 0 THEN '/p' || p_partkey END AS poster_path,
+  CAST(vote_average AS FLOAT) AS vote_average, vote_count, CAST(popularity AS FLOAT) AS popularity
+FROM flagged_movies f JOIN part ON p_partkey = source_row // 4 WHERE rejection_reason IS NULL"""
+
+
+CTES["wide"] = "\n  " + _WIDE
+
+
+@query("d2_catalogue", sql("SELECT * FROM wide"))
+def wide_catalogue(spark: SparkSession, d: str) -> DataFrame:
+    out = cleaning.catalogue(cleaning.flag_movies(A.raw_catalogue(spark, d)))
+    return out.withColumns({c: F.array_join(c, "|") for c in ("genres", "production_companies", "production_countries")}).withColumn("release_date", F.col("release_date").cast("timestamp_ntz"))
+
+
+@query("d11_full_summary", sql("""SELECT 'rows_in' AS metric, count(*) AS value FROM flagged_movies UNION ALL SELECT 'rows_out', count(*) FROM wide UNION ALL SELECT 'rows_removed', count(*) FROM flagged_movies WHERE rejection_reason IS NOT NULL
+UNION ALL SELECT 'null_overview', count(*) FILTER (overview IS NULL) FROM wide UNION ALL SELECT 'null_release_year', count(*) FILTER (release_year IS NULL) FROM wide
+UNION ALL SELECT 'warning_runtime_over', count(*) FILTER (runtime > 150) FROM wide UNION ALL SELECT 'warning_without_genres', count(*) FILTER (genres = '') FROM wide
+UNION ALL SELECT 'reason_' || rejection_reason, count(*) FROM flagged_movies WHERE rejection_reason IS NOT NULL GROUP BY 1
+UNION ALL SELECT unnest(['null_before_id', 'null_before_title', 'null_before_original_language', 'null_before_vote_average', 'null_before_vote_count', 'null_before_runtime', 'null_before_popularity', 'null_before_release_date', 'null_before_imdb_id', 'null_before_original_title', 'null_before_overview', 'null_before_poster_path', 'null_before_genres', 'null_before_production_companies', 'null_before_production_countries']),
+  unnest([0, count(*) FILTER (trim(title) = 'nan'), count(*) FILTER (trim(original_language) = 'N/A'), 0, count(*) FILTER (vote_count IS NULL), 0, 0, 0, count(*) FILTER ((source_row // 4) % 5 = 0), 0, count(*) FILTER ((source_row // 4) % 6 = 0), count(*) FILTER ((source_row // 4) % 9 = 0), 0, 0, 0]) FROM all_movies"""))
+def full_summary(spark: SparkSession, d: str) -> DataFrame:
+    raw = A.stored(spark, A.raw_catalogue(spark, d), "raw")
+    flagged = A.stored(spark, cleaning.flag_movies(raw), "flagged")
+    return cleaning.cleaning_summary(flagged, "rejection_reason", ["overview", "release_year"], raw, {"runtime_over": F.col("runtime") > 150, "without_genres": F.size("genres") == 0})
