@@ -24,6 +24,7 @@ class HybridSettings:
     full_cf_at: float = 20.0
     content_floor: float = 0.25
     popularity_weight: float = 0.0
+    popular_items: int = 50
     most_items: int = 50
     default_items: int = 20
 

@@ -489,4 +489,4 @@ def batch_recommend(spark: SparkSession, d: str) -> DataFrame:
     model = collaborative.train_implicit(collaborative.training_matrix(A.ratings(spark, d)))
     vectors, vocabulary = movie_space(spark, d)
     top, genres = _rankings(spark, d)
-    return recommend(asks, A.events(spark, d), A.movies(spark, d), model.userFactors, model.itemFactors, vectors, vocabulary, top, genres, A.as_of())
+    return recommend(asks, A.events(spark, d), A.movies(spark, d), model.userFactors, model.itemFactors, vectors, vocabulary, top, genres, A.as_of(), ratings=A.ratings(spark, d))
