@@ -343,12 +343,22 @@ def _confirmed(pairs: DataFrame, prints: DataFrame, distance: int) -> DataFrame:
 
 
 def _families(prints: DataFrame, distance: int, near: F.Column) -> DataFrame:
-    """``prints`` and ``root``: the least of the rows that lead a bucket of its segment values and are near, else its own id."""
+    """``prints`` and ``root``: where leaders lead to, from a leader near the row to that leader's own, else the row's own id.
+
+    Of the rows that lead its buckets, a row tries the least and the nearest; leaders have lesser ids than
+    those they lead.  This only brings rows together that are met again otherwise, so nothing is lost by trying two.
+    """
     table = _table(prints.withColumn("root", F.lit(None).cast("long"))).drop("root")
     heads = table.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("id", "word")).alias("head")).filter("n > 1")
     beside = skew_join(table, heads.select("key", F.col("head.id").alias("leader"), F.col("head.word").alias("v")), "key")
-    pairs = beside.filter((F.col("id") != F.col("leader")) & near).select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
+    apart = F.bit_count(F.col("word").bitwiseXOR(F.col("v")))
+    tried = beside.filter((F.col("id") != F.col("leader")) & near).groupBy("id").agg(F.min("leader").alias("x"), F.min(F.struct(apart.alias("d"), "leader")).alias("y"))
+    pairs = tried.select(F.col("id").alias("a"), F.explode(F.array_distinct(F.array("x", "y.leader"))).alias("b"))
     linked = _confirmed(pairs, prints, distance).groupBy(F.col("a").alias("id")).agg(F.min("b").alias("root"))
+    linked = cut(linked)
+    for _ in range(3):  # each time twice as far
+        on = linked.select(F.col("id").alias("root"), F.col("root").alias("next"))
+        linked = cut(linked.join(on, "root", "left").select("id", F.coalesce("next", "root").alias("root")))
     return cut(prints.join(linked, "id", "left").withColumn("root", F.coalesce("root", "id")))
 
 
