@@ -57,16 +57,19 @@ def top_products(left: DataFrame, right: DataFrame, key: str, values: str, top:
     def product(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
         return np.stack(a["v"]).astype(np.float64) @ np.stack(b["v"]).astype(np.float64).T
 
-    return _pruned(x.select("id", "v"), blocked.select("block", "id", "v"), bounds, product, top, need, same, rows_per_block, floor=-np.inf)
+    return _pruned(x.select("id", "v"), blocked.select("block", "id", "v"), bounds, product, top, need, same, rows_per_block, -np.inf, ranges)
 
 
-def _pruned(left: DataFrame, right: DataFrame, bounds: DataFrame, product: Callable[[pd.DataFrame, pd.DataFrame], np.ndarray], top: int, need: DataFrame | None, same: bool, rows_per_block: int, floor: float) -> DataFrame:
+def _pruned(left: DataFrame, right: DataFrame, bounds: DataFrame, product: Callable[[pd.DataFrame, pd.DataFrame], np.ndarray], top: int, need: DataFrame | None, same: bool, rows_per_block: int, floor: float, blocks: int) -> DataFrame:
     """(id, other, score): the best right rows of each left row, of scores above ``floor``.
 
     ``left``: (id, ...), ``right``: (block, id, ...), ``bounds``: (id, block, bound): what no score of the row in the block exceeds.
     A left row meets the block of its highest bound first; then those whose bound reaches the last score it has.
     """
     counts = _columns(left, need, top)
+    if blocks == 1:  # nothing to skip
+        only = right.select("block").limit(1)
+        return _kept(_met(counts.select("id").crossJoin(F.broadcast(only)), counts, right, product, same, rows_per_block, floor), top, need)
     known = scratch.stored(bounds.filter(F.col("bound") > floor), "bounds")
     first = known.groupBy("id").agg(F.max_by("block", F.struct("bound", "block")).alias("block"))
     started = scratch.stored(_kept(_met(first, counts, right, product, same, rows_per_block, floor), top, need), "first")
@@ -187,7 +190,7 @@ def sparse_top(left: DataFrame, right: DataFrame, need: DataFrame | None = None,
         return _sparse_product(list(a["h"]), list(a["w"]), list(b["h"]), list(b["w"]))
 
     mine = scratch.stored(whole(x).select("id", F.col("v.h").alias("h"), F.col("v.w").alias("w")), "vectors")
-    return _pruned(mine, blocked, bounds, product, top, need, same, rows_per_block, floor=0.0)
+    return _pruned(mine, blocked, bounds, product, top, need, same, rows_per_block, 0.0, blocks)
 
 
 def sparse_pool(vectors: DataFrame, eligible: DataFrame, pool: int = 200) -> DataFrame:
