@@ -11,7 +11,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from heapq import heapify, heappop, heappush
+from collections.abc import Iterator
+from heapq import heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -24,6 +25,8 @@ from .batches import chunks, map_arrow, narrow, ragged, texts, word_hashes
 
 #: Pre-tokens of a generation of a worker's memo.
 MEMO = 500_000
+#: Bytes of pre-tokens whose merges are made ready at a time (one at least).
+GROUP = 1 << 17
 PRIME = (1 << 61) - 1
 
 # Fixed value: the pattern of pre-tokens that is cut in numpy (any other is left to ``regex``).
@@ -139,47 +142,38 @@ def pair_table(tokens: list[bytes]) -> dict[int, int]:
     return pairs
 
 
-def merge(piece: bytes, byte_ids: list[int], twos: list[int], pairs: dict[int, int]) -> list[int]:
+def merge(ids: list[int], pair: list[int], heap: list[int], shift: int, pairs: dict[int, int]) -> list[int]:
     """The ids of one pre-token: again and again the adjacent pair of least rank, the leftmost first, is joined.
 
-    ``twos``: the rank of each pair of bytes (first * 256 + second), -1 if it has none.
+    ``ids``: of the part that starts at each byte; ``pair``: the rank of the pair whose left part starts there,
+    -1 if it has none; ``heap``: rank << shift | place of each pair, ascending.  All three are used up.
     """
-    n, get = len(piece), pairs.get
-    ids = [byte_ids[b] for b in piece]  # of the part that starts here
+    n, get, place = len(ids), pairs.get, (1 << shift) - 1
     after = list(range(1, n + 1))  # where the part that starts here ends
     before = list(range(-1, n))
-    # The rank of the pair whose left part starts here; -1: none.
-    pair = [twos[a << 8 | b] for a, b in zip(piece, piece[1:])]  # noqa: B905
-    pair.append(-1)
-    heap = [r << 32 | i for i, r in enumerate(pair) if r >= 0]
-    heapify(heap)
     while heap:
         top = heappop(heap)
-        i = top & 0xFFFFFFFF
-        new = top >> 32
+        i = top & place
+        new = top >> shift
         if pair[i] != new:
             continue  # one of its parts has gone into another
         j = after[i]
         k = after[i] = after[j]
         ids[i] = new
-        pair[j] = -1
+        ids[j] = pair[j] = -1
         if k < n:
             before[k] = i
             r = pair[i] = get(new << 32 | ids[k], -1)
             if r >= 0:
-                heappush(heap, r << 32 | i)
+                heappush(heap, r << shift | i)
         else:
             pair[i] = -1
         p = before[i]
         if p >= 0:
             r = pair[p] = get(ids[p] << 32 | new, -1)
             if r >= 0:
-                heappush(heap, r << 32 | p)
-    out, i = [], 0
-    while i < n:
-        out.append(ids[i])
-        i = after[i]
-    return out
+                heappush(heap, r << shift | p)
+    return [x for x in ids if x >= 0]
 
 
 class Codec:
@@ -189,8 +183,10 @@ class Codec:
         self.table = table
         self.pairs = pair_table(tokens)
         ranks = {token: i for i, token in enumerate(tokens) if len(token) == 1}
-        self.byte_ids = [ranks[bytes([b])] for b in range(256)]
-        self.twos = [self.pairs.get(a << 32 | b, -1) for a in self.byte_ids for b in self.byte_ids]
+        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        own = self.byte_ids.tolist()
+        self.twos = np.array([self.pairs.get(a << 32 | b, -1) for a in own for b in own], np.int64)
+        self.rank_bits = len(tokens).bit_length()
         self.young: dict[bytes, tuple[int, ...]] = {}
         self.old: dict[bytes, tuple[int, ...]] = {}
         self.split = None if pattern == PATTERN else regex.compile(pattern).findall
@@ -202,23 +198,56 @@ class Codec:
         self.name_sizes = np.array([len(t) for t in names], np.int64)
         self.name_starts = np.cumsum(self.name_sizes) - self.name_sizes
 
-    def pieces(self, buffer: bytes, starts: list[int], ends: list[int]) -> list[tuple[int, ...]]:
+    def _remember(self, raw: bytes, ids: tuple[int, ...]) -> None:
+        if len(self.young) >= MEMO:
+            self.old, self.young = self.young, {}
+        self.young[raw] = ids
+
+    def pieces(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> list[tuple[int, ...]]:
         """The ids of each pre-token."""
-        out = []
-        for a, z in zip(starts, ends, strict=True):
-            raw = buffer[a:z]
-            ids = self.young.get(raw)
+        buffer = data.tobytes()
+        raws = [buffer[a:z] for a, z in zip(starts.tolist(), (starts + sizes).tolist(), strict=True)]
+        out, missed = list(map(self.young.get, raws)), []
+        for k in [k for k, ids in enumerate(out) if ids is None]:
+            raw = raws[k]
+            ids = self.old.get(raw)
             if ids is None:
-                ids = self.old.get(raw)
-                if ids is None:
-                    whole = self.table.get(raw)
-                    ids = (whole,) if whole is not None else tuple(merge(raw, self.byte_ids, self.twos, self.pairs))
-                if len(self.young) >= MEMO:
-                    self.old, self.young = self.young, {}
-                self.young[raw] = ids
-            out.append(ids)
+                whole = self.table.get(raw)
+                if whole is None:
+                    missed.append(k)
+                    continue
+                ids = (whole,)
+            out[k] = ids
+            self._remember(raw, ids)
+        at = np.array(missed, np.int64)
+        edges = np.concatenate(([0], np.cumsum(sizes[at])))
+        for i, j in chunks(edges, GROUP):
+            part = at[i:j]
+            for k, ids in zip(part.tolist(), self._merged(data, starts[part], sizes[part]), strict=True):
+                out[k] = tuple(ids)
+                self._remember(raws[k], out[k])
         return out
 
+    def _merged(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Iterator[list[int]]:
+        """The merged ids of pre-tokens that aren't whole tokens; what their heaps start from is made for all at once."""
+        x = data[ragged(starts, sizes)].astype(np.int64)
+        first = np.cumsum(sizes) - sizes
+        pair = np.full(len(x), -1, np.int64)
+        pair[:-1] = self.twos[x[:-1] << 8 | x[1:]]
+        pair[first + sizes - 1] = -1
+        shift = int(sizes.max()).bit_length()
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        good = np.flatnonzero(pair >= 0)
+        low = self.rank_bits + shift
+        # By pre-token, rank and place; an ascending list is a heap.
+        heap = np.sort(row[good] << low | pair[good] << shift | good - first[row[good]])
+        ends = np.cumsum(np.bincount(row[good], minlength=len(sizes))).tolist()
+        ids, pairs, heap = self.byte_ids[x].tolist(), pair.tolist(), (heap & ((1 << low) - 1)).tolist()
+        h = 0
+        for a, n, e in zip(first.tolist(), sizes.tolist(), ends, strict=True):
+            yield merge(ids[a : a + n], pairs[a : a + n], heap[h:e], shift, self.pairs)
+            h = e
+
     def _cut(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         if self.split is None:
             return cut(data, offsets)
@@ -240,7 +269,7 @@ class Codec:
         twin = first[kind]  # the first pre-token of the same hash: its bytes must be the same
         if (sizes[twin] != sizes).any() or (data[ragged(starts[twin], sizes)] != data).any():
             first = kind = np.arange(len(starts))
-        found = self.pieces(data.tobytes(), starts[first].tolist(), at[1:][first].tolist())
+        found = self.pieces(data, starts[first], sizes[first])
         many = np.fromiter(map(len, found), np.int64, len(found))
         table = np.fromiter(chain.from_iterable(found), np.int32, int(many.sum()))
         ids = table[ragged((np.cumsum(many) - many)[kind], many[kind])]
