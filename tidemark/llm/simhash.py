@@ -343,20 +343,38 @@ def _confirmed(pairs: DataFrame, prints: DataFrame, distance: int) -> DataFrame:
 
 
 def _families(prints: DataFrame, distance: int, near: F.Column) -> DataFrame:
-    """``prints`` and ``root``: the least of the rows that lead a bucket of its segment values and are near, else its own id."""
-    table = _table(prints.withColumn("root", F.lit(None).cast("long"))).drop("root")
-    heads = table.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("id", "word")).alias("head")).filter("n > 1")
-    beside = skew_join(table, heads.select("key", F.col("head.id").alias("leader"), F.col("head.word").alias("v")), "key")
-    pairs = beside.filter((F.col("id") != F.col("leader")) & near).select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
-    linked = _confirmed(pairs, prints, distance).groupBy(F.col("a").alias("id")).agg(F.min("b").alias("root"))
-    return cut(prints.join(linked, "id", "left").withColumn("root", F.coalesce("root", "id")))
+    """``prints`` and ``root``: the least row that links to bucket leaders near a row lead to, else its own id.
+
+    A row meets one leader a bucket, in the buckets of its own values and of those that its two most even bits give, so
+    the links are as many as the rows at most, times a fixed number.  Roots only spare pairs that are connected already.
+    """
+    blank = prints.withColumn("root", F.lit(None).cast("long"))
+    table = _table(blank).drop("root")
+    heads = cut(table.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("id", "word")).alias("head")).select("key", F.col("head.id").alias("leader"), F.col("head.word").alias("v"), "n"))
+    own = skew_join(table, heads.filter("n > 1").drop("n"), "key")
+    met = own.unionByName(skew_join(_entries(blank, 3).drop("root"), heads.drop("n"), "key"))
+    pairs = met.filter((F.col("id") != F.col("leader")) & near).select(F.greatest("id", "leader").alias("a"), F.least("id", "leader").alias("b")).distinct()
+    links = cut(_confirmed(pairs, prints, distance))
+    led = links.groupBy("a").agg(F.min("b").alias("b"))
+    for again in range(2):
+        for _ in range(2):  # each time twice as far
+            led = led.join(led.select(F.col("a").alias("b"), F.col("b").alias("next")), "b", "left").select("a", F.coalesce("next", "b").alias("b"))
+        led = cut(led)
+        if again:
+            break
+        # What is linked under another root brings both together: the greater root goes to the least.
+        end = lambda of: led.select(F.col("a").alias(of), F.col("b").alias(f"{of}_root"))
+        ends = links.join(end("a"), "a", "left").join(end("b"), "b", "left").select(F.coalesce("a_root", "a").alias("x"), F.coalesce("b_root", "b").alias("y"))
+        joined = ends.filter("x <> y").groupBy(F.greatest("x", "y").alias("a")).agg(F.min(F.least("x", "y")).alias("b"))
+        led = led.join(joined, "a", "left_anti").unionByName(joined)
+    return cut(prints.join(led.select(F.col("a").alias("id"), F.col("b").alias("root")), "id", "left").withColumn("root", F.coalesce("root", "id")))
 
 
 def wide_links(prints: DataFrame, distance: int = WIDE_DISTANCE, word_distance: int = WORD_DISTANCE, bucket: int = 32, block: int = 1024) -> DataFrame:
     """(a, b): candidate links between rows of ``prints`` (id long, words, masks, keys) within ``distance`` bits in all.
 
-    Their components are those of all pairs found.  First each row is linked to the least near leader of its own buckets;
-    rows of one such leader are looked up no more among themselves.  In buckets over ``bucket`` the rows not connected or near to the
+    Their components are those of all pairs found.  First each row is linked to what the leaders near it lead to
+    (``_families``); rows of one such root are looked up no more among themselves.  In buckets over ``bucket`` the rows not connected or near to the
     bucket's leader are held against all others, in blocks of about ``block``.
     """
     near = F.bit_count(F.col("word").bitwiseXOR(F.col("v"))) <= word_distance
