@@ -167,8 +167,8 @@ def requests(spark: SparkSession, d: str) -> DataFrame:
 ) LEFT JOIN (SELECT DISTINCT lower(trim(genre)) AS wanted, genre AS found FROM genre_rated) USING (wanted)
 JOIN (SELECT genre, rank, movie_id, score FROM genre_rated UNION ALL SELECT NULL, rank, movie_id, score FROM top_rated) b ON found IS NOT DISTINCT FROM b.genre WHERE rank <= 20"""))
 def guest_lookup(spark: SparkSession, d: str) -> DataFrame:
-    stats, movies = rankings.movie_stats(A.ratings(spark, d)), A.movies(spark, d)
-    genres, _ = rankings.by_genre(stats, movies)
+    stats, movies = A.stored(spark, rankings.movie_stats(A.ratings(spark, d)), "stats"), A.movies(spark, d)
+    genres = A.stored(spark, rankings.by_genre(stats, movies)[0], "rankings")
     out = rankings.guest_lookup(requests(spark, d), rankings.top_rated(stats, movies), genres)
     return out.withColumns({"rank": F.col("rank").cast("long"), "score": F.round("score", 6)})
 
@@ -196,8 +196,8 @@ UNION ALL SELECT 'users_out_of_order', count(*) FROM (SELECT max(timestamp) FILT
 UNION ALL SELECT 'held_out_users_without_train', count(*) FROM (SELECT 1 FROM parts GROUP BY user_id HAVING count(*) FILTER (split <> 'train') > 0 AND count(*) FILTER (split = 'train') = 0)
 UNION ALL SELECT 'test_movies_not_in_train', count(*) FROM (SELECT DISTINCT movie_id FROM parts WHERE split = 'test' AND movie_id NOT IN (SELECT movie_id FROM parts WHERE split = 'train'))"""))
 def split_audit(spark: SparkSession, d: str) -> DataFrame:
-    source = A.ratings(spark, d)
-    return splits.split_audit(splits.chronological(source), source)
+    source = A.stored(spark, A.ratings(spark, d), "ratings")
+    return splits.split_audit(A.stored(spark, splits.chronological(source), "splits"), source)
 
 
 @query("g10_popularity", sql("""SELECT row_number() OVER (ORDER BY score DESC, rating_count DESC, average_rating DESC, movie_id) AS rank, movie_id, round(score, 6) AS score, rating_count FROM (
