@@ -20,3 +20,16 @@ def test_order_lines_stand_in_files_of_bounded_size(spark, monkeypatch, tmp_path
     rows = event_queries.source_rows(spark, SF).collect()
     assert sorted(r.source_row for r in rows) == list(range(n)) and [r.source_row for r in sorted(rows)] == list(range(n))
     assert len([f for f in os.listdir(tmp_path / "csv") if f.endswith(".csv")]) == -(-n // 500) > 5
+
+
+def test_barred_items_make_no_list_longer(spark, monkeypatch):
+    wanted, search = [], collaborative.top_products
+    monkeypatch.setattr(collaborative, "top_products", lambda *a, need=None, **k: wanted.append(need) or search(*a, need=need, **k))
+    rows = ranking_queries.recommend_given_factors(spark, SF).collect()
+    e = {r.vec_id: np.array(r.embedding, dtype=np.float64) for r in adapters.table(spark, SF, "embeddings").collect()}
+    expected = []
+    for i in (i for i in e if i % 50 == 0):
+        best = sorted((-round(float(e[i] @ e[j]), 9), j) for j in e if j % 7 != i % 3)[:10]
+        expected += [(i, k + 1, j) for k, (_, j) in enumerate(best)]
+    assert sorted((r.user_id, r["rank"], r.movie_id) for r in rows) == sorted(expected)
+    assert wanted and all(w is None for w in wanted)
