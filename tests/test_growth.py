@@ -33,3 +33,19 @@ def test_barred_items_make_no_list_longer(spark, monkeypatch):
         expected += [(i, k + 1, j) for k, (_, j) in enumerate(best)]
     assert sorted((r.user_id, r["rank"], r.movie_id) for r in rows) == sorted(expected)
     assert wanted and all(w is None for w in wanted)
+
+
+def test_best_scores_are_those_of_a_whole_sort():
+    r = np.random.default_rng(3)
+    s = np.round(r.normal(size=(300, 80)), 1) + r.choice([0, 4e-10], size=(300, 80))  # ties, and scores that differ only beyond nine places
+    s[r.random(s.shape) < 0.1] = -np.inf
+    ids, others, n = np.arange(300), np.arange(80) * 2, r.integers(1, 90, 300)
+    last, edge = np.where(r.random(300) < 0.5, np.round(r.normal(size=300), 1), -np.inf), r.integers(0, 160, 300).astype(float)
+    for end in (False, True):
+        got = neighbours._best(s.copy(), ids, others, n, -0.5, last if end else None, edge if end else None)
+        expected = []
+        for i in range(300):
+            row = [(-round(x, 9), o) for x, o in zip(s[i], others, strict=True) if np.isfinite(x) and round(x, 9) > -0.5]
+            row = [(x, o) for x, o in row if not end or -x > last[i] or (-x == last[i] and o <= edge[i])]
+            expected += [(i, o, -x) for x, o in sorted(row)[: n[i]]]
+        assert list(got.itertuples(index=False, name=None)) == expected
