@@ -49,3 +49,39 @@ def test_best_scores_are_those_of_a_whole_sort():
             row = [(x, o) for x, o in row if not end or -x > last[i] or (-x == last[i] and o <= edge[i])]
             expected += [(i, o, -x) for x, o in sorted(row)[: n[i]]]
         assert list(got.itertuples(index=False, name=None)) == expected
+
+
+class Value:
+    """A value state that counts its reads and writes."""
+
+    def __init__(self):
+        self.kept, self.calls = None, 0
+
+    def get(self):
+        self.calls += 1
+        return self.kept
+
+    def update(self, value):
+        self.calls += 1
+        self.kept = value
+
+
+class Handle:
+    def __init__(self):
+        self.values = []
+
+    def getValueState(self, name, schema, *rest):  # noqa: N802
+        self.values.append(Value())
+        return self.values[-1]
+
+
+def test_a_state_is_read_and_written_once_a_batch():
+    kinds = ["watch", "like", "share"]
+    batch = lambda k: pd.DataFrame([(k * 100 + i, i % 7, kinds[i % 3], 1.0, 1000.0 * i + k) for i in range(60)], columns=["event_id", "movie_id", "event_type", "weight", "t"])
+    for processor in (streams._Profile(pd.Timestamp("2026-01-01", tz="UTC"), EventSettings(half_life_days=0)), streams._TrainingRows(EventSettings())):
+        handle = Handle()
+        processor.init(handle)
+        for k in (1, 2):
+            out = pd.concat(processor.handleInputRows((5,), iter([batch(k)]), None))
+        assert sorted(out["movie_id"]) == list(range(7))
+        assert len(handle.values) == 1 and handle.values[0].calls == 4

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -27,46 +28,71 @@ def event_stream(spark: SparkSession, folder: str, late: str = "30 days", schema
     return rows.withWatermark("timestamp", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
-_KEY = T.StructType([T.StructField("movie_id", T.LongType()), T.StructField("event_type", T.StringType())])
-_EVENTS = T.StructType([T.StructField("t", T.ArrayType(T.DoubleType())), T.StructField("i", T.ArrayType(T.LongType())), T.StructField("w", T.ArrayType(T.DoubleType())), T.StructField("total", T.DoubleType()), T.StructField("n", T.LongType())])
+#: A user's events in flat arrays, one value a user: of types without a cap sums and counts, of capped ones the newest events (time, id, weight).
+_HELD = ("s_movie array<long>, s_kind array<string>, s_total array<double>, s_n array<long>, "
+         "c_movie array<long>, c_kind array<string>, c_t array<double>, c_i array<long>, c_w array<double>, m_movie array<long>, m_last array<double>")
 
 
-def _seconds(times: pd.Series) -> list[float]:
-    return [x.timestamp() if pd.notna(x) else float("-inf") for x in times]
+class _Held:
+    """A user's state while rows are taken in: sums and newest events by (movie, type), and each movie's last time."""
 
+    def __init__(self, value: tuple | None):
+        v = [list(x) for x in value] if value else [[] for _ in range(11)]
+        self.sums = {(int(m), k): (float(t), int(n)) for m, k, t, n in zip(*v[:4], strict=True)}
+        self.newest: dict[tuple, list] = {}
+        for m, k, t, i, w in zip(*v[4:9], strict=True):
+            self.newest.setdefault((int(m), k), []).append((float(t), int(i), float(w)))
+        self.last = {int(m): float(t) for m, t in zip(*v[9:], strict=True)}
 
-def _newest(old: tuple, events: list[tuple[float, int, float]], cap: int) -> tuple:
-    """The state of a capped type: its ``cap`` newest events (time, id, weight); a late event takes its place by its time."""
-    kept = sorted([*zip(old[0], old[1], old[2], strict=True), *events], key=lambda e: (-e[0], e[1]))[:cap]
-    return [e[0] for e in kept], [int(e[1]) for e in kept], [e[2] for e in kept], 0.0, len(kept)
+    def take(self, at: tuple, events: list[tuple[float, int, float]], cap: int | None) -> None:
+        """``events`` of one movie and type; a late event takes its place by its time."""
+        if cap is None:
+            total, n = self.sums.get(at, (0.0, 0))
+            self.sums[at] = total + sum(e[2] for e in events), n + len(events)
+        else:
+            self.newest[at] = sorted([*self.newest.get(at, ()), *events], key=lambda e: (-e[0], e[1]))[:cap]
+
+    def value(self) -> tuple:
+        sums = [(m, k, t, n) for (m, k), (t, n) in self.sums.items()]
+        newest = [(m, k, *e) for (m, k), events in self.newest.items() for e in events]
+        column = lambda rows, i: [r[i] for r in rows]
+        return (*[column(sums, i) for i in range(4)], *[column(newest, i) for i in range(5)], list(self.last), list(self.last.values()))
+
+
+def _timed(rows: DataFrame) -> DataFrame:
+    """What the states need of weighed events; ``t``: seconds, events without a time before all others."""
+    t = F.coalesce(F.unix_micros("timestamp") / 1e6, F.lit(float("-inf")))
+    return rows.select("user_id", "event_id", "movie_id", "event_type", F.col("weight").cast("double").alias("weight"), t.alias("t"))
+
+
+def _by_spot(rows: Iterator[pd.DataFrame]) -> dict[tuple, list]:
+    """The rows' events (time, id, weight) by (movie, type)."""
+    found: dict[tuple, list] = {}
+    for part in rows:
+        for m, k, t, i, w in zip(*(part[c].tolist() for c in ("movie_id", "event_type", "t", "event_id", "weight")), strict=True):
+            found.setdefault((int(m), k), []).append((t, int(i), w))
+    return found
 
 
 class _Profile(StatefulProcessor):
-    """State of a user: for capped types the newest events (time, id, weight), for others sums at an epoch."""
+    """State of a user: for capped types the newest events, for others sums of weights as of ``as_of``; one value, so that it is read and written once a batch."""
 
     def __init__(self, as_of: pd.Timestamp, settings: EventSettings):
         self.as_of, self.s = as_of.timestamp(), settings
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getMapState("events", _KEY, _EVENTS)
+        self.state = handle.getValueState("events", _HELD)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        new = pd.concat(list(rows))
-        for (movie, kind), part in new.groupby(["movie_id", "event_type"]):
-            at = (int(movie), kind)
-            old = self.state.getValue(at) if self.state.containsKey(at) else ([], [], [], 0.0, 0)
-            events = list(zip(_seconds(part["timestamp"]), part["event_id"].astype(int).tolist(), part["weight"].astype(float).tolist(), strict=True))
-            cap = self.s.caps.get(kind)
-            if cap is None:  # every event counts: its weight as of ``as_of``
-                total = float(old[3]) + sum(w * self._fade(x) for x, _, w in events)
-                self.state.updateValue(at, ([], [], [], total, int(old[4]) + len(events)))
-            else:
-                self.state.updateValue(at, _newest(old, events, cap))
+        held = _Held(self.state.get())
+        for at, events in _by_spot(rows).items():
+            held.take(at, [(t, i, w * self._fade(t)) for t, i, w in events], self.s.caps.get(at[1]))
+        self.state.update(held.value())
         movies: dict[int, list] = {}
-        for (movie, kind), value in self.state.iterator():
-            entry = movies.setdefault(int(movie), [0.0, 0, set()])
-            entry[0] += float(value[3]) + sum(w * self._fade(t) for t, w in zip(value[0], value[2], strict=True))
-            entry[1] += int(value[4])
+        for (movie, kind), (total, n) in [*held.sums.items(), *((at, (sum(e[2] for e in events), len(events))) for at, events in held.newest.items())]:
+            entry = movies.setdefault(movie, [0.0, 0, set()])
+            entry[0] += total
+            entry[1] += n
             entry[2].add(kind)
         yield pd.DataFrame([(int(key[0]), m, round(e[0], 6), e[1], ",".join(sorted(e[2]))) for m, e in sorted(movies.items())], columns=["user_id", "movie_id", "score", "events_counted", "types"])
 
@@ -87,7 +113,7 @@ def live_profiles(events: DataFrame, as_of: str, settings: EventSettings | None
     s = settings or EventSettings()
     good = feedback.weigh(events, s).filter("reason is null").withColumn("event_type", F.lower(F.trim("event_type")))
     processor = _Profile(pd.Timestamp(as_of, tz="UTC"), s)
-    return good.groupBy("user_id").transformWithStateInPandas(statefulProcessor=processor, outputStructType=_PROFILE, outputMode="Update", timeMode="None")
+    return _timed(good).groupBy("user_id").transformWithStateInPandas(statefulProcessor=processor, outputStructType=_PROFILE, outputMode="Update", timeMode="None")
 
 
 def run_profiles(profiles: DataFrame, folder: str) -> DataFrame:
@@ -110,27 +136,22 @@ class _TrainingRows(StatefulProcessor):
         self.s = settings
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getMapState("events", _KEY, _EVENTS)
-        self.kinds = handle.getMapState("kinds", T.StructType([T.StructField("movie_id", T.LongType())]), T.StructType([T.StructField("kinds", T.ArrayType(T.StringType())), T.StructField("last", T.DoubleType())]))
+        self.state = handle.getValueState("events", _HELD)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        out = []
-        for movie, mine in pd.concat(list(rows)).groupby("movie_id"):
-            at = (int(movie),)
-            known, last = self.kinds.getValue(at) if self.kinds.containsKey(at) else ([], float("-inf"))
-            last = max([last, *_seconds(mine["timestamp"])])
-            for kind, part in mine[mine["weight"].notna()].groupby("event_type"):
-                spot = (int(movie), kind)
-                old = self.state.getValue(spot) if self.state.containsKey(spot) else ([], [], [], 0.0, 0)
-                weights = part["weight"].astype(float).tolist()
-                cap = self.s.caps.get(kind)
-                new = ([], [], [], float(old[3]) + sum(weights), int(old[4]) + len(weights)) if cap is None else _newest(old, list(zip(_seconds(part["timestamp"]), part["event_id"].astype(int).tolist(), weights, strict=True)), cap)
-                self.state.updateValue(spot, new)
-                known = sorted({*known, kind})
-            self.kinds.updateValue(at, (list(known), last))
-            if known and last > float("-inf"):
-                held = [self.state.getValue((int(movie), kind)) for kind in known]
-                out.append((int(key[0]), int(movie), sum(float(v[3]) + sum(v[2]) for v in held), round(last * 1e6)))
+        held, met = _Held(self.state.get()), set()
+        for at, events in _by_spot(rows).items():
+            met.add(at[0])
+            held.last[at[0]] = max(held.last.get(at[0], float("-inf")), *(e[0] for e in events))
+            good = [e for e in events if e[2] == e[2]]  # the others have no weight
+            if good:
+                held.take(at, good, self.s.caps.get(at[1]))
+        self.state.update(held.value())
+        score: dict[int, float] = {}
+        for (movie, _), total in [*((at, v[0]) for at, v in held.sums.items()), *((at, sum(e[2] for e in events)) for at, events in held.newest.items())]:
+            if movie in met:
+                score[movie] = score.get(movie, 0.0) + total
+        out = [(int(key[0]), m, x, round(held.last[m] * 1e6)) for m, x in score.items() if held.last[m] > float("-inf")]
         yield pd.DataFrame(out, columns=["user_id", "movie_id", "score", "micros"])
 
     def close(self) -> None:
@@ -146,7 +167,7 @@ def live_training_rows(events: DataFrame, settings: EventSettings | None = None)
     s = settings or EventSettings()
     rows = feedback.weigh(events, s).filter("user_id is not null and movie_id is not null").withColumn("event_type", F.lower(F.trim("event_type")))
     rows = rows.select("event_id", "user_id", "movie_id", "event_type", F.when(F.col("reason").isNull(), F.col("weight")).alias("weight"), "timestamp")
-    made = rows.groupBy("user_id").transformWithStateInPandas(statefulProcessor=_TrainingRows(s), outputStructType="user_id long, movie_id long, score double, micros long", outputMode="Append", timeMode="None")
+    made = _timed(rows).groupBy("user_id").transformWithStateInPandas(statefulProcessor=_TrainingRows(s), outputStructType="user_id long, movie_id long, score double, micros long", outputMode="Append", timeMode="None")
     return made.select("user_id", "movie_id", F.round(score_to_rating(F.round("score", 6)), 6).alias("interaction_value"), F.lit("event").alias("interaction_type"), F.timestamp_micros("micros").alias("timestamp"))
 
 
@@ -189,44 +210,41 @@ def run_merge(events: DataFrame, path: str, progress: str, buckets: int = 64, po
 
 
 class _Window(StatefulProcessor):
-    """State of a user: how many usable events there are of each time, and in all; a timer for when each leaves."""
+    """State of a user: the times of the usable events in rising order and how many have none; one timer, for when the next one leaves."""
 
     def __init__(self, days: int):
         self.span = days * 86_400_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.times = handle.getMapState("times", T.StructType([T.StructField("ms", T.LongType())]), T.StructType([T.StructField("n", T.LongType())]))
-        self.total = handle.getValueState("total", T.StructType([T.StructField("n", T.LongType())]))
-
-    def _count(self) -> int:
-        return int(self.total.get()[0]) if self.total.exists() else 0
-
-    def _row(self, key: tuple) -> pd.DataFrame:
-        return pd.DataFrame([(int(key[0]), self._count())], columns=["user_id", "valid_count"])
+        self.state = handle.getValueState("times", "ms array<long>, timeless long, timer long")
+
+    def _settle(self, key: tuple, ms: list[int], timeless: int, timer: int, now: int) -> pd.DataFrame:
+        """The user's row once what has left is out of the state; the timer stands for the first that is left."""
+        ms = ms[bisect.bisect_right(ms, now - self.span - 1):]
+        leaves = ms[0] + self.span + 1 if ms else 0
+        if leaves != timer:
+            if timer > now:
+                self.handle.deleteTimer(timer)
+            if leaves:
+                self.handle.registerTimer(leaves)
+        self.state.update((ms, timeless, leaves))
+        return pd.DataFrame([(int(key[0]), len(ms) + timeless)], columns=["user_id", "valid_count"])
+
+    def _known(self) -> tuple[list[int], int, int]:
+        value = self.state.get()
+        return ([int(x) for x in value[0]], int(value[1]), int(value[2])) if value else ([], 0, 0)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        now, total = timerValues.getCurrentWatermarkInMs(), self._count()
+        ms, timeless, timer = self._known()
         for part in rows:
-            good = part[part["valid"]]
-            total += int(good["ms"].isna().sum())  # events without a time never leave
-            for ms, n in good["ms"].dropna().astype("int64").value_counts().items():
-                leaves = int(ms) + self.span + 1
-                if leaves > now:
-                    old = int(self.times.getValue((int(ms),))[0]) if self.times.containsKey((int(ms),)) else 0
-                    self.times.updateValue((int(ms),), (old + int(n),))
-                    if not old:
-                        self.handle.registerTimer(leaves)
-                    total += int(n)
-        self.total.update((total,))
-        yield self._row(key)
+            good = part["ms"][part["valid"]]
+            timeless += int(good.isna().sum())  # events without a time never leave
+            ms += good.dropna().astype("int64").tolist()
+        yield self._settle(key, sorted(ms), timeless, timer, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        at = (expiredTimerInfo.getExpiryTimeInMs() - self.span - 1,)
-        if self.times.containsKey(at):
-            self.total.update((self._count() - int(self.times.getValue(at)[0]),))
-            self.times.removeKey(at)
-        yield self._row(key)
+        yield self._settle(key, *self._known(), timerValues.getCurrentWatermarkInMs())
 
     def close(self) -> None:
         pass
