@@ -197,6 +197,19 @@ def test_bpe_memo_generations(monkeypatch):
     assert all(small.encode(*flat([text]))[0].tolist() == want for _ in range(3)) and len(small.young) <= 50 and len(small.old) <= 50
 
 
+def test_bpe_merges_in_rounds_equal_tiktoken():
+    tokens = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    ours = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={})
+    codec = bpe.Codec(tokens, bpe.PerfectHash(tokens), public_tokenizers.PATTERN, short=12, memo=40)
+    r = random.Random(2)
+    words = ["", "a", "aaaaaaaaaaaa", "aaaaaaaaaaaaa", "é" * 6, "é" * 7, *("".join(r.choice("aeinrstbé中😀") for _ in range(r.randint(1, 20))) for _ in range(3000))]
+    cases = words + [" ".join(r.choices(words, k=8)) for _ in range(500)]
+    for some in (cases, cases[:7], [""]):
+        ids, ends = codec.encode(*flat(some))
+        assert [ids[ends[k] : ends[k + 1]].tolist() for k in range(len(some))] == [ours.encode_ordinary(x) for x in some]
+    assert len(codec.young) <= 40 and len(codec.old) <= 40
+
+
 def test_bpe_round_trip(spark, docs):
     df, rows = docs
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")

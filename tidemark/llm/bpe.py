@@ -5,6 +5,9 @@ others are merged with a heap over a linked list of their bytes.  Before both, t
 pre-tokens of a chunk of texts are cut and told apart in numpy, so that each distinct
 one is looked up once a chunk, and a worker remembers those it met last: two
 generations of a bounded memo, of which the older is given up when the younger is full.
+
+A caller that only needs the ids (operator 4) may have short pre-tokens merged in numpy,
+many at a time, with a smaller memo; the ids are the same.
 """
 
 from __future__ import annotations
@@ -177,10 +180,14 @@ def merge(ids: list[int], pair: list[int], heap: list[int], shift: int, pairs: d
 
 
 class Codec:
-    """Encodes and decodes chunks of texts."""
+    """Encodes and decodes chunks of texts.
+
+    ``short``: pre-tokens of up to so many bytes are merged in rounds (``_rounds``), the others by heaps; ``memo``: pre-tokens
+    of a generation, if not ``MEMO``.
+    """
 
-    def __init__(self, tokens: list[bytes], table: PerfectHash, pattern: str):
-        self.table = table
+    def __init__(self, tokens: list[bytes], table: PerfectHash, pattern: str, short: int = 0, memo: int | None = None):
+        self.table, self.short, self.memo = table, short, memo
         self.pairs = pair_table(tokens)
         ranks = {token: i for i, token in enumerate(tokens) if len(token) == 1}
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
@@ -190,6 +197,9 @@ class Codec:
         self.young: dict[bytes, tuple[int, ...]] = {}
         self.old: dict[bytes, tuple[int, ...]] = {}
         self.split = None if pattern == PATTERN else regex.compile(pattern).findall
+        if short:
+            order = np.argsort(keys := np.fromiter(self.pairs, np.int64, len(self.pairs)))
+            self.pair_keys, self.pair_ids = keys[order], np.fromiter(self.pairs.values(), np.int64, len(keys))[order]
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
         self.sizes = np.array([len(t) for t in tokens], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
@@ -199,7 +209,7 @@ class Codec:
         self.name_starts = np.cumsum(self.name_sizes) - self.name_sizes
 
     def _remember(self, raw: bytes, ids: tuple[int, ...]) -> None:
-        if len(self.young) >= MEMO:
+        if len(self.young) >= (self.memo or MEMO):
             self.old, self.young = self.young, {}
         self.young[raw] = ids
 
@@ -220,6 +230,13 @@ class Codec:
             out[k] = ids
             self._remember(raw, ids)
         at = np.array(missed, np.int64)
+        if self.short:
+            few = sizes[at] <= self.short
+            for part in np.array_split(at[few], max(1, int(sizes[at[few]].sum()) // GROUP)):
+                for k, ids in zip(part.tolist(), self._rounds(data, starts[part], sizes[part]), strict=True):
+                    out[k] = ids
+                    self._remember(raws[k], ids)
+            at = at[~few]
         edges = np.concatenate(([0], np.cumsum(sizes[at])))
         for i, j in chunks(edges, GROUP):
             part = at[i:j]
@@ -248,6 +265,56 @@ class Codec:
             yield merge(ids[a : a + n], pairs[a : a + n], heap[h:e], shift, self.pairs)
             h = e
 
+    def _rounds(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, ...]]:
+        """As ``_merged``: in each round each pre-token that has a pair of known rank joins that of least rank, the leftmost first.
+
+        There are fewer rounds than bytes in the longest pre-token.
+        """
+        x = data[ragged(starts, sizes)]
+        ids, row = self.byte_ids[x], np.repeat(np.arange(len(sizes)), sizes)
+        none = 1 << self.rank_bits
+        pair = np.full(len(ids), none)
+        pair[:-1] = self.twos[x[:-1].astype(np.int64) << 8 | x[1:]]
+        pair[pair < 0] = none
+        pair[np.cumsum(sizes) - 1] = none
+        done_ids, done_rows = [], []
+        while len(ids):
+            new = np.flatnonzero(np.diff(row, prepend=-1))
+            best = np.minimum.reduceat(pair << 32 | np.arange(len(pair)), new)
+            live = best >> 32 < none
+            if not live.all():  # pre-tokens without such a pair are done
+                kept = np.repeat(live, np.diff(new, append=len(ids)))
+                done_ids.append(ids[~kept])
+                done_rows.append(row[~kept])
+                shift = np.cumsum(~kept)
+                ids, row, pair, best = ids[kept], row[kept], pair[kept], best[live]
+                at = best & 0xFFFFFFFF
+                at = at - shift[at]
+            else:
+                at = best & 0xFFFFFFFF
+            if not len(at):
+                break
+            ids[at] = best >> 32
+            pair[at] = pair[at + 1]  # replaced below; none where the pre-token ends
+            stay = np.ones(len(ids), bool)
+            stay[at + 1] = False
+            at = at - np.arange(len(at))  # one part of each pre-token before goes
+            ids, row, pair = ids[stay], row[stay], pair[stay]
+            near = np.concatenate((at, at[at > 0] - 1))
+            near = near[near + 1 < len(ids)]
+            near = near[row[near] == row[near + 1]]
+            key = ids[near] << 32 | ids[near + 1]
+            spot = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+            pair[near] = np.where(self.pair_keys[spot] == key, self.pair_ids[spot], none)
+        if not done_rows:
+            return
+        rows = np.concatenate(done_rows)
+        flat = np.concatenate(done_ids)[np.argsort(rows, kind="stable")].tolist()
+        a = 0
+        for n in np.bincount(rows, minlength=len(sizes)).tolist():
+            yield tuple(flat[a : a + n])
+            a += n
+
     def _cut(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         if self.split is None:
             return cut(data, offsets)
@@ -292,24 +359,27 @@ class Codec:
 _codecs: dict[tuple, Codec] = {}
 
 
-def _shared(spark: SparkSession, path: str, pattern: str):  # noqa: ANN202
+def _shared(spark: SparkSession, path: str, pattern: str, short: int = 0, memo: int | None = None):  # noqa: ANN202
     """A function that gives the worker's codec; the vocabulary (a file of fixed size) is broadcast."""
     tokens = read_ranks(path)
     sent = spark.sparkContext.broadcast((tokens, PerfectHash(tokens)))
-    key = (hashlib.sha256(b"\n".join(tokens)).hexdigest(), pattern)
+    key = (hashlib.sha256(b"\n".join(tokens)).hexdigest(), pattern, short, memo)
 
     def codec() -> Codec:
         if key not in _codecs:
             _codecs.clear()
-            _codecs[key] = Codec(*sent.value, pattern)
+            _codecs[key] = Codec(*sent.value, pattern, short, memo)
         return _codecs[key]
 
     return codec
 
 
-def encode(df: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, columns of ``keep``, ids): the token ids of each text, as a list of ints.  Null and empty texts: an empty list."""
-    codec = _shared(df.sparkSession, path, pattern)
+def encode(df: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), short: int = 0, memo: int | None = None) -> DataFrame:
+    """(doc_id, columns of ``keep``, ids): the token ids of each text, as a list of ints.  Null and empty texts: an empty list.
+
+    ``short``, ``memo``: see ``Codec``.
+    """
+    codec = _shared(df.sparkSession, path, pattern, short, memo)
     rows = narrow(df, doc_id=doc_id, **{c: c for c in keep}, text=text)
     fields = T.StructType([rows.schema[c] for c in rows.columns[:-1]] + [T.StructField("ids", T.ArrayType(T.IntegerType()))])
 

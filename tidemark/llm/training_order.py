@@ -164,13 +164,13 @@ def _pieces(rows: DataFrame, starts: dict[tuple[str, int], int], n: int, length:
         slot = permute(sequence, n, key)
         order = np.argsort(slot, kind="stable")
         doc, low, size, slot = doc[order], low[order], size[order], slot[order]
-        data = stream[ragged(low - first[doc] + (ends - sizes)[doc], size)]
+        begin = low - first[doc] + (ends - sizes)[doc]
         shard = slot // per_shard
         new = np.flatnonzero(np.diff(shard, prepend=-1))
         cuts = np.append(new, len(shard)).astype(np.int32)
-        bytes_ = np.concatenate(([0], np.cumsum(size)))[cuts]
         packer = zstandard.ZstdCompressor(level=3)
-        packed = [packer.compress(data[a:z].tobytes()) for a, z in zip(bytes_[:-1].tolist(), bytes_[1:].tolist(), strict=True)]
+        # A shard's tokens at a time: the places of all would take many times the tokens' own memory.
+        packed = [packer.compress(stream[ragged(begin[a:z], size[a:z])].tobytes()) for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
         return pa.RecordBatch.from_arrays(
             [pa.array(shard[new])]
             + [pa.ListArray.from_arrays(cuts, x) for x in (pa.array(slot), pa.array((low % length).astype(np.int32)), pa.array(size.astype(np.int32)), ids.take(pa.array(doc)))]
