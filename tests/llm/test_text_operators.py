@@ -208,6 +208,11 @@ def test_bpe_merges_in_rounds_equal_tiktoken():
         ids, ends = codec.encode(*flat(some))
         assert [ids[ends[k] : ends[k + 1]].tolist() for k in range(len(some))] == [ours.encode_ordinary(x) for x in some]
     assert len(codec.young) <= 40 and len(codec.old) <= 40
+    # A whole token that its merges don't lead to is still one token.
+    few = [bytes([b]) for b in range(256)] + [b"ab", b"bc", b"abcd", b"bcd"]
+    want = bpe.Codec(few, bpe.PerfectHash(few), public_tokenizers.PATTERN).encode(*flat(["abcd bcd abcd", "xabcd"]))
+    got = bpe.Codec(few, bpe.PerfectHash(few), public_tokenizers.PATTERN, short=12).encode(*flat(["abcd bcd abcd", "xabcd"]))
+    assert want[0].tolist() == got[0].tolist() and want[1].tolist() == got[1].tolist() and 258 in got[0]
 
 
 def test_bpe_round_trip(spark, docs):

@@ -7,7 +7,7 @@ one is looked up once a chunk, and a worker remembers those it met last: two
 generations of a bounded memo, of which the older is given up when the younger is full.
 
 A caller that only needs the ids (operator 4) may have short pre-tokens merged in numpy,
-many at a time, with a smaller memo; the ids are the same.
+many at a time, without a memo; the ids are the same.
 """
 
 from __future__ import annotations
@@ -182,8 +182,8 @@ def merge(ids: list[int], pair: list[int], heap: list[int], shift: int, pairs: d
 class Codec:
     """Encodes and decodes chunks of texts.
 
-    ``short``: pre-tokens of up to so many bytes are merged in rounds (``_rounds``), the others by heaps; ``memo``: pre-tokens
-    of a generation, if not ``MEMO``.
+    ``short``: pre-tokens of up to so many bytes are merged in rounds (``_rounds``) without a memo, the others by heaps; ``memo``:
+    pre-tokens of a generation, if not ``MEMO``.
     """
 
     def __init__(self, tokens: list[bytes], table: PerfectHash, pattern: str, short: int = 0, memo: int | None = None):
@@ -197,12 +197,16 @@ class Codec:
         self.young: dict[bytes, tuple[int, ...]] = {}
         self.old: dict[bytes, tuple[int, ...]] = {}
         self.split = None if pattern == PATTERN else regex.compile(pattern).findall
-        if short:
-            order = np.argsort(keys := np.fromiter(self.pairs, np.int64, len(self.pairs)))
-            self.pair_keys, self.pair_ids = keys[order], np.fromiter(self.pairs.values(), np.int64, len(keys))[order]
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
         self.sizes = np.array([len(t) for t in tokens], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
+        if short:
+            order = np.argsort(keys := np.fromiter(self.pairs, np.int64, len(self.pairs)))
+            self.pair_keys, self.pair_ids = keys[order], np.fromiter(self.pairs.values(), np.int64, len(keys))[order]
+            # Whole tokens that merging doesn't lead to are looked up; commonly there are none.
+            few = np.flatnonzero(self.sizes <= short)
+            few = few[self._rounds(self.bytes, self.starts[few], self.sizes[few])[1] != 1]
+            self.odd = word_hashes(self.bytes, self.starts[few], (self.starts + self.sizes)[few])
         names = [b"%d," % i for i in range(len(tokens))]
         self.names = np.frombuffer(b"".join(names), np.uint8)
         self.name_sizes = np.array([len(t) for t in names], np.int64)
@@ -230,13 +234,6 @@ class Codec:
             out[k] = ids
             self._remember(raw, ids)
         at = np.array(missed, np.int64)
-        if self.short:
-            few = sizes[at] <= self.short
-            for part in np.array_split(at[few], max(1, int(sizes[at[few]].sum()) // GROUP)):
-                for k, ids in zip(part.tolist(), self._rounds(data, starts[part], sizes[part]), strict=True):
-                    out[k] = ids
-                    self._remember(raws[k], ids)
-            at = at[~few]
         edges = np.concatenate(([0], np.cumsum(sizes[at])))
         for i, j in chunks(edges, GROUP):
             part = at[i:j]
@@ -265,8 +262,26 @@ class Codec:
             yield merge(ids[a : a + n], pairs[a : a + n], heap[h:e], shift, self.pairs)
             h = e
 
-    def _rounds(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, ...]]:
-        """As ``_merged``: in each round each pre-token that has a pair of known rank joins that of least rank, the leftmost first.
+    def _table(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, where each pre-token's start, how many it has)."""
+        few = (sizes <= self.short) & ~np.isin(hashes, self.odd) if self.short else np.zeros(len(sizes), bool)
+        short, rest = np.flatnonzero(few), np.flatnonzero(~few)
+        many = np.zeros(len(sizes), np.int64)
+        parts = []
+        edges = np.concatenate(([0], np.cumsum(sizes[short])))
+        for i, j in chunks(edges, GROUP):
+            ids, many[short[i:j]] = self._rounds(data, starts[short[i:j]], sizes[short[i:j]])
+            parts.append(ids)
+        found = self.pieces(data, starts[rest], sizes[rest])
+        many[rest] = np.fromiter(map(len, found), np.int64, len(found))
+        parts.append(np.fromiter(chain.from_iterable(found), np.int32, int(many[rest].sum())))
+        begin = np.zeros(len(sizes), np.int64)
+        order = np.concatenate((short, rest))
+        begin[order] = np.cumsum(many[order]) - many[order]
+        return np.concatenate(parts), begin, many
+
+    def _rounds(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids end to end, how many of each) as by ``_merged``: in each round each pre-token that has a pair of known rank joins that of least rank, the leftmost first.
 
         There are fewer rounds than bytes in the longest pre-token.
         """
@@ -306,14 +321,9 @@ class Codec:
             key = ids[near] << 32 | ids[near + 1]
             spot = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
             pair[near] = np.where(self.pair_keys[spot] == key, self.pair_ids[spot], none)
-        if not done_rows:
-            return
-        rows = np.concatenate(done_rows)
-        flat = np.concatenate(done_ids)[np.argsort(rows, kind="stable")].tolist()
-        a = 0
-        for n in np.bincount(rows, minlength=len(sizes)).tolist():
-            yield tuple(flat[a : a + n])
-            a += n
+        rows = np.concatenate([*done_rows, np.zeros(0, np.int64)])
+        flat = np.concatenate([*done_ids, np.zeros(0, np.int64)])[np.argsort(rows, kind="stable")]
+        return flat.astype(np.int32), np.bincount(rows, minlength=len(sizes))
 
     def _cut(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         if self.split is None:
@@ -332,14 +342,13 @@ class Codec:
         starts, sizes = at[:-1], np.diff(at)
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
-        _, first, kind = np.unique(word_hashes(data, starts, at[1:]), return_index=True, return_inverse=True)
+        hashes = word_hashes(data, starts, at[1:])
+        _, first, kind = np.unique(hashes, return_index=True, return_inverse=True)
         twin = first[kind]  # the first pre-token of the same hash: its bytes must be the same
         if (sizes[twin] != sizes).any() or (data[ragged(starts[twin], sizes)] != data).any():
             first = kind = np.arange(len(starts))
-        found = self.pieces(data, starts[first], sizes[first])
-        many = np.fromiter(map(len, found), np.int64, len(found))
-        table = np.fromiter(chain.from_iterable(found), np.int32, int(many.sum()))
-        ids = table[ragged((np.cumsum(many) - many)[kind], many[kind])]
+        table, begin, many = self._table(data, starts[first], sizes[first], hashes[first])
+        ids = table[ragged(begin[kind], many[kind])]
         before = np.concatenate(([0], np.cumsum(many[kind])))
         return ids, before[np.searchsorted(at, offsets)]
 
