@@ -53,6 +53,7 @@ def higher_quantiles(df: DataFrame, column: str, quantiles: tuple[float, ...], n
 
 def threshold_candidates(stats: DataFrame, quantiles: tuple[float, ...] = (0.8, 0.9, 0.95)) -> DataFrame:
     """(percentile, m, eligible): how many movies have at least the quantile's count."""
+    stats = scratch.stored(stats, "stats")  # a row a movie, read for the quantiles and for the counts
     m = higher_quantiles(stats, "rating_count", quantiles)
     return stats.crossJoin(F.broadcast(m)).groupBy("percentile", "m").agg(F.count_if(F.col("rating_count") >= F.col("m")).alias("eligible"))
 
