@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from .batches import NOT_SPACE, chunks, free_name, lower_ascii, mix, narrow, runs, texts, with_columns, word_hashes, words
 from .blocks import pairs_of_blocks
-from .graph import connected_components
+from .graph import connected_components, forest
 from .lookup import BROADCAST_ROWS, inner_lookup, skew_join
 from .scratch import cut
 
@@ -367,7 +367,12 @@ def _families(prints: DataFrame, distance: int, near: F.Column) -> DataFrame:
         ends = links.join(end("a"), "a", "left").join(end("b"), "b", "left").select(F.coalesce("a_root", "a").alias("x"), F.coalesce("b_root", "b").alias("y"))
         joined = ends.filter("x <> y").groupBy(F.greatest("x", "y").alias("a")).agg(F.min(F.least("x", "y")).alias("b"))
         led = led.join(joined, "a", "left_anti").unionByName(joined)
-    return cut(prints.join(led.select(F.col("a").alias("id"), F.col("b").alias("root")), "id", "left").withColumn("root", F.coalesce("root", "id")))
+    return cut(_spread(prints.join(led.select(F.col("a").alias("id"), F.col("b").alias("root")), "id", "left").withColumn("root", F.coalesce("root", "id"))))
+
+
+def _spread(prints: DataFrame) -> DataFrame:
+    """``prints`` in as many partitions as the session shuffles to: each row becomes a hundred entries and more in the task that reads it."""
+    return prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
 
 
 def wide_links(prints: DataFrame, distance: int = WIDE_DISTANCE, word_distance: int = WORD_DISTANCE, bucket: int = 32, block: int = 1024) -> DataFrame:
@@ -388,7 +393,9 @@ def wide_links(prints: DataFrame, distance: int = WIDE_DISTANCE, word_distance:
     apart = (F.col("root") != F.col("other")) & near
     same = own.select("key", F.col("b").alias("a"), F.col("v").alias("word"), F.col("other").alias("root")).join(own, "key").filter((F.col("a") < F.col("b")) & apart).select("a", "b")
     beside = probes.withColumnRenamed("id", "a").join(own, "key").filter(apart).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    cold = known.unionByName(_confirmed(same.unionByName(beside).distinct(), prints, distance))
+    # Each part on its own: the driver holds and plans again, after each of its stages, no more than one.
+    pairs = cut(same.unionByName(beside).distinct())
+    cold = forest(known.unionByName(_confirmed(pairs, prints, distance))).toDF("a", "b")
     if not n_crowded:
         return cold
 
@@ -420,7 +427,7 @@ def wide_links(prints: DataFrame, distance: int = WIDE_DISTANCE, word_distance:
     found = cold.unionByName(attached)
     for left, right in ((every, free(members)), (members, free(others))):
         dealt = pairs_of_blocks(left.select(*columns), right, "key", "id", block)
-        found = found.unionByName(dealt.groupBy("key", "i", "j").applyInPandas(compare, edge))
+        found = found.unionByName(forest(dealt.groupBy("key", "i", "j").applyInPandas(compare, edge)).toDF("a", "b"))
     return found
 
 
@@ -597,7 +604,7 @@ def near_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shing
     """
     base = narrow(df, doc_id=doc_id, text=text).withColumn("id", F.xxhash64(F.coalesce("text", F.lit(""))))
     rows = cut(with_wide_fingerprint(base, "text", shingle).select("doc_id", "id", "words", "masks", "keys"))
-    prints = cut(rows.groupBy("id").agg(F.min("doc_id").alias("least"), *[F.min(c).alias(c) for c in ("words", "masks", "keys")]))
+    prints = cut(_spread(rows.groupBy("id").agg(F.min("doc_id").alias("least"), *[F.min(c).alias(c) for c in ("words", "masks", "keys")])))
     linked = connected_components(wide_links(prints.drop("least"), distance, **options)).select(F.col("node").alias("id"), "root")
     groups = skew_join(linked, linked.groupBy("root").agg(F.count("*").alias("size")), "root").join(prints.select("id", F.col("least").alias("doc_id")), "id")
     same = verified_groups(base, cut(groups.select("id", "doc_id", "root", "size")), shingle, least, distance, group)
